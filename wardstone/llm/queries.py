@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash
+from . import langid, minhash, simhash
 from .common import table
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.query(table(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
@@ -18,5 +22,5 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_language_id": _op4, "op7_simhash": _op7}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_minhash": _op3, "op4_language_id": _op4, "op7_simhash": _op7}
 ORACLE_SQL: dict[str, str] = {}
