@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, simhash
+from . import langid, minhash, simhash, token_ids
 from .common import table
 
 
@@ -18,9 +18,18 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.query(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_minhash": _op3, "op4_language_id": _op4, "op7_simhash": _op7}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": _op3,
+    "op4_language_id": _op4,
+    "op5_token_ids": _op5,
+    "op7_simhash": _op7,
+}
 ORACLE_SQL: dict[str, str] = {}
