@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, simhash, token_ids
+from . import decontamination, langid, minhash, simhash, token_ids
 from .common import table
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.query(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": _op1,
     "op3_minhash": _op3,
     "op4_language_id": _op4,
     "op5_token_ids": _op5,
