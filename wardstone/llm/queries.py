@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, minhash, pii, simhash, token_ids
+from . import decontamination, langid, minhash, pieces, pii, simhash, token_ids
 from .common import table
 
 
@@ -30,6 +30,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.query(table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": _op4,
     "op5_token_ids": _op5,
     "op7_simhash": _op7,
+    "op8_pieces": _op8,
     "op9_pii": _op9,
 }
 ORACLE_SQL: dict[str, str] = {}
