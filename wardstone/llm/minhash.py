@@ -93,7 +93,9 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], derive: Callable
     runs = runs.select("__run", F.coalesce(F.lead("__first").over(outer), F.first("__first").over(outer)).alias("__wrap"))
     links = ends.withColumn("__to", F.lead("__block").over(inner)).join(runs, "__run")
     links = links.select("__end", F.coalesce("__to", "__wrap").alias("__block"))
-    tails = known.join(links, F.col(id_col) == F.col("__end")).select(*docs.columns, "__block", F.lit(True).alias("__copy"))
+    # about n / rows links of two numbers: broadcast while their number is known to be small, else joined by shuffle
+    few = n // rows <= 100_000
+    tails = known.join(F.broadcast(links) if few else links, F.col(id_col) == F.col("__end")).select(*docs.columns, "__block", F.lit(True).alias("__copy"))
     dealt = derive(known.select(*docs.columns, block.alias("__block"), F.lit(False).alias("__copy")).union(tails))
     order = Window.partitionBy("__block").orderBy(F.desc("__copy"), F.col(id_col))
     found = dealt.select("*", *[F.lag(c).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("__copy")).drop("__block", "__copy")
