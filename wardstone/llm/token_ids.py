@@ -32,12 +32,12 @@ from pyspark.sql.window import Window
 from .common import stored
 
 SCALE = 20
-LANES = 512
+LANES = 1024
 STEPS = 256  # between checkpoints
-BLOCK = 1 << 18  # tokens, at which a block is closed after a whole document
+BLOCK = 1 << 19  # tokens, at which a block is closed after a whole document
 HEADER = struct.Struct("<4sHHIIIII")
 MAGIC = b"WRN1"
-CHUNKS, PIECES = 400_000, 800_000  # that a worker remembers
+CHUNKS, PIECES = 350_000, 800_000  # that a worker remembers
 _LOW = np.uint64(1 << 31)
 
 
@@ -90,14 +90,9 @@ class Encoder:
         if self.separators(text):  # white space to Python, not to the library
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = text.split()
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._chunk(w)
-            return b"".join(map(known.__getitem__, words))
+        for w in set(words).difference(self.chunks):
+            self.chunks[w] = self._chunk(w)
+        return b"".join(map(self.chunks.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}
