@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, minhash, pieces, pii, simhash, token_ids
+from . import decontamination, langid, minhash, pieces, pii, pitman_yor, simhash, token_ids
 from .common import table
 
 
@@ -38,6 +38,10 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": _op1,
     "op3_minhash": _op3,
@@ -46,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": _op7,
     "op8_pieces": _op8,
     "op9_pii": _op9,
+    "op10_pitman_yor": _op10,
 }
 ORACLE_SQL: dict[str, str] = {}
