@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, minhash, pieces, pii, pitman_yor, simhash, token_ids
+from . import chat, decontamination, langid, minhash, pieces, pii, pitman_yor, simhash, token_ids, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.query(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.query(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(table(spark, sf_dir, "conversations"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -44,12 +52,14 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": _op1,
+    "op2_url_filter": _op2,
     "op3_minhash": _op3,
     "op4_language_id": _op4,
     "op5_token_ids": _op5,
+    "op6_chat": _op6,
     "op7_simhash": _op7,
     "op8_pieces": _op8,
     "op9_pii": _op9,
     "op10_pitman_yor": _op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE}
