@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KNOWN = 150_000  # chunks that a worker remembers
+KNOWN = 200_000  # chunks that a worker remembers
+ROOM = 5_000_000  # arcs for which arrays have room at first
 BATCH_CHARS = 1 << 21
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
@@ -71,7 +72,11 @@ class Lattices:
         self.vocab = {pieces[i]: i for i in plain}
         self.heads = {p[:k] for p in self.vocab for k in range(1, len(p) + 1)}
         crossing = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.vocab)
-        self.cut = (lambda s: [s] if s else []) if crossing else _CHUNKS
+        # a chunk also ends before a mark that no piece holds after a letter
+        marks = "".join(m for m in ".,!?;:#$%&*|\"" if not any(re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in self.vocab))
+        mark = re.escape(marks)
+        parted = re.compile(f"{SPACE}+[^{SPACE}\n{mark}]*[^{SPACE}\n\\W\\d_](?=[{mark}])|{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall if marks else _CHUNKS
+        self.cut = (lambda s: [s] if s else []) if crossing else parted
         self.surface = [pieces[i].encode() for i in range(n)]
         for b, i in self.byte.items():
             self.surface[i] = bytes([b])
@@ -91,8 +96,7 @@ class Lattices:
         self.log_p = np.zeros(0)
         self.upto = np.zeros(0)  # running sum of probabilities within the node
         self.piece = np.zeros(0, np.int32)
-        self.next = np.zeros(0, np.int64)  # node, -1 at the segment's end
-        self.node_of = np.zeros(0, np.int64)
+        self.next = np.zeros(0, np.int32)  # node, -1 at the segment's end
         self.new: tuple[list, ...] = ([], [], [], [], [])
         self.nodes = self.arcs = self.nodes_kept = self.arcs_kept = 0
 
@@ -101,15 +105,14 @@ class Lattices:
         first, log_p, upto, piece, after = (np.concatenate(x) for x in self.new)
         self.new = ([], [], [], [], [])
         n, m = self.nodes_kept, self.arcs_kept
-        if self.nodes + 1 > len(self.first):
-            self.first = np.resize(self.first, 2 * (self.nodes + 1))
-        if self.arcs > len(self.log_p):
-            for name in ("log_p", "upto", "piece", "next", "node_of"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * self.arcs) if m else np.zeros(2 * self.arcs, getattr(self, name).dtype))
+        for name, need in (("first", self.nodes + 1), ("log_p", self.arcs), ("upto", self.arcs), ("piece", self.arcs), ("next", self.arcs)):
+            if need > len(old := getattr(self, name)):
+                grown = np.zeros(max(ROOM, 2 * need), old.dtype)  # memory is taken only as it is written
+                grown[: len(old)] = old
+                setattr(self, name, grown)
         self.first[n : self.nodes] = first
         self.first[self.nodes] = self.arcs
         self.log_p[m : self.arcs], self.upto[m : self.arcs], self.piece[m : self.arcs], self.next[m : self.arcs] = log_p, upto, piece, after
-        self.node_of[m : self.arcs] = np.repeat(np.arange(n, self.nodes), np.diff(self.first[n : self.nodes + 1]))
         self.nodes_kept, self.arcs_kept = self.nodes, self.arcs
 
     def _segment(self, s: str) -> int:
@@ -221,7 +224,7 @@ class Lattices:
         if len(self.chunks) > KNOWN:
             self.forget()
         cut = [self.cut(t) for t in texts]
-        fresh = sorted(set(chain.from_iterable(cut)) - self.chunks.keys())
+        fresh = list(set(chain.from_iterable(cut)) - self.chunks.keys())
         if fresh:
             short = [c for c in fresh if len(c) <= 48 and self.single.issuperset(c)]
             if short:
@@ -278,10 +281,11 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
             if not todo:
                 break
             nodes = [np.concatenate([[n], segments[i][s:]]) for i, _, s, n, _ in todo]
-            base = [keys[i] + np.uint64(j + 1) * _SAMPLE for i, *_ in todo]
-            seeds = np.concatenate([_mix(b + np.arange(s, s + len(x), dtype=np.uint64) * _PLACE) for b, x, (_, _, s, _, _) in zip(base, nodes, todo, strict=True)])
-            arcs, where = lat.walk(np.concatenate(nodes), seeds)
-            edge = np.cumsum([0] + [len(x) for x in nodes])
+            base = keys[[i for i, *_ in todo]] + np.uint64(j + 1) * _SAMPLE
+            size = np.array([len(x) for x in nodes])
+            edge = np.concatenate([[0], np.cumsum(size)])
+            number = np.arange(edge[-1]) - np.repeat(edge[:-1] - np.array([s for _, _, s, _, _ in todo]), size)
+            arcs, where = lat.walk(np.concatenate(nodes), _mix(np.repeat(base, size) + number.astype(np.uint64) * _PLACE))
             for (i, before, _, _, value), b, e, end in zip(todo, base, edge[:-1], edge[1:], strict=True):
                 path = np.concatenate([before, arcs[where[e] : where[end]]])
                 lp = lat.log_p[path]
@@ -289,16 +293,17 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
                 found[i].append([lat.piece[path], float(lp.sum()), float(value), 0.0])
                 # Sibling groups hang off the fresh part of the path only. A group's value exceeds the log of its mass by 37
                 # at most (draws have 52 bits), so once k + 1 values are above that, later places can't be among the best.
-                fresh = np.flatnonzero(lp[len(before) :] < 0) + len(before)
-                for some in (fresh[:128], fresh):
-                    cut = int(some[-1]) + 1 if len(some) else 0
-                    upto = np.cumsum(lp[:cut])
+                for reach in (len(before) + 256, len(lp)):
+                    some = np.flatnonzero(lp[len(before) : reach] < 0) + len(before)
+                    if not len(some) and reach < len(lp):
+                        continue
+                    upto = np.cumsum(lp[:reach])
                     mass = upto[some] - lp[some] + np.log(-np.expm1(lp[some]))
                     draw = -np.log(_unit(_mix(b ^ np.uint64(0x5555)) + some.astype(np.uint64) * _PLACE))
                     bound = -np.logaddexp(-value, np.log(draw) - mass)
-                    if len(some) == len(fresh) or np.partition(bound, -k - 1)[-k - 1] > upto[-1] + 37:
+                    if reach >= len(lp) or len(some) > k and np.partition(bound, -k - 1)[-k - 1] > upto[-1] + 37:
                         break
-                if len(fresh):
+                if len(some):
                     for x in np.argsort(-bound)[: k + 1] if len(bound) <= 64 else np.argpartition(-bound, k)[: k + 1]:
                         if bound[x] > -np.inf:
                             heapq.heappush(queues[i], (-float(bound[x]), len(paths[i]) - 1, int(some[x]), (int(path[some[x]]),)))
@@ -311,7 +316,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
                 value, p, place, gone = heapq.heappop(queues[i])
                 value = -value
                 path = paths[i][p]
-                node = int(lat.node_of[path[place]])
+                node = int(np.searchsorted(lat.first[: lat.nodes + 1], path[place], side="right")) - 1
                 rest = [a for a in range(lat.first[node], lat.first[node + 1]) if a not in gone]
                 share = np.exp(lat.log_p[rest])
                 u = _unit(np.array([keys[i] + np.uint64(j) * _SAMPLE + np.uint64(7)]))[0]
