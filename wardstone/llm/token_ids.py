@@ -78,8 +78,12 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.other(chunk):
+        if not chunk.isascii() and self.other(chunk) or "<|" in chunk:
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        if chunk.isalpha():  # a run of letters, perhaps with one mark after it: what the pattern would find
+            return self._piece(chunk.lower())
+        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+            return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
         return b"".join(map(self._piece, self.runs(chunk.lower())))
 
     def ids(self, text: str) -> bytes:
