@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import text_queries  # noqa: F401
+from . import decision_queries, store_queries, text_queries  # noqa: F401
