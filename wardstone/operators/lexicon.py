@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +61,24 @@ def framed(score: Column, category: Column, signals: Column) -> tuple[Column, Co
     return F.when(counts, FRAMED_CAP).otherwise(score), F.when(counts, F.concat(F.lit("quoted_or_reported:"), F.array_join(signals, "+")))
 
 
-def screen(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, despaced: bool = True) -> DataFrame:
-    """Adds base, in_game, hits, lexicon_score and category. A null text counts as empty."""
-    out = df.withColumn("base", normalize(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumn("in_game", gaming(F.col("base"))).withColumn("views", view_text(F.col("base")))
-    out = out.withColumn("hits", rule_hits(F.col("views"), F.col("in_game"), rules)).drop("views")
-    return out.withColumn("lexicon_score", lexicon_score(F.col(text_col), F.col("base"), F.col("hits"), F.col("in_game"), rules)).withColumn("category", lexicon_category(F.col("hits"), rules))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it and wherever filters are pushed."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def screened(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Struct of base, in_game, hits, lexicon_score and category. A null text counts as empty."""
+
+    def judged(base: Column, in_game: Column, hits: Column) -> Column:
+        score, category = lexicon_score(text, base, hits, in_game, rules), lexicon_category(hits, rules)
+        return F.struct(base.alias("base"), in_game.alias("in_game"), hits.alias("hits"), score.alias("lexicon_score"), category.alias("category"))
+
+    with_game = lambda b, g: _let(_let(view_text(b), lambda v: rule_hits(v, g, rules)), lambda h: judged(b, g, h))
+    return _let(normalize(F.coalesce(text, F.lit(""))), lambda b: _let(gaming(b), lambda g: with_game(b, g)))
+
+
+def screen(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Adds base, in_game, hits, lexicon_score and category (columns so named before are replaced)."""
+    names = ["base", "in_game", "hits", "lexicon_score", "category"]
+    keep = [c for c in df.columns if c not in names]
+    return df.select(*keep, screened(F.col(text_col), rules).alias("__s")).select(*keep, *[F.col(f"__s.{n}").alias(n) for n in names])
