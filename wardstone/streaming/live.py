@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from ..operators import decide, lexicon, store
 from ..operators.dialogue import AGREED, PHASES
@@ -22,11 +22,22 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 TICK_OUT = "device_id long, seq long, skipped boolean, run_seq long, failures int, wait int, degraded boolean, segment int"
 
 
+_KINDS = {"long": LongType(), "int": IntegerType(), "boolean": BooleanType(), "string": StringType(), "double": DoubleType()}
+
+
+def _state(fields: str) -> StructType:
+    """A state's fields; workers have no session that could parse a schema."""
+    out = StructType()
+    for name, kind in (f.split() for f in fields.split(", ")):
+        out.add(name, _KINDS[kind])
+    return out
+
+
 class Ticks(StatefulProcessor):
     """Repeated frames, failure streaks and title segments of one device."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        state = StructType.fromDDL("seq long, run_seq long, analysed boolean, hash string, failures int, title string, segment int")
+        state = _state("seq long, run_seq long, analysed boolean, hash string, failures int, title string, segment int")
         self.last = handle.getValueState("last", state)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -61,7 +72,7 @@ class Alerts(StatefulProcessor):
         self.open_for = open_for
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType.fromDDL("id long, at double"))
+        self.last = handle.getValueState("last", _state("id long, at double"))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get() if self.last.exists() else None
@@ -88,7 +99,7 @@ class Dialogue(StatefulProcessor):
         self.words, self.quiet_ms = words, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType.fromDDL("turn long, n int, done boolean"), self.quiet_ms)
+        self.state = handle.getValueState("state", _state("turn long, n int, done boolean"), self.quiet_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         turn, n, done = self.state.get() if self.state.exists() else (None, 0, False)
