@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of documents that cross to Python at once: texts of a few megabytes, so that two workers fit beside an executor's heap.
+ARROW_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to a size for whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:

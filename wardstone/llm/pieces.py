@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KNOWN = 150_000  # chunks that a worker remembers
-ROOM = 3_500_000  # arcs for which arrays have room at first
+KNOWN = 100_000  # chunks that a worker remembers
+ROOM = 2_400_000  # arcs for which arrays have room at first
 BATCH_CHARS = 1 << 20
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
