@@ -361,8 +361,9 @@ FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed doub
 DIGEST = "doc_id long, sample int, n_pieces long, ids_crc32 long, restored boolean, log_prob double, perturbed double, log_inclusion double"
 
 
-def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """k sampled segmentations of every text, as piece ids, or as their digest with the outcome of decoding them."""
+def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: bool = True) -> DataFrame:
+    """k sampled segmentations of every text, as piece ids, or as their digest with the outcome of decoding them. Without
+    ``keep`` a worker forgets its lattices after each task, for jobs whose other stages need the memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
@@ -394,6 +395,8 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
                     ids, texts, hashes, size = [], [], [], 0
             if ids:
                 yield rows(ids, texts, hashes)
+        if not keep:
+            lat.forget()
 
     key = F.xxhash64(F.col(id_col))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInArrow(run, DIGEST if digest else FULL)
