@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import scratch, stored
 
 SEED = 42
 BITS = 64
@@ -84,6 +84,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star contraction: each round is joins and sums over edges, the number of rounds
     grows with the logarithm of the longest path. Every round is written to the shared folder.
     """
+    scratch(edges.sparkSession)
     edges = edges.select("a", "b").checkpoint()
     seen = None
     for _ in range(rounds):
