@@ -130,11 +130,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pri
     rows = stored(rows.select("id", F.xxhash64("fps").alias("node"), "fps"))
     masks = F.array(*[F.lit(m).cast("long") for m in ball(1)])
     each = rows.select("node", "fps").distinct().select("node", F.posexplode("fps").alias("seed", "fp"))
-    near = each.select("node", "seed", "fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("value"))
-    least = F.min(F.struct("node", "fp")).over(Window.partitionBy("value", "seed"))
-    pairs = near.select(F.col("node").alias("a"), "fp", least.alias("least")).where("a > least.node")
-    verified = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= 2).select("a", F.col("least.node").alias("b")).distinct()
-    return _grouped(rows.select("id", F.col("node").alias("fp")), components(verified)).withColumnRenamed("fp", "node")
+    near = each.select("node", "seed", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("value"))
+    # both fingerprints of a pair are at most one bit from the value that they share, so at most two from each other
+    least = F.min("node").over(Window.partitionBy("value", "seed"))
+    pairs = near.select(F.col("node").alias("a"), least.alias("b")).where("a > b").distinct()
+    return _grouped(rows.select("id", F.col("node").alias("fp")), components(pairs)).withColumnRenamed("fp", "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = 4) -> DataFrame:
