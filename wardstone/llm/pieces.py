@@ -61,6 +61,7 @@ class Lattices:
     def __init__(self, model: str):
         import sentencepiece
 
+        self.known = KNOWN
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.sp.get_piece_size()
         pieces = [self.sp.id_to_piece(i) for i in range(n)]
@@ -221,7 +222,7 @@ class Lattices:
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """First nodes of the segments of each normalised text."""
-        if len(self.chunks) > KNOWN:
+        if len(self.chunks) > self.known:
             self.forget()
         cut = [self.cut(t) for t in texts]
         fresh = list(set(chain.from_iterable(cut)) - self.chunks.keys())
@@ -363,10 +364,11 @@ DIGEST = "doc_id long, sample int, n_pieces long, ids_crc32 long, restored boole
 
 def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: bool = True) -> DataFrame:
     """k sampled segmentations of every text, as piece ids, or as their digest with the outcome of decoding them. Without
-    ``keep`` a worker forgets its lattices after each task, for jobs whose other stages need the memory."""
+    ``keep`` a worker takes smaller batches and forgets its lattices after each task, for jobs whose other stages need the memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
+        lat.known, most = (KNOWN, BATCH_CHARS) if keep else (KNOWN // 3, BATCH_CHARS // 2)
 
         def rows(ids: list, texts: list[str], hashes: list[int]) -> pa.RecordBatch:
             keys = _mix(np.array(hashes, np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -390,7 +392,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
                 texts.append(normalised(text))
                 hashes.append(h)
                 size += len(texts[-1])
-                if size >= BATCH_CHARS:
+                if size >= most:
                     yield rows(ids, texts, hashes)
                     ids, texts, hashes, size = [], [], [], 0
             if ids:
