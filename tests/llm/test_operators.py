@@ -78,6 +78,34 @@ def test_keep_one(docs):
     assert 1 not in ids and 0 in ids and 2 in ids and 3 not in ids
 
 
+def test_keep_one_links_what_brute_force_links(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 5):  # similarity falls from 0.93 to under 0.8
+            w = list(base)
+            for at in rng.choice(150, edits, replace=False):
+                w[at] = f"e{rng.integers(1 << 30)}"
+            texts.append(" ".join(w))
+    few = [f"v{x}" for x in range(60)]
+    for _ in range(60):  # one vocabulary in other orders: no copies
+        texts.append(" ".join(rng.permutation(few)))
+        if len(texts) % 3 == 0:
+            texts.append(texts[-1] + " end")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = set(label)
+    assert want <= kept  # no document goes that has no similar one
+    assert len(kept - want) <= 0.03 * (len(texts) - len(want))
+
+
 # --- MinHash --------------------------------------------------------------------------------------------------------
 def test_minhash(docs):
     rows = {r["doc_id"]: r for r in minhash.query(docs).collect()}

@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,17 +26,22 @@ from .common import scratch, stored
 
 SEED = 42
 BITS = 64
+#: Of ``similar``: words of a run, least similarity of a link, bits and number of the fingerprints of a text, rows that a
+#: text meets under one value, and neighbours that are verified for it.
+RUN, LIKE = 5, 0.8
+SHORT, PRINTS = 40, 6
+NEXT, MOST = 3, 16
+ODD = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = SEED, distinct: bool = False) -> int:
-    """Signed 64-bit fingerprint of one text, over its shingles with repeats or over the distinct ones."""
+def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
+    """Signed 64-bit fingerprint of one text, over its shingles with repeats."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return 0
     runs = list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else [b" ".join(w)]
-    runs = list(set(runs)) if distinct else runs
     hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), np.dtype("<u8"), len(runs))
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
@@ -55,9 +61,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"))
 
 
-def ball(radius: int) -> list[int]:
+def ball(radius: int, width: int = BITS) -> list[int]:
     """Signed masks of at most ``radius`` set bits."""
-    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(BITS), n)]
+    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
 
 
@@ -114,32 +120,133 @@ def _grouped(fps: DataFrame, label: DataFrame) -> DataFrame:
     return fps.join(known.join(least, "label").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = 4) -> DataFrame:
-    """(id, node, component) for texts of like words: several fingerprints over the distinct words, with seeds of their own.
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the distinct runs of five words; a shorter text is one run, an empty one has none."""
+    import xxhash
+
+    runs = list(map(b" ".join, zip(*(words[i:] for i in range(RUN)), strict=False))) if len(words) >= RUN else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
+
+
+def sketch(words: list[bytes], runs: np.ndarray) -> list[int]:
+    """Of one text: a hash of its set of runs, PRINTS fingerprints of its distinct words, as many smallest hashes of runs.
+
+    A fingerprint has SHORT bits, and its number above them.
+    """
+    import xxhash
 
-    One fingerprint of 64 bits moves by four bits or so between texts whose five-word shingles have a similarity of 0.8;
-    two texts are linked if any of the fingerprints differs by two bits at most. A node is a distinct set of fingerprints.
+    if not len(runs):
+        return [0, *(i << SHORT for i in range(PRINTS)), *[0] * PRINTS]
+    own = list(set(words))
+    prints, each = [], 128 // SHORT
+    for seed in range(-(-PRINTS // each)):
+        ones = np.zeros(128, np.int64)
+        for i in range(0, len(own), 1 << 14):
+            part = b"".join(map(partial(xxhash.xxh3_128_digest, seed=SEED + seed), own[i : i + (1 << 14)]))
+            ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.uint32)
+        packed = int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
+        prints += [packed >> (128 - SHORT * (i + 1)) & (1 << SHORT) - 1 for i in range(each)]
+    with np.errstate(over="ignore"):
+        least = (runs * ODD[:, None]).min(axis=1) >> np.uint64(33)
+    node = xxhash.xxh64_intdigest(runs.tobytes(), seed=SEED)
+    return [node - (1 << 64) if node >> 63 else node, *(i << SHORT | x for i, x in enumerate(prints[:PRINTS])), *least.tolist()]
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n) with a > b: nodes at most NEXT rows apart under one value, in rows (value, least, node) as they are sorted."""
+
+    def pairs(value: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        a, b = [], []
+        for d in range(1, min(NEXT, len(node) - 1) + 1):
+            at = np.flatnonzero(value[d:] == value[:-d])
+            a.append(np.maximum(node[at], node[at + d]))
+            b.append(np.minimum(node[at], node[at + d]))
+        found = pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+        return pa.RecordBatch.from_pandas(found.groupby(["a", "b"]).size().rename("n").reset_index(), preserve_index=False)
+
+    values, nodes, held = [], [], 0
+    for batch in batches:
+        values.append(batch.column(0).to_numpy())
+        nodes.append(batch.column(2).to_numpy())
+        held += len(batch)
+        if held >= 200_000:
+            value, node = np.concatenate(values), np.concatenate(nodes)
+            yield pairs(value, node)
+            values, nodes, held = [value[-NEXT:]], [node[-NEXT:]], NEXT
+    if values:
+        yield pairs(np.concatenate(values), np.concatenate(nodes))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b) with a > b: for every node its MOST likeliest smaller neighbours, those it meets under most values.
+
+    Texts whose fingerprints share a value of the ball are sorted by the smallest hash of their runs, which is the same in
+    two texts as often as they are similar; each meets its next ones. The sort is by ranges, so a large group is no task's.
+    """
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(1, SHORT)])
+    each = rows.select("node", "fps", "least").distinct().select("node", F.explode(F.arrays_zip("fps", "least")).alias("x"))
+    near = each.select(F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.fps")))).alias("value"), F.col("x.least").alias("least"), "node")
+    near = near.repartitionByRange("value", "least", "node").sortWithinPartitions("value", "least", "node")
+    met = near.mapInArrow(_neighbours, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= MOST).select("a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ``pairs`` of nodes whose sets of runs have a similarity of LIKE or more, counted in full."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # spares shuffling the other texts' runs; the joins decide
+    few = involved.count() <= 4_000_000
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(involved.toPandas()["node"].to_numpy(np.int64)) if few else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        some, seen = wanted.value, set()
+        for batch in batches:
+            nodes, sets = [], []
+            for text in batch.column(0).to_pylist():
+                runs = shingles(_split(text))
+                node = int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes(), seed=SEED)).astype(np.int64)) if len(runs) else 0
+                if node in seen or (some is not None and (not len(some) or some[min(np.searchsorted(some, node), len(some) - 1)] != node)):
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                sets.append(np.unique(runs.astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "runs"])
+
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, runs array<int>").dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= LIKE * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, component): components of texts whose sets of five-word runs have a similarity of LIKE or more.
+
+    Candidates come from ball hashing of several short fingerprints of the distinct words; every link between distinct
+    texts is verified. A node is a distinct set of runs.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[fingerprint(t, 1, SEED + i, True) for i in range(prints)] for t in texts])
+            yield pd.Series([sketch(w, shingles(w)) for w in map(_split, texts)])
 
     of = F.pandas_udf(run, "array<long>")
-    rows = docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fps"))
-    rows = stored(rows.select("id", F.xxhash64("fps").alias("node"), "fps"))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(1)])
-    each = rows.select("node", "fps").distinct().select("node", F.posexplode("fps").alias("seed", "fp"))
-    near = each.select("node", "seed", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("value"))
-    # both fingerprints of a pair are at most one bit from the value that they share, so at most two from each other
-    least = F.min("node").over(Window.partitionBy("value", "seed"))
-    pairs = near.select(F.col("node").alias("a"), least.alias("b")).where("a > b").distinct()
-    return _grouped(rows.select("id", F.col("node").alias("fp")), components(pairs)).withColumnRenamed("fp", "node")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = 4) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("of"))
+    rows = rows.select("id", F.col("of")[0].alias("node"), F.slice("of", 2, PRINTS).alias("fps"), F.slice("of", PRINTS + 2, PRINTS).cast("array<int>").alias("least"))
+    rows = stored(rows)
+    edges = verified(docs, stored(candidates(rows)), text_col)
+    return _grouped(rows.select("id", F.col("node").alias("fp")), components(edges)).withColumnRenamed("fp", "node")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their component of similar texts (or whose component has no id)."""
-    found = similar(docs, id_col, text_col, prints)
+    found = similar(docs, id_col, text_col)
     first = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
     return docs.join(first, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
 
