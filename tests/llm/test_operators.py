@@ -215,6 +215,20 @@ def test_leaks(spark, docs):
     assert decontamination.leaks(empty(docs), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_finds_near_copies(spark):
+    """Copies with one edit at every place, and quotes without their last quarter."""
+    rows, items = [], []
+    for k, n in enumerate((5, 6, 9, 12, 14, 15, 20, 23, 24, 37, 59)):
+        item = [f"q{k}x{i}" for i in range(n)]
+        items.append((k, " ".join(item)))
+        near = [[*item[:i], "edited", *item[i + 1 :]] for i in range(n)] + [item[:i] + item[i + 1 :] for i in range(n)] + [[*item[:i], "added", *item[i:]] for i in range(n)]
+        if n >= 9:
+            near.append(item[: n - n // 4])
+        rows += [(k * 1000 + i, "before it " + " ".join(w) + " and after it") for i, w in enumerate(near)]
+    found = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i // 1000) for i, _ in rows}
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()]

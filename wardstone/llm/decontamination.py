@@ -8,8 +8,9 @@ Search: a text is cut into strides of S words, S at least the longest item; two
 every item that a text quotes lies in one passage whole. For each passage and block the bounds of the passage's words
 are summed (frequent terms by presence, the others over their postings); a block whose bound stays under the threshold
 is skipped, as block-max WAND skips it, and every item of the other blocks is scored exactly. All items at or above the
-threshold are then verified: of the runs of five words of the item's question and of its answer, the passage must hold
-at least ``overlap`` each. Without columns of their own, the answer is the last quarter of the item's words.
+threshold are then verified: of the word runs of the item's question and of its answer, the passage must hold at least
+``overlap`` each; without columns of their own, of the runs of the whole item. A run has five words, in a part of fewer
+than 15 words a third of them (two at least), so that one edit anywhere in five words or more leaves half of the runs.
 
 Results: one row for each (document, item), with the best passage. A null or empty text or item matches nothing.
 Repeated rows give a row each, equal items all match. Terms are runs of letters and digits, lower-cased.
@@ -44,7 +45,7 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def runs(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    n = min(RUN, len(words))
+    n = min(RUN, len(words), max(2, len(words) // 3))
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if n else set()
 
 
@@ -95,10 +96,8 @@ def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None
             if question_col and answer_col:
                 q, a = [terms(t) for t in df["q"]], [terms(t) for t in df["a"]]
             else:
-                w = [terms(t) for t in df["t"]]
-                cut = [len(x) - max(min(RUN, len(x)), len(x) // 4) for x in w]
-                q, a = [x[:c] or x for x, c in zip(w, cut, strict=True)], [x[c:] for x, c in zip(w, cut, strict=True)]
-            words = [x + y if question_col and answer_col else (x + y if x is not y and x != y else x) for x, y in zip(q, a, strict=True)]
+                q = a = [terms(t) for t in df["t"]]  # the item as a whole
+            words = [x if x is y else x + y for x, y in zip(q, a, strict=True)]
             yield pd.DataFrame({"item": df["item"], "question": q, "answer": a, "words": words})
 
     columns = [F.col(id_col).alias("item"), F.col(text_col).alias("t")]
