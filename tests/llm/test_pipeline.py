@@ -4,6 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from wardstone.llm import pieces
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -27,3 +29,12 @@ def test_run(spark, docs):
 def test_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_piece_ids_keeps_both_samples(spark, docs):
+    some = docs.where("n_chars > 20").limit(10)
+    want = {}
+    for r in pieces.segmentations(some, pieces.model_path()).orderBy("sample").collect():
+        want.setdefault(r["doc_id"], []).append(r["ids"])
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.piece_ids(spark, some, DIR).collect()}
+    assert got == want and all(len(x) == 2 for x in got.values())

@@ -360,11 +360,14 @@ def decoded(ids: np.ndarray, lat: Lattices) -> str:
 
 FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 DIGEST = "doc_id long, sample int, n_pieces long, ids_crc32 long, restored boolean, log_prob double, perturbed double, log_inclusion double"
+TOGETHER = "doc_id long, ids array<array<int>>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>"
 
 
-def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: bool = True) -> DataFrame:
-    """k sampled segmentations of every text, as piece ids, or as their digest with the outcome of decoding them. Without
-    ``keep`` a worker takes smaller batches and forgets its lattices after each task, for jobs whose other stages need the memory."""
+def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: bool = True, together: bool = False) -> DataFrame:
+    """k sampled segmentations of every text, as piece ids, or as their digest with the outcome of decoding them; ``together``
+    gives a text one row with all its samples' ids. Without ``keep`` a worker takes smaller batches and forgets its lattices after each task, for jobs whose other stages need the memory."""
+
+    names = DIGEST if digest else TOGETHER if together else FULL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
@@ -374,6 +377,9 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
             keys = _mix(np.array(hashes, np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             out = []
             for doc, text, found in zip(ids, texts, sample(texts, keys, k, lat), strict=True):
+                if together and not digest:
+                    out.append((doc, *([x[c] for x in found] for c in range(4))))
+                    continue
                 raw = text.encode("utf-8", "replace") if digest else b""
                 for n, (pieces, lp, value, score) in enumerate(found):
                     if digest:
@@ -381,9 +387,10 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
                         out.append((doc, n + 1, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), same, lp, value, score))
                     else:
                         out.append((doc, n + 1, pieces, lp, value, score))
-            names = [x.split()[0] for x in (DIGEST if digest else FULL).split(", ")]
             kinds = [pa.int64(), pa.int32()] + ([pa.int64(), pa.int64(), pa.bool_()] if digest else [pa.list_(pa.int32())]) + [pa.float64()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            if together and not digest:
+                kinds = [pa.int64(), pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.float64())] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in names.split(", ")])
 
         for b in batches:
             ids, texts, hashes, size = [], [], [], 0
@@ -401,7 +408,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
             lat.forget()
 
     key = F.xxhash64(F.col(id_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInArrow(run, DIGEST if digest else FULL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInArrow(run, names)
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", name: str = "ids") -> DataFrame:
