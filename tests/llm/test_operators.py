@@ -373,27 +373,117 @@ def test_segmentations(spark, docs, lattices):
 
 
 # --- language model -------------------------------------------------------------------------------------------------
-def test_pitman_yor(docs):
-    rows = pitman_yor.query(docs).collect()
+def plain_tokens(t):
+    return [*(t or "").encode().lower().split(), b""]
+
+
+def base_rows(docs):
     count = collections.Counter()
     for r in docs.collect():
         if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
-            count.update(pitman_yor.tokens(r["text"]))
+            count.update(plain_tokens(r["text"]))
     n, v = sum(count.values()), len(count)
     want = []
     for r in docs.collect():
-        w = pitman_yor.tokens(r["text"])
+        w = plain_tokens(r["text"])
         want.append((r["doc_id"], len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 4)))
-    assert same(want, [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows])
+    return want
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 30_000])
+def test_pitman_yor(docs, shard_bytes):
+    rows = pitman_yor.scores(docs, ~pitman_yor.held_out(), shard_bytes=shard_bytes).collect()
+    assert same(base_rows(docs), [(r["id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows])
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in rows)
     assert pitman_yor.query(empty(docs)).count() == 0
+    assert pitman_yor.query(docs.where("doc_id = 0")).count() == 1
+
+
+def test_tokens_are_words_and_ends():
+    import pyarrow as pa
+
+    texts = ["A b\x0bA", None, "", " \n ", "b", "x" * 3_000_000 + " a", "\u00c4 \u00e4"]
+    hashes, size = pitman_yor.tokens(pa.array(["left out", *texts]).slice(1))
+    words = [w for t in texts for w in plain_tokens(t)]
+    assert size.tolist() == [len(plain_tokens(t)) for t in texts]
+    assert len({(w, h) for w, h in zip(words, hashes.tolist(), strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def seated_one_by_one(train, ask, lower, upper, sweeps, burn_in):
+    """Chinese restaurants with explicit tables: every customer leaves and sits down again, given all others."""
+    import random
+
+    draw = random.Random(3)
+    words = {w for text in train for w in text}
+    base = 1 / (len(words) + 1)
+    own, parent = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+    total = lambda r: (sum(map(sum, r.values())), sum(map(len, r.values())))
+
+    def p1(w):
+        n, t = total(parent)
+        return (sum(parent[w]) - upper * len(parent[w]) + (1 + upper * t) * base) / (1 + n)
+
+    def p2(u, w):
+        n, t = total(own[u])
+        return (sum(own[u][w]) - lower * len(own[u][w]) + (1 + lower * t) * p1(w)) / (1 + n)
+
+    def sit(tables, discount, weight):
+        at = draw.choices(range(len(tables) + 1), [*(x - discount for x in tables), weight])[0]
+        if at < len(tables):
+            tables[at] += 1
+            return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        at = draw.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    customers = [(u, w) for text in train for u, w in zip([b"", *text], text, strict=False)]
+    enter = lambda u, w: sit(own[u][w], lower, (1 + lower * total(own[u])[1]) * p1(w)) and sit(parent[w], upper, (1 + upper * total(parent)[1]) * base)
+    for u, w in customers:
+        enter(u, w)
+    out = collections.Counter()
+    for i in range(sweeps):
+        for u, w in customers:
+            if leave(own[u][w]):
+                leave(parent[w])
+            enter(u, w)
+        if i >= burn_in:
+            for u, w in ask:
+                out[u, w] += p2(u, w) / (sweeps - burn_in)
+    return out
 
 
-def test_restaurants_are_distributions():
-    codes = np.array([5 * 8 + 1, 5 * 8 + 2, 13 * 8 + 1, 0])
-    chain = pitman_yor.chain_of(codes, np.array([10, 3, 7, 1]), 8, [2, 8], 1)
-    for ctx in range(16):
-        assert abs((10 ** chain.log10(ctx * 8 + np.arange(8))).sum() - 1) < 1e-9
+def test_scores_agree_with_customers_seated_one_by_one(spark):
+    texts = ["a b a c a b", "a b b", "c a b a b", "b c", "a b c a", "d a b", "a a a b a b"]
+    d = spark.createDataFrame(list(enumerate([*texts, "a b e a d", "e e"])), "doc_id long, text string")
+    rows = pitman_yor.scores(d, F.col("doc_id") < len(texts), burn_in=20, kept=400).orderBy("id").collect()
+    train = [plain_tokens(t) for t in texts]
+    count = collections.Counter((u, w) for t in train for u, w in zip([b"", *t], t, strict=False))
+    followed = collections.Counter(w for _, w in count)
+    rate = lambda c: min(0.95, max(0.05, (c.count(1)) / max(1, c.count(1) + 2 * c.count(2))))
+    all_pairs = [list(zip([b"", *w], w, strict=False)) for w in map(plain_tokens, [r["text"] for r in d.orderBy("doc_id").collect()])]
+    p = seated_one_by_one(train, {x for t in all_pairs for x in t}, rate(list(count.values())), rate(list(followed.values())), 5000, 500)
+    for r, pairs in zip(rows, all_pairs, strict=True):
+        want = sum(math.log10(p[x]) for x in pairs)
+        assert abs(r["score"] - want) < 0.03 * abs(want), (r, want)
+    words = sorted({w for t in train for w in t} - {b""})
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate([*texts, *[f"a {w.decode()}" for w in words], "a e", "a"])], "doc_id long, text string")
+    found = pitman_yor.scores(asked, F.col("doc_id") < len(texts)).where(F.col("id") >= len(texts)).collect()
+    assert all(math.isfinite(r["score"]) for r in found)
+
+
+def test_tables_follow_their_conditional():
+    rng = np.random.default_rng(5)
+    for c in (2, 3, 6):
+        drawn = pitman_yor.draw_tables(np.full(40_000, c), lambda at, j: np.full(np.broadcast_shapes(at.shape, j.shape), 0.7), 0.4, rng)
+        weight = np.exp(pitman_yor.stirling(0.4)[c, 1 : c + 1]) * 0.7 ** np.arange(c)
+        assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / 40_000 - weight / weight.sum()).max() < 0.01
 
 
 def test_held_out_words_cost_less_than_under_the_base(spark):
