@@ -24,7 +24,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from math import exp, log
 
 import numpy as np
@@ -34,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KNOWN = 100_000  # chunks that a worker remembers
+KNOWN = 300_000  # chunks that a worker remembers
 ROOM = 2_400_000  # arcs for which arrays have room at first
 BATCH_CHARS = 1 << 20
-_CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
+LATIN = 0x250  # code points below are looked up: a chunk ends before a mark after one of these letters
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +51,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def _draw(key: int, sample: int, number: int) -> float:
+    """As ``_unit``, of one number."""
+    x = (key + sample * 0x165667B19E3779F9 + number) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
+
+
 _STEP, _PLACE, _SAMPLE = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -72,15 +79,18 @@ class Lattices:
         self.weight = {i: -log((r + 2) * total) for r, i in enumerate(order)}
         self.vocab = {pieces[i]: i for i in plain}
         self.heads = {p[:k] for p in self.vocab for k in range(1, len(p) + 1)}
-        crossing = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.vocab)
+        self.crossing = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.vocab)
         # a chunk also ends before a mark that no piece holds after a letter
-        marks = "".join(m for m in ".,!?;:#$%&*|\"" if not any(re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in self.vocab))
-        mark = re.escape(marks)
-        parted = re.compile(f"{SPACE}+[^{SPACE}\n{mark}]*[^{SPACE}\n\\W\\d_](?=[{mark}])|{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall if marks else _CHUNKS
-        self.cut = (lambda s: [s] if s else []) if crossing else parted
+        marks = [m for m in ".,!?;:#$%&*|\"" if not any(re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in self.vocab)]
+        self.letter, self.mark = np.zeros((2, LATIN + 1), bool)
+        self.letter[[c for c in range(LATIN) if chr(c).isalpha()]] = True
+        self.mark[[ord(m) for m in marks]] = True
         self.surface = [pieces[i].encode() for i in range(n)]
         for b, i in self.byte.items():
             self.surface[i] = bytes([b])
+        self.surface_size = np.array([len(x) for x in self.surface])
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         self.single = {p for p in self.vocab if len(p) == 1}
         heads = sorted(self.heads, key=lambda p: (len(p), p))
         number = {"": 0} | {p: i + 1 for i, p in enumerate(heads)}
@@ -92,7 +102,8 @@ class Lattices:
         self.forget()
 
     def forget(self) -> None:
-        self.chunks: dict[str, int] = {}
+        self.chunk_hash = np.zeros(0, np.uint64)  # of remembered chunks, sorted, and the first node of each
+        self.chunk_node = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)  # first arc of each node; a node's arcs are those before the next node's
         self.log_p = np.zeros(0)
         self.upto = np.zeros(0)  # running sum of probabilities within the node
@@ -169,7 +180,7 @@ class Lattices:
             new.append(np.array(x))
         return begin
 
-    def _many(self, segments: list[str]) -> None:
+    def _many(self, segments: list[str]) -> list[int]:
         """Appends the lattices of many short segments at once, by steps over all their characters."""
         size = np.array([len(x) for x in segments])
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -216,24 +227,59 @@ class Lattices:
         for new, x in zip(self.new, (first[:-1] + self.arcs, log_p, upto, piece, np.where(last, -1, stop + self.nodes)), strict=True):
             new.append(x)
         begins = self.nodes + np.cumsum(size) - size
-        self.chunks.update(zip(segments, begins.tolist(), strict=True))
         self.nodes += len(codes)
         self.arcs += len(start)
+        return begins.tolist()
+
+    def cut(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where chunks begin in joined texts: at a text, before marks of spaces, around line ends, before marks after letters."""
+        begin = np.zeros(len(codes), bool)
+        begin[edges[:-1][np.diff(edges) > 0]] = True
+        if not self.crossing:
+            gap, line, low = codes == ord(SPACE), codes == 10, np.minimum(codes, LATIN)
+            begin[1:] |= (gap[1:] & ~gap[:-1]) | line[1:] | line[:-1] | (self.mark[low[1:]] & self.letter[low[:-1]])
+        return np.flatnonzero(begin)
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
-        """First nodes of the segments of each normalised text."""
-        if len(self.chunks) > self.known:
+        """First nodes of the segments of each normalised text. Chunks are known by 64-bit hashes of their characters."""
+        if len(self.chunk_hash) > self.known:
             self.forget()
-        cut = [self.cut(t) for t in texts]
-        fresh = list(set(chain.from_iterable(cut)) - self.chunks.keys())
-        if fresh:
-            short = [c for c in fresh if len(c) <= 48 and self.single.issuperset(c)]
-            if short:
-                self._many(short)
-            for c in set(fresh).difference(short):
-                self.chunks[c] = self._segment(c)
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.cumsum([0] + [len(t) for t in texts])
+        begin = self.cut(codes, edges)
+        if not len(begin):
+            return [np.zeros(0, np.int64) for _ in texts]
+        size = np.diff(begin, append=len(codes))
+        place = np.arange(len(codes)) - np.repeat(begin, size)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(size.max()), _STEP))
+            hashes = _mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * power[place], begin) + size.astype(np.uint64))
+        del place
+        own, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(~np.isin(own, self.chunk_hash, assume_unique=True))
+        if len(fresh):
+            chunks = [joined[a : a + n] for a, n in zip(begin[where[fresh]].tolist(), size[where[fresh]].tolist(), strict=True)]
+            short = np.array([len(c) <= 48 and self.single.issuperset(c) for c in chunks])
+            node = np.zeros(len(chunks), np.int64)
+            if short.any():
+                node[short] = self._many([chunks[i] for i in np.flatnonzero(short)])
+            for i in np.flatnonzero(~short):
+                node[i] = self._segment(chunks[i])
             self._keep()
-        return [np.fromiter(map(self.chunks.__getitem__, c), np.int64, len(c)) for c in cut]
+            order = np.argsort(every := np.concatenate([self.chunk_hash, own[fresh]]))
+            self.chunk_hash, self.chunk_node = every[order], np.concatenate([self.chunk_node, node])[order]
+        nodes = self.chunk_node[np.searchsorted(self.chunk_hash, own)][back]
+        return np.split(nodes, np.searchsorted(begin, edges[1:-1]))
+
+    def restores(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the pieces' surfaces, joined, are ``raw``."""
+        size = self.surface_size[ids]
+        total = int(size.sum())
+        if total != len(raw):
+            return False
+        at = np.arange(total) + np.repeat(self.surface_at[ids] - np.cumsum(size) + size, size)
+        return self.surface_bytes[at].tobytes() == raw
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs of one sampled path from every node to its segment's end, one after the other; where each begins."""
@@ -287,11 +333,14 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
             edge = np.concatenate([[0], np.cumsum(size)])
             number = np.arange(edge[-1]) - np.repeat(edge[:-1] - np.array([s for _, _, s, _, _ in todo]), size)
             arcs, where = lat.walk(np.concatenate(nodes), _mix(np.repeat(base, size) + number.astype(np.uint64) * _PLACE))
-            for (i, before, _, _, value), b, e, end in zip(todo, base, edge[:-1], edge[1:], strict=True):
-                path = np.concatenate([before, arcs[where[e] : where[end]]])
-                lp = lat.log_p[path]
+            fresh = lat.log_p[arcs], lat.piece[arcs]
+            bounds = where[edge].tolist()
+            for (i, before, _, _, value), b, e, end in zip(todo, base, bounds[:-1], bounds[1:], strict=True):
+                path, lp, ids = arcs[e:end], fresh[0][e:end], fresh[1][e:end]
+                if len(before):
+                    path, lp, ids = (np.concatenate(x) for x in ((before, path), (lat.log_p[before], lp), (lat.piece[before], ids)))
                 paths[i].append(path)
-                found[i].append([lat.piece[path], float(lp.sum()), float(value), 0.0])
+                found[i].append([ids, float(lp.sum()), float(value), 0.0])
                 # Sibling groups hang off the fresh part of the path only. A group's value exceeds the log of its mass by 37
                 # at most (draws have 52 bits), so once k + 1 values are above that, later places can't be among the best.
                 for reach in (len(before) + 256, len(lp)):
@@ -318,14 +367,16 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
                 value = -value
                 path = paths[i][p]
                 node = int(np.searchsorted(lat.first[: lat.nodes + 1], path[place], side="right")) - 1
-                rest = [a for a in range(lat.first[node], lat.first[node + 1]) if a not in gone]
-                share = np.exp(lat.log_p[rest])
-                u = _unit(np.array([keys[i] + np.uint64(j) * _SAMPLE + np.uint64(7)]))[0]
-                arc = rest[min(int(np.searchsorted(np.cumsum(share), u * share.sum())), len(rest) - 1)]
-                left = share.sum() - share[rest.index(arc)]
+                rest = [a for a in range(int(lat.first[node]), int(lat.first[node + 1])) if a not in gone]
+                share = np.exp(lat.log_p[rest]).tolist()
+                u, at = _draw(int(keys[i]), j, 7) * sum(share), 0
+                while at < len(rest) - 1 and u > share[at]:
+                    u, at = u - share[at], at + 1
+                arc = rest[at]
+                left = sum(share) - share[at]
                 if len(rest) > 1 and left > 0:
                     mass = float(lat.log_p[path[:place]].sum()) + log(left)
-                    draw = -log(_unit(np.array([keys[i] + np.uint64(j) * _SAMPLE + np.uint64(11)]))[0])
+                    draw = -log(_draw(int(keys[i]), j, 11))
                     heapq.heappush(queues[i], (float(np.logaddexp(-value, log(draw) - mass)), p, place, (*gone, arc)))
                 ended = int(np.count_nonzero(lat.next[path[:place]] < 0))  # segments that the shared part has finished
                 todo.append((i, np.append(path[:place], arc), ended + 1, int(lat.next[arc]), value))
@@ -371,7 +422,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
-        lat.known, most = (KNOWN, BATCH_CHARS) if keep else (KNOWN // 3, BATCH_CHARS // 2)
+        lat.known, most = (KNOWN, BATCH_CHARS) if keep else (KNOWN // 9, BATCH_CHARS // 2)
 
         def rows(ids: list, texts: list[str], hashes: list[int]) -> pa.RecordBatch:
             keys = _mix(np.array(hashes, np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -383,8 +434,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 1, id_col
                 raw = text.encode("utf-8", "replace") if digest else b""
                 for n, (pieces, lp, value, score) in enumerate(found):
                     if digest:
-                        same = b"".join(map(lat.surface.__getitem__, pieces.tolist())) == raw
-                        out.append((doc, n + 1, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), same, lp, value, score))
+                        out.append((doc, n + 1, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), lat.restores(pieces, raw), lp, value, score))
                     else:
                         out.append((doc, n + 1, pieces, lp, value, score))
             kinds = [pa.int64(), pa.int32()] + ([pa.int64(), pa.int64(), pa.bool_()] if digest else [pa.list_(pa.int32())]) + [pa.float64()] * 3
