@@ -180,6 +180,59 @@ def test_token_ids(docs, vocabulary):
     assert token_ids.write_and_read(empty(docs), vocabulary).count() == 0
 
 
+def test_token_files_are_read_by_another_process(docs, vocabulary, tmp_path):
+    import subprocess
+    import sys
+
+    folder = str(tmp_path / "tokens")
+    token_ids.write(docs, vocabulary, folder)
+    code = f"""
+import glob
+import numpy as np, pyarrow.parquet as pq
+from wardstone.llm import token_ids
+table = pq.read_table({folder!r} + "/table").to_pylist()[0]
+coder = token_ids.Coder(np.frombuffer(table["shares"], "<u4").astype(np.int64))
+last = None
+for file in sorted(glob.glob({folder!r} + "/blocks/*.parquet")):
+    for row in pq.read_table(file).to_pylist():
+        assert sum(row["lengths"]) == len(coder.decode(row["block"]))
+        for x in row["doc_ids"]:
+            assert last is None or x >= last
+            last = x
+print("read", last)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "read 12" in done.stdout, done.stderr
+    with pytest.raises(Exception, match="table"):
+        row = docs.sparkSession.read.parquet(folder + "/blocks").first()
+        token_ids.Coder(token_ids.shares(np.arange(500))).decode(row["block"])
+
+
+FAR = {"ends": [-(2**63), 2**63 - 1, 5], "two": [0, 10**17], "outlier": [*range(60), 10**15], "equal": [7] * 40}
+
+
+@pytest.mark.parametrize("ids", FAR.values(), ids=FAR)
+def test_far_apart_ids(spark, vocabulary, ids):
+    d = spark.createDataFrame([(i, text(n, 8 + n % 5)) for n, i in enumerate(ids)], "doc_id long, text string")
+    found = {}
+    for r in minhash.with_next(d, "doc_id", ["text"], lambda df: df, rows=4).collect():
+        found.setdefault(r["doc_id"], set()).add(r["next_text"])
+    order = sorted(set(ids), reverse=True)
+    texts = {i: {r["text"] for r in d.where(F.col("doc_id") == i).collect()} for i in order}
+    for i, after in zip(order, [*order[1:], order[0]], strict=True):
+        assert found[i] <= texts[after] | texts[i] and (found[i] <= texts[after] or ids.count(i) > 1)
+    rows = sorted(token_ids.write_and_read(d, vocabulary).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(ids)
+    assert pitman_yor.query(d).count() == len(ids)
+
+
+def test_encoder_equals_library_on_single_characters(vocabulary):
+    e = token_ids.Encoder(vocabulary)
+    for c in [*range(0x250), 0x1680, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x300]:
+        for t in (f"a{chr(c)}b", f"a {chr(c)} b", chr(c), f"don{chr(c)}t 12{chr(c)}3"):
+            assert np.frombuffer(e.ids(t), e.dtype).tolist() == e.whole.encode(t, add_special_tokens=False).ids, (c, t)
+
+
 @pytest.mark.parametrize("t", ["l'été's can't 'there 12³ ½ naïve_x", "İstanbul ΣΑΣ é <|endoftext|>a <|x", "x\x1cy z", "", "\u0085a\u200bb", "Word. word, WORD! a.b"])
 def test_encoder_equals_library(vocabulary, t):
     e = token_ids.Encoder(vocabulary)

@@ -1,7 +1,8 @@
-"""What several operators share: tables, the shared scratch folder and word splitting."""
+"""What several operators share: tables, the shared scratch folder, ranges of ids and word splitting."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session that runs in one process may leave it unnamed."""
     context = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if place is None:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(place)
     return place
@@ -42,6 +47,31 @@ def stored(df: DataFrame, *partition: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+GROUP = 128  # bounds that are compared at once
+
+
+def range_of(df: DataFrame, column: str, rows: int, most: int = GROUP * GROUP) -> tuple[Column, int]:
+    """Number of the range that a whole number falls in, and how many ranges there are: ``most`` at most, of about ``rows``
+    rows each up to that number. Bounds are quantiles of the column, so far-apart values don't make a range large; rows of
+    one value share a range. Nulls are in none."""
+    n = df.where(F.col(column).isNotNull()).count()
+    parts = max(1, min(most, n // rows))
+    bounds: list[int] = []
+    if parts > 1:
+        found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+        bounds = sorted({b for b in found if b > -(1 << 63)})
+    if not bounds:
+        return F.when(F.col(column).isNotNull(), 0), 1
+    array = lambda values: f"array({','.join(values)})"
+    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
+    first = F.expr(array(f"{g[0]}L" for g in groups))
+    rest = F.expr(array(array(f"{b}L" for b in g) for g in groups))
+    below = lambda values: F.size(F.filter(values, lambda b: b <= F.col(column)))
+    group = below(first)
+    inside = F.when(group == 0, 0).otherwise((group - 1) * GROUP + below(F.get(rest, group - 1)))
+    return F.when(F.col(column).isNotNull(), inside), len(bounds) + 1
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z become a-z; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

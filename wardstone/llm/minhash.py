@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE
+from .common import SPACE, range_of
 
 BINS = 256
 WORDS = 5
@@ -78,26 +78,18 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], derive: Callable
     """``derive(docs)`` with ``next_<column>``: its value in the row with the next smaller id; the smallest id's next is
     the largest. ``derive`` adds columns row by row.
 
-    Ids are cut into ranges of about ``rows`` ids, one window partition each; the last row of a range is also dealt to
-    the range after it, so the table is never ordered as a whole. Rows with a null id have no next.
+    Ids are cut into ranges of about ``rows`` ids by their quantiles, one window partition each; the last row of a range is
+    also dealt to the range after it, so the table is never ordered as a whole. Rows with a null id have no next; among
+    rows of one id the order is that of their first column's hash.
     """
     known = docs.where(F.col(id_col).isNotNull())
-    low, high, n = known.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    width = max(1, (high - low + 1) * rows // n) if n else 1
-    block = F.floor((F.col(id_col) - F.lit(low or 0)) / width)
+    block, _ = range_of(known, id_col, rows)
     ends = known.groupBy(block.alias("__block")).agg(F.max(id_col).alias("__end"))
-    ends = ends.withColumn("__run", F.floor(F.col("__block") / 4096))
-    # the range after each range: within runs of ranges by a window, between runs by the runs' first ranges
-    inner, outer = Window.partitionBy("__run").orderBy("__block"), Window.orderBy("__run")
-    runs = ends.groupBy("__run").agg(F.min("__block").alias("__first"))
-    runs = runs.select("__run", F.coalesce(F.lead("__first").over(outer), F.first("__first").over(outer)).alias("__wrap"))
-    links = ends.withColumn("__to", F.lead("__block").over(inner)).join(runs, "__run")
-    links = links.select("__end", F.coalesce("__to", "__wrap").alias("__block"))
-    # about n / rows links of two numbers: broadcast while their number is known to be small, else joined by shuffle
-    few = n // rows <= 100_000
-    tails = known.join(F.broadcast(links) if few else links, F.col(id_col) == F.col("__end")).select(*docs.columns, "__block", F.lit(True).alias("__copy"))
+    order = Window.orderBy("__block")  # as many rows as ranges, a bounded number
+    links = ends.select("__end", F.coalesce(F.lead("__block").over(order), F.first("__block").over(order)).alias("__block"))
+    tails = known.join(F.broadcast(links), F.col(id_col) == F.col("__end")).select(*docs.columns, "__block", F.lit(True).alias("__copy"))
     dealt = derive(known.select(*docs.columns, block.alias("__block"), F.lit(False).alias("__copy")).union(tails))
-    order = Window.partitionBy("__block").orderBy(F.desc("__copy"), F.col(id_col))
+    order = Window.partitionBy("__block").orderBy(F.desc("__copy"), F.col(id_col), F.xxhash64(columns[0]))
     found = dealt.select("*", *[F.lag(c).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("__copy")).drop("__block", "__copy")
     alone = derive(docs.where(F.col(id_col).isNull()))
     return found.union(alone.select("*", *[F.lit(None).cast(alone.schema[c].dataType).alias(f"next_{c}") for c in columns]))

@@ -3,40 +3,45 @@
 1. Every text is tokenized whole and an end id is appended; ids are kept as little-endian integers.
 2. Counts of all ids (at most one row for each id of the vocabulary) become the shared frequency table; each id of the
    vocabulary has a share of at least one, so any block can be coded.
-3. Documents are dealt by ranges of doc_id (shards) and sorted within; each shard is written as blocks of whole documents.
-4. Blocks are read back and decoded, each on its own. A document's place among all ids comes from running totals of the shards.
+3. Documents are parted by ranges of doc_id whose bounds Spark samples, and sorted within; each range (shard) is one file
+   of blocks of whole documents, files in ascending order.
+4. The files are read back and decoded, each block on its own. A document's place among all ids comes from running totals of
+   the shards.
 
 A block is self-describing: header, checkpoints, coded words. Token t belongs to lane t mod lanes; a checkpoint holds all
 lane states and the word offset at a step, so parts of a block can be decoded in parallel. CRC32 sums cover the stored
-bytes and the decoded ids.
+bytes and the decoded ids. The frequency table lies beside the blocks, with its own CRC32, which each block's header
+repeats: the folder is all that a reader needs.
 
 The blocks are rows of a Parquet table in the shared folder: Spark's writer commits them, so lost executors and repeated
 tasks leave no half-written block.
 
 A null text counts as empty (the end id alone). Null doc_ids come before all others; repeated doc_ids keep a row each, in
-the order of their ids' bytes. Other columns are ignored. An empty table gives no blocks and no rows.
+the order of a hash of their ids. Other columns are ignored. An empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import scratch, stored
 
 SCALE = 20
 LANES = 1024
 STEPS = 256  # between checkpoints
 BLOCK = 1 << 19  # tokens, at which a block is closed after a whole document
-HEADER = struct.Struct("<4sHHIIIII")
-MAGIC = b"WRN1"
+HEADER = struct.Struct("<4sHHIIIIII")
+MAGIC = b"WRN2"
 CHUNKS, PIECES = 350_000, 800_000  # that a worker remembers
 _LOW = np.uint64(1 << 31)
 
@@ -63,6 +68,7 @@ class Encoder:
         # outside: what the fast way leaves to the library: marks, other scripts, U+0130 and the start of special tokens
         self.other = regex.compile(r"[^\x00-įı-ɏ]|<\|").search
         self.separators = regex.compile(r"[\x1c-\x1f]").search
+        self.control = regex.compile(r"[\x00-\x08\x0e-\x1b\x7f]").search
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.size = self.whole.get_vocab_size()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
@@ -78,7 +84,7 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and self.other(chunk) or "<|" in chunk:
+        if not chunk.isascii() and self.other(chunk) or "<|" in chunk or self.control(chunk):
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         if chunk.isalpha():  # a run of letters, perhaps with one mark after it: what the pattern would find
             return self._piece(chunk.lower())
@@ -150,6 +156,7 @@ class Coder:
     def __init__(self, share: np.ndarray, scale: int = SCALE):
         self.scale = np.uint64(scale)
         self.share = share.astype(np.uint64)
+        self.crc = zlib.crc32(share.astype("<u4").tobytes())
         self.start = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.uint64)
         self.limit = self.share << np.uint64(63 - scale)
         self.symbol = np.repeat(np.arange(len(share), dtype=np.uint32), share)
@@ -176,14 +183,14 @@ class Coder:
                 marks.append((words, x.copy()))
         payload = b"".join(w.tobytes() for w in reversed(out))
         body = b"".join(struct.pack("<I", words - w) + state.astype("<u8").tobytes() for w, state in reversed(marks)) + payload
-        return HEADER.pack(MAGIC, int(self.scale), lanes, n, steps, len(marks), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
+        return HEADER.pack(MAGIC, int(self.scale), lanes, n, steps, len(marks), self.crc, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
     def decode(self, block: bytes, first_mark: int = 0, marks: int | None = None) -> np.ndarray:
         """All ids of a block, or those from one checkpoint over ``marks`` of them."""
-        magic, scale, lanes, n, steps, n_marks, crc, ids_crc = HEADER.unpack_from(block)
+        magic, scale, lanes, n, steps, n_marks, table, crc, ids_crc = HEADER.unpack_from(block)
         body = memoryview(block)[HEADER.size :]
-        if magic != MAGIC or scale != self.scale or zlib.crc32(body) != crc:
-            raise ValueError("the block is damaged or of another format")
+        if magic != MAGIC or scale != self.scale or table != self.crc or zlib.crc32(body) != crc:
+            raise ValueError("the block is damaged, of another format or of another table")
         size = 4 + 8 * lanes
         words = np.frombuffer(body, "<u4", offset=n_marks * size)
         rounds = -(-n // lanes)
@@ -214,16 +221,14 @@ class Coder:
 BLOCKS = "shard long, number int, start long, doc_ids array<long>, lengths array<int>, block binary"
 
 
-def write_blocks(tokens: DataFrame, share: np.ndarray, dtype: np.dtype, rows: int = 2000) -> DataFrame:
-    """Blocks of all documents, by shard and in ascending id within; written to the shared folder."""
-    low, high, n = tokens.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    width = max(1, (high - low + 1) * rows // n) if n else 1
-    shard = F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    table = tokens.sparkSession.sparkContext.broadcast(share)  # bounded: one number for each id of the vocabulary
+def write_blocks(tokens: DataFrame, share: np.ndarray, dtype: np.dtype, folder: str, parts: int = 1) -> None:
+    """Writes ``folder``/blocks, all documents in ascending id over files and within, and ``folder``/table."""
+    session = tokens.sparkSession
+    table = session.sparkContext.broadcast(share)  # bounded: one number for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table.value)
-        at, number, start = None, 0, 0
+        at, number, start = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         docs: list[int | None] = []
 
@@ -241,20 +246,22 @@ def write_blocks(tokens: DataFrame, share: np.ndarray, dtype: np.dtype, rows: in
 
         size = 0
         for b in batches:
-            for s, doc, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if ids and (s != at or size >= BLOCK * dtype.itemsize):
+            for doc, x in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                if ids and size >= BLOCK * dtype.itemsize:
                     yield flush()
                     size = 0
-                if s != at:
-                    at, number, start = s, 0, 0
                 ids.append(x)
                 docs.append(doc)
                 size += len(x)
         if ids:
             yield flush()
 
-    dealt = tokens.select(shard.alias("shard"), "id", "ids").repartition("shard").sortWithinPartitions("shard", "id", "ids")
-    return stored(dealt.mapInArrow(run, BLOCKS))
+    order = ["id", "tie"]
+    dealt = tokens.select("id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
+    dealt.select("id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    stored = share.astype("<u4").tobytes()
+    row = session.range(1).select(F.lit(SCALE).alias("scale"), F.lit(zlib.crc32(stored)).cast("long").alias("crc32"), F.lit(bytearray(stored)).alias("shares"))
+    row.write.parquet(f"{folder}/table")
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
@@ -267,9 +274,18 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
     return sums.withColumn("inside", before).join(runs, "run").select("shard", (F.col("inside") + F.col("earlier")).alias("before"))
 
 
-def read_blocks(blocks: DataFrame, share: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from decoded blocks."""
-    table = blocks.sparkSession.sparkContext.broadcast(share)
+def read_table(spark: SparkSession, folder: str) -> np.ndarray:
+    """The shares of a folder of blocks."""
+    row = spark.read.parquet(f"{folder}/table").first()
+    if row["scale"] != SCALE or zlib.crc32(row["shares"]) != row["crc32"]:
+        raise ValueError("the frequency table is damaged or of another format")
+    return np.frombuffer(row["shares"], "<u4").astype(np.int64)
+
+
+def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded blocks of ``folder``."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    table = spark.sparkContext.broadcast(read_table(spark, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table.value)
@@ -285,14 +301,20 @@ def read_blocks(blocks: DataFrame, share: np.ndarray) -> DataFrame:
     return rows.join(shard_starts(blocks), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_and_read(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> None:
+    """Tokenizes all documents and writes them to ``folder``."""
     e = encoder(path)
     tokens = stored(tokenize(docs, path, end_id))
     found = count_ids(tokens, e.dtype).toPandas()
     counts = np.zeros(e.size, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    share = shares(counts)
-    return read_blocks(write_blocks(tokens, share, e.dtype), share)
+    write_blocks(tokens, shares(counts), e.dtype, folder, max(1, -(-int(counts.sum()) // (4 * BLOCK))))
+
+
+def write_and_read(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+    folder = f"{scratch(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    write(docs, path, folder, end_id)
+    return read_blocks(docs.sparkSession, folder)
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
