@@ -26,11 +26,9 @@ from .common import scratch, stored
 
 SEED = 42
 BITS = 64
-#: Of ``similar``: words of a run, least similarity of a link, bits and number of the fingerprints of a text, rows that a
-#: text meets under one value, and neighbours that are verified for it.
+#: Of ``similar``: words of a run, least similarity of a link, bits and number of the fingerprints of a text.
 RUN, LIKE = 5, 0.8
 SHORT, PRINTS = 40, 6
-NEXT, MOST = 3, 16
 ODD = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,7 +82,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, label): the smallest member of each connected component, for every member but that one.
 
     Alternating large-star and small-star contraction: each round is joins and sums over edges, the number of rounds
@@ -93,7 +91,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     scratch(edges.sparkSession)
     edges = edges.select("a", "b").checkpoint()
     seen = None
-    for _ in range(rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.withColumnRenamed("b", "label")
@@ -104,7 +102,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = small.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -113,11 +110,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(fps, components(links(fps, radius)))
 
 
+SALTS = 16  # parts of a component with many fingerprints
+
+
 def _grouped(fps: DataFrame, label: DataFrame) -> DataFrame:
     known = fps.groupBy("fp").agg(F.min("id").alias("first")).join(label, F.col("fp") == F.col("a"), "left")
-    known = known.select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = known.groupBy("label").agg(F.min("first").alias("component"))
-    return fps.join(known.join(least, "label").select("fp", "component"), "fp").select("id", "fp", "component")
+    known = known.select("fp", "first", F.coalesce("label", "fp").alias("label"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    least = known.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = least.select("label", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = known.join(least, ["label", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component"))
+    return fps.join(known, "fp").select("id", "fp", "component")
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -157,43 +159,38 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n) with a > b: nodes at most NEXT rows apart under one value, in rows (value, least, node) as they are sorted."""
+    """(a, b) with a > b: nodes that follow one another under one value, in rows (value, least, node) as they are sorted."""
 
     def pairs(value: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        for d in range(1, min(NEXT, len(node) - 1) + 1):
-            at = np.flatnonzero(value[d:] == value[:-d])
-            a.append(np.maximum(node[at], node[at + d]))
-            b.append(np.minimum(node[at], node[at + d]))
-        found = pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
-        return pa.RecordBatch.from_pandas(found.groupby(["a", "b"]).size().rename("n").reset_index(), preserve_index=False)
+        at = np.flatnonzero((value[1:] == value[:-1]) & (node[1:] != node[:-1]))
+        found = pd.DataFrame({"a": np.maximum(node[at], node[at + 1]), "b": np.minimum(node[at], node[at + 1])})
+        return pa.RecordBatch.from_pandas(found.drop_duplicates(), preserve_index=False)
 
     values, nodes, held = [], [], 0
     for batch in batches:
         values.append(batch.column(0).to_numpy())
         nodes.append(batch.column(2).to_numpy())
         held += len(batch)
-        if held >= 200_000:
+        if held >= 500_000:
             value, node = np.concatenate(values), np.concatenate(nodes)
             yield pairs(value, node)
-            values, nodes, held = [value[-NEXT:]], [node[-NEXT:]], NEXT
+            values, nodes, held = [value[-1:]], [node[-1:]], 1
     if values:
         yield pairs(np.concatenate(values), np.concatenate(nodes))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) with a > b: for every node its MOST likeliest smaller neighbours, those it meets under most values.
+    """(a, b) with a > b: texts that follow one another under a value of the ball of one of their fingerprints.
 
-    Texts whose fingerprints share a value of the ball are sorted by the smallest hash of their runs, which is the same in
-    two texts as often as they are similar; each meets its next ones. The sort is by ranges, so a large group is no task's.
+    Texts whose fingerprints share a value are sorted by the smallest hash of their runs, one for each fingerprint, which is
+    the same in two texts as often as they are similar; each meets the one after it, so a group of n texts gives n pairs
+    for each value. The sort is by ranges, so a large group is no task's.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in ball(1, SHORT)])
     each = rows.select("node", "fps", "least").distinct().select("node", F.explode(F.arrays_zip("fps", "least")).alias("x"))
     near = each.select(F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.fps")))).alias("value"), F.col("x.least").alias("least"), "node")
     near = near.repartitionByRange("value", "least", "node").sortWithinPartitions("value", "least", "node")
-    met = near.mapInArrow(_neighbours, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= MOST).select("a", "b")
+    return near.mapInArrow(_neighbours, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
