@@ -43,11 +43,20 @@ def test_ticks(rocks, tmp_path):
 
 def test_alerts(rocks, tmp_path):
     r = decide.decided(RUNS.df(rocks, DIR)).where("device_id < 20").select("device_id", "id", "ts", "decision")
-    got = streamed(rocks, r, "ts", tmp_path, lambda s: live.live_alerts(s, 86400))
-    batch = ticks.alert_edges(r, open_for=86400).select("device_id", "id")
+    closes = r.where("id % 5 = 0").select("device_id", F.col("ts") + F.expr("interval 1 second"))
+    closes = closes.toDF("device_id", "ts")
+    rows = r.withColumn("closed", F.lit(False)).unionByName(closes.withColumn("closed", F.lit(True)), allowMissingColumns=True)
+    got = streamed(rocks, rows, "ts", tmp_path, live.live_alerts)
+    batch = ticks.alert_edges(r, closes).select("device_id", "id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_alert_needs_a_closed_intercept(spark):
+    runs = spark.createDataFrame([(1, 1, 10, "hate"), (1, 2, 20, "hate"), (1, 3, 40, "not_hate"), (1, 4, 50, "hate"), (1, 5, 90, "hate"), (2, 6, 5, "hate")], "device_id long, id long, ts long, decision string")
+    closes = spark.createDataFrame([(1, 30), (1, 60), (1, 70)], "device_id long, ts long")
+    assert sorted(r["id"] for r in ticks.alert_edges(runs, closes).collect()) == [1, 4, 5, 6]
+
+
 def test_dialogue(rocks, tmp_path):
     t = TURNS.df(rocks, DIR).where("session_id < 30")
     starts = t.groupBy("session_id").agg(F.lit(-1).cast("long").alias("turn")).select("session_id", "turn", F.lit("").alias("child_response"), F.lit(True).alias("start"))
@@ -66,4 +75,4 @@ def test_cascade_is_persisted(spark, tmp_path):
     stream = live.cascade(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.foreachBatch(live.persist_batches(str(tmp_path / "runs"), 25, pruned.append)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 40 and pruned == [0]
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 40 and pruned == [40]

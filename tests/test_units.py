@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstone.functions import text as T
-from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, store, vision
+from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rules, scoring, store, vision
 from wardstone.operators.rules import RULES
 from wardstone.sources import readers
 
@@ -35,15 +35,15 @@ def test_despaced_view_adds_no_hit_by_accident(spark):
 
 
 def test_spelled_out_words_hit(spark):
-    df = spark.createDataFrame([(1, "you are an i d i o t"), (2, "you are an IDIOOOT"), (3, None), (4, ""), (5, "nice game"), (6, "k1ll y0urself")], "id long, text string")
+    df = spark.createDataFrame([(1, "you are an i d i o t"), (2, "you are an IDIOOOT"), (3, None), (4, ""), (5, "nice game"), (6, "h0pe you d1e")], "id long, text string")
     rows = {r["id"]: r for r in lexicon.screen(df).collect()}
-    assert rows[1]["hits"] == ["bullying:idiot"] and rows[2]["hits"] == ["bullying:idiot"]
+    assert rows[1]["hits"] == ["bullying/idiot"] and rows[2]["hits"] == ["bullying/idiot"]
     assert [rows[i]["lexicon_score"] for i in (1, 3, 4, 5, 6)] == [0.58, 0.05, 0.05, 0.18, 0.88]
     assert rows[6]["category"] == "threat" and rows[5]["in_game"]
 
 
 def test_condemnation_is_framed_unless_it_isolates(spark):
-    df = spark.createDataFrame([("never call her that",), ("don't tell your parents",), ("stop posting that, it is bullying",)], "t string")
+    df = spark.createDataFrame([("never call her that",), ("don't tell a teacher",), ("stop posting that, this is cruel",)], "t string")
     got = [r["s"] for r in df.select(lexicon.framing(F.col("t")).alias("s")).collect()]
     assert got == [["condemnation"], [], ["condemnation"]]
 
@@ -121,6 +121,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"sessions": [{"session_id": "s1", "age": 9, "turns": [{"turn": 1, "reply": "x"}]}]}))
     (tmp_path / "broken.json").write_text("{")
     assert [r["session_id"] for r in readers.history(spark, str(tmp_path / "*.json")).collect()] == ["s1"]
+    sessions = spark.createDataFrame([("a", 9), ("b", 10)], "session_id string, age int")
+    readers.write_history(sessions, str(tmp_path / "w"))
+    assert {(r["session_id"], r["age"]) for r in readers.history(spark, str(tmp_path / "w"), lines=True).collect()} == {("a", 9), ("b", 10)}
     built = []
     make = lambda: built.append(1) or spark.range(5)
     assert readers.cached(spark, str(tmp_path / "t"), 5, make).count() == readers.cached(spark, str(tmp_path / "t"), 5, make).count() == 5 and len(built) == 1
@@ -159,3 +162,34 @@ def test_split_is_60_20_20(spark, n):
     rows = spark.range(n).select(T.content_split(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("s")).groupBy("s").count().collect()
     share = {r["s"]: r["count"] / n for r in rows}
     assert abs(share["train"] - 0.6) < 0.04 and abs(share["dev"] - 0.2) < 0.04
+
+
+def test_labels_beside_the_category_map(spark):
+    cases = {"hateful": 0.9, "offensive": 0.9, "LABEL-1": 0.9, "clean": 0.1, "label_0": 0.1, "other": None}
+    for label, want in cases.items():
+        labels = F.array(F.struct(T.label_key(F.lit(label)).alias("label"), F.lit(0.9).alias("score")))
+        assert one(spark, scoring.harm(labels)) == want, label
+
+
+def test_rules_come_from_a_table(spark):
+    rows = [("b", "family", "see you (?:later|soon)", "mid", "threat", False, 2), ("a", "literal", "red card", "high", "bullying", False, 1)]
+    own = rules.from_table(spark.createDataFrame(rows, "rule_id string, kind string, pattern string, band string, category string, gaming_sensitive boolean, ord int"))
+    df = spark.createDataFrame([(1, "Red  caaaard, see you soon"), (2, "an idiot")], "id long, text string")
+    got = {r["id"]: (r["hits"], r["category"]) for r in lexicon.screen(df, rules=own).collect()}
+    assert got == {1: (["a", "b"], "bullying"), 2: ([], "none")}
+
+
+def test_own_families(spark):
+    hits = {"i will find and hurt you": "threat/announced-harm", "i know your address": "threat/warning", "you are really so dumb": "bullying/put-down", "send me a photo of you": "sexual/asks-for-pictures", "these people are like rats": "identity/called-animals", "immigrants should go home": "identity/shut-out", "you have no friends": "bullying/shut-out"}
+    rows = lexicon.screen(spark.createDataFrame([(t,) for t in hits], "text string")).collect()
+    assert {r["text"]: r["hits"] for r in rows} == {t: [h] for t, h in hits.items()}
+
+
+def test_media_flags(spark):
+    for title, want in {"Movie - VLC": (True, False), "Battle": (False, True), "mail": (False, False), "Match of the day": (True, True)}.items():
+        assert tuple(one(spark, evidence.media_flags(F.lit(title))))[:2] == want
+
+
+def test_probes_are_admitted(spark):
+    m = spark.createDataFrame([("a", True, [1.0]), ("b", False, [1.0]), ("c", True, []), ("d", True, None)], "kind string, meets_bar boolean, coef array<double>")
+    assert [r["kind"] for r in vision.admitted(m).collect()] == ["a"] and vision.admitted(m, False).count() == 0

@@ -13,8 +13,7 @@ VIEW_BREAK = "\n\u0001\n"
 
 def normalize(text: Column) -> Column:
     """Lower case, stand-ins to letters, all but letters, digits and apostrophes to single spaces."""
-    folded = F.translate(F.lower(text), *LEET)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^a-z0-9\s']", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), *LEET), r"[^a-z0-9']+", " "))
 
 
 def collapse_runs(text: Column, keep: int) -> Column:
@@ -34,7 +33,9 @@ def views(base: Column) -> Column:
 
 
 def view_text(base: Column) -> Column:
-    return F.concat_ws(VIEW_BREAK, views(base))
+    """All views in one text. Most texts hold neither a run nor spaced letters and are their only view."""
+    several = base.rlike(r"(.)\1\1") | base.rlike(r"\b[a-z] [a-z] [a-z]\b")
+    return F.when(several, F.concat_ws(VIEW_BREAK, views(base))).otherwise(base)
 
 
 def squeeze(text: Column) -> Column:

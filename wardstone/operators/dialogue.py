@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-AGREED = ("ok", "okay", "yes", "agree", "promise", "deal")
+#: Words of agreement.
+AGREED = ("agree", "ok", "yes", "deal", "sure", "close", "i'll", "let's", "fine")
 PHASES = ("Acknowledge", "Reason", "Contract")
 CLOSING = "We have talked this through. Thank you for your honesty."
 #: (phase, young, agreed): wording of replies.

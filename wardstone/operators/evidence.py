@@ -138,11 +138,16 @@ def process_flags(processes: DataFrame, most: int = 40) -> DataFrame:
     return rows.orderBy(F.desc("is_anomaly"), F.desc("is_browser"), "pid").limit(most)
 
 
-def media_flags(title: Column) -> Column:
-    """Whether a window's title says that something plays, or fills the screen."""
+#: Words of a window's title that tell of a film, and of one that fills the screen.
+PLAYING = ["youtube", "netflix", "video", "vlc", "play", "movie", "combat", "match", "mp4"]
+FULLSCREEN = ["combat", "match", "battle", "fullscreen"]
+
+
+def media_flags(title: Column, playing: list[str] = PLAYING, fullscreen: list[str] = FULLSCREEN) -> Column:
+    """Whether a window's title says that something plays, or fills the screen; a blank title has none."""
     t = F.lower(F.coalesce(title, F.lit("")))
     has = lambda words: F.exists(F.lit(words), lambda w: F.contains(t, w))
-    return F.struct(has(["playing", "youtube", "netflix", "twitch", "click"]).alias("playing"), has(["fullscreen", "full screen", "purchase"]).alias("fullscreen"), F.when(F.trim(t) == "", "no active media").otherwise(title).alias("title"))
+    return F.struct(has(playing).alias("playing"), has(fullscreen).alias("fullscreen"), F.when(F.trim(t) == "", "no active media").otherwise(title).alias("title"))
 
 
 def frame_log(events: DataFrame, key: str, order: str, most: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, r4, view_text
-from .rules import FRAMING, GAMING, RULES, Rule, pattern_of
+from .rules import FRAMING, GAMING, RULES, Rule, any_of, pattern_of
 
 FRAMED_CAP = 0.50
 
@@ -19,7 +19,7 @@ def gaming(base: Column) -> Column:
 
 def rule_hits(views: Column, in_game: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Ids of the rules that match any view, in the order of the table. One pass over an alternation comes first."""
-    any_rule = views.rlike("|".join(f"(?:{pattern_of(r)})" for r in rules))
+    any_rule = views.rlike(any_of(rules))
     each = [F.when(views.rlike(pattern_of(r)) & (~in_game if r.gaming_sensitive else F.lit(True)), F.lit(r.rule_id)) for r in rules]
     return F.when(any_rule, F.array_compact(F.array(*each))).otherwise(F.array().cast("array<string>"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r4
 from .decide import mapped
-from .rules import GENERIC, LABEL_CATEGORY, SAFE
+from .rules import GENERIC, HARMFUL, LABEL_CATEGORY, SAFE
 
 MODEL_SKIP, GAME_CAP, MODEL_CATEGORY = 0.88, 0.30, 0.55
 
@@ -36,7 +36,7 @@ def worst_window(df: DataFrame, key: str, number: str, score: Column) -> DataFra
 
 def harm(labels: Column) -> Column:
     """The largest harmful score, else what the safe labels leave, else null."""
-    bad = F.array_max(F.transform(F.filter(labels, lambda x: x["label"].isin(list(LABEL_CATEGORY))), lambda x: x["score"]))
+    bad = F.array_max(F.transform(F.filter(labels, lambda x: x["label"].isin(HARMFUL)), lambda x: x["score"]))
     good = F.array_max(F.transform(F.filter(labels, lambda x: x["label"].isin(SAFE)), lambda x: x["score"]))
     return r4(F.coalesce(bad, 1 - good))
 

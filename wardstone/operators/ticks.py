@@ -47,12 +47,12 @@ def newest(ticks: DataFrame, most: int = 30, device: str = "device_id", seq: str
     return ticks.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def alert_edges(runs: DataFrame, device: str = "device_id", ts: str = "ts", open_for: int = 600) -> DataFrame:
-    """Rows that raise an alert: a new hate run while no intercept of the device is open."""
-    hate = runs.where(F.col("decision") == "hate")
-    before = F.lag(ts).over(Window.partitionBy(device).orderBy(ts, "id"))
-    return hate.withColumn("__before", before).where(F.col("__before").isNull() | (F.unix_timestamp(ts) - F.unix_timestamp("__before") > open_for)).drop("__before")
-
-
-def failure_count(col: Column) -> Column:
-    return F.least(F.lit(15), 2 * col)
+def alert_edges(runs: DataFrame, closes: DataFrame, device: str = "device_id", ts: str = "ts") -> DataFrame:
+    """Runs that raise an alert: the first hate run of a device, and the first one after each close of the intercept that
+    the alert before it opened. ``closes`` is (device, ts); a close counts before runs of its own time. Each run has one row."""
+    hate = runs.where(F.col("decision") == "hate").withColumn("__close", F.lit(0))
+    both = hate.unionByName(closes.select(device, ts).withColumn("__close", F.lit(1)), allowMissingColumns=True)
+    seen = F.sum("__close").over(Window.partitionBy(device).orderBy(ts, F.desc("__close"), "id"))
+    first = F.row_number().over(Window.partitionBy(device, "__open").orderBy(ts, "id"))
+    found = both.withColumn("__open", seen).where("__close = 0").withColumn("__first", first)
+    return found.where("__first = 1").select(*runs.columns)

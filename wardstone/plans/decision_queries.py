@@ -255,4 +255,4 @@ def frame_log(spark, d):
 @query("select event_id, event_type = 'click' as playing, event_type = 'purchase' as fullscreen, case when event_id % 9 = 0 then 'no active media' else event_type end as title from (select event_id, case when event_id % 9 = 0 then '' else event_type end as event_type from events)")
 def title_flags(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.col("event_type")).alias("t"))
-    return e.select("event_id", E.media_flags(F.col("t")).alias("m")).select("event_id", "m.*")
+    return e.select("event_id", E.media_flags(F.col("t"), ["click"], ["purchase"]).alias("m")).select("event_id", "m.*")

@@ -35,14 +35,15 @@ def parquet_corpus(spark: SparkSession, paths: str | Sequence[str], wanted: Sequ
     return out if limit is None else out.limit(limit)
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """Sessions of JSON documents; broken documents have none."""
-    docs = spark.read.schema(HISTORY).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Sessions of JSON documents, a file or (``lines``) a line each; broken documents have none."""
+    docs = spark.read.schema(HISTORY).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return docs.select(F.explode("sessions").alias("s")).select("s.*")
 
 
 def write_history(sessions: DataFrame, path: str) -> None:
-    sessions.groupBy().agg(F.collect_list(F.struct("*")).alias("sessions")).write.mode("overwrite").json(path)
+    """A document for each session, a line each, so that no task gathers them."""
+    sessions.select(F.array(F.struct("*")).alias("sessions")).write.mode("overwrite").json(path)
 
 
 def corpora(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
@@ -66,26 +66,21 @@ class Ticks(StatefulProcessor):
 
 
 class Alerts(StatefulProcessor):
-    """New hate runs of a device while no intercept is open."""
-
-    def __init__(self, open_for: int = 600):
-        self.open_for = open_for
+    """New hate runs of a device while no intercept is open. An alert opens one; rows with ``closed`` close it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _state("id long, at double"))
+        self.last = handle.getValueState("last", _state("id long, open boolean"))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get() if self.last.exists() else None
+        last, is_open = self.last.get() if self.last.exists() else (None, False)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "id"]).itertuples():
-            at = r.ts.timestamp()
-            if r.decision != "hate" or last and r.id == last[0]:
-                continue
-            if last is None or at - last[1] > self.open_for:
-                out.append((key[0], int(r.id)))
-            last = (int(r.id), at)
-        if last:
-            self.last.update(last)
+        for r in pd.concat(list(rows)).assign(later=lambda d: ~d["closed"]).sort_values(["ts", "later", "id"]).itertuples():
+            if r.closed:
+                is_open = False
+            elif r.decision == "hate" and not is_open and r.id != last:
+                last, is_open = int(r.id), True
+                out.append((key[0], last))
+        self.last.update((last, is_open))
         yield pd.DataFrame(out, columns=["device_id", "id"])
 
     def close(self) -> None:
@@ -129,8 +124,9 @@ def live_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("device_id").transformWithStateInPandas(Ticks(), TICK_OUT, "Append", "None")
 
 
-def live_alerts(runs: DataFrame, open_for: int = 600) -> DataFrame:
-    return runs.groupBy("device_id").transformWithStateInPandas(Alerts(open_for), "device_id long, id long", "Append", "None")
+def live_alerts(runs: DataFrame) -> DataFrame:
+    """Alerts of rows (device_id, id, ts, decision, closed)."""
+    return runs.groupBy("device_id").transformWithStateInPandas(Alerts(), "device_id long, id long", "Append", "None")
 
 
 def live_dialogue(turns: DataFrame, words: tuple[str, ...] = AGREED) -> DataFrame:
@@ -144,11 +140,17 @@ def cascade(ticks: DataFrame) -> DataFrame:
 
 
 def persist_batches(path: str, prune_every: int = 25, prune: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends each batch of decided rows to the table, and prunes now and then."""
+    """For foreachBatch: appends each batch of decided rows to the table, and prunes after every so many rows. Calls
+    ``prune`` with the number of rows that were written since the query began."""
+    written = 0
 
     def write(batch: DataFrame, number: int) -> None:
-        store.append_runs(batch.select("id", "ts", "device_id", "decision", "category", F.col("risk").alias("score"), "child_age", "app_exe"), path)
-        if prune and number % prune_every == 0:
-            prune(number)
+        nonlocal written
+        rows = Observation()
+        counted = batch.observe(rows, F.count("*").alias("n"))
+        store.append_runs(counted.select("id", "ts", "device_id", "decision", "category", F.col("risk").alias("score"), "child_age", "app_exe"), path)
+        before, written = written, written + rows.get["n"]
+        if prune and written // prune_every > before // prune_every:
+            prune(written)
 
     return write
