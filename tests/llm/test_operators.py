@@ -137,7 +137,7 @@ def test_minhash_estimates_similarity(spark):
 def test_language_filters(spark, docs):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de")] * 20)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    f = langid.learn(train, least=1e-4)
+    f = langid.learn(train)
     assert langid.judge(["the garden", "der haus", None, "", "123 !!", "zzzz"], f)[0] == ["en", "de", "und", "und", "und", f.languages[f.usual]]
     assert langid.judge(["the garden"] * 3, f)[1][0] == langid.judge(["the garden"], f)[1][0]
     out = langid.predict(docs, f)
@@ -146,6 +146,33 @@ def test_language_filters(spark, docs):
     assert langid.judge(["the"], none) == (["und"], [0.0]) and langid.predict(empty(docs), none).count() == 0
 
 
+def plain_grams(t):
+    fold = [c.lower() if len(c.lower()) == 1 else c for c in t]
+    letters = [c if c.isalpha() else "" for c in fold]
+    at = lambda i: letters[i] if 0 <= i < len(letters) else ""
+    return [(at(i - 1), at(i), at(i + 1), at(i + 2) if at(i + 1) else "") for i in range(len(letters)) if letters[i]]
+
+
+def test_languages_are_counted_as_by_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r["doc_id"]: r for r in d.collect()}
+    sets = collections.defaultdict(set)
+    for i, r in rows.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and r["lang"] is not None and r["text"]:
+            sets[r["lang"]].update(plain_grams(r["text"]))
+    found = {r["doc_id"]: r for r in langid.query(d).collect()}
+    same_, right, held = 0, 0, 0
+    for i, r in rows.items():
+        grams = plain_grams(r["text"] or "")
+        hits = {k: sum(g in v for g in grams) for k, v in sorted(sets.items())}
+        best = max(sorted(hits), key=lambda k: hits[k]) if grams else "und"
+        same_ += found[i]["lang_pred"] == best
+        if found[i]["held_out"] and r["lang"] is not None and grams:
+            held, right = held + 1, right + (found[i]["lang_pred"] == r["lang"])
+    assert same_ >= 0.98 * len(rows) and right >= 0.97 * held, (same_, len(rows), right, held)
+    assert len(found) == len(rows)
+
+
 def test_filters_have_no_false_negatives():
     grams = np.arange(5000, dtype=np.uint64) * np.uint64(977)
     bits = np.zeros(1 << 14, bool)

@@ -1,15 +1,16 @@
 """Language ID by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds, for each of ``slots`` positions, one bit for every language. A letter trigram's masks
-at its ``hashes`` positions, ANDed, give all languages whose set contains the trigram. A text's hits for each language
-are counted, corrected for that filter's false positives, and the language with the largest corrected count wins.
+A bit-sliced Bloom filter holds, for each of its positions, one bit for every language. An n-gram's masks at its ``hashes``
+positions, ANDed, give all languages whose training texts contain the n-gram anywhere. A text's hits for each language are
+counted, corrected for that language's false positives, and the language with the largest corrected count wins. There is
+an n-gram for every letter: the letter, the one before it and the two after it, 0 beyond the word's edges.
 
-A language's set holds the trigrams whose rate within the language is at least ``least`` and at least ``share`` of the
-largest rate among the languages; the first rule bounds every set by ``1 / least`` trigrams, whatever the input.
-Counts cover all training rows. Ties go to the language that sorts first.
+The filter has eight positions for each n-gram of the largest set, ``slots`` at the most, a parameter that bounds what is
+broadcast; beyond it filters are fuller and their false positives, which are measured, more. Sets cover all training rows.
+Ties go to the language that sorts first. The ``most`` languages with most rows are learned.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text when nothing could be learned. A text
-whose trigrams are in no set gets the language with most training rows, with score 0. Rows with a null language teach
+whose n-grams are in no set gets the language with most training rows, with score 0. Rows with a null language teach
 nothing; repeated rows count as often as they occur; other columns are ignored.
 """
 
@@ -55,11 +56,16 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _folded()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)], at
 
 
-def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams around a letter (0 for a word's edge) and the place of each."""
-    a, b, c = (codes[i : len(codes) - 2 + i].astype(np.uint64) for i in range(3))
-    at = np.flatnonzero(b)
-    return (a[at] << np.uint64(42)) | (b[at] << np.uint64(21)) | c[at], at
+def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams around a letter and the place of each; no n-gram looks past a word's end."""
+    codes = np.append(codes, np.zeros(1, codes.dtype))
+    at = np.flatnonzero(codes)
+    a, b, c, d = (codes[at + i].astype(np.uint64) for i in (-1, 0, 1, 2))
+    with np.errstate(over="ignore"):
+        x = ((a << np.uint64(42)) | (b << np.uint64(21)) | c) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+        x = (x + np.where(c > 0, d, np.uint64(0))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32)), at
 
 
 def _slots(grams: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
@@ -82,61 +88,52 @@ def _batches(texts: list[str], others: list | None = None) -> Iterator[tuple[lis
             start, size = i + 1, 0
 
 
-def counts(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all rows with a language; summed within each task before the shuffle."""
+def members(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, gram) of all rows with a language; made distinct within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keys, back = np.unique(grams, return_inverse=True)
-            return keys, np.bincount(back, n, len(keys)).astype(np.int64)
-
+        kept: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             rows: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.setdefault(lang, []).append(text)
             for lang, texts in rows.items():
                 for part, _ in _batches(texts):
-                    grams, n = np.unique(_trigrams(_codes(part)[0])[0], return_counts=True)
-                    kept.setdefault(lang, []).append((grams, n))
+                    kept.setdefault(lang, []).append(np.unique(_grams(_codes(part)[0])[0]))
                     if len(kept[lang]) > 16:
-                        kept[lang] = [merged(kept[lang])]
+                        kept[lang] = [np.unique(np.concatenate(kept[lang]))]
         for lang, parts in kept.items():
-            grams, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            grams = np.unique(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64))], ["lang", "gram"])
 
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram long").distinct()
 
 
-def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", *, least: float = 4e-6, share: float = 0.25, slots: int = 1 << 20, hashes: int = 3) -> Filters:
-    """Filters from all rows of ``train``. What reaches the driver is bounded by the parameters: one row for each
-    language, and at most ``slots`` rows of masks."""
+def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", *, slots: int = 1 << 22, hashes: int = 3, most: int = 4096) -> Filters:
+    """Filters from all rows of ``train``. What reaches the driver is bounded by the parameters: a row for each of ``most``
+    languages, and at most ``slots`` rows of masks for 64 languages."""
     from .common import stored
 
-    usual = {r["lang"]: r["n"] for r in train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    rows = train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    usual = {r["lang"]: r["n"] for r in rows.orderBy(F.desc("n"), "lang").limit(most).collect()}
     languages = sorted(usual)
     width = max(1, -(-len(languages) // 64))
-    masks = np.zeros((slots, width), np.uint64)
     if not languages:
-        return Filters([], masks, np.zeros(0), hashes, 0)
-    grams = stored(counts(train, text_col, lang_col))
-    total = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    size = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, float(v))]) if total else F.create_map(F.lit(""), F.lit(1.0))
+        return Filters([], np.zeros((1, width), np.uint64), np.zeros(0), hashes, 0)
+    sets = stored(members(train, text_col, lang_col))
+    largest = sets.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    slots = min(slots, 1 << max(10, int(8 * largest - 1).bit_length()))
+    masks = np.zeros((slots, width), np.uint64)
     place = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
-    rates = grams.select("gram", place[F.col("lang")].alias("place"), (F.col("n") / size[F.col("lang")]).alias("rate")).where(F.col("rate") >= least)
-    most = rates.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("place", "rate")).alias("all"))
-    member = F.expr(f"transform(filter(all, x -> x.rate >= {share} * most), x -> x.place)")
+    sets = sets.select("gram", place[F.col("lang")].alias("place")).where("place is not null")
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = np.asarray(b.column(0)).astype(np.uint64)
+            grams = np.asarray(b.column(0)).view(np.uint64)
             for at in _slots(grams, hashes, slots):
                 yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1), b.column(2)], ["slot", "word", "mask"])
 
-    sets = most.select("gram", F.explode(member).alias("place"))
     bits = sets.groupBy("gram", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("mask"))
     found = bits.mapInArrow(positions, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     if len(found):
@@ -147,18 +144,18 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", *, l
 
 def judge(texts: list[str | None], f: Filters) -> tuple[list[str], list[float]]:
     """Language and score of each text. The score is the winner's share of the corrected counts, times the share of
-    the text's trigrams that it explains."""
+    the text's n-grams that it explains."""
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     rows = [i for i, t in enumerate(texts) if t]
     if not f.languages or not rows:
         return lang, score
     for part, where in _batches([texts[i] for i in rows], rows):
         codes, starts = _codes(part)
-        grams, at = _trigrams(codes)
+        grams, at = _grams(codes)
         mask = np.full((len(grams), f.masks.shape[1]), ~np.uint64(0))
         for slot in _slots(grams, f.hashes, len(f.masks)):
             mask &= f.masks[slot]
-        cut = np.searchsorted(at, starts)  # a text's trigrams centre on its own letters
+        cut = np.searchsorted(at, starts)  # a text's n-grams belong to its own letters
         n = np.diff(cut)
         hits = np.zeros((len(part), len(f.languages)))
         for i in range(len(f.languages)):
