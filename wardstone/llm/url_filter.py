@@ -2,15 +2,15 @@
 
 The list holds canonical URLs (host, then path) and rules (a host with all its subdomains, and the start of a path).
 Every key of the list sets bits in one block of a blocked Bloom filter: a row of eight 32-bit words chosen by the key's
-hash. A URL looks up the keys that could fit it: its canonical URL, and every suffix of its host with every start of its path
-whose length some rule has. Keys that the filter lets pass go on to a hash join with the list itself, which removes the
+hash. A URL looks up the keys that could fit it: its canonical URL, and the suffixes of its host with the starts of its path
+whose numbers of labels and of characters some rule has. Keys that the filter lets pass go on to a hash join with the list itself, which removes the
 false positives. The longest fitting rule decides; without one, a listed canonical URL is blocked, anything else allowed.
 
-The filter is at most ``blocks`` rows, a parameter; it is broadcast while it is under a checked size, else joined on its
-block by a shuffle. The list is joined by shuffle or broadcast as its size has it. A hot key of many URLs is one row of the
+The filter has a block for every eight keys (256 bits); it is broadcast while it is under a checked size, else joined on
+its block by a shuffle. The list is joined by shuffle or broadcast as its size has it. A hot key of many URLs is one row of the
 list, and URLs that pass the filter are made distinct by key first, so no key gathers all its URLs.
 
-A null URL, or one without "://", has an empty host and path and fits nothing. A null page id is kept. Repeated rows keep
+A null URL, or one without "://", has an empty host and path and fits nothing; such rows take no part in the joins. A null page id is kept. Repeated rows keep
 a row each. Other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from .common import lower_ascii
 
 WORDS = 8
 BROADCAST_ROWS = 1 << 17  # of 72 bytes
+KEYS = 8  # of a block
 SEPARATOR = "\x01"  # between host and path in keys of rules: rules and canonical URLs never meet
 
 
@@ -60,7 +61,7 @@ def possible(candidates: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
     return named.join(side, "block").where(hit).select(*candidates.columns)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", blocks: int = 1 << 16) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict). ``rules`` are (host, start of path, verdict); ``listed`` is (canonical)."""
     session = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
@@ -69,16 +70,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     table_of = session.range(1).select(F.explode(F.array(*[F.struct(F.lit(h + SEPARATOR + p).alias("key"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")) for h, p, v in rules])).alias("r")).select("r.*") if rules else session.range(0).select(F.lit("").alias("key"), F.lit("").alias("rule"), F.lit("").alias("verdict"))
     canonical = listed.select(F.col("canonical").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")).distinct()
     keys = table_of.union(canonical)
+    blocks = 1 << max(0, (max(1, keys.count()) // KEYS).bit_length())
     bloom = build_filter(keys, blocks)
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    deep = sorted({h.count(".") + 1 for h, _, _ in rules})
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in deep])) if deep else F.array().cast("array<string>")
     starts = F.array_distinct(F.filter(F.array(*[F.left(F.col("path"), F.lit(n)) for n in sorted({len(p) for _, p, _ in rules})]) if rules else F.array().cast("array<string>"), lambda p: p.isNotNull()))
     looked = F.concat(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, F.lit(SEPARATOR), p)))), F.array(F.concat("host", "path")))
     candidates = urls.select("host", "path", F.explode(F.array_distinct(looked)).alias("key"))
     hits = possible(candidates, bloom, blocks).join(keys, "key").select("host", "path", "rule", "verdict")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("n"), "rule", "verdict")).alias("best"))
-    found = rows.join(best, ["host", "path"], "left")
-    return found.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    found = rows.where("host != ''").join(best, ["host", "path"], "left")
+    found = found.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return found.union(rows.where("host = ''").select("id", "host", "path", F.lit(None).cast("string"), F.lit("allow")))
 
 
 #: Rules of the query: host, start of the path, verdict.
