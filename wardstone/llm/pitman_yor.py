@@ -47,8 +47,8 @@ CONTEXT = np.uint64((1 << 48) - 1)
 EXACT = 1024  # customers of a dish whose tables are drawn from the full conditional
 STRENGTH = 1.0
 BURN_IN, KEPT = 4, 4
-FLUSH = 2_000_000  # tokens of a block
-SHARD_BYTES = 20 << 20  # of text for each shard
+FLUSH = 1_500_000  # tokens of a block
+SHARD_BYTES = 16 << 20  # of text for each shard
 SLICE = 1 << 20  # bytes that are hashed at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -178,8 +178,9 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held
-            token, size, train = np.concatenate(parts), np.concatenate(sizes), np.concatenate(flags)
-            word, iw = np.unique(token, return_inverse=True)
+            size, train = np.concatenate(sizes), np.concatenate(flags)
+            word, iw = np.unique(np.concatenate(parts), return_inverse=True)
+            parts.clear()
             iu = np.concatenate([[np.searchsorted(word, END)], iw[:-1]])  # every text ends with END, which stands before the next
             doc = np.repeat(np.arange(len(size)), size)
             head = np.zeros((len(size), 3))
@@ -188,6 +189,7 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                 iw, iu = iw[of], iu[of]
             k = len(word)
             key = (lay.shard(word, iw, iu) * k + iw) * k + iu
+            del iw, iu
             if counting:
                 keys, n = np.unique(key, return_counts=True)
                 m, where = n, np.zeros(0, np.uint16)
@@ -197,6 +199,7 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 keys, m = key[first], np.diff(np.append(first, len(key)))
                 where = doc[order]
+                del key, order, doc
                 n = np.add.reduceat(train[where], first)
                 hot = _find(lay.pairs, pair_hash(word[keys // k % k], word[keys % k] & CONTEXT))
                 if (hot >= 0).any():  # scored here
@@ -220,7 +223,7 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                 for column, x in zip(rows, row, strict=True):
                     column.append(x)
             number, held = number + 1, 0
-            for x in (parts, sizes, flags, ids):
+            for x in (sizes, flags, ids):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
