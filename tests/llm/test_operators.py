@@ -348,6 +348,60 @@ def test_personal_data(spark, docs):
 
 
 # --- URL filter -----------------------------------------------------------------------------------------------------
+def test_added_spans(spark):
+    texts = ["call 555-123-4567 today", "mail a.b (at) example (dot) com or x.y@example.com", "ssn 123-45-6789, no ssn here", 'token = "abc123def456"', "section 555-123-4567-9", "a.b@c.de phone +1 555 123 4567"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.query(d).collect()}
+    found = [[(k, texts[i][int(a) : int(b)]) for k, a, b in (s.split(":") for s in rows[i].split(",") if s)] for i in range(len(texts))]
+    assert found[0] == [("phone", "555-123-4567")] and found[2] == [("ssn", "123-45-6789")]
+    assert found[1] == [("email", "a.b (at) example (dot) com"), ("email", "x.y@example.com")]
+    assert found[3][0][0] == "secret" and found[4] == []
+    assert found[5] == [("email", "a.b@c.de"), ("phone", "+1 555 123 4567")]
+
+
+def test_reliabilities_are_found_by_expectation_maximisation():
+    import random
+
+    draw, counts = random.Random(4), collections.Counter()
+    for _ in range(20_000):
+        real = draw.random() < 0.6
+        votes = ""
+        for yes, no in ((0.95, 0.1), (0.8, 0.05), (0.7, 0.3), (0.6, 0.2)):
+            votes += "0" if draw.random() < 0.2 else "+" if draw.random() < (yes if real else no) else "-"
+        counts[0, votes] += 1
+    model, real = pii._estimate(dict(counts), rounds=300)
+    assert abs(model.prior[0] - 0.6) < 0.05
+    for name, (yes, no) in zip(pii.LABELERS, ((0.95, 0.1), (0.8, 0.05), (0.7, 0.3), (0.6, 0.2)), strict=True):
+        assert abs(model.worth[name, "+"][0] - yes) < 0.06 and abs(model.worth[name, "+"][1] - no) < 0.06, name
+    for (kind, votes), p in real.items():  # the posterior is Bayes' rule
+        odds = model.prior[kind] / (1 - model.prior[kind])
+        for name, v in zip(pii.LABELERS, votes, strict=True):
+            odds *= model.worth[name, v][0] / model.worth[name, v][1] if v != "0" else 1
+        assert abs(p - odds / (1 + odds)) < 0.02
+
+
+def test_many_spans_in_one_text(spark):
+    n = 3000
+    d = spark.createDataFrame([(1, "é me@x.com " * n), (2, "a@b.c " * 65 + "end"), (3, "no")], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in pii.query(d).collect()}
+    assert r[1]["n_email"] == n and r[1]["spans"].endswith(f"email:{11 * n - 9}:{11 * n - 1}")
+    m = {x["doc_id"]: x["text"] for x in pii.masked(d, pii.train(pii.candidates(d))).collect()}
+    assert m == {1: "é <email> " * n, 2: "<email> " * 65 + "end", 3: "no"}
+
+
+def test_running(spark):
+    rows = [(list(range(k)),) for k in (0, 1, 255, 256, 257, 1000)]
+    out = spark.createDataFrame(rows, "v array<int>").select("v", pii.running(F.col("v"), 0, lambda a, b: a + b).alias("s")).collect()
+    assert all(r["s"] == [sum(r["v"][:i]) for i in range(len(r["v"]))] for r in out)
+
+
+def test_long_hosts_and_repeated_pages(spark):
+    long = "http://" + "a." * 100_000 + "org/es/x"
+    pages = spark.createDataFrame([(None, "http://x.com/en/"), (1, long), (1, long), (2, None), (2, "http://" + "b" * 300_000), (3, "x:///p")], "page_id long, url string")
+    rows = [(r["page_id"], r["path"], r["rule"], r["verdict"]) for r in url_filter.query(pages).collect()]
+    assert sorted(rows, key=str) == sorted([(None, "/en/", "com/en/", "block"), (1, "/es/x", "org/es/", "block"), (1, "/es/x", "org/es/", "block"), (2, "", None, "allow"), (2, "", None, "allow"), (3, "/p", None, "allow")], key=str)
+
+
 def test_urls(spark):
     urls = ["https://A.Example.com/en/7x?q", "http://x.net/de/81", "http://example.net/de/8#f", "http://b.org/fr/", "ftp://h.io/p", None, "no scheme", "http://notcom/en/", "http://h.io/p?z=1", "x://"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")

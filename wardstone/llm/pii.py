@@ -18,6 +18,7 @@ are ignored. Patterns take time in proportion to the text, also for long runs of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +41,8 @@ PATTERNS: dict[str, tuple[str, bool, str, str]] = {
     "ssn": ("ssn", False, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 }
 #: Gazetteer: endings of domains and names of credentials.
-ENDINGS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info"]
-CREDENTIALS = ["token", "password", "passwd", "secret", "api_key", "apikey", "AKIA"]
+ENDINGS = "com org net edu gov mil int info biz name pro io co ai app dev me tv cloud online site xyz eu uk de fr es it nl be at ch pl pt se no dk fi ie cz sk hu ro bg gr hr si lt lv ee lu mt cy is li ru ua tr us ca mx br ar cl pe au nz jp kr cn tw hk sg in id th vn ph my za ng ke eg il sa ae".split()
+CREDENTIALS = "token password passwd pwd passphrase secret client_secret api_key apikey api-key access_key private_key auth bearer credential AKIA".split()
 #: Words that announce a span, and words that announce a number of another sort.
 FOR = r"(?i)(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|ip|address|host|card|visa|account|iban|ssn|login|user|token|key|password)\W{0,3}$"
 AGAINST = r"(?i)(?:version|v|section|release|isbn|figure|table|page|no|chapter)\W{0,2}$"
@@ -84,23 +85,46 @@ def _holds(name: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+RUN = 256  # values of an array that are accumulated one by one
+
+
+def running(values: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of all values before each one. An array that grows by one value is copied each time, so runs of
+    values are accumulated first, then the runs' totals: the time stays near the number of values."""
+    add = lambda total: lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), total(x))))
+    begin = F.array(F.lit(zero))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(RUN))
+    inner = F.transform(starts, lambda b: F.aggregate(F.slice(values, b, RUN), begin, add(lambda x: x)))
+
+    def outer(runs: Column) -> Column:
+        totals = F.aggregate(runs, begin, add(lambda x: F.element_at(x, -1)))
+        return _let(totals, lambda t: F.flatten(F.transform(runs, lambda r, i: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: join(F.get(t, i), x)))))
+
+    return _let(inner, outer)
+
+
 def _found(name: str, text: Column) -> Column:
     """Candidates of one pattern as structs, in order of place; empty where the text can't match."""
     kind, strict, pattern, need = PATTERNS[name]
     hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(parts, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<struct<start:int,stop:int,value:string,left:string>>").alias("out"))
-
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        stop = start + F.coalesce(F.length(x["h"]), F.lit(0))
-        left = F.right(F.concat(acc["before"], x["p"]), F.lit(CONTEXT))
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["h"].alias("value"), left.alias("left")))
-        return F.struct(stop.alias("at"), F.right(F.coalesce(x["h"], F.lit("")), F.lit(CONTEXT)).alias("before"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    placed = F.aggregate(lengths, begin, place, lambda acc: acc["out"])
-    after = F.transform(parts, lambda p: F.left(p, F.lit(1)))
-    full = F.transform(placed, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.lit(strict) & _holds(name, x["value"])).alias("base"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), x["left"].alias("left"), F.get(after, i + 1).alias("right"), _holds(name, x["value"]).alias("holds")))
+
+    def placed(h: Column, p: Column) -> Column:
+        ahead = running(F.zip_with(p, h, lambda x, y: F.length(x) + F.coalesce(F.length(y), F.lit(0))), 0, lambda a, b: a + b)
+
+        def one(value: Column, i: Column, at: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(p, i))
+            left = F.right(F.concat(F.when(i > 0, F.right(F.get(h, i - 1), F.lit(CONTEXT))).otherwise(""), F.get(p, i)), F.lit(CONTEXT))
+            right, holds = F.left(F.get(p, i + 1), F.lit(1)), _holds(name, value)
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.lit(strict) & holds).alias("base"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), left.alias("left"), right.alias("right"), holds.alias("holds"))
+
+        return _let(ahead, lambda at: F.transform(h, lambda value, i: one(value, i, at)))
+
+    full = _let(hits, lambda h: _let(parts, lambda p: placed(h, p)))
     can = {"": F.lit(True)}.get(need, F.contains(text, F.lit(need))) & text.rlike(pattern)
     return F.when(can, full).otherwise(F.array().cast(CANDIDATE))
 
@@ -149,7 +173,6 @@ def _features(x: Column) -> Column:
 class Model:
     prior: dict[int, float] = field(default_factory=dict)  # share of real spans by kind
     worth: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)  # labeler, vote: rates in real and other spans
-    bias: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
 
 
@@ -192,24 +215,39 @@ def train(found: DataFrame, name: str = "candidates") -> Model:
         p = real[r["kind"], r["votes"]]
         yes[r["feature"]] = yes.get(r["feature"], 0.0) + r["n"] * p
         no[r["feature"]] = no.get(r["feature"], 0.0) + r["n"] * (1 - p)
-    all_yes = sum(n * real[k] for k, n in counts.items()) + 1
-    all_no = sum(n * (1 - real[k]) for k, n in counts.items()) + 1
-    m.bias = math.log(all_yes / all_no)
-    m.weights = {f: math.log((yes[f] + 0.5) / (all_yes + 1)) - math.log((no[f] + 0.5) / (all_no + 1)) for f in yes}
+    for k in m.prior:  # a feature's rates are those among spans of its kind; the kind itself has the prior odds
+        all_yes, all_no = (sum(n * (real[key] if y else 1 - real[key]) for key, n in counts.items() if key[0] == k) for y in (True, False))
+        for f in (f for f in yes if f.startswith(f"{k}|")):
+            m.weights[f] = math.log((yes[f] + 0.5) / (all_yes + 1)) - math.log((no[f] + 0.5) / (all_no + 1))
+        m.weights[f"{k}|kind|"] = math.log((all_yes + 1) / (all_no + 1))
     return m
 
 
 def spans(found: Column, m: Model) -> Column:
     """All spans of a row as (kind, start, stop, base), by kind and place: strict ones, and those the classifier adds."""
     table = F.create_map(*[F.lit(v) for kv in m.weights.items() for v in kv]) if m.weights else F.create_map(F.lit(""), F.lit(0.0))
-    score = lambda x: F.aggregate(_features(x), F.lit(float(m.bias)), lambda s, f: s + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+    score = lambda x: F.aggregate(_features(x), F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
     base = F.filter(found, lambda x: x["base"])
-    free = lambda x: ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
-    added = F.filter(found, lambda x: ~x["base"] & x["holds"] & free(x) & (score(x) > 0))
+    loose = F.filter(found, lambda x: ~x["base"] & x["holds"] & (score(x) > 0))
+
+    def free(some: Column) -> Column:
+        """Of all spans by place, the loose ones that no strict one overlaps, before (by its end) or after (by its start)."""
+        stops = F.transform(some, lambda x: F.when(x["base"], x["stop"]).otherwise(0))
+        starts = F.transform(F.reverse(some), lambda x: F.when(x["base"], -x["start"]).otherwise(-END))
+
+        def kept(before: Column, after: Column) -> Column:
+            n = F.size(some)
+            return F.filter(some, lambda x, i: ~x["base"] & (F.get(before, i) <= x["start"]) & (-F.get(after, n - 1 - i) >= x["stop"]))
+
+        return _let(running(stops, 0, F.greatest), lambda s: _let(running(starts, -END, F.greatest), lambda t: kept(s, t)))
+
+    placed = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), x["base"].alias("base"))
+    added = _let(loose, lambda some: F.when((F.size(some) == 0) | (F.size(base) == 0), F.transform(some, placed)).otherwise(_let(F.sort_array(F.transform(F.concat(base, some), placed)), free)))
     short = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["base"].alias("base"))
-    return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(F.array_sort(F.transform(F.concat(base, added), short)).cast(SPANS))
+    return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(F.array_sort(F.concat(F.transform(base, short), F.transform(added, short))).cast(SPANS))
 
 
+END = 2**31 - 2  # beyond any text
 SPANS = "array<struct<kind:int,start:int,stop:int,base:boolean>>"
 
 
@@ -227,13 +265,17 @@ def masked(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     keep = docs.columns
     text = F.col(text_col)
     rows = candidates(docs, text_col, "__c").withColumn("__s", F.array_sort(spans(F.col("__c"), m), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"])))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    all_, last = F.col("__s"), F.array_max(F.transform("__s", lambda s: s["stop"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), named(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def joined(cut: Callable[[Column, Column], Column]) -> Column:
+        """Pieces of text between the spans and the spans' kinds; a span whose start another one covers adds nothing."""
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(cut(at + 1, s["start"] - at), F.lit("<"), named(s["kind"]), F.lit(">"))).otherwise("")
+        pieces = _let(running(F.transform(all_, lambda s: s["stop"]), 0, F.greatest), lambda at: F.transform(all_, lambda s, i: piece(s, F.get(at, i))))
+        return F.concat(F.array_join(pieces, ""), cut(last + 1, F.length(text) - last))
 
-    new = F.aggregate("__s", begin, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    # a place in a text is found by walking there, so texts of many spans are cut into an array of characters once
+    by_place = lambda chars: joined(lambda at, n: F.array_join(F.slice(chars, at, F.greatest(n, F.lit(0))), ""))
+    new = F.when(F.size(all_) <= 64, joined(lambda at, n: text.substr(at, n))).otherwise(_let(F.split(text, ""), by_place))
     return rows.withColumn(text_col, F.when(F.size("__s") > 0, new).otherwise(text)).select(*keep)
 
 
