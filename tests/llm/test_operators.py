@@ -146,6 +146,45 @@ def test_language_filters(spark, docs):
     assert langid.judge(["the"], none) == (["und"], [0.0]) and langid.predict(empty(docs), none).count() == 0
 
 
+def test_leaks_agree_with_bm25_of_all_pairs(spark):
+    import random
+
+    draw = random.Random(2)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [[draw.choice(vocab) for _ in range(n)] for n in (6, 9, 12, 14, 20, 33, 40, 150, 9, 12, 25, 18)] + [vocab[:20]] * 2
+    texts = []
+    for i in range(60):
+        body = [draw.choice(vocab) for _ in range(draw.randint(0, 300))]
+        for item in draw.sample(items, draw.randint(0, 2)):
+            cut = draw.randint(0, len(body))
+            copy = [w if draw.random() > 0.06 * (i % 4) else draw.choice(vocab) for w in item]
+            body = body[:cut] + copy + body[cut:]
+        texts.append(body)
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = collections.Counter(t for item in items for t in set(item))
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    weight = [{t: idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(item) / mean)) for t, c in collections.Counter(item).items()} for item in items]
+    want = {}
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            s = 64
+            while s < len(item):
+                s *= 2
+            k = min(5, len(item), max(2, len(item) // 3))
+            own = {tuple(item[j : j + k]) for j in range(len(item) - k + 1)}
+            for first in range(0, max(1, len(words)), s):
+                passage = words[first : first + 2 * s]
+                score = sum(v for t, v in weight[i].items() if t in passage) / sum(weight[i].values())
+                held = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
+                if score >= 0.5 and len(own & held) >= 0.5 * len(own):
+                    want[d, i] = max(want.get((d, i), 0), score)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for postings in (2_000_000, 40):  # one part for each length, and several
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leaks(docs, table, postings=postings).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and len(want) > 20
+
+
 def plain_grams(t):
     fold = [c.lower() if len(c.lower()) == 1 else c for c in t]
     letters = [c if c.isalpha() else "" for c in fold]

@@ -4,23 +4,28 @@ Index: items' terms with BM25 impacts, each divided by the item's score against
 one threshold serves all items. Items are cut into blocks; a term's largest impact in a block bounds what the term adds
 to any item there.
 
-Search: a text is cut into strides of S words, S at least the longest item; two neighbouring strides are a passage, so
-every item that a text quotes lies in one passage whole. For each passage and block the bounds of the passage's words
-are summed (frequent terms by presence, the others over their postings); a block whose bound stays under the threshold
-is skipped, as block-max WAND skips it, and every item of the other blocks is scored exactly. All items at or above the
-threshold are then verified: of the word runs of the item's question and of its answer, the passage must hold at least
-``overlap`` each; without columns of their own, of the runs of the whole item. A run has five words, in a part of fewer
-than 15 words a third of them (two at least), so that one edit anywhere in five words or more leaves half of the runs.
+Search: a text is cut into strides of S words; two neighbouring strides are a passage, so every item of at most S words that
+a text quotes lies in one passage whole. First the bounds of a passage's words are summed for all blocks at once (frequent
+terms by presence, the others over their postings); a passage none of whose blocks reaches the threshold is done. Any
+other passage is searched by block-max WAND: postings in the order of items, a pivot by the terms' largest impacts, a check
+of the blocks' bounds at the pivot, and skips past blocks that can't reach the threshold; items that may are scored
+exactly. All items at or above the threshold are then verified: of the word runs of the item's question and of its
+answer, the passage must hold at least ``overlap`` each; without columns of their own, of the runs of the whole item. A run
+has five words, in a part of fewer than 15 words a third of them (two at least), so that one edit anywhere in five words
+or more leaves half of the runs.
 
 Results: one row for each (document, item), with the best passage. A null or empty text or item matches nothing.
 Repeated rows give a row each, equal items all match. Terms are runs of letters and digits, lower-cased.
 
-The index reaches tasks in parts of at most ``postings`` postings (items are dealt to parts), one pass over the
-documents for each part; statistics are those of all items, so parts change no result.
+Items are dealt to parts by length, doubling from ``stride`` words on, so S and with it an item's passages depend on the
+item's own length only; and further by number, so that a part has at most ``postings`` postings. The driver holds one part at
+a time: it broadcasts the part, lets it be searched in one pass over the documents and forgets it. Statistics are those of
+all items, so parts change no result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -82,14 +87,64 @@ class Index:
             for b, v in bound[t].items():
                 self.frequent[t - 1, b] = v
             bound[t] = {}
+        self.postings: list[tuple[list[int], list[float], dict[int, float], float]] = [([], [], {}, 0.0)]
+        at: list[tuple[list[int], list[float]]] = [([], []) for _ in range(len(ordered) + 1)]
+        for i, own in enumerate(self.impacts):
+            for t, v in own.items():
+                at[t][0].append(i)
+                at[t][1].append(v)
+        for t in range(1, len(ordered) + 1):
+            blocks: dict[int, float] = {}
+            for i, v in zip(*at[t], strict=True):
+                blocks[i // self.per_block] = max(blocks.get(i // self.per_block, 0.0), v)
+            self.postings.append((*at[t], blocks, max(at[t][1])))
         self.first = np.concatenate([[0], np.cumsum([len(b) for b in bound])])
         self.block = np.array([b for x in bound for b in x], np.int64)
         self.bound = np.array([v for x in bound for v in x.values()], np.float64)
         self.runs = [(runs(q), runs(a)) for q, a in zip(self.items["question"], self.items["answer"], strict=True)]
 
+    def wand(self, terms: set[int]) -> Iterator[tuple[int, float]]:
+        """(item, score) of all items that reach the threshold, by block-max WAND over the terms' postings."""
+        # items, impacts, block bounds, largest impact, place
+        lists = [[*self.postings[t], 0] for t in sorted(terms) if 0 < t < len(self.postings)]
+        least, end = self.threshold - 1e-9, len(self.impacts)
+
+        def seek(x: list, item: int) -> None:
+            x[4] = bisect_left(x[0], item, x[4])
+
+        while True:
+            lists = sorted((x for x in lists if x[4] < len(x[0])), key=lambda x: x[0][x[4]])
+            total, pivot = 0.0, None
+            for k, x in enumerate(lists):
+                total += x[3]
+                if total >= least:
+                    pivot = k
+                    break
+            if pivot is None:
+                return
+            item = lists[pivot][0][lists[pivot][4]]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][4]] == item:
+                pivot += 1
+            block = item // self.per_block
+            if sum(x[2].get(block, 0.0) for x in lists[: pivot + 1]) < least:
+                # no item before the block's end can reach it, unless another list begins there
+                after = lists[pivot + 1][0][lists[pivot + 1][4]] if pivot + 1 < len(lists) else end
+                for x in lists[: pivot + 1]:
+                    seek(x, min((block + 1) * self.per_block, after))
+            elif lists[0][0][lists[0][4]] == item:
+                score = 0.0
+                for x in lists[: pivot + 1]:
+                    score += x[1][x[4]]
+                    x[4] += 1
+                if score >= least:
+                    yield item, score
+            else:
+                for x in lists[:pivot]:
+                    seek(x, item)
+
 
-def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None, *, threshold: float, overlap: float, k1: float, b: float, postings: int, least_stride: int) -> list[Index]:
-    """Index parts. Term statistics are Spark sums over all items; a part is at most ``postings`` rows on the driver."""
+def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None, *, threshold: float, overlap: float, k1: float, b: float, postings: int, least_stride: int) -> Iterator[Index]:
+    """Index parts, one by one. Term statistics are Spark sums over all items; a part is at most ``postings`` rows on the driver."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -106,9 +161,9 @@ def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None
     parsed = items.select(*columns).mapInPandas(split, "item long, question array<binary>, answer array<binary>, words array<binary>")
     parsed = stored(parsed.where(F.size("words") > 0).withColumn("key", F.xxhash64("item", "words")))
     tf = parsed.select("key", "item", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("key", "item", "len", "term").agg(F.count("*").alias("tf"))
-    n, mean, longest = parsed.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    n, mean = parsed.agg(F.count("*"), F.avg(F.size("words"))).first()
     if not n:
-        return []
+        return
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
@@ -116,18 +171,19 @@ def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None
     impacts = scored.groupBy("key").agg(F.collect_list(F.struct("term", "w")).alias("all"))
     impacts = impacts.select("key", F.expr("map_from_entries(transform(all, x -> struct(x.term, x.w / aggregate(all, 0D, (s, y) -> s + y.w))))").alias("impacts"))
     rows = stored(parsed.join(impacts, "key").select("item", "question", "answer", "impacts"))
-    size = rows.agg(F.sum(F.size("impacts"))).first()[0]
-    parts = max(1, -(-size // postings))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
-    out = []
-    for p in range(parts):
-        found = dealt.where(F.col("part") == p).drop("part").orderBy("item").toPandas()
-        for c in ("question", "answer"):
-            found[c] = [[bytes(x) for x in v] for v in found[c]]
-        found["impacts"] = [{bytes(k): v for k, v in (m.items() if isinstance(m, dict) else m)} for m in found["impacts"]]
-        if len(found):
-            out.append(Index(found, max(least_stride, longest), threshold, overlap))
-    return out
+    words = F.size("question") if not question_col else F.size("question") + F.size("answer")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(words / F.lit(float(least_stride))))).cast("int")
+    rows = rows.withColumn("level", level)
+    for at, size in sorted(tuple(r) for r in rows.groupBy("level").agg(F.sum(F.size("impacts"))).collect()):
+        parts = max(1, -(-size // postings))
+        dealt = rows.where(F.col("level") == at).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+        for p in range(parts):
+            found = dealt.where(F.col("part") == p).drop("part", "level").orderBy("item").toPandas()
+            for c in ("question", "answer"):
+                found[c] = [[bytes(x) for x in v] for v in found[c]]
+            found["impacts"] = [{bytes(k): v for k, v in (m.items() if isinstance(m, dict) else m)} for m in found["impacts"]]
+            if len(found):
+                yield Index(found, least_stride << at, threshold, overlap)
 
 
 def matches(words: list[list[bytes]], index: Index) -> Iterator[tuple[int, int, int, float, float, float]]:
@@ -153,20 +209,17 @@ def matches(words: list[list[bytes]], index: Index) -> Iterator[tuple[int, int,
     both = present.copy()
     both[joined] |= present[joined + 1]
     bound = rest + both.astype(np.float32) @ index.frequent
-    for g, b in zip(*np.nonzero(bound >= index.threshold - 1e-5), strict=True):
+    for g in np.flatnonzero((bound >= index.threshold - 1e-5).any(axis=1)).tolist():
         text = int(owner[g])
         first = int(g - start[text]) * s
-        own = set(ids[text][first : first + 2 * s].tolist())
         held = None
-        for i in range(int(b) * index.per_block, min(len(index.impacts), (int(b) + 1) * index.per_block)):
-            score = sum(v for t, v in index.impacts[i].items() if t in own)
-            if score >= index.threshold:
-                if held is None:
-                    passage = words[text][first : first + 2 * s]
-                    held = {k: set(zip(*(passage[j:] for j in range(k)), strict=False)) for k in range(1, RUN + 1)}
-                q, a = ((sum(r in held[len(r)] for r in x) / len(x) if x else 1.0) for x in index.runs[i])
-                if q >= index.overlap and a >= index.overlap:
-                    yield text, int(index.items["item"].iat[i]), first, score, q, a
+        for i, score in index.wand(set(ids[text][first : first + 2 * s].tolist())):
+            if held is None:
+                passage = words[text][first : first + 2 * s]
+                held = {k: set(zip(*(passage[j:] for j in range(k)), strict=False)) for k in range(1, RUN + 1)}
+            q, a = ((sum(r in held[len(r)] for r in x) / len(x) if x else 1.0) for x in index.runs[i])
+            if q >= index.overlap and a >= index.overlap:
+                yield text, int(index.items["item"].iat[i]), first, score, q, a
 
 
 FOUND = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
@@ -176,8 +229,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     """One row for each document and item that it quotes, with the passage of the highest score."""
     session = docs.sparkSession
     found = session.createDataFrame([], FOUND)
-    parts = build(items, item_id_col, item_text_col, question_col, answer_col, threshold=threshold, overlap=overlap, k1=k1, b=b, postings=postings, least_stride=stride)
-    for part in parts:
+    all_parts = build(items, item_id_col, item_text_col, question_col, answer_col, threshold=threshold, overlap=overlap, k1=k1, b=b, postings=postings, least_stride=stride)
+    part = next(all_parts, None)
+    while part is not None:
         shared = session.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -204,7 +258,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
                     yield searched(ids, words)
 
         rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        found = found.union(rows.mapInArrow(run, FOUND))
+        own = rows.mapInArrow(run, FOUND)
+        part = next(all_parts, None)
+        if part is not None:
+            own = stored(own)
+            shared.destroy()
+        found = found.union(own)
     return found
 
 
