@@ -310,6 +310,49 @@ class Lattices:
         return out, where
 
 
+REACH = 256
+
+
+def siblings(log_p: np.ndarray, edges: np.ndarray, before: list[int], passed: list[float], values: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    """Of each path, whose fresh arcs are log_p[edges[i] : edges[i + 1]] after ``before`` others, the values and places of the
+    k + 1 best sibling groups.
+
+    A group's value exceeds the log of its mass by 37 at most (draws have 52 bits), so once k + 1 values among the first
+    places are above that, later places can't be among the best; else all places are looked at.
+    """
+    size = np.diff(edges)
+
+    def best(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the best groups among the first places, their places, and the log of the mass after those places."""
+        inside = np.arange(width) < size[rows, None]
+        lp = np.zeros((len(rows), width))
+        lp[inside] = log_p[(edges[rows, None] + np.arange(width))[inside]]
+        upto = np.cumsum(lp, axis=1) + np.array(passed)[rows, None]
+        place = np.array(before)[rows, None] + np.arange(width)
+        at = lp < 0
+        bound = np.full(lp.shape, -np.inf)
+        mass = upto[at] - lp[at] + np.log(-np.expm1(lp[at]))
+        draw = np.repeat(_mix(keys[rows] ^ np.uint64(0x5555)), at.sum(axis=1)) + place[at].astype(np.uint64) * _PLACE
+        bound[at] = -np.logaddexp(-np.repeat(values[rows], at.sum(axis=1)), np.log(-np.log(_unit(draw))) - mass)
+        top = np.argpartition(-bound, min(k, width - 1), axis=1)[:, : k + 1]
+        return np.take_along_axis(bound, top, 1), np.take_along_axis(place, top, 1), upto[:, -1]
+
+    out: list[list[tuple[float, int]]] = [[] for _ in before]
+    rows = np.flatnonzero(size)
+    width = max(k + 1, REACH)
+    while len(rows):
+        far = []
+        for part in (rows[i : i + max(1, (1 << 20) // width)] for i in range(0, len(rows), max(1, (1 << 20) // width))):
+            bound, place, upto = best(part, width)
+            done = (size[part] <= width) | (bound.min(axis=1) > upto + 37)
+            for i, b, p in zip(part[done].tolist(), bound[done].tolist(), place[done].tolist(), strict=True):
+                out[i] = [(x, y) for x, y in zip(b, p, strict=True) if x > -np.inf]
+            far.append(part[~done])
+        rows = np.concatenate(far)
+        width = min(width * 8, max(width, int(size[rows].max(initial=0))))
+    return out
+
+
 def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each normalised text its sampled segmentations: (piece ids, log_prob, perturbed value, log_inclusion)."""
     segments = lat.starts(texts)
@@ -341,22 +384,11 @@ def sample(texts: list[str], keys: np.ndarray, k: int, lat: Lattices) -> list[li
                     path, lp, ids = (np.concatenate(x) for x in ((before, path), (lat.log_p[before], lp), (lat.piece[before], ids)))
                 paths[i].append(path)
                 found[i].append([ids, float(lp.sum()), float(value), 0.0])
-                # Sibling groups hang off the fresh part of the path only. A group's value exceeds the log of its mass by 37
-                # at most (draws have 52 bits), so once k + 1 values are above that, later places can't be among the best.
-                for reach in (len(before) + 256, len(lp)):
-                    some = np.flatnonzero(lp[len(before) : reach] < 0) + len(before)
-                    if not len(some) and reach < len(lp):
-                        continue
-                    upto = np.cumsum(lp[:reach])
-                    mass = upto[some] - lp[some] + np.log(-np.expm1(lp[some]))
-                    draw = -np.log(_unit(_mix(b ^ np.uint64(0x5555)) + some.astype(np.uint64) * _PLACE))
-                    bound = -np.logaddexp(-value, np.log(draw) - mass)
-                    if reach >= len(lp) or len(some) > k and np.partition(bound, -k - 1)[-k - 1] > upto[-1] + 37:
-                        break
-                if len(some):
-                    for x in np.argsort(-bound)[: k + 1] if len(bound) <= 64 else np.argpartition(-bound, k)[: k + 1]:
-                        if bound[x] > -np.inf:
-                            heapq.heappush(queues[i], (-float(bound[x]), len(paths[i]) - 1, int(some[x]), (int(path[some[x]]),)))
+            before = [len(t[1]) for t in todo]
+            groups = siblings(fresh[0], where[edge], before, [float(lat.log_p[t[1]].sum()) for t in todo], np.array([t[4] for t in todo]), base, k)
+            for (i, *_), group in zip(todo, groups, strict=True):
+                for bound, place in group:
+                    heapq.heappush(queues[i], (-bound, len(paths[i]) - 1, place, (int(paths[i][-1][place]),)))
             if j == k:
                 break
             tasks, todo = todo, []
