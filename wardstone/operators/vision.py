@@ -65,16 +65,27 @@ def paired(images: DataFrame, captions: DataFrame, key: str, dim: int) -> DataFr
     return both.select(key, "image", F.coalesce("caption", zero).alias("caption"), F.concat("image", F.coalesce("caption", zero)).alias("both"))
 
 
-def train_probe(df: DataFrame, vector: str, target: str, bar: float = 0.65, iterations: int = 200) -> DataFrame:
-    """(kind, dim, coef, intercept, auc, meets_bar): class-balanced logistic regression, judged on the rows given."""
+def train_probe(df: DataFrame, vector: str, target: str, bar: float = 0.65, iterations: int = 200, judged_on: DataFrame | None = None) -> DataFrame:
+    """(kind, dim, coef, intercept, auc, accuracy, train_rows, meets_bar): class-balanced logistic regression, judged on the
+    rows of ``judged_on``, else on its own."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    rows = lambda some: some.select(array_to_vector(F.col(vector)).alias("features"), F.col(target).cast("double").alias("y"), F.col(target).alias("t"))
     n, positive = df.agg(F.count("*"), F.count_if(F.col(target))).first()
-    weight = F.when(F.col(target), n / (2.0 * max(1, positive))).otherwise(n / (2.0 * max(1, n - positive)))
-    rows = df.select(array_to_vector(F.col(vector)).alias("features"), F.col(target).cast("double").alias("y"), F.col(target).alias("t"), weight.alias("w"))
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=1.0 / max(1, n), maxIter=iterations).fit(rows)
-    scored = model.transform(rows).select(r4(F.get(vector_to_array("probability"), 1)).alias("score"), "t")
+    own = rows(df).withColumn("w", F.when(F.col("t"), n / (2.0 * max(1, positive))).otherwise(n / (2.0 * max(1, n - positive))))
+    model = LogisticRegression(labelCol="y", weightCol="w", regParam=1.0 / max(1, n), maxIter=iterations).fit(own)
+    scored = model.transform(own if judged_on is None else rows(judged_on)).select(r4(F.get(vector_to_array("probability"), 1)).alias("score"), "t")
     found = auc(scored, "score", "t")
     coef = F.lit([float(c) for c in model.coefficients.toArray()])
-    return found.select(F.lit(vector).alias("kind"), F.size(coef).alias("dim"), coef.alias("coef"), F.lit(float(model.intercept)).alias("intercept"), "auc", (F.col("auc") >= bar).alias("meets_bar"))
+    return found.select(F.lit(vector).alias("kind"), F.size(coef).alias("dim"), coef.alias("coef"), F.lit(float(model.intercept)).alias("intercept"), "auc", "accuracy", F.lit(n).alias("train_rows"), (F.col("auc") >= bar).alias("meets_bar"))
+
+
+def choose_probe(train: DataFrame, dev: DataFrame, image: str, text: str, target: str, bar: float = 0.65, iterations: int = 200) -> DataFrame:
+    """One row: the probe over image and text together, or over the image alone where its area on ``dev`` is strictly larger,
+    with the areas of all three."""
+    both = [x.withColumn("multimodal", F.concat(image, text)) for x in (train, dev)]
+    probes = {k: train_probe(both[0], k, target, bar, iterations, both[1]) for k in (image, text, "multimodal")}
+    areas = {k: p.first()["auc"] for k, p in probes.items()}
+    best = image if areas[image] > areas["multimodal"] else "multimodal"
+    return probes[best].select("*", *[F.lit(areas[k]).alias(f"auc_{n}") for k, n in ((image, "image_only"), (text, "text_only"), ("multimodal", "multimodal"))])
