@@ -193,3 +193,20 @@ def test_media_flags(spark):
 def test_probes_are_admitted(spark):
     m = spark.createDataFrame([("a", True, [1.0]), ("b", False, [1.0]), ("c", True, []), ("d", True, None)], "kind string, meets_bar boolean, coef array<double>")
     assert [r["kind"] for r in vision.admitted(m).collect()] == ["a"] and vision.admitted(m, False).count() == 0
+
+
+def test_rows_before_over_runs(spark):
+    rows = [(g, o, g * 100_000 + o) for g in (1, 2) for o in (*range(0, 40, 3), 900, 901, 5000, 5001)] + [(3, 7, 1)]
+    df = spark.createDataFrame(rows, "g int, o long, v int")
+    got = {(r["g"], r["o"]): r["b"] for r in evidence.with_before(df, "g", "o", "v", "b", width=4).collect()}
+    want = {}
+    for g in (1, 2, 3):
+        own = sorted((o, v) for h, o, v in rows if h == g)
+        want |= {(g, o): before for (o, _), before in zip(own, [None, *(v for _, v in own)], strict=False)}
+    assert got == want
+
+
+def test_latencies(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (-3, 0, 0.5, 0.6, 7, 7, 100)] + [("b", 2.0), ("b", None)], "k string, ms double")
+    got = {r["k"]: (r["median"], r["p95"], r["n"]) for r in evaluation.latencies(df, "k", "ms").collect()}
+    assert got == {"a": (0.6, 100.0, 7), "b": (2.0, 2.0, 1)}

@@ -104,12 +104,16 @@ def failures(rows: DataFrame, theta: float, buckets: Sequence[str], most: int =
 def latencies(df: DataFrame, by: str, ms: str) -> DataFrame:
     """Median, and the nearest-rank 95th percentile at index half-even of 0.95 (n - 1).
 
-    Values are counted first, so a group with a third of all rows is ranked over its distinct values only.
+    Values are counted first. Running counts go over the values of a range (64 for each power of two) and over the ranges,
+    so a group with a third of all rows is no task's.
     """
-    counts = df.groupBy(by, F.col(ms).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v"))
-    n = F.sum("c").over(Window.partitionBy(by))
-    ranked = counts.select(by, "v", "c", upto.alias("upto"), n.alias("n"))
+    part = F.floor(F.signum("v") * F.floor(F.log2(1 + F.abs("v")) * 64)).alias("part")
+    counts = df.where(F.col(ms).isNotNull()).groupBy(by, F.col(ms).alias("v")).agg(F.count("*").alias("c")).select("*", part)
+    parts = counts.groupBy(by, "part").agg(F.sum("c").alias("all"))
+    upto = F.sum("all").over(Window.partitionBy(by).orderBy("part")) - F.col("all")
+    parts = parts.select(by, "part", upto.alias("before"), F.sum("all").over(Window.partitionBy(by)).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy(by, "part").orderBy("v"))
+    ranked = counts.withColumn("inside", inside).join(parts, [by, "part"]).select(by, "v", "c", (F.col("inside") + F.col("before")).alias("upto"), "n")
     at = F.bround(0.95 * (F.col("n") - 1), 0)
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     first = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))

@@ -98,11 +98,29 @@ def sound_gate(chunks: DataFrame, device: str = "device_id", rows: int = 12, lea
     return chunks.withColumn("rms", rms).withColumn("loud", F.col("rms") >= least)
 
 
+def with_before(df: DataFrame, group: str, order: str, column: str, name: str, width: int = 1024) -> DataFrame:
+    """Adds ``name``: the column's value in the group's row before, by a whole number ``order``. Rows are parted by runs of
+    ``width`` numbers, and the last row of each run is also dealt to the group's next run, so no group is one task's."""
+    run = F.floor(F.col(order) / width)
+    ends = df.groupBy(group, run.alias("__run")).agg(F.max(order).alias("__end"))
+    # ends are one row for each run; a group's runs stay within ranges of runs, whose ends are a row each again
+    far = F.floor(F.col("__run") / width)
+    inside = Window.partitionBy(group, "__far").orderBy("__run")
+    firsts = ends.groupBy(group, far.alias("__far")).agg(F.min("__run").alias("__first"))
+    firsts = firsts.select(group, "__far", F.lead("__first").over(Window.partitionBy(group).orderBy("__far")).alias("__wrap"))
+    nexts = ends.withColumn("__far", far).withColumn("__lead", F.lead("__run").over(inside)).join(firsts, [group, "__far"])
+    nexts = nexts.select(F.col(group).alias("__group"), F.col("__end"), F.coalesce("__lead", "__wrap").alias("__run")).where("__run is not null")
+    copies = df.join(nexts, (F.col(group) == F.col("__group")) & (F.col(order) == F.col("__end")))
+    dealt = df.select("*", run.alias("__run"), F.lit(False).alias("__copy")).union(copies.select(*df.columns, "__run", F.lit(True)))
+    before = F.lag(column).over(Window.partitionBy(group, "__run").orderBy(F.desc("__copy"), order))
+    return dealt.withColumn(name, before).where(~F.col("__copy")).drop("__run", "__copy")
+
+
 def scene_change(frames: DataFrame, group: str, order: str, pixels: str) -> DataFrame:
     """Mean absolute difference from the frame before, in percent of 255; the first frame has 0."""
-    before = F.lag(pixels).over(Window.partitionBy(group).orderBy(order))
     change = F.aggregate(F.zip_with(pixels, "__before", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return frames.withColumn("__before", before).withColumn("change", F.when(F.col("__before").isNull(), 0.0).otherwise(r4(change / F.size(pixels) / 255 * 100, 2))).drop("__before")
+    found = with_before(frames, group, order, pixels, "__before")
+    return found.withColumn("change", F.when(F.col("__before").isNull(), 0.0).otherwise(r4(change / F.size(pixels) / 255 * 100, 2))).drop("__before")
 
 
 def frame_scores(title: Column, skin: Column, motion: Column, has_person: Column, long_shape: Column, adult: list[str], weapons: list[str], violent: list[str], calm: list[str]) -> dict[str, Column]:
