@@ -499,6 +499,23 @@ def test_chat(spark, monkeypatch):
         seq = "".join(x[0] for x in re.findall(r"<\|(system|user|assistant)\|>\n", "".join(r["rendered"] for r in rs)))
         assert re.fullmatch("s?(ua)+", seq), (conv, seq)
     assert sum(r["cost"] for r in by[99]) == 0 and chat.query(turns.limit(0)).count() == 0
+    monkeypatch.setattr(chat, "GROUP", 1)  # groups of two chunks
+    small = collections.defaultdict(list)
+    for r in chat.query(turns).collect():
+        small[r["conv_id"]].append(r)
+    for conv, rs in small.items():
+        rs.sort(key=lambda r: r["position"])
+        assert [r["position"] for r in rs] == list(range(len(rs)))
+        if len(rs) < 8:
+            assert sum(r["cost"] for r in rs) == cheapest([chat.role_number(r["role"]) for r in rs])
+        seq = "".join(x[0] for x in re.findall(r"<\|(system|user|assistant)\|>\n", "".join(r["rendered"] for r in rs)))
+        assert re.fullmatch("s?(ua)+", seq), (conv, seq)
+
+
+def test_very_long_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", "y" * 3_000_000), (1, 2, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.query(turns).collect(), key=lambda r: r["position"])
+    assert [r["action"] for r in rows] == ["keep", "keep", "merge"] and sum(len(r["rendered"]) for r in rows) > 6_000_000
 
 
 # --- pieces ---------------------------------------------------------------------------------------------------------

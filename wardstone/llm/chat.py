@@ -7,8 +7,9 @@ may be inserted before it, or at the end (2 each). Equal costs are settled by th
 
 A step of the program is a (min, +) matrix over the four states, so conversations are cut into chunks of bounded size
 whose matrices are multiplied: rows are ordered by ranges of (conversation, turn), each chunk is up to 512 neighbouring turns
-of one conversation in one range, and only chunk matrices (16 numbers) of a conversation meet in one place. A conversation
-with a third of all turns is thus spread like any other.
+of one conversation in one range. Matrices of up to 4,096 neighbouring chunks are multiplied in one place and only their
+product, 16 numbers for up to two million turns, meets the conversation's others; the states that are chosen between products
+are then handed down to the chunks. A conversation with a third of all turns is thus spread like any other.
 
 Results: one row for each turn, in order, with what happens to it and the piece of the rendered conversation that it adds;
 the pieces of a conversation, joined, are its rendering. Turns are ordered by number, role and text; null numbers come
@@ -34,6 +35,7 @@ ROLES = ["", "system", "user", "assistant"]
 MERGE, MERGE_OTHER, RELABEL, INSERT = 1, 4, 3, 2
 FAR = 1 << 40
 CHUNK_TURNS, CHUNK_CHARS = 512, 1 << 20
+GROUP = 12  # bits: chunks whose matrices are multiplied in one place
 
 
 def _after(state: int, role: int) -> bool:
@@ -80,14 +82,21 @@ def product(roles: list[int]) -> np.ndarray:
     return np.minimum(out, FAR)
 
 
-def plan(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Entry and exit states of the chunks of one conversation."""
+def multiplied(matrices: list[np.ndarray]) -> np.ndarray:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = (out[:, :, None] + m[None]).min(axis=1)
+    return np.minimum(out, FAR)
+
+
+def plan(matrices: list[np.ndarray], entry: int = START, leave: int | None = None) -> list[tuple[int, int]]:
+    """Entry and exit states of neighbouring chunks, from one state to another or to the cheapest end of a conversation."""
     cost = np.full(4, FAR, np.int64)
-    cost[START] = 0
+    cost[entry] = 0
     entries = [cost]
     for m in matrices:
         entries.append((entries[-1][:, None] + m).min(axis=0))
-    end = min(range(4), key=lambda s: (entries[-1][s] + ENDS[s][0], s))
+    end = min(range(4), key=lambda s: (entries[-1][s] + ENDS[s][0], s)) if leave is None else leave
     out = []
     for m, before in zip(reversed(matrices), reversed(entries[:-1]), strict=True):
         begin = min(range(4), key=lambda s: (before[s] + m[s, end], s))
@@ -174,20 +183,40 @@ def chunked(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_
 def formatted(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each turn, with its repair and the piece of the rendering that it adds."""
     chunks = chunked(turns, conv_col, turn_col, role_col, text_col)
-    every = chunks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", F.size("turns").alias("n"), "matrix"))).alias("all"))
+    together = F.array_sort(F.collect_list(F.struct("chunk", F.size("turns").alias("n"), "matrix"))).alias("all")
+    groups = stored(chunks.groupBy("conv", F.shiftright("chunk", GROUP).alias("group")).agg(together, F.min("chunk").alias("first")))
+    square = lambda m: np.array(m, np.int64).reshape(4, 4)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            found = [multiplied([square(r["matrix"]) for r in rows]).ravel().tolist() for rows in df["all"]]
+            yield pd.DataFrame({"conv": df["conv"].astype("Int64"), "first": df["first"], "n": [sum(r["n"] for r in rows) for rows in df["all"]], "matrix": found})
 
-    def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """States between the groups of a conversation."""
         for df in batches:
             out = []
             for rows in df["all"]:
                 at = 0
-                ways = plan([np.array(r["matrix"], np.int64).reshape(4, 4) for r in rows])
-                for i, (r, (begin, end)) in enumerate(zip(rows, ways, strict=True)):
-                    out.append((r["chunk"], begin, end, at, i == len(rows) - 1))
+                for i, (r, (begin, end)) in enumerate(zip(rows, plan([square(r["matrix"]) for r in rows]), strict=True)):
+                    out.append((r["first"], begin, end, at, i == len(rows) - 1))
+                    at += r["n"]
+            yield pd.DataFrame(out, columns=["first", "begin", "stop", "offset", "final"])
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """States between the chunks of a group."""
+        for df in batches:
+            out = []
+            for rows, begin, stop, at, final in zip(df["all"], df["begin"], df["stop"], df["offset"], df["final"], strict=True):
+                for i, (r, way) in enumerate(zip(rows, plan([square(r["matrix"]) for r in rows], begin, stop), strict=True)):
+                    out.append((r["chunk"], *way, at, bool(final) and i == len(rows) - 1))
                     at += r["n"]
             yield pd.DataFrame(out, columns=["chunk", "begin", "stop", "offset", "final"])
 
-    ways = every.select("all").mapInPandas(planned, "chunk long, begin int, stop int, offset long, final boolean")
+    up = groups.mapInPandas(products, "conv long, first long, n long, matrix array<long>")
+    top = up.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("first", "n", "matrix"))).alias("all"))
+    chosen = top.select("all").mapInPandas(between, "first long, begin int, stop int, offset long, final boolean")
+    ways = groups.join(chosen, "first").select("all", "begin", "stop", "offset", "final").mapInPandas(within, "chunk long, begin int, stop int, offset long, final boolean")
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in TURNS.split(", ")]
