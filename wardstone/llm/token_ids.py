@@ -84,6 +84,8 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(chunk.lower())
         if not chunk.isascii() and self.other(chunk) or "<|" in chunk or self.control(chunk):
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         if chunk.isalpha():  # a run of letters, perhaps with one mark after it: what the pattern would find
