@@ -28,6 +28,7 @@ SEED = 42
 BITS = 64
 #: Of ``similar``: words of a run, least similarity of a link, bits and number of the fingerprints of a text.
 RUN, LIKE = 5, 0.8
+FILTER, BITS_AT = 20, (22, 28, 34)  # the filter of candidates: bits of the number of its words, and where a node's bits are taken from
 SHORT, PRINTS = 40, 6
 ODD = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -196,20 +197,26 @@ def candidates(rows: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
     """The ``pairs`` of nodes whose sets of runs have a similarity of LIKE or more, counted in full."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # spares shuffling the other texts' runs; the joins decide
-    few = involved.count() <= 4_000_000
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(involved.toPandas()["node"].to_numpy(np.int64)) if few else None)
+    # A blocked Bloom filter of the candidates, 2 to the FILTER words at the most, spares shuffling most other texts' runs; the joins
+    # decide, so it drops nothing.
+    words = 1 << min(FILTER, max(4, (involved.count() // 4).bit_length()))
+    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(node, {at}) & 63 as int))" for at in BITS_AT))
+    found = involved.groupBy(F.col("node").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(bits).alias("mask")).toPandas()
+    table = np.zeros(words, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        some, seen = wanted.value, set()
+        table, seen = shared.value, set()
         for batch in batches:
             nodes, sets = [], []
             for text in batch.column(0).to_pylist():
                 runs = shingles(_split(text))
                 node = int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes(), seed=SEED)).astype(np.int64)) if len(runs) else 0
-                if node in seen or (some is not None and (not len(some) or some[min(np.searchsorted(some, node), len(some) - 1)] != node)):
+                mask = sum({1 << (node >> at & 63) for at in BITS_AT})
+                if node in seen or int(table[node & (len(table) - 1)]) & mask != mask:
                     continue
                 seen.add(node)
                 nodes.append(node)
