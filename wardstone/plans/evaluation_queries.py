@@ -137,10 +137,10 @@ def ordinal_by_outcome(spark, d):
     return E.grades(w, "grade", F.when(F.col("model") >= 0.55, "false_alarm").otherwise("cleared"))
 
 
-@query(f"with {DECIDED}, x as (select id, case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect from {RUNS.sql} q where id % 3 = 0), r as (select id, decision from decided where id % 2 = 0) select id, case when decision is null then 'skip' when expect = 'any' or expect = decision then 'ok' else 'MISMATCH' end as state from x left join r using (id)")
+@query(f"with {DECIDED}, x as (select id, case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect from {RUNS.sql} q), r as (select case when id % 2 = 0 then id else id + 1000000000 end as id, decision from decided) select id, case when decision is null then 'skip' when expect = 'any' or expect = decision then 'ok' else 'MISMATCH' end as state from x left join r using (id)")
 def expectation_check(spark, d):
-    r = D.decided(RUNS.df(spark, d)).where("id % 2 = 0").select("id", "decision")
-    x = RUNS.df(spark, d).where("id % 3 = 0").selectExpr("id", "case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect")
+    r = D.decided(RUNS.df(spark, d)).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1_000_000_000).alias("id"), "decision")
+    x = RUNS.df(spark, d).selectExpr("id", "case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect")
     return E.expectations(r, x, "id")
 
 

@@ -91,11 +91,11 @@ def effective_threshold(spark, d):
     return RUNS.df(spark, d).select("id", S.effective_threshold(env, F.col("child_age")).alias("threshold"))
 
 
-@query(f"""with {DEC}, q as (select event_id as request, case event_id % 3 when 0 then null when 1 then event_id else event_id + 1000000000 end as run_id from events where event_id % 10 = 0),
+@query(f"""with {DEC}, q as (select event_id as request, case event_id % 3 when 0 then null when 1 then event_id else event_id + 1000000000 end as run_id from events),
  last as (select arg_max(id, ts) as id from runs), j as (select q.request, r.* from q left join runs r on r.id = coalesce(q.run_id, (select id from last)))
  select request, id as found, coalesce(decision = 'hate', false) as verdict, case when decision = 'hate' then score else 0.0 end as harm, case when decision = 'hate' then category else 'none' end as category from j""")
 def verdicts(spark, d):
-    q = spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").selectExpr("event_id as request", "case event_id % 3 when 0 then null when 1 then event_id else event_id + 1000000000 end as run_id")
+    q = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id as request", "case event_id % 3 when 0 then null when 1 then event_id else event_id + 1000000000 end as run_id")
     return S.verdicts(q, _runs(spark, d))
 
 
@@ -105,10 +105,10 @@ def trigger_class(spark, d):
     return _runs(spark, d).select("id", S.trigger(F.col("text_score"), F.col("vision_score"), weapons, F.col("fused"), F.col("decision") == "hate").alias("threat"))
 
 
-@query(f"with r as (select device_id, id from {RUNS.sql} x), live as (select * from r where device_id % 3 = 0 and id % 2 = 0), old as (select * from r where id % 2 = 1) select device_id, count(*) as n from (select * from live union all select * from old where device_id not in (select device_id from live)) group by device_id")
+@query(f"with r as (select device_id, id from {RUNS.sql} x), live as (select * from r), old as (select device_id + 5 as device_id, id from r) select device_id, count(*) as n from (select * from live union all select * from old where device_id not in (select device_id from live)) group by device_id")
 def source_of_truth(spark, d):
     r = RUNS.df(spark, d).select("device_id", "id")
-    return S.preferred(r.where("device_id % 3 = 0 and id % 2 = 0"), r.where("id % 2 = 1"), "device_id").groupBy("device_id").agg(F.count("*").alias("n"))
+    return S.preferred(r, r.withColumn("device_id", F.col("device_id") + 5), "device_id").groupBy("device_id").agg(F.count("*").alias("n"))
 
 
 @query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) as k from events")
@@ -130,10 +130,12 @@ def _turns(spark, d):
     return TURNS.df(spark, d).withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(session_id*5 as int), 0, 0)"))
 
 
-@query(f"with t as (select session_id, turn, child_response, contains(child_response, 'yes') as agreed, child_turn >= 3 as completed from {TURNS.sql} x where session_id % 4 <> 0) select session_id, count(*) as turns, arg_max(completed, turn) as completed, arg_max(agreed, turn) as agreed, md5(string_agg(child_response, '|' order by turn)) as texts from t where session_id % 3 = 0 group by session_id")
+@query(f"with t as (select session_id, turn, child_response, contains(child_response, 'yes') as agreed, child_turn >= 3 as completed from {TURNS.sql} x) select session_id, count(*) as turns, arg_max(completed, turn) as completed, arg_max(agreed, turn) as agreed, md5(string_agg(child_response, '|' order by turn)) as texts from t group by session_id")
 def session_rollup(spark, d):
-    t = TURNS.df(spark, d).where("session_id % 4 <> 0").withColumn("agreed", F.contains("child_response", F.lit("yes"))).withColumn("completed", F.col("child_turn") >= 3)
-    s = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id % 3 = 0").select(F.col("conv_id").alias("session_id")).distinct()
+    t = TURNS.df(spark, d)
+    t = t.union(t.withColumn("session_id", F.col("session_id") + 1_000_000_000))  # turns of sessions that nobody knows
+    t = t.withColumn("agreed", F.contains("child_response", F.lit("yes"))).withColumn("completed", F.col("child_turn") >= 3)
+    s = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session_id")).distinct()
     r = B.rolled_up(t, s)
     return r.select("session_id", F.size("turns").cast("long").alias("turns"), "completed", "agreed", F.md5(F.array_join(F.transform("turns", lambda x: x["child_response"]), "|")).alias("texts"))
 
