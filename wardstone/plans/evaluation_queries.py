@@ -234,6 +234,9 @@ def trace_ring(spark, d):
     return K.newest(TICKS.df(spark, d)).select("device_id", "seq", "rank")
 
 
-@query(f"with {DECIDED}, h as (select device_id, id, ts, lag(ts) over (partition by device_id order by ts, id) as b from decided where decision = 'hate') select device_id, id from h where b is null or epoch(date_trunc('second', ts)) - epoch(date_trunc('second', b)) > 86400")
+@query(f"""with {DECIDED}, e as (select device_id, ts, id, 0 as closed from decided where decision = 'hate' union all select device_id, ts, null, 1 from decided where has_asr),
+ s as (select *, sum(closed) over (partition by device_id order by ts, closed desc, id) as opened from e), k as (select *, row_number() over (partition by device_id, opened order by ts, id) as rank from s where closed = 0)
+ select device_id, id from k where rank = 1""")
 def alert_edges(spark, d):
-    return K.alert_edges(D.decided(RUNS.df(spark, d)), open_for=86400).select("device_id", "id")
+    r = D.decided(RUNS.df(spark, d))  # a run with sound stands for the close of an intercept
+    return K.alert_edges(r, r.where("has_asr").select("device_id", "ts")).select("device_id", "id")
