@@ -67,7 +67,6 @@ class Encoder:
         self.runs = regex.compile(split).findall
         # outside: what the fast way leaves to the library: marks, other scripts, U+0130 and the start of special tokens
         self.other = regex.compile(r"[^\x00-įı-ɏ]|<\|").search
-        self.separators = regex.compile(r"[\x1c-\x1f]").search
         self.control = regex.compile(r"[\x00-\x08\x0e-\x1b\x7f]").search
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.size = self.whole.get_vocab_size()
@@ -86,7 +85,7 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
             return self._piece(chunk.lower())
-        if not chunk.isascii() and self.other(chunk) or "<|" in chunk or self.control(chunk):
+        if not chunk.isascii() and self.other(chunk) or "<|" in chunk or not chunk.isprintable() and self.control(chunk):
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         if chunk.isalpha():  # a run of letters, perhaps with one mark after it: what the pattern would find
             return self._piece(chunk.lower())
@@ -99,7 +98,7 @@ class Encoder:
             self.chunks.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        if self.separators(text):  # white space to Python, not to the library
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python, not to the library
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = text.split()
         for w in set(words).difference(self.chunks):
