@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, langid, minhash, pieces, pii, pitman_yor, simhash, token_counts, token_ids, url_filter
+from . import chat, decontamination, langid, lexical, minhash, pieces, pii, pitman_yor, simhash, token_counts, token_ids, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.query(table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": _op8,
     "op9_pii": _op9,
     "op10_pitman_yor": _op10,
+    "op11_lexical_search": _op11,
     "op13_token_counts": _op13,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical.ORACLE}
