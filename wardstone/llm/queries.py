@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, langid, lexical, minhash, pieces, pii, pitman_yor, simhash, token_counts, token_ids, url_filter
+from . import chat, decontamination, langid, lexical, minhash, pieces, pii, pitman_yor, simhash, structure, token_counts, token_ids, url_filter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.query(table(spark, sf_dir, "conversations"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": _op9,
     "op10_pitman_yor": _op10,
     "op11_lexical_search": _op11,
+    "op12_structure_repair": _op12,
     "op13_token_counts": _op13,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical.ORACLE}
