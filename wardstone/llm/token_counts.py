@@ -2,11 +2,10 @@
 
 1. Texts are split into pre-tokens as the tokenizer does. Runs of documents form blocks: the distinct pre-tokens of the
    block, and for each document how often it holds which of them (numbers within the block, sorted, as differences).
-2. The blocks' pre-tokens are made distinct over the corpus; each is handed to the tokenizer's model once, which gives its
-   number of pieces.
-3. That table joins the blocks' pre-tokens. A pre-token that every document holds has one row for each block there, not one
-   for each document.
-4. Counts return to their blocks in sorted order, where a document's frequencies and their counts are multiplied and summed.
+2. The blocks' pre-tokens are dealt by hash and sorted, so that equal ones of the whole corpus are neighbours. The first of them
+   is handed to the tokenizer's model, which gives its number of pieces; the others join that number (a merge join whose
+   distinct side is made as it is read). A pre-token that every document holds has a row for each block, not for each document.
+3. Counts return to their blocks, packed, where a document's frequencies and their counts are multiplied and summed.
 
 The tokenizer is a byte-level BPE file of the tokenizers library (no normalizer; pre-tokens by its pattern); other files are
 refused. Characters on whose classes all tables agree are split by a pattern; a text with any other character is split by
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -158,41 +157,61 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n")).mapInArrow(run, BLOCKS)
 
 
-def piece_counter(path: str) -> Column:
-    """A function that counts the pieces of each pre-token of a column."""
+MEETINGS = 1 << 22  # rows of pre-tokens that a task holds before it sends counts back
+COUNTS = "id long, n_bytes long, n_tokens long"
 
-    @F.arrow_udf("int")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        s = splitter(path)
-        for words in batches:
-            yield pa.array([s.pieces(w) for w in words.to_pylist()], pa.int32())
 
-    return count
+def counted(words: DataFrame, path: str) -> DataFrame:
+    """(block, sizes, pairs) of (block, place, word): the pieces of the pre-tokens at a block's places, packed. Rows of one
+    pre-token are neighbours here: the first has its pieces counted, the others take that count over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = splitter(path)
+        last, count = None, 0
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def back() -> pa.RecordBatch:
+            block, place, pieces = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((place, block))
+            block, place, pieces = block[order], place[order], pieces[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            runs = list(itertools.pairwise(edges.tolist()))
+            pairs = [packed([place[a:b].astype(np.uint32)], [pieces[a:b]]) for a, b in runs]
+            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array([[b - a] for a, b in runs], pa.list_(pa.int32())), pa.array(pairs, pa.binary())], ["block", "sizes", "pairs"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coded = b.column(2).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            pieces = np.array([count if w == last else s.pieces(w) for w in distinct], np.int64)
+            last, count = distinct[-1], int(pieces[-1])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), pieces[coded.indices.to_numpy()]))
+            rows += b.num_rows
+            if rows >= MEETINGS:
+                yield back()
+                rows = 0
+        if held:
+            yield back()
 
-COUNTS = "id long, n_bytes long, n_tokens long"
+    return words.repartition("word").sortWithinPartitions("word").select("block", "place", "word").mapInArrow(run, "block long, sizes array<int>, pairs binary")
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts of documents, from rows in the order of blocks: a block's (place, pieces), then the block itself."""
-    at, places, found = None, [], []
+    """Token counts of documents, from rows in the order of blocks: a block's counts, then the block itself."""
+    at, counts = None, []
     for b in batches:
-        blocks = b.column(0).to_numpy()
-        whole = b.column(1).to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.diff(blocks) != 0) + 1
-        for begin, end in itertools.pairwise([0, *edges.tolist(), len(blocks)]):
-            if blocks[begin] != at:
-                at, places, found = blocks[begin], [], []
-            last = end - 1 if whole[end - 1] else end
-            if last > begin:
-                places.append(b.column(2).slice(begin, last - begin).to_numpy())
-                found.append(b.column(3).slice(begin, last - begin).to_numpy())
-            if last == end:
+        for block, whole, sizes, packet, ids, n_bytes, specials in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            if block != at:
+                at, counts = block, []
+            if not whole:
+                counts.append(unpacked(packet, np.array(sizes, np.int64)))
                 continue
-            ids, n_bytes, specials, sizes, packet = (b.column(i)[last].as_py() for i in range(4, 9))
-            place = np.concatenate(places) if places else np.zeros(0, np.int64)
-            pieces = np.zeros(len(place), np.int64)
-            pieces[place] = np.concatenate(found) if found else 0
+            pieces = np.zeros(sum(len(place) for place, _ in counts), np.int64)
+            for place, found in counts:
+                pieces[place] = found
             sizes = np.array(sizes, np.int64)
             number, times = unpacked(packet, sizes)
             running = np.concatenate([[0], np.cumsum(pieces[number] * times)])
@@ -204,12 +223,9 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row of ``docs``."""
     blocks = stored(frequencies(docs, path, id_col, text_col, chars))
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    distinct = words.groupBy("word").agg(F.count("*").alias("blocks")).withColumn("pieces", piece_counter(path)(F.col("word"))).drop("blocks")
-    found = words.hint("merge").join(distinct, "word").select("block", F.lit(False).alias("whole"), "place", "pieces")
-    own = blocks.select("block", F.lit(True).alias("whole"), "ids", "n_bytes", "specials", "sizes", "pairs")
-    order = ["block", "whole", "place", "pieces", "ids", "n_bytes", "specials", "sizes", "pairs"]
-    both = found.unionByName(own, allowMissingColumns=True).select(*order)
+    found = counted(blocks.select("block", F.posexplode("words").alias("place", "word")), path).withColumn("whole", F.lit(False))
+    own = blocks.select("block", F.lit(True).alias("whole"), "sizes", "pairs", "ids", "n_bytes", "specials")
+    both = found.unionByName(own, allowMissingColumns=True).select(*own.columns)
     return both.repartition("block").sortWithinPartitions("block", "whole").mapInArrow(summed, COUNTS)
 
 
