@@ -80,3 +80,15 @@ def lower_ascii(text: Column) -> Column:
 def kept_columns(docs: DataFrame, *taken: str) -> list[str]:
     """Columns of ``docs`` whose names don't clash with the columns that an operator adds."""
     return [c for c in docs.columns if c.lower() not in {t.lower() for t in taken}]
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns that an operator adds for a while, none of which ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

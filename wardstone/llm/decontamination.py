@@ -146,19 +146,17 @@ class Index:
 def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None, *, threshold: float, overlap: float, k1: float, b: float, postings: int, least_stride: int) -> Iterator[Index]:
     """Index parts, one by one. Term statistics are Spark sums over all items; a part is at most ``postings`` rows on the driver."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            if question_col and answer_col:
-                q, a = [terms(t) for t in df["q"]], [terms(t) for t in df["a"]]
-            else:
-                q = a = [terms(t) for t in df["t"]]  # the item as a whole
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[terms(t) for t in batch.column(i).to_pylist()] for i in range(1, batch.num_columns)]
+            q, a = texts if len(texts) == 2 else texts * 2  # the item as a whole
             words = [x if x is y else x + y for x, y in zip(q, a, strict=True)]
-            yield pd.DataFrame({"item": df["item"], "question": q, "answer": a, "words": words})
+            kind = pa.list_(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, kind) for x in (q, a, words)]], ["item", "question", "answer", "words"])
 
-    columns = [F.col(id_col).alias("item"), F.col(text_col).alias("t")]
-    if question_col and answer_col:
-        columns += [F.col(question_col).alias("q"), F.col(answer_col).alias("a")]
-    parsed = items.select(*columns).mapInPandas(split, "item long, question array<binary>, answer array<binary>, words array<binary>")
+    columns = [F.col(id_col).cast("long").alias("item")]
+    columns += [F.col(question_col), F.col(answer_col)] if question_col and answer_col else [F.col(text_col)]
+    parsed = items.select(*columns).mapInArrow(split, "item long, question array<binary>, answer array<binary>, words array<binary>")
     parsed = stored(parsed.where(F.size("words") > 0).withColumn("key", F.xxhash64("item", "words")))
     tf = parsed.select("key", "item", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("key", "item", "len", "term").agg(F.count("*").alias("tf"))
     n, mean = parsed.agg(F.count("*"), F.avg(F.size("words"))).first()
@@ -178,7 +176,8 @@ def build(items: DataFrame, id_col: str, text_col: str, question_col: str | None
         parts = max(1, -(-size // postings))
         dealt = rows.where(F.col("level") == at).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
         for p in range(parts):
-            found = dealt.where(F.col("part") == p).drop("part", "level").orderBy("item").toPandas()
+            columns = dealt.where(F.col("part") == p).drop("part", "level").orderBy("item").toArrow().to_pydict()  # ids stay whole numbers or nulls
+            found = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
             for c in ("question", "answer"):
                 found[c] = [[bytes(x) for x in v] for v in found[c]]
             found["impacts"] = [{bytes(k): v for k, v in (m.items() if isinstance(m, dict) else m)} for m in found["impacts"]]
@@ -219,7 +218,7 @@ def matches(words: list[list[bytes]], index: Index) -> Iterator[tuple[int, int,
                 held = {k: set(zip(*(passage[j:] for j in range(k)), strict=False)) for k in range(1, RUN + 1)}
             q, a = ((sum(r in held[len(r)] for r in x) / len(x) if x else 1.0) for x in index.runs[i])
             if q >= index.overlap and a >= index.overlap:
-                yield text, int(index.items["item"].iat[i]), first, score, q, a
+                yield text, index.items["item"].iat[i], first, score, q, a
 
 
 FOUND = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"

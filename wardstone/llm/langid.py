@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names, kept_columns, stored
+
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 21
 
@@ -113,8 +115,6 @@ def members(train: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", *, slots: int = 1 << 22, hashes: int = 3, most: int = 4096) -> Filters:
     """Filters from all rows of ``train``. What reaches the driver is bounded by the parameters: a row for each of ``most``
     languages, and at most ``slots`` rows of masks for 64 languages."""
-    from .common import stored
-
     rows = train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
     usual = {r["lang"]: r["n"] for r in rows.orderBy(F.desc("n"), "lang").limit(most).collect()}
     languages = sorted(usual)
@@ -171,8 +171,8 @@ def judge(texts: list[str | None], f: Filters) -> tuple[list[str], list[float]]:
     return lang, score
 
 
-def predict(docs: DataFrame, f: Filters, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``lang_pred`` and ``score`` added (columns so named before are replaced)."""
+def predict(docs: DataFrame, f: Filters, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows of ``docs`` with the language and the score added under ``names`` (columns so named before are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(f)  # bounded: slots x 8 bytes for every 64 languages
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -181,8 +181,10 @@ def predict(docs: DataFrame, f: Filters, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     of = F.pandas_udf(run, "lang_pred string, score double")
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*keep, of(F.col(text_col)).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")
+    keep = kept_columns(docs, *names)
+    (both,) = free_names(docs, "prediction")
+    found = docs.withColumn(both, of(F.col(text_col)))
+    return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(both)[c].alias(n) for c, n in zip(("lang_pred", "score"), names, strict=True)])
 
 
 def held_out() -> F.Column:

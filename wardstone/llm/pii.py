@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 
 #: Kinds in the order of output. The first four have strict forms.
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn"]
@@ -37,7 +37,7 @@ PATTERNS: dict[str, tuple[str, bool, str, str]] = {
     "phone": ("phone", True, r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     "email_spelled": ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)++", "at"),
     "phone_local": ("phone", False, r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3} )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])", ""),
-    "secret": ("secret", False, r"(?i)(?<![A-Za-z0-9_])(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_./+-]{6,128}+[\"']?|(?<![A-Za-z0-9])(?-i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])", ""),
+    "secret": ("secret", False, r"(?i)(?<![A-Za-z0-9_])(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_./+-]{6,}+[\"']?|(?<![A-Za-z0-9])(?-i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])", ""),
     "ssn": ("ssn", False, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 }
 #: Gazetteer: endings of domains and names of credentials.
@@ -47,6 +47,7 @@ CREDENTIALS = "token password passwd pwd passphrase secret client_secret api_key
 FOR = r"(?i)(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|ip|address|host|card|visa|account|iban|ssn|login|user|token|key|password)\W{0,3}$"
 AGAINST = r"(?i)(?:version|v|section|release|isbn|figure|table|page|no|chapter)\W{0,2}$"
 LABELERS = ["strict", "gazetteer", "words", "edges"]
+SMOOTHING = 10.0  # spans of a feature's mean rate that are added to both sorts
 CONTEXT = 24  # characters before a span that labelers and features see
 
 
@@ -215,10 +216,11 @@ def train(found: DataFrame, name: str = "candidates") -> Model:
         p = real[r["kind"], r["votes"]]
         yes[r["feature"]] = yes.get(r["feature"], 0.0) + r["n"] * p
         no[r["feature"]] = no.get(r["feature"], 0.0) + r["n"] * (1 - p)
-    for k in m.prior:  # a feature's rates are those among spans of its kind; the kind itself has the prior odds
+    for k in m.prior:  # a feature's rates are those among spans of its kind, rare ones drawn to their mean; the kind has the prior odds
         all_yes, all_no = (sum(n * (real[key] if y else 1 - real[key]) for key, n in counts.items() if key[0] == k) for y in (True, False))
         for f in (f for f in yes if f.startswith(f"{k}|")):
-            m.weights[f] = math.log((yes[f] + 0.5) / (all_yes + 1)) - math.log((no[f] + 0.5) / (all_no + 1))
+            mean = SMOOTHING * (yes[f] + no[f]) / max(all_yes + all_no, 1e-9)
+            m.weights[f] = math.log((yes[f] + mean) / (all_yes + SMOOTHING)) - math.log((no[f] + mean) / (all_no + SMOOTHING))
         m.weights[f"{k}|kind|"] = math.log((all_yes + 1) / (all_no + 1))
     return m
 
@@ -264,8 +266,9 @@ def masked(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by the name of its kind in angle brackets; a null text stays null."""
     keep = docs.columns
     text = F.col(text_col)
-    rows = candidates(docs, text_col, "__c").withColumn("__s", F.array_sort(spans(F.col("__c"), m), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"])))
-    all_, last = F.col("__s"), F.array_max(F.transform("__s", lambda s: s["stop"]))
+    own, placed = free_names(docs, "candidates", "spans")
+    rows = candidates(docs, text_col, own).withColumn(placed, F.array_sort(spans(F.col(own), m), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"])))
+    all_, last = F.col(placed), F.array_max(F.transform(placed, lambda s: s["stop"]))
 
     def joined(cut: Callable[[Column, Column], Column]) -> Column:
         """Pieces of text between the spans and the spans' kinds; a span whose start another one covers adds nothing."""
@@ -276,7 +279,7 @@ def masked(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     # a place in a text is found by walking there, so texts of many spans are cut into an array of characters once
     by_place = lambda chars: joined(lambda at, n: F.array_join(F.slice(chars, at, F.greatest(n, F.lit(0))), ""))
     new = F.when(F.size(all_) <= 64, joined(lambda at, n: text.substr(at, n))).otherwise(_let(F.split(text, ""), by_place))
-    return rows.withColumn(text_col, F.when(F.size("__s") > 0, new).otherwise(text)).select(*keep)
+    return rows.withColumn(text_col, F.when(F.size(placed) > 0, new).otherwise(text)).select(*keep)
 
 
 def query(docs: DataFrame) -> DataFrame:

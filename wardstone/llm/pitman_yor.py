@@ -48,6 +48,9 @@ EXACT = 1024  # customers of a dish whose tables are drawn from the full conditi
 STRENGTH = 1.0
 BURN_IN, KEPT = 4, 4
 FLUSH = 1_500_000  # tokens of a block
+DOCUMENTS = 1 << 16  # of a block, whose numbers are 16 bits
+KEYS = 1 << 62  # keys of bigrams by shard that a block may have
+SOME = 1000  # documents that are taken of a batch at once, whatever its size
 SHARD_BYTES = 16 << 20  # of text for each shard
 SLICE = 1 << 20  # bytes that are hashed at once
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -188,8 +191,13 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                 of = train[doc] > 0
                 iw, iu = iw[of], iu[of]
             k = len(word)
-            key = (lay.shard(word, iw, iu) * k + iw) * k + iu
-            del iw, iu
+            at = lay.shard(word, iw, iu)
+            if lay.shards * k * k < KEYS:
+                present = np.arange(lay.shards)
+            else:  # the shards of this block only are numbered, so that keys keep to 63 bits
+                present, at = np.unique(at, return_inverse=True)
+            key = (at * k + iw) * k + iu
+            del iw, iu, at
             if counting:
                 keys, n = np.unique(key, return_counts=True)
                 m, where = n, np.zeros(0, np.uint16)
@@ -209,11 +217,11 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                     where, m = where[at < 0], np.where(hot >= 0, 0, m)
                 where = where.astype(np.uint16)
             end = np.concatenate([[0], np.cumsum(m)])
-            cut = np.searchsorted(keys, np.arange(lay.shards + 1) * k * k)
-            home = (number & 0xFFFFFFFF) % lay.shards
+            cut = np.searchsorted(keys, np.arange(len(present) + 1) * k * k)
+            home = int(present[(number & 0xFFFFFFFF) % len(present)])
             rows: list[list] = [[] for _ in kinds]
-            for s in np.flatnonzero((np.diff(cut) > 0) | (np.arange(lay.shards) == home)).tolist():
-                a, b = cut[s], cut[s + 1]
+            for i in np.flatnonzero((np.diff(cut) > 0) | (present == home)).tolist():
+                s, a, b = int(present[i]), cut[i], cut[i + 1]
                 w = keys[a:b] // k % k
                 start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if b > a else np.zeros(0, np.int64)
                 own = s == home and not counting
@@ -227,14 +235,14 @@ def requests(docs: DataFrame, layout: Layout, counting: bool) -> DataFrame:
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
-        for b in batches:
+        for b in (whole.slice(i, SOME) for whole in batches for i in range(0, whole.num_rows, SOME)):
             w, size = tokens(b.column(2))
             parts.append(w)
             sizes.append(size)
             flags.append(np.asarray(b.column(1)).astype(np.int64))
             ids += b.column(0).to_pylist()
             held += len(w)
-            if held >= FLUSH or len(ids) > 60_000:  # documents of a block have numbers of 16 bits; a batch has far fewer
+            if held >= FLUSH or len(ids) > DOCUMENTS - SOME:
                 yield flush()
         if ids:
             yield flush()
