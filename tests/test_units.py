@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstone.functions import text as T
-from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rules, scoring, store, vision
+from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, vision
 from wardstone.operators.rules import RULES
 from wardstone.sources import readers
 
@@ -30,22 +30,201 @@ def test_despaced_view_adds_no_hit_by_accident(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     base = T.normalize(F.col("text"))
     plain = F.concat_ws(T.VIEW_BREAK, base, T.collapse_runs(base, 2), T.collapse_runs(base, 1))
-    a, b = lexicon.rule_hits(T.view_text(base), F.lit(False)), lexicon.rule_hits(plain, F.lit(False))
-    assert docs.where(~a.eqNullSafe(b)).count() == 0
+    find = rule_index.matcher(RULES)
+    assert docs.select(find(T.view_text(base))["hits"].alias("a"), find(plain)["hits"].alias("b")).where("not a <=> b").count() == 0
 
 
 def test_spelled_out_words_hit(spark):
-    df = spark.createDataFrame([(1, "you are an i d i o t"), (2, "you are an IDIOOOT"), (3, None), (4, ""), (5, "nice game"), (6, "h0pe you d1e")], "id long, text string")
-    rows = {r["id"]: r for r in lexicon.screen(df).collect()}
-    assert rows[1]["hits"] == ["bullying/idiot"] and rows[2]["hits"] == ["bullying/idiot"]
-    assert [rows[i]["lexicon_score"] for i in (1, 3, 4, 5, 6)] == [0.58, 0.05, 0.05, 0.18, 0.88]
-    assert rows[6]["category"] == "threat" and rows[5]["in_game"]
+    cases = {"an i d i o t": (["bullying/idiot"], 0.58), "an IDIOOOT": (["bullying/idiot"], 0.58), "": ([], 0.05), "gg ez": ([], 0.18), "nice game": ([], 0.08), "w4tch y0ur b@ck": (["threat/watch-your-back"], 0.88), "watchyourback": (["threat/watch-your-back"], 0.88), "idiots": ([], 0.08), "you are such an idiot": (["bullying/idiot", "bullying/aimed"], 0.88), "idiot idiot idiot": (["bullying/idiot", "bullying/flooded"], 0.88)}
+    rows = lexicon.screen(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
+    assert {r["text"]: (r["hits"], r["lexicon_score"]) for r in rows} == cases
+    assert {r["text"]: r["category"] for r in rows}["watchyourback"] == "threat"
+
+
+def test_gaming_rules_rest_in_games(spark):
+    df = spark.createDataFrame([("i will wreck you",), ("i will wreck you in this match",), ("trash bot",), (None,)], "text string")
+    got = [(r["hits"], r["in_game"], r["lexicon_score"]) for r in lexicon.screen(df).collect()]
+    assert got == [(["threat/vowed"], False, 0.58), ([], True, 0.08), (["bullying/trash"], False, 0.58), ([], False, 0.05)]
+
+
+def test_signals_of_reported_speech(spark):
+    cases = {"this is never okay": ["condemnation"], "Stop bullying": ["condemnation"], "our essay about hate": ["meta"], "She said it": ["attribution"], "how do I report him, according to mum": ["attribution", "meta"], "don't tell a teacher": [], "you are trash": []}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", lexicon.framing(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in rows} == cases
+
+
+def test_reported_speech_is_capped_and_always_explained(spark):
+    rows = [(0.9, "threat", ["meta"]), (0.3, "none", ["attribution", "meta"]), (0.9, "sexual_harassment", ["meta"]), (0.9, "threat", [])]
+    df = spark.createDataFrame(rows, "score double, category string, signals array<string>")
+    got = [tuple(r) for r in df.select(*lexicon.framed(F.col("score"), F.col("category"), F.col("signals"))).collect()]
+    assert got == [(0.5, "quoted_or_reported:meta"), (0.3, "quoted_or_reported:attribution+meta"), (0.9, None), (0.9, None)]
+
+
+def many_rules(n):
+    import random
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 5)))
+    out = [rules.Rule(f"l{i}", "literal", " ".join(word() for _ in range(draw.randint(1, 3))), draw.choice(["high", "mid"]), draw.choice(rules.CATEGORIES[:4]), draw.random() < 0.2) for i in range(n)]
+    for i in range(20):
+        a, b = word(), word()
+        out.append(rules.Rule(f"f{i}", "family", f"{a} (?:[a-z0-9']+ ){{0,2}}{b}", "mid", "threat", False, (a,) if i % 4 else ()))
+    return out
+
+
+def test_indexed_rules_hit_as_all_patterns_do(spark):
+    import random
+    import re
+
+    own, draw = many_rules(400), random.Random(4)
+    words = [w for r in own for w in r.pattern.split() if w.isalpha()] + ["match", "it's", "aaa", "x"]
+    texts = ["".join(draw.choice(words) + draw.choice([" ", " ", "", "'"]) for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = df.withColumn("base", T.normalize(F.col("text"))).withColumn("views", T.view_text(F.col("base")))
+    got = df.select("views", "base", rule_index.matcher(own)(F.col("views")).alias("f")).select("views", "base", "f.*").collect()
+    table = spark.createDataFrame([(r.rule_id, r.kind, r.pattern, r.gaming_sensitive, i, list(r.needs)) for i, r in enumerate(own)], "rule_id string, kind string, pattern string, gaming_sensitive boolean, ord int, needs array<string>")
+    joined = {r["views"]: r["hits"] for r in rule_index.hits_by_join(df, table).collect()}
+    some = 0
+    for r in got:
+        game = re.search(r"\b(?:" + "|".join(rules.GAMING) + r")\b", r["base"]) is not None
+        want = [x.rule_id for x in own if not (game and x.gaming_sensitive) and re.search(rules.pattern_of(x), r["views"])]
+        assert r["hits"] == want == joined[r["views"]] and r["in_game"] == game
+        some += len(want)
+    assert some > 500
+
+
+def test_many_rules_take_the_time_of_few():
+    import time
+
+    text = "the quick brown fox " * 100 + "idiot"
+    took = {}
+    for n in (100, 100_000):
+        index = rule_index.RuleIndex([*RULES, *[rules.Rule(f"x{i}", "literal", f"word{i} other{i % 7}", "mid", "bullying") for i in range(n)]])
+        index.find(text)
+        began = time.perf_counter()
+        for _ in range(300):
+            assert index.find(text)["hits"] == ["bullying/idiot"]
+        took[n] = time.perf_counter() - began
+    assert took[100_000] < 3 * took[100] + 0.05, took
+
+
+def test_rules_of_any_size_are_refused_or_joined(spark):
+    table = spark.createDataFrame([("a", "literal", "x" * 100, "mid", "bullying", False, 1)], "rule_id string, kind string, pattern string, band string, category string, gaming_sensitive boolean, ord int")
+    with pytest.raises(ValueError, match="hits_by_join"):
+        rules.from_table(table, most=100)
+    assert rule_index.hits_by_join(spark.createDataFrame([("x" * 100, "x" * 100)], "views string, base string"), table).first()["hits"] == ["a"]
+
+
+# --- what the screening application does, worked out by hand ---------------------------------------------------------------
+@pytest.mark.parametrize(("given", "want"), [("pwd: hunter2 ok", "pwd: [redacted] ok"), ("passwd=abc", "passwd=[redacted]"), ("api-key: K1", "api-key: [redacted]"), ("my_token=abc123", "my_token=[redacted]"), ("APIKEY = x y", "APIKEY = [redacted] y"), ("[sudo] password for bob: hunter2", "[sudo] password: [redacted]"), ("Password for bob : s3cret end", "Password for bob : [redacted] end"), (None, ""), ("no secrets here", "no secrets here"), ("token=" + "x" * 300, "token=[redacted]")])
+def test_secrets_are_hidden(spark, given, want):
+    assert one(spark, T.redact(F.lit(given).cast("string"))) == want
+
+
+def test_signals_fuse(spark):
+    def fused(*signals):
+        return one(spark, decide.fuse_signals(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("score"), F.lit(c).alias("calibrated")) for n, s, c in signals])))
+
+    f = fused(("text", 0.5, True), ("vision", 0.5, True), ("audio", 0.5, True))
+    assert (f["fused"], f["mode"], f["weighted"], f["agreement"]) == (0.65, "multimodal_agreement", 0.5, True)
+    f = fused(("text", 0.9, True), ("vision", 0.5, True))
+    assert (f["fused"], f["mode"], f["floor"]) == (0.9, "multimodal", 0.9)
+    f = fused(("text", 0.4, True), ("vision", 0.9, False))
+    assert (f["fused"], f["mode"], f["ignored"]) == (0.4, "text_only", ["vision"])
+    assert fused(("audio", 0.3, True))["mode"] == "audio_only" and fused(("text", 0.0, True))["mode"] == "idle"
+
+
+def test_categories_and_actions(spark):
+    names = {"identity_attack": "hate_identity", "violence": "bullying", "cyberbullying": "bullying", "hate_speech": "hate_identity", "Threat ": "bullying", "profanity": "profanity"}
+    for given, want in names.items():
+        assert one(spark, decide.canonical(F.lit(given))) == want
+    acts = {("profanity", 0.99): "notify_only", ("threat", 0.6): "block", ("bullying", 0.9): "block", ("bullying", 0.7): "blur_region", ("bullying", 0.69): "notify_only"}
+    for (c, s), want in acts.items():
+        assert one(spark, decide.action(F.lit(c), F.lit(s))) == want
+
+
+def test_regions_of_one_text_but_for_case_and_space(spark):
+    rows = [(1, 1, "Hello  World", 0.0, 0.0, 1.0, 1.0, 0.5), (1, 2, "hello world", 0.0, 0.0, 1.0, 1.0, 0.9), (1, 3, "HELLO world", 5.0, 5.0, 6.0, 6.0, 0.9)]
+    df = spark.createDataFrame(rows, "frame_id long, ord int, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    assert [(r["slot"], r["ord"]) for r in evidence.deduped(df).orderBy("slot").collect()] == [(0, 2), (1, 3)]
+    assert [(r["ord_a"], r["ord_b"]) for r in evidence.overlaps(df).collect()] == [(1, 2)]
+
+
+def test_pictures_by_blob(spark):
+    def found(hot, size=10, sat=0.5):
+        cells = [(1, r, c, 1.0 if (r, c) in hot else 0.0, sat) for r in range(size) for c in range(size)]
+        return evidence.dominant_picture(spark.createDataFrame(cells, "frame_id long, row int, col int, interest double, sat double"), size, size, 1000, 1000).count()
+
+    c_shape = {(0, c) for c in range(10)} | {(9, c) for c in range(10)} | {(r, 0) for r in range(10)}
+    assert found(c_shape) == 1  # 28 % of the cells in a box of the whole frame
+    squares = [{(r + i, c + j) for i in range(3) for j in range(3)} for r, c in ((0, 0), (0, 5), (5, 0), (5, 5))]
+    assert found(set.union(*squares[:3])) == 1 and found(set.union(*squares)) == 0  # four equal ones are a gallery
+    assert found(squares[0], sat=0.1) == 0 and found({(0, 0)}) == 0
+
+
+def test_frames_by_title_and_features(spark):
+    def scores(title, skin=0.0, motion=0, person=False, shape=False, bottle=False):
+        s = evidence.frame_scores(F.lit(title), F.lit(skin), F.lit(motion), F.lit(person), F.lit(shape), F.lit(bottle))
+        return tuple(one(spark, F.array(*[s[k].cast("double") for k in ("nsfw", "weapons", "violence")])))
+
+    assert scores("x", skin=0.4) == (0.84, 0.15, 0.05) and scores("dance", skin=0.4)[0] == scores("chef", skin=0.4)[0] == 0.12
+    assert scores("nude dancing")[0] == 0.12 and scores("nude cook")[0] == 0.89
+    assert scores("knife kitchen")[1] == 0.15 and scores("knife party")[1] == 0.91 and scores("x", person=True, bottle=True)[1] == 0.81
+    assert scores("fight party")[2] == 0.05 and scores("x", motion=13, person=True)[2] == 0.83
+    threat = lambda *v: one(spark, evidence.frame_threat(*map(F.lit, v)))  # noqa: E731  nsfw, violence, weapons
+    assert (threat(0.89, 0.94, 0.9), threat(0.89, 0.89, 0.1), threat(0.1, 0.1, 0.76), threat(0.1, 0.8, 0.75)) == ("violence", "adult_content", "weapons", "none")
+
+
+def test_moods_and_kinds(spark):
+    for given, want in {" positive": "Positive", "NEGATIVE ": "Negative", "Curious": "Positive", "": "Neutral", "bored": "Neutral"}.items():
+        assert one(spark, dashboard.mood(F.lit(given))) == want
+    for given, want in {"bullying": "other", "threat": "other", "weapons": "other", "sexual_harassment": "other", "hate_speech": "hate", "adult_content": "adult", "violence_hate": "violence"}.items():
+        assert one(spark, dashboard.threat_kind(F.lit(given))) == want
+
+
+def test_trend_index_and_cards(spark):
+    turns = spark.createDataFrame([(1, 9, 1, "scared"), (1, 9, 2, "Happy"), (2, 9, 1, None), (2, 9, 2, "angry"), (3, 9, 1, "angry"), (4, 12, 1, None)], "session_id int, child_age int, turn int, raw_emotion string")
+    sessions = spark.createDataFrame([(1, 9, "2024-01-01 10:00:00", True), (2, 9, "2024-01-01 12:00:00", False), (3, 9, "2024-01-02 00:00:00", True), (4, 12, "2024-01-03 00:00:00", True)], "session_id int, child_age int, ts string, completed boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(str(r["day"])[:10], r["session_id"], r["emotion"]) for r in dashboard.emotion_trend(turns, sessions).collect()] == [("2024-01-03", 4, "neutral"), ("2024-01-02", 3, "angry"), ("2024-01-01", 1, "happy")]
+    assert {r["child_age"]: r["index"] for r in dashboard.negative_index(turns, "child_age", default=0.2).collect()} == {9: 0.75, 12: 0.2}
+    runs = spark.createDataFrame([(9, "hate"), (9, "not-hate"), (30, "hate")], "child_age int, decision string")
+    cards = {r["child_age"]: tuple(r)[1:] for r in dashboard.cards(runs, sessions, spark.createDataFrame([(9, 12)], "child_age int, minutes int")).collect()}
+    assert cards == {9: (3, 1, 1, 12), 12: (1, 0, 0, 0), 30: (0, 1, 1, 0), None: (4, 2, 2, 12)}
+    assert tuple(dashboard.recommendations(turns).where("child_age = 9").first())[1:] == (True, False, False)
 
 
-def test_condemnation_is_framed_unless_it_isolates(spark):
-    df = spark.createDataFrame([("never call her that",), ("don't tell a teacher",), ("stop posting that, this is cruel",)], "t string")
-    got = [r["s"] for r in df.select(lexicon.framing(F.col("t")).alias("s")).collect()]
-    assert got == [["condemnation"], [], ["condemnation"]]
+def test_threshold_of_an_envelope(spark):
+    for given, want in {'{"payload": {"persona_threshold": 0.42}}': 0.42, '{"payload": {"persona_threshold": 0}}': 0.65, '{"threshold": 0.3}': 0.65, "broken": 0.65}.items():
+        assert float(one(spark, store.effective_threshold(F.lit(given), F.lit(12)))) == want
+    assert float(one(spark, store.effective_threshold(F.lit(None).cast("string"), F.lit(None).cast("int")))) == 0.55
+
+
+def test_trigger_takes_the_verdicts_category(spark):
+    def of(nsfw=0.0, adult=0.0, violence=0.0, weapons=0.0, hate=0.0, verdict=False, category=None, score=0.0):
+        named = {"nsfw": nsfw, "adult": adult, "violence": violence, "weapons": weapons, "hate": hate, "verdict": verdict, "verdict_score": score}
+        return tuple(one(spark, store.trigger(verdict_category=F.lit(category).cast("string"), **{k: F.lit(v) for k, v in named.items()})))
+
+    assert of(verdict=True, category="bullying", score=0.64) == ("cyberbullying", 0.64) and of(hate=0.8) == ("none", 0.0) and of(hate=0.81) == ("hate_speech", 0.81)
+    assert of(adult=0.9, violence=0.95) == ("adult_content", 0.9) and of(violence=0.9, verdict=True, category="threat") == ("violence", 0.9) and of(weapons=0.76) == ("weapons", 0.76)
+
+
+def test_explanation_of_a_run(spark):
+    said = decide.explanation(decision=F.lit("hate"), escalated=F.lit(True), has_ocr=F.lit(True), has_asr=F.lit(True), hits=F.array(*[F.lit(x) for x in "abcde"]), model=F.lit(0.456), framing=F.lit("x"), vision=F.lit(0.3), vision_calibrated=F.lit(False), fused=F.lit(0.905))
+    assert one(spark, said) == "Flagged after multimodal scoring. Read from on-screen text and speech. Matched rule(s): a, b, c, d. Language model scored 0.46. Score reduced — the text looks like it is reporting or quoting harm, not committing it. Image branch read 0.30 but is uncalibrated, so it did not affect the score. Final risk 0.91."
+
+
+def test_thetas_from_counts(spark):
+    import random
+
+    draw = random.Random(1)
+    rows = [(draw.choice("ab"), draw.choice([0.35, 0.5, 0.55, 0.8, draw.random(), None]), draw.random() < 0.4) for _ in range(500)]
+    df = spark.createDataFrame(rows, "scorer string, score double, hate boolean")
+    got = {(r["scorer"], r["theta"]): (r["tp"], r["fp"], r["tn"], r["fn"]) for r in evaluation.sweep(df, [0.8, 0.35, 0.55]).collect()}
+    for (s, t), cells in got.items():
+        own = [(x >= t, y) for k, x, y in rows if k == s and x is not None]
+        assert cells == tuple(own.count(c) for c in ((True, True), (True, False), (False, False), (False, True)))
+    assert len(got) == 6
+    assert {r["persona"] for r in evaluation.by_persona(df, {"x": 0.55, "y": 0.55, "z": 0.8}).collect()} == {"x", "y", "z"}
 
 
 def test_reply_json(spark):
@@ -57,8 +236,9 @@ def test_reply_json(spark):
 
 
 def test_reply_text(spark):
-    assert one(spark, T.reply_text(F.lit("Sure! Here is the text: 'hello'"))) == "hello"
-    assert one(spark, T.reply_text(F.lit("NONE"))) == ""
+    cases = {" Sure! Here is the text: 'hello'": "'hello'", "here's what it says: **a** - `b`": "a b", " none. ": "", "Sure, why not": "Sure, why not", "the answer: x": "the answer: x", None: ""}
+    for given, want in cases.items():
+        assert one(spark, T.reply_text(F.lit(given).cast("string"))) == want
 
 
 def test_fusion_never_falls_below_the_strongest_signal(spark):
@@ -90,9 +270,10 @@ def test_dominant_picture(spark):
 
 
 def test_process_flags(spark):
-    rows = [(1, "chrome.exe", r"C:\Program Files\Google\chrome.exe"), (2, "chrome.exe", r"C:\Users\x\AppData\chrome.exe"), (3, "odd.exe", r"C:\Temp\odd.exe"), (4, "calc.exe", r"C:\Windows\calc.exe")]
+    rows = [(1, "chrome.exe", r"C:\Program Files\Google\chrome.exe"), (2, "chrome.exe", r"C:\Users\x\AppData\chrome.exe"), (3, "odd.exe", r"C:\Temp\odd.exe"), (4, "calc.exe", r"C:\Windows\calc.exe"), (5, "Firefox", "/tmp/firefox"), (6, "opera", None)]
     got = evidence.process_flags(spark.createDataFrame(rows, "pid int, name string, exe string")).collect()
-    assert [(r["pid"], r["is_anomaly"]) for r in got] == [(2, True), (3, True), (1, False), (4, False)]
+    assert [(r["pid"], r["is_anomaly"]) for r in got] == [(2, True), (5, True), (3, True), (1, False), (6, False), (4, False)]
+    assert got[1]["reason"].startswith("Browser")
 
 
 def test_degraded_backends(spark):
@@ -179,14 +360,8 @@ def test_rules_come_from_a_table(spark):
     assert got == {1: (["a", "b"], "bullying"), 2: ([], "none")}
 
 
-def test_own_families(spark):
-    hits = {"i will find and hurt you": "threat/announced-harm", "i know your address": "threat/warning", "you are really so dumb": "bullying/put-down", "send me a photo of you": "sexual/asks-for-pictures", "these people are like rats": "identity/called-animals", "immigrants should go home": "identity/shut-out", "you have no friends": "bullying/shut-out"}
-    rows = lexicon.screen(spark.createDataFrame([(t,) for t in hits], "text string")).collect()
-    assert {r["text"]: r["hits"] for r in rows} == {t: [h] for t, h in hits.items()}
-
-
 def test_media_flags(spark):
-    for title, want in {"Movie - VLC": (True, False), "Battle": (False, True), "mail": (False, False), "Match of the day": (True, True)}.items():
+    for title, want in {"Movie - VLC": (True, False), "Battle": (False, False), "mail": (False, False), "Match of the day": (True, True)}.items():
         assert tuple(one(spark, evidence.media_flags(F.lit(title))))[:2] == want
 
 

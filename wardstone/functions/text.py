@@ -42,11 +42,19 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def redact(text: Column, limit: int = 500) -> Column:
-    """Hides passwords, tokens and keys, then cuts to ``limit`` characters."""
-    out = F.regexp_replace(text, r"(?i)\[sudo\] password for [^:\s]+:\s*\S+", "[redacted]")
-    out = F.regexp_replace(out, r"(?i)password for [^:\s]+:\s*\S+", "[redacted]")
-    out = F.regexp_replace(out, r"(?i)\b(password|secret|token|api_key)\b\s*[=:]\s*\S+", "$1=[redacted]")
+#: What stands before a secret, in the order in which they are hidden, and what replaces the match.
+SECRETS = [
+    (r"(?i)\[sudo\]\s*password\s*for\s+\S+\s*:?\s*\S*", "[sudo] password: [redacted]"),
+    (r"(?i)(password\s+for\s+\S+\s*[:=]\s*)\S+", "$1[redacted]"),
+    (r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*)\S+", "$1[redacted]"),
+]
+
+
+def redact(text: Column, limit: int = 200) -> Column:
+    """Hides passwords, tokens and keys, then cuts to ``limit`` characters; a null text is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, shown in SECRETS:
+        out = F.regexp_replace(out, pattern, shown)
     return F.substring(out, 1, limit)
 
 
@@ -55,10 +63,10 @@ def snippet(text: Column, limit: int, tail: str = "") -> Column:
 
 
 def reply_text(text: Column) -> Column:
-    """A model's reply without its scaffolding; NONE is empty."""
-    out = F.regexp_replace(text, r"(?is)^\s*(?:sure[,!.]?\s*|here (?:is|are)[^:\n]{0,60}:\s*|answer:\s*|text:\s*)+", "")
-    out = F.trim(F.regexp_replace(out, r"^[\s\"'`*]+|[\s\"'`*]+$", ""))
-    return F.when(F.upper(out).isin("NONE", "NONE."), "").otherwise(out)
+    """A model's reply without an announcement up to its colon and without markup; NONE is empty, and so is a null reply."""
+    announced, marks = r"(?i)^(?:sure[!,.]?\s*)?here(?:'s| is)[^:]{0,40}:\s*", r"[*_`#>-]{1,3}"  # fixed values
+    out = squeeze(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), announced, ""), marks, " "))
+    return F.when(F.upper(F.regexp_replace(out, r"^[ .]+|[ .]+$", "")) == "NONE", "").otherwise(out)
 
 
 def speech(text: Column) -> Column:

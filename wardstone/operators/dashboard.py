@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp, r4, snippet
-from .decide import mapped
+from .decide import mapped, two_places
 from .rules import MOOD
 
-NEGATIVE = ("scared", "defensive", "frustrated", "angry", "negative")
+#: Emotions that count as negative, and those of the impacts of the feed.
+NEGATIVE = ("scared", "defensive", "frustrated", "angry")
+IMPACTS = {"Positive": ("resolved", "compliant", "happy"), "Favorable": ("reflective", "curious"), "Negative": ("scared", "defensive"), "Very Negative": ("frustrated", "angry")}
 
 
-def cards(runs: DataFrame) -> DataFrame:
-    """Counts for each age and for all together (a null age)."""
-    hate = F.col("decision") == "hate"
-    return runs.groupingSets([["child_age"], []], "child_age").agg(F.count_if(hate).alias("intercepts"), F.count_if(hate & (F.col("risk") > 0.9)).alias("severe"), F.count("*").alias("checks"), F.floor(F.sum("total_ms") / 60000).alias("minutes"))
+def cards(runs: DataFrame, sessions: DataFrame, screen: DataFrame) -> DataFrame:
+    """Cards of each age and of all together (a null age): sessions, runs that decided hate (as alerts and as their count)
+    and minutes of ``screen`` (child_age, minutes). Ages in any of the three have a row."""
+    none = F.lit(0).cast("long")
+    rows = sessions.select("child_age", F.lit(1).cast("long").alias("s"), none.alias("h"), none.alias("m"))
+    rows = rows.union(runs.where(F.col("decision") == "hate").select("child_age", none, F.lit(1).cast("long"), none))
+    rows = rows.union(screen.select("child_age", none, none, F.col("minutes").cast("long")))
+    total = lambda c: F.coalesce(F.sum(c), none)
+    return rows.groupingSets([["child_age"], []], "child_age").agg(total("s").alias("content_intercepted"), total("h").alias("high_severity_alerts"), total("h").alias("hate_speech_detected"), total("m").alias("screen_time_minutes"))
 
 
 def mood(emotion: Column) -> Column:
-    return F.coalesce(mapped(MOOD, F.lower(emotion)), F.lit("Neutral"))
+    return F.coalesce(mapped(MOOD, F.lower(F.regexp_replace(emotion, r"^\s+|\s+$", ""))), F.lit("Neutral"))
 
 
 def rolled_up(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -37,9 +44,11 @@ def newest_sessions(sessions: DataFrame, most: int = 50) -> DataFrame:
 
 
 def threat_kind(threat: Column) -> Column:
-    t = F.lower(threat)
-    has = lambda w: F.contains(t, F.lit(w))
-    return F.when(has("violence") | has("threat") | has("weapon"), "violence").when(has("hate") | has("bully"), "hate").when(has("adult") | has("sexual"), "adult").when(has("controversial"), "controversial").otherwise("other")
+    """The slice of a category or threat type by what its name holds, the first that fits."""
+    out = F.when(F.lit(False), "")
+    for word in ("violence", "hate", "adult", "controversial"):
+        out = out.when(F.contains(threat, F.lit(word)), word)
+    return out.otherwise("other")
 
 
 def with_share(counts: DataFrame, n: str, order: list[str]) -> DataFrame:
@@ -50,15 +59,19 @@ def with_share(counts: DataFrame, n: str, order: list[str]) -> DataFrame:
     return out.withColumn("offset", F.coalesce(F.sum("percent").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def negative_index(turns: DataFrame, *by: str) -> DataFrame:
-    part = F.avg(F.when(F.lower("raw_emotion").isin(*NEGATIVE), 1.0).otherwise(0.0))
-    return turns.groupBy(*by).agg(r4(clamp(F.coalesce(part, F.lit(0.1)), 0.1, 0.95), 2).alias("index"))
+def negative_index(turns: DataFrame, *by: str, default: float | None = None) -> DataFrame:
+    """Share of negative emotions among the turns that have one, two places, within 0.1 and 0.95; ``default`` without any."""
+    known = F.coalesce("raw_emotion", F.lit("")) != ""
+    part = F.avg(F.when(known, F.lower("raw_emotion").isin(*NEGATIVE).cast("double")))
+    return turns.groupBy(*by).agg(F.when(part.isNull(), F.lit(default).cast("double")).otherwise(clamp(r4(part, 2), 0.1, 0.95)).alias("index"))
 
 
-def emotion_trend(turns: DataFrame, days: int = 7) -> DataFrame:
-    """For each day the last session's last turn, the newest ``days``."""
-    last = turns.groupBy("session_id", "ts").agg(F.max_by("raw_emotion", "turn").alias("emotion"))
-    day = last.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.max_by(F.struct("session_id", "emotion"), F.struct("ts", "session_id")).alias("s"))
+def emotion_trend(turns: DataFrame, sessions: DataFrame, days: int = 7) -> DataFrame:
+    """For each day the emotion of the last turn of its last completed session, the newest ``days``. ``sessions`` has
+    session_id, ts and completed; sessions without turns or time don't count, a turn without an emotion is neutral."""
+    last = turns.groupBy("session_id").agg(F.max_by(F.lower(F.coalesce(F.nullif("raw_emotion", F.lit("")), F.lit("neutral"))), F.col("turn")).alias("emotion"))
+    done = sessions.where(F.col("completed") & F.col("ts").isNotNull()).select("session_id", "ts").join(last, "session_id")
+    day = done.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.max_by(F.struct("session_id", "emotion"), F.struct("ts", "session_id")).alias("s"))
     return day.select("day", "s.*").orderBy(F.desc("day")).limit(days)
 
 
@@ -69,26 +82,38 @@ def alerts(runs: DataFrame, sessions: DataFrame, most: int = 5) -> DataFrame:
     return both.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def context(*texts: Column, limit: int = 80) -> Column:
-    """The first text that isn't blank, cut."""
-    return snippet(F.coalesce(*[F.when(F.trim(t) != "", t) for t in texts], F.lit("")), limit, "…")
+def context(*texts: Column, limit: int = 80, tail: str = "...", missing: str = "N/A") -> Column:
+    """The first text that isn't empty, cut to ``limit`` characters."""
+    return snippet(F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(missing)), limit, tail)
 
 
 def impact(emotion: Column) -> Column:
-    return F.when(mood(emotion) == "Negative", "needs care").when(mood(emotion) == "Positive", "improving").otherwise("steady")
+    out = F.when(F.lit(False), "")
+    for name, emotions in IMPACTS.items():
+        out = out.when(F.lower(emotion).isin(*emotions), name)
+    return out.otherwise("Neutral")
+
+
+def feed(runs: DataFrame, sessions: DataFrame, most: int = 3) -> DataFrame:
+    """The newest ``most`` explanations of each age (child_age, ts, key, title, details, impact): runs that decided hate
+    (id, ts, child_age, decision, category, risk, overlay_text, ocr_text, transcript) and sessions (session_id, ts, child_age,
+    threat_type, completed, emotion and phase of the last turn, null without turns). The wording is a fixed value."""
+    flagged = F.concat(F.lit('Analyst detected category "'), F.coalesce("category", F.lit("none")), F.lit('" (risk score '), two_places(F.col("risk")), F.lit('). Content flagged: "'), context(F.col("overlay_text"), F.col("ocr_text"), F.col("transcript")), F.lit('"'))
+    a = runs.where(F.col("decision") == "hate").select("child_age", "ts", F.col("id").cast("string").alias("key"), F.lit("Hate Speech Flagged").alias("title"), flagged.alias("details"), F.lit("Negative").alias("impact"))
+    emotion, phase = F.coalesce("emotion", F.lit("neutral")), F.coalesce("phase", F.lit("Acknowledge"))
+    status = F.when(F.col("completed"), "Completed").otherwise("Active Dialog")
+    told = F.concat(F.lit('Socratic agent intercepted a "'), "threat_type", F.lit('" threat. Session status: "'), status, F.lit('" in phase "'), phase, F.lit('". Child response emotional index: "'), emotion, F.lit('".'))
+    b = sessions.select("child_age", "ts", F.concat(F.lit("xai-"), F.col("session_id").cast("string")).alias("key"), F.lit("Socratic Safety Intercept").alias("title"), told.alias("details"), impact(emotion).alias("impact"))
+    rank = F.row_number().over(Window.partitionBy("child_age").orderBy(F.desc("ts"), "key"))
+    return a.union(b).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def recommendations(turns: DataFrame) -> DataFrame:
-    some = lambda *e: F.bool_or(F.lower("raw_emotion").isin(*e))
-    out = turns.groupBy("child_age").agg(some("scared").alias("reassure"), some("angry", "frustrated").alias("cool_down"), some("reflective", "curious").alias("praise"))
-    return out.withColumn("co_view", F.col("child_age") <= 10)
-
-
-def trace_steps(df: DataFrame) -> Column:
-    """Steps of a check in order, each with status and time, from a decided run."""
-    step = lambda name, done, share: F.struct(F.lit(name).alias("step"), F.when(done, "done").otherwise("skipped").alias("status"), F.when(done, F.col("total_ms") * share).otherwise(0.0).alias("ms"))
-    has_picture = F.col("vision_score") > 0
-    return F.array(step("capture", F.lit(True), 0.05), step("audio", F.col("has_asr"), 0.1), step("ocr", F.col("has_ocr"), 0.5), step("clip", has_picture, 0.1), step("stage1", F.lit(True), 0.1), step("stage2", F.col("escalated"), 0.1), step("decide", F.lit(True), 0.05))
+    """Which advice an age's page shows: the one for young or older children, and what its emotions add: ``gentle`` after
+    frustration or defence, else ``praise`` after compliance."""
+    some = lambda *e: F.coalesce(F.bool_or(F.lower("raw_emotion").isin(*e)), F.lit(False))
+    out = turns.groupBy("child_age").agg(some("frustrated", "defensive").alias("gentle"), some("resolved", "compliant").alias("__well"))
+    return out.select("child_age", (F.col("child_age") <= 10).alias("young"), "gentle", (~F.col("gentle") & F.col("__well")).alias("praise"))
 
 
 def recent_apps(runs: DataFrame, most: int = 8) -> DataFrame:

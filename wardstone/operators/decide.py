@@ -24,12 +24,12 @@ def threshold(age: Column) -> Column:
 
 
 def canonical(category: Column) -> Column:
-    c = F.lower(F.trim(category))
-    return F.when(category.isNull(), "none").when(c.isin(CATEGORIES), c).otherwise(F.coalesce(mapped(LEGACY, c), F.lit("bullying")))
+    """A known category as it is, an older name as its new one, any other as bullying; null is none."""
+    return F.when(category.isNull(), "none").when(category.isin(CATEGORIES), category).otherwise(F.coalesce(mapped(LEGACY, category), F.lit("bullying")))
 
 
 def action(category: Column, score: Column) -> Column:
-    return F.when(category == "profanity", "notify").when((category == "threat") | (score >= 0.9), "block").when(score >= 0.7, "blur").otherwise("notify")
+    return F.when(category == "profanity", "notify_only").when((category == "threat") | (score >= 0.9), "block").when(score >= 0.7, "blur_region").otherwise("notify_only")
 
 
 def summary(category: Column) -> Column:
@@ -46,19 +46,24 @@ def fused(text: Column, vision: Column, calibrated: Column) -> tuple[Column, Col
     both = F.least(F.lit(1.0), F.greatest(0.6 * text + 0.4 * vision + F.when(agree, 0.15).otherwise(0.0), text, vision))
     has_text, has_vision = text > 0, calibrated & (vision > 0)
     score = F.when(has_text & has_vision, both).when(has_text, text).when(has_vision, vision).otherwise(0.0)
-    mode = F.when(has_text & has_vision, "late_fusion").when(has_text, "text_only").when(has_vision, "vision_only").otherwise("idle")
+    mode = F.when(has_text & has_vision & agree, "multimodal_agreement").when(has_text & has_vision, "multimodal").when(has_text, "text_only").when(has_vision, "vision_only").otherwise("idle")
     return r4(score), mode
 
 
 def fuse_signals(signals: Column) -> Column:
-    """The same over an array of (name, score, calibrated); weights 0.6 for text, 0.4 for the others' mean."""
+    """The same over an array of (name, score, calibrated). Text weighs 0.6 and vision 0.4; signals of other names only set
+    the floor and take part in the agreement. Struct of fused, mode, floor, weighted, agreement, contributing, ignored."""
     used = F.filter(signals, lambda s: s["calibrated"] & (s["score"] > 0))
     strongest = F.coalesce(F.array_max(F.transform(used, lambda s: s["score"])), F.lit(0.0))
-    weighted = F.aggregate(used, F.lit(0.0), lambda a, s: a + s["score"] * F.when(s["name"] == "text", 0.6).otherwise(0.4))
-    bonus = F.when(F.forall(used, lambda s: (s["score"] >= 0.35) & (s["score"] < 0.85)), 0.15).otherwise(0.0)
-    value = F.when(F.size(used) < 2, strongest).otherwise(F.least(F.lit(1.0), F.greatest(weighted + bonus, strongest)))
+    first = lambda name: F.coalesce(F.get(F.filter(used, lambda s: s["name"] == name), 0)["score"], F.lit(0.0))
+    several = F.size(used) > 1
+    weighted = F.when(several, 0.6 * first("text") + 0.4 * first("vision")).otherwise(strongest)
+    agreement = several & F.forall(used, lambda s: (s["score"] >= 0.35) & (s["score"] < 0.85))
+    value = F.least(F.lit(1.0), F.greatest(weighted + F.when(agreement, 0.15).otherwise(0.0), strongest))
+    names = F.transform(used, lambda s: s["name"])
+    mode = F.when(F.size(used) == 0, "idle").when(~several, F.concat(F.get(names, 0), F.lit("_only"))).when(agreement, "multimodal_agreement").otherwise("multimodal")
     ignored = F.filter(signals, lambda s: ~s["calibrated"] & (s["score"] > 0))
-    return F.struct(r4(value).alias("fused"), F.transform(used, lambda s: s["name"]).alias("contributing"), F.transform(ignored, lambda s: s["name"]).alias("ignored"))
+    return F.struct(r4(value).alias("fused"), mode.alias("mode"), r4(strongest).alias("floor"), r4(F.least(F.lit(1.0), weighted)).alias("weighted"), agreement.alias("agreement"), names.alias("contributing"), F.transform(ignored, lambda s: s["name"]).alias("ignored"))
 
 
 def shares(text: Column, vision: Column, has_ocr: Column, has_asr: Column) -> dict[str, Column]:
@@ -76,7 +81,7 @@ def decided(df: DataFrame) -> DataFrame:
     out = df.withColumn("category", canonical(F.col("category"))).withColumn("fused", score).withColumn("mode", mode)
     out = out.withColumn("threshold", threshold(F.col("child_age"))).withColumn("escalated", escalates(F.col("text_score"), F.col("vision_score"), F.col("vision_calibrated")))
     hate = F.col("escalated") & (F.col("fused") >= F.col("threshold")) & (F.col("category") != "none")
-    out = out.withColumn("decision", F.when(hate, "hate").otherwise("not_hate"))
+    out = out.withColumn("decision", F.when(hate, "hate").otherwise("not-hate"))
     out = out.withColumn("reason", F.when(hate | ~F.col("escalated"), F.lit(None).cast("string")).when(F.col("fused") < F.col("threshold"), "below_persona_threshold").otherwise("category_none"))
     out = out.withColumn("action", F.when(hate, action(F.col("category"), F.col("fused"))).otherwise("none"))
     topic = F.when(hate, "hate.detected").when(F.col("escalated"), "hate.cleared")
@@ -87,15 +92,45 @@ def protection(decision: Column, escalated: Column, notes: Column) -> Column:
     return F.when(decision == "hate", "threat").when(F.exists(notes, lambda n: F.contains(n, F.lit("failed:"))), "degraded").when(escalated, "reviewing").otherwise("protected")
 
 
-def explanation(decision: Column, category: Column, score: Column, limit: Column, mode: Column) -> Column:
-    """One plain sentence on what decided."""
-    what = F.translate(category, "_", " ")
-    by = F.when(mode == "late_fusion", "text and picture together").when(mode == "vision_only", "the picture").when(mode == "text_only", "the text").otherwise("nothing")
-    number = lambda x: F.format_string("%.2f", x)
-    return F.when(decision == "hate", F.concat(F.lit("Flagged as "), what, F.lit(" by "), by, F.lit(": "), number(score), F.lit(" reaches "), number(limit), F.lit("."))).otherwise(F.concat(F.lit("Not flagged: "), number(score), F.lit(" by "), by, F.lit(" against "), number(limit), F.lit(".")))
+def two_places(x: Column) -> Column:
+    return F.format_string("%.2f", r4(F.coalesce(x, F.lit(0.0)), 2))
+
+
+def explanation(*, decision: Column, escalated: Column, has_ocr: Column, has_asr: Column, hits: Column, model: Column, framing: Column, vision: Column, vision_calibrated: Column, fused: Column) -> Column:
+    """One sentence for each fact that moved the decision: outcome, channels, rules (four at most), model, framing, a picture
+    score that doesn't count, and the risk. The wording is a fixed value."""
+    channels = F.array_compact(F.array(F.when(has_ocr, "on-screen text"), F.when(has_asr, "speech")))
+    parts = [
+        F.when(decision == "hate", "Flagged after multimodal scoring.").when(escalated, "Escalated to Stage 2 but stayed below this child's age threshold.").otherwise("Stage-1 screen — nothing escalated."),
+        F.when(F.size(channels) > 0, F.concat(F.lit("Read from "), F.array_join(channels, " and "), F.lit("."))),
+        F.when(F.size(hits) > 0, F.concat(F.lit("Matched rule(s): "), F.array_join(F.slice(hits, 1, 4), ", "), F.lit("."))),
+        F.when(model > 0, F.concat(F.lit("Language model scored "), two_places(model), F.lit("."))),
+        F.when(F.coalesce(framing, F.lit("")) != "", "Score reduced — the text looks like it is reporting or quoting harm, not committing it."),
+        F.when((vision > 0) & ~vision_calibrated, F.concat(F.lit("Image branch read "), two_places(vision), F.lit(" but is uncalibrated, so it did not affect the score."))),
+        F.concat(F.lit("Final risk "), two_places(fused), F.lit(".")),
+    ]
+    return F.concat_ws(" ", *parts)
+
+
+def detected_payload(df: DataFrame) -> Column:
+    """What a detection tells, of a decided row with text_share, vision_share and audio_share, app_exe, app_category,
+    ocr_text, transcript and hits."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.struct(
+        r4(F.col("fused")).alias("score"), F.col("category"), F.lit(2).alias("stage"),
+        F.struct(F.col("text_share").alias("text"), F.col("vision_share").alias("image"), F.col("audio_share").alias("audio")).alias("modalities"),
+        F.struct(F.coalesce("app_exe", F.lit("unknown")).alias("exe"), F.coalesce("app_category", F.lit("other")).alias("category")).alias("app"), F.lit("").alias("window_title_hash"),
+        F.struct(F.substring(text("ocr_text"), 1, 200).alias("ocr_snippet"), F.substring(text("transcript"), 1, 200).alias("transcript_snippet"), F.slice("hits", 1, 10).alias("lexicon_hits"), F.array().cast("array<string>").alias("top_tokens")).alias("evidence"),
+        F.coalesce(mapped(SUMMARY, F.col("category")), F.lit(SUMMARY["bullying"])).alias("child_safe_summary"), action(F.col("category"), F.col("fused")).alias("recommended_action"), F.col("threshold").alias("persona_threshold"),
+    )
+
+
+def cleared_payload(df: DataFrame) -> Column:
+    """What a row that escalated and was cleared tells: both scores and the reason."""
+    return F.struct(r4(F.greatest("text_score", "vision_score")).alias("stage1_score"), r4(F.col("fused")).alias("stage2_score"), F.col("reason"))
 
 
 def envelopes(df: DataFrame) -> DataFrame:
-    """(topic, key, value) of rows that have a topic, the value as JSON."""
-    value = F.to_json(F.struct(F.col("category"), F.col("action"), F.col("reason")))
-    return df.where(F.col("topic").isNotNull()).select("topic", F.col("id").cast("string").alias("key"), value.alias("value"))
+    """(topic, key, value) of decided rows that have a topic: the key is the correlation id, the value the payload as JSON."""
+    payload = F.when(F.col("topic") == "hate.detected", F.to_json(detected_payload(df))).otherwise(F.to_json(cleared_payload(df)))
+    return df.where(F.col("topic").isNotNull()).select("topic", F.col("id").cast("string").alias("key"), payload.alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import content_bucket, content_split, r4
+from ..functions.text import content_bucket, content_split, r4, squeeze
 
 CASES = ["case_id", "text", "hate", "category", "bucket"]
 
@@ -20,27 +20,39 @@ def union_cases(*sets: DataFrame) -> DataFrame:
     return out
 
 
-def _case(df: DataFrame, key: str, text: str, category: Column, most: int) -> DataFrame:
-    rows = df.withColumn("category", category).where(F.col("category").isNotNull() & (F.length(text) <= most))
-    return rows.select(F.col(key).alias("case_id"), F.col(text).alias("text"), (F.col("category") != "none").alias("hate"), "category")
+def _case(df: DataFrame, key: str, text: str, category: Column, bucket: Column, most: int) -> DataFrame:
+    """Cases of the rows that have a category, their texts squeezed; blank texts and those over ``most`` characters go."""
+    rows = df.select(F.col(key).alias("case_id"), squeeze(F.coalesce(text, F.lit(""))).alias("text"), category.alias("category"), bucket.alias("bucket"))
+    rows = rows.where(F.col("category").isNotNull() & (F.col("text") != "") & (F.length("text") <= most))
+    return rows.select("case_id", "text", (F.col("category") != "none").alias("hate"), "category", "bucket")
+
+
+#: The bucket of a corpus's cases of each category.
+BUCKETS = {"threat": "threat", "hate_identity": "implicit", "bullying": "bullying", "none": "benign"}
+
+
+def _bucket(category: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in BUCKETS.items() for v in kv]), category)
 
 
 def from_flags(df: DataFrame, key: str, text: str, most: int = 600) -> DataFrame:
     """Cases of a corpus with flags; rows that are only toxic in general are dropped."""
     category = F.when(F.col("threat"), "threat").when(F.col("identity"), "hate_identity").when(F.col("insult") | F.col("severe"), "bullying").when(~F.col("toxic"), "none")
-    return _case(df, key, text, category, most)
+    return _case(df, key, text, category, _bucket(category), most)
 
 
 def from_class(df: DataFrame, key: str, text: str, most: int = 600) -> DataFrame:
-    """Cases of a three-class corpus: 0 harm, 2 benign, 1 dropped."""
-    return _case(df, key, text, F.when(F.col("class") == 0, "hate_identity").when(F.col("class") == 2, "none"), most)
+    """Cases of a three-class corpus: 0 harm, 2 (and none) benign, 1 dropped."""
+    number = F.coalesce("class", F.lit(2))
+    category = F.when(number == 0, "hate_identity").when(number == 2, "none")
+    return _case(df, key, text, category, _bucket(category), most)
 
 
 def from_ordinal(df: DataFrame, key: str, text: str, most: int = 600) -> DataFrame:
     """Cases of a corpus with graded ratings; what is neither clearly harmful nor benign is dropped."""
-    h = F.col("hatespeech")
-    category = F.when((h >= 2) & (F.col("violence") >= 3), "threat").when(h >= 2, "hate_identity").when((h <= 0) & (F.col("insult_rank") < 3), "none")
-    return _case(df, key, text, category, most)
+    h, violence, insult = F.coalesce("hatespeech", F.lit(1)), F.coalesce("violence", F.lit(0)), F.coalesce("insult_rank", F.lit(0))
+    category = F.when((h >= 2) & (violence >= 3), "threat").when(h >= 2, "hate_identity").when((h <= 0) & (insult < 3), "none")
+    return _case(df, key, text, category, _bucket(category), most)
 
 
 def in_split(df: DataFrame, split: str, text: str = "text", limit: int | None = None) -> DataFrame:
@@ -73,24 +85,38 @@ def scored_by(cases: DataFrame, name: str, scorer: Callable[[DataFrame], DataFra
     return scorer(cases).select("case_id", "hate", "bucket", F.lit(name).alias("scorer"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def confusion(rows: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
-    """Counts and rates of hits against labels; a rate without rows is 0."""
-    y = F.col("hate")
-    out = rows.groupBy(*by).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(~hit & y).alias("fn"))
+def with_rates(cells: DataFrame) -> DataFrame:
+    """Adds the rates of tp, fp, tn and fn; a rate without rows is 0."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     rate = lambda a, b: r4(F.when(b > 0, a / b).otherwise(0.0))
-    return out.withColumns({"accuracy": rate(tp + tn, tp + fp + tn + fn), "precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn), "fp_rate": rate(fp, fp + tn)})
-
-
-def at_personas(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Rows once for each persona, with its threshold."""
-    each = F.array(*[F.struct(F.lit(n).alias("persona"), F.lit(v).alias("theta")) for n, v in limits.items()])
-    return rows.withColumn("p", F.explode(each)).select("*", "p.*").drop("p")
+    return cells.withColumns({"accuracy": rate(tp + tn, tp + fp + tn + fn), "precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn), "fp_rate": rate(fp, fp + tn)})
 
 
-def sweep(rows: DataFrame, thetas: Sequence[float]) -> DataFrame:
-    each = rows.withColumn("theta", F.explode(F.lit([float(t) for t in thetas])))
-    return confusion(each, ["scorer", "theta"], F.col("score") >= F.col("theta"))
+def confusion(rows: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
+    """Counts and rates of hits against labels."""
+    y = F.col("hate")
+    return with_rates(rows.groupBy(*by).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(~hit & y).alias("fn")))
+
+
+def sweep(rows: DataFrame, thetas: Sequence[float], by: Sequence[str] = ("scorer",)) -> DataFrame:
+    """Confusion of every group at every theta. Rows are counted once, by how many thetas their score reaches; what a theta
+    flags is the sum of the counts from its own on. Rows without a score count nowhere."""
+    order = sorted({float(t) for t in thetas})
+    reached = F.size(F.filter(F.lit(order), lambda t: F.col("score") >= t))
+    counted = rows.where(F.col("score").isNotNull()).groupBy(*by, reached.alias("__n")).agg(F.count_if("hate").alias("__hate"), F.count_if(~F.col("hate")).alias("__rest"))
+    # one row for each group, theta and number of thetas from here on
+    each = counted.select("*", F.posexplode(F.lit(order)).alias("__i", "theta"))
+    hit = F.col("__n") > F.col("__i")
+    total = lambda when, n: F.coalesce(F.sum(F.when(when, F.col(n))), F.lit(0))
+    cells = each.groupBy(*by, "theta").agg(total(hit, "__hate").alias("tp"), total(hit, "__rest").alias("fp"), total(~hit, "__rest").alias("tn"), total(~hit, "__hate").alias("fn"))
+    return with_rates(cells)
+
+
+def by_persona(rows: DataFrame, limits: dict[str, float], by: Sequence[str] = ("scorer",)) -> DataFrame:
+    """Confusion of every group at the threshold of each persona, from one count of the rows."""
+    found = sweep(rows, list(limits.values()), by)
+    named = F.array_compact(F.array(*[F.when(F.col("theta") == v, F.lit(n)) for n, v in limits.items()]))
+    return found.withColumn("persona", F.explode(named))
 
 
 def failures(rows: DataFrame, theta: float, buckets: Sequence[str], most: int = 5) -> DataFrame:

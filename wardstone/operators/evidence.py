@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clamp, r4
-from .vision import dot  # noqa: F401
+from ..functions.text import clamp, r4, region_key
 
 
 def box_of(xs: Column, ys: Column, width: Column, height: Column) -> Column:
@@ -41,29 +40,29 @@ SIDES = ("x0", "y0", "x1", "y1")
 
 
 def overlaps(regions: DataFrame, least: float = 0.1) -> DataFrame:
-    """Pairs of regions of a frame with one text that overlap: (frame_id, ord_a, ord_b, iou)."""
-    a, b = regions.alias("a"), regions.alias("b")
-    pairs = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.text") == F.col("b.text")) & (F.col("a.ord") < F.col("b.ord")))
+    """Pairs of regions of a frame that overlap and have one text, but for case and white space: (frame_id, ord_a, ord_b, iou)."""
+    keyed = regions.withColumn("__key", region_key(F.col("text")))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.__key") == F.col("b.__key")) & (F.col("a.ord") < F.col("b.ord")))
     value = iou([F.col(f"a.{s}") for s in SIDES], [F.col(f"b.{s}") for s in SIDES])
     return pairs.select(F.col("a.frame_id").alias("frame_id"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), value.alias("iou")).where(F.col("iou") >= least)
 
 
 def deduped(regions: DataFrame, least: float = 0.1) -> DataFrame:
-    """Greedy by order: a region that overlaps a kept one of its text replaces it, in its place, if its confidence is
-    higher; blank texts go. A frame's regions are one array, which is bounded by what a screen shows."""
-    item = F.struct("ord", "text", *SIDES, "conf")
-    frames = regions.where(F.trim("text") != "").groupBy("frame_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kind = "array<struct<ord:bigint,text:string,x0:double,y0:double,x1:double,y1:double,conf:double>>"
-    kind = kind.replace("ord:bigint", f"ord:{dict(regions.dtypes)['ord']}")
+    """Greedy by order: a region that overlaps a kept one of its text (but for case and white space) replaces it, in its place,
+    if its confidence is higher; blank texts go. A frame's regions are one array, which is bounded by what a screen shows."""
+    item = F.struct("ord", "text", *SIDES, F.coalesce("conf", F.lit(0.0)).alias("conf"), region_key(F.col("text")).alias("key"))
+    frames = regions.where(region_key(F.col("text")) != "").groupBy("frame_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    kind = f"array<struct<ord:{dict(regions.dtypes)['ord']},text:string,x0:double,y0:double,x1:double,y1:double,conf:double,key:string>>"
 
     def add(kept: Column, x: Column) -> Column:
-        meets = lambda k: (k["text"] == x["text"]) & (iou([k[s] for s in SIDES], [x[s] for s in SIDES]) >= least)
+        meets = lambda k: (k["key"] == x["key"]) & (iou([k[s] for s in SIDES], [x[s] for s in SIDES]) >= least)
         hit = F.array_position(F.transform(kept, meets), True)
         swapped = F.transform(kept, lambda k, i: F.when((i + 1 == hit) & (x["conf"] > k["conf"]), x).otherwise(k))
         return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(swapped)
 
     kept = F.aggregate(F.col("all").cast(kind), F.array().cast(kind), add)
-    return frames.select("frame_id", F.posexplode(kept).alias("slot", "r")).select("frame_id", "slot", "r.*")
+    return frames.select("frame_id", F.posexplode(kept).alias("slot", "r")).select("frame_id", "slot", "r.*").drop("key")
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -123,20 +122,32 @@ def scene_change(frames: DataFrame, group: str, order: str, pixels: str) -> Data
     return found.withColumn("change", F.when(F.col("__before").isNull(), 0.0).otherwise(r4(change / F.size(pixels) / 255 * 100, 2))).drop("__before")
 
 
-def frame_scores(title: Column, skin: Column, motion: Column, has_person: Column, long_shape: Column, adult: list[str], weapons: list[str], violent: list[str], calm: list[str]) -> dict[str, Column]:
-    """Rule scores of a frame from its title and features."""
-    named = lambda words: F.exists(F.lit(words), lambda w: F.contains(F.lower(title), w))
-    nsfw = F.when(named(adult), 0.89).when((skin > 0.35) & has_person & ~named(calm), 0.84).otherwise(0.12)
-    weapon = F.when(named(weapons), 0.91).when(long_shape & has_person & ~named(calm), 0.81).otherwise(0.15)
-    violence = F.when(named(violent), 0.94).when((motion > 12) & has_person & ~named(calm), 0.83).otherwise(0.05)
+#: Words of titles that speak for a sort of frame, or against it.
+TITLES = {
+    "adult": ["sexual", "nude", "nudity", "porn", "adult", "nsfw", "sex"],
+    "weapon": ["gun", "weapon", "knife", "sword", "pistol", "rifle", "shoot", "guns", "knives"],
+    "violence": ["combat", "battle", "fight", "match", "violence", "wrestling", "boxing", "assault"],
+    "cooking": ["cook", "kitchen", "chef", "food", "spoon", "recipe"],
+    "dancing": ["dance", "dancing", "party", "ball", "crowd", "sports"],
+}
+
+
+def frame_scores(title: Column, skin: Column, motion: Column, has_person: Column, long_shape: Column, has_bottle: Column, words: dict[str, list[str]] = TITLES) -> dict[str, Column]:
+    """Rule scores of a frame from its title and features. Dancing lifts adult and violent titles, cooking armed ones, and
+    either the skin rule, which asks for no person."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    named = {k: F.exists(F.lit(v), lambda w: F.contains(t, w)) for k, v in words.items()}
+    nsfw = F.when(named["adult"] & ~named["dancing"], 0.89).when((skin > 0.35) & ~named["dancing"] & ~named["cooking"], 0.84).otherwise(0.12)
+    weapon = F.when(named["weapon"] & ~named["cooking"], 0.91).when((long_shape | has_bottle) & has_person & ~named["cooking"], 0.81).otherwise(0.15)
+    violence = F.when(named["violence"] & ~named["dancing"], 0.94).when((motion > 12) & has_person & ~named["dancing"], 0.83).otherwise(0.05)
     return {"nsfw": nsfw, "weapons": weapon, "violence": violence}
 
 
 def frame_threat(nsfw: Column, violence: Column, weapons: Column) -> Column:
-    """The highest score over its limit, the earlier of equals; null if there is none."""
-    rows = [(nsfw, 0.80, "nsfw"), (violence, 0.80, "violence"), (weapons, 0.75, "weapons")]
+    """The sort whose score over its limit is the highest, the earlier of equals; ``none`` if there is none."""
+    rows = [(nsfw, 0.80, "adult_content"), (violence, 0.80, "violence"), (weapons, 0.75, "weapons")]
     over = F.array_compact(F.array(*[F.when(s > limit, F.struct((-s).alias("key"), F.lit(i).alias("place"), F.lit(n).alias("name"))) for i, (s, limit, n) in enumerate(rows)]))
-    return F.get(F.array_sort(over), 0)["name"]
+    return F.coalesce(F.get(F.array_sort(over), 0)["name"], F.lit("none"))
 
 
 def objects(found: Column, least: float = 0.40) -> Column:
@@ -145,13 +156,20 @@ def objects(found: Column, least: float = 0.40) -> Column:
     return F.transform(fit, lambda o: F.struct(o["label"].alias("label"), o["conf"].alias("conf"), o["x0"].alias("x"), o["y0"].alias("y"), (o["x1"] - o["x0"]).alias("w"), (o["y1"] - o["y0"]).alias("h")))
 
 
+#: Parts of paths of temporary folders and of usual ones for browsers, and the browsers' names.
+ODD_PLACES = ["/tmp", "/shared", "temp", "public"]
+USUAL_PLACES = ["/Applications", "Program Files", "WindowsApps", "/System", "/usr/bin"]
+BROWSERS = ["chrome", "safari", "firefox", "msedge", "opera", "brave"]
+
+
 def process_flags(processes: DataFrame, most: int = 40) -> DataFrame:
-    """Processes from temporary or shared folders, and browsers outside their usual place; the odd first."""
-    exe = F.lower(F.regexp_replace("exe", r"\\", "/"))
-    browser = F.lower(F.col("name")).rlike(r"^(?:chrome|firefox|msedge|brave|opera|safari)(?:\.exe)?$")
-    odd_place = exe.rlike(r"/(?:temp|tmp|downloads|public|shared)/")
-    odd_browser = browser & ~exe.rlike(r"/(?:program files(?: \(x86\))?|applications|usr/bin|opt)/")
-    reason = F.when(odd_place, "runs from a temporary or shared folder").when(odd_browser, "browser outside its usual folder")
+    """Processes from temporary or shared folders, and browsers outside their usual ones (the reason given of both); the odd
+    first, then browsers, then by number. Null names and paths count as empty; without a path nothing is odd."""
+    name, exe = (F.coalesce(c, F.lit("")) for c in ("name", "exe"))
+    holds = lambda text, parts: F.exists(F.lit(parts), lambda p: F.contains(text, p))
+    browser = holds(F.lower(name), BROWSERS)
+    astray = browser & (exe != "") & ~holds(exe, USUAL_PLACES)
+    reason = F.when(astray, "Browser binary running from non-standard directory").when(holds(F.lower(exe), ODD_PLACES), "Running from temporary/shared directory")
     rows = processes.withColumn("is_browser", browser).withColumn("reason", reason).withColumn("is_anomaly", F.col("reason").isNotNull())
     return rows.orderBy(F.desc("is_anomaly"), F.desc("is_browser"), "pid").limit(most)
 
@@ -159,13 +177,14 @@ def process_flags(processes: DataFrame, most: int = 40) -> DataFrame:
 #: Words of a window's title that tell of a film, and of one that fills the screen.
 PLAYING = ["youtube", "netflix", "video", "vlc", "play", "movie", "combat", "match", "mp4"]
 FULLSCREEN = ["combat", "match", "battle", "fullscreen"]
+NO_MEDIA = "No active media session detected"
 
 
 def media_flags(title: Column, playing: list[str] = PLAYING, fullscreen: list[str] = FULLSCREEN) -> Column:
-    """Whether a window's title says that something plays, or fills the screen; a blank title has none."""
+    """Whether a window's title says that something plays and, only then, that it fills the screen; the title while it plays."""
     t = F.lower(F.coalesce(title, F.lit("")))
     has = lambda words: F.exists(F.lit(words), lambda w: F.contains(t, w))
-    return F.struct(has(playing).alias("playing"), has(fullscreen).alias("fullscreen"), F.when(F.trim(t) == "", "no active media").otherwise(title).alias("title"))
+    return F.struct(has(playing).alias("playing"), (has(playing) & has(fullscreen)).alias("fullscreen"), F.when(has(playing), title).otherwise(NO_MEDIA).alias("title"))
 
 
 def frame_log(events: DataFrame, key: str, order: str, most: int = 20) -> DataFrame:
@@ -179,7 +198,8 @@ def dominant_picture(cells: DataFrame, rows: int, cols: int, width: int, height:
     """(frame_id, x0, y0, x1, y1) of the picture that stands out of a frame's grid of cells, or no row.
 
     Cells (frame_id, row, col, interest, sat) above a threshold of the frame join into blobs; a frame's grid is a few
-    hundred cells. Galleries of equal pictures, too small, too large or grey blobs give none.
+    hundred cells. Four or more blobs of nearly the largest one's size (itself included) are a gallery and give none, and so
+    does a blob of too few or too many cells, a grey one, or one whose box is smaller than 48 pixels a side.
     """
     import numpy as np
     import pandas as pd
@@ -187,25 +207,25 @@ def dominant_picture(cells: DataFrame, rows: int, cols: int, width: int, height:
     def of_frame(df: pd.DataFrame) -> pd.DataFrame:
         interest, sat = np.zeros((rows, cols)), np.zeros((rows, cols))
         interest[df["row"], df["col"]], sat[df["row"], df["col"]] = df["interest"], df["sat"]
-        hot = interest >= max(interest.mean() + 0.6 * interest.std(), 0.10)
+        hot = interest > max(interest.mean() + 0.6 * interest.std(), 0.10)
         left, blobs = {(int(r), int(c)) for r, c in zip(*np.nonzero(hot), strict=True)}, []
         while left:
-            todo, blob = [left.pop()], []
+            todo, blob = [min(left)], []
+            left.discard(todo[0])
             while todo:
                 r, c = todo.pop()
                 blob.append((r, c))
                 near = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & left
                 left -= near
                 todo += near
-            blobs.append(sorted(blob))
-        blobs.sort(key=lambda b: (-len(b), b[0]))
+            blobs.append(blob)
+        blobs.sort(key=len, reverse=True)  # the first found of equal ones stays first
         out = []
-        if blobs and sum(len(b) >= 0.45 * len(blobs[0]) for b in blobs[1:]) < 4:
+        if blobs and sum(len(b) >= 0.45 * len(blobs[0]) for b in blobs) < 4 and 0.04 <= len(blobs[0]) / (rows * cols) <= 0.92:
             r, c = np.array(blobs[0]).T
-            box = [c.min() / cols, r.min() / rows, (c.max() + 1) / cols, (r.max() + 1) / rows]
-            area = (box[2] - box[0]) * (box[3] - box[1])
-            box = [max(0, box[0] - 0.02), max(0, box[1] - 0.02), min(1, box[2] + 0.02), min(1, box[3] + 0.02)]
-            if 0.04 <= area <= 0.92 and sat[r, c].mean() >= 0.12 and (box[2] - box[0]) * width >= 48 and (box[3] - box[1]) * height >= 48:
+            box = [max(0, c.min() / cols - 0.02), max(0, r.min() / rows - 0.02), min(1, (c.max() + 1) / cols + 0.02), min(1, (r.max() + 1) / rows + 0.02)]
+            sides = int(box[2] * width) - int(box[0] * width), int(box[3] * height) - int(box[1] * height)
+            if sat[r, c].mean() >= 0.12 and min(sides) >= 48 and min(width, height) >= 64:
                 out = [(int(df["frame_id"].iloc[0]), *map(float, box))]
         return pd.DataFrame(out, columns=["frame_id", "x0", "y0", "x1", "y1"])
 

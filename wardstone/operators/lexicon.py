@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, r4, view_text
-from .rules import FRAMING, GAMING, RULES, Rule, any_of, pattern_of
+from .rule_index import matcher
+from .rules import FRAMING, RULES, Rule
 
 FRAMED_CAP = 0.50
 
 
-def gaming(base: Column) -> Column:
-    return base.rlike(r"\b(?:" + "|".join(GAMING) + r")\b")
-
-
-def rule_hits(views: Column, in_game: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Ids of the rules that match any view, in the order of the table. One pass over an alternation comes first."""
-    any_rule = views.rlike(any_of(rules))
-    each = [F.when(views.rlike(pattern_of(r)) & (~in_game if r.gaming_sensitive else F.lit(True)), F.lit(r.rule_id)) for r in rules]
-    return F.when(any_rule, F.array_compact(F.array(*each))).otherwise(F.array().cast("array<string>"))
-
-
-def _in(hits: Column, rules: Sequence[Rule]) -> Column:
-    ids = [r.rule_id for r in rules]
-    return F.filter(hits, lambda h: h.isin(ids)) if ids else F.array().cast("array<string>")
-
-
-def lexicon_score(text: Column, base: Column, hits: Column, in_game: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Bands: high from 0.88, mid from 0.58; game talk 0.18, anything else 0.08, empty text 0.05."""
-    high, mid = (F.size(_in(hits, [r for r in rules if r.band == b])) for b in ("high", "mid"))
+def lexicon_score(base: Column, found: Column) -> Column:
+    """Bands: high from 0.88, mid from 0.58; harmless talk about a game 0.18, anything else 0.08, empty text 0.05."""
+    high, mid = found["high"], found["mid"]
     s = F.when(F.trim(F.coalesce(base, F.lit(""))) == "", 0.05)
     s = s.when(high > 0, F.least(F.lit(0.98), 0.88 + 0.03 * (high - 1))).when(mid > 0, F.least(F.lit(0.80), 0.52 + 0.06 * mid))
-    return r4(s.when(in_game, 0.18).otherwise(0.08))
-
-
-def lexicon_category(hits: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Literals of the high band by severity, else its first family; in the mid band a family names the category only
-    without a literal."""
-    of = lambda band, kind, cat=None: [r for r in rules if r.band == band and r.kind == kind and cat in (None, r.category)]
-    some = lambda rs: F.size(_in(hits, rs)) > 0
-    family = lambda band: F.coalesce(*[F.when(F.get(_in(hits, of(band, "family")), 0) == r.rule_id, r.category) for r in of(band, "family")], F.lit("bullying"))
-    out = F.when(some(of("high", "literal", "threat")), "threat")
-    for cat in ("hate_identity", "sexual_harassment", "bullying"):
-        out = out.when(some(of("high", "literal", cat)), cat)
-    out = out.when(some(of("high", "family")), family("high")).when(some(of("mid", "literal")), "bullying")
-    return out.when(some(of("mid", "family")), family("mid")).otherwise("none")
+    return r4(s.when(found["benign"], 0.18).otherwise(0.08))
 
 
 def framing(text: Column, signals: Sequence[str] = tuple(FRAMING)) -> Column:
@@ -56,29 +28,19 @@ def framing(text: Column, signals: Sequence[str] = tuple(FRAMING)) -> Column:
 
 
 def framed(score: Column, category: Column, signals: Column) -> tuple[Column, Column]:
-    """Score capped for reported speech, never raised, and the reason; sexual harassment is never discounted."""
-    counts = (F.size(signals) > 0) & (category != "sexual_harassment") & (score > FRAMED_CAP)
-    return F.when(counts, FRAMED_CAP).otherwise(score), F.when(counts, F.concat(F.lit("quoted_or_reported:"), F.array_join(signals, "+")))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it and wherever filters are pushed."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def screened(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Struct of base, in_game, hits, lexicon_score and category. A null text counts as empty."""
-
-    def judged(base: Column, in_game: Column, hits: Column) -> Column:
-        score, category = lexicon_score(text, base, hits, in_game, rules), lexicon_category(hits, rules)
-        return F.struct(base.alias("base"), in_game.alias("in_game"), hits.alias("hits"), score.alias("lexicon_score"), category.alias("category"))
-
-    with_game = lambda b, g: _let(_let(view_text(b), lambda v: rule_hits(v, g, rules)), lambda h: judged(b, g, h))
-    return _let(normalize(F.coalesce(text, F.lit(""))), lambda b: _let(gaming(b), lambda g: with_game(b, g)))
+    """Score capped for reported speech, never raised, and the reason, which is given whether or not the score was over the
+    cap; sexual harassment is never discounted and gets no reason."""
+    reported = (F.size(signals) > 0) & (category != "sexual_harassment")
+    return F.when(reported, F.least(score, F.lit(FRAMED_CAP))).otherwise(score), F.when(reported, F.concat(F.lit("quoted_or_reported:"), F.array_join(signals, "+")))
 
 
 def screen(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Adds base, in_game, hits, lexicon_score and category (columns so named before are replaced)."""
+    """Adds base, in_game, hits, lexicon_score and category (columns so named before are replaced). A null text counts as
+    empty. The base and the views are made once, by built-in functions; the rules' index sees the views."""
     names = ["base", "in_game", "hits", "lexicon_score", "category"]
-    keep = [c for c in df.columns if c not in names]
-    return df.select(*keep, screened(F.col(text_col), rules).alias("__s")).select(*keep, *[F.col(f"__s.{n}").alias(n) for n in names])
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    base, found = "base", "in_game"  # free now, whatever the input had
+    out = df.select(*keep, normalize(F.coalesce(F.col(text_col), F.lit(""))).alias(base))
+    out = out.select("*", matcher(rules)(view_text(F.col(base))).alias(found))
+    f = F.col(found)
+    return out.select(*keep, base, f["in_game"].alias("in_game"), f["hits"].alias("hits"), lexicon_score(F.col(base), f).alias("lexicon_score"), f["category"].alias("category"))

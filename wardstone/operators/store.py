@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import clock
 from .decide import mapped, threshold
 from .rules import THREAT_TYPE
 
@@ -89,19 +90,36 @@ def list_view(df: DataFrame) -> DataFrame:
     return df.drop("thumb_jpeg", "trace_json").withColumn("evidence", F.col("evidence").dropFields("detections"))
 
 
-def source_flags(ocr: Column, asr: Column, vision_share: Column) -> Column:
-    return F.struct((F.trim(F.coalesce(ocr, F.lit(""))) != "").alias("ocr"), (F.trim(F.coalesce(asr, F.lit(""))) != "").alias("asr"), (F.coalesce(vision_share, F.lit(0.0)) > 0.05).alias("vision"), F.lit(False).alias("overlay"))
+def source_flags(ocr: Column, asr: Column, vision_share: Column, audio_share: Column) -> Column:
+    """Where a run's evidence came from: read, heard (a transcript, or a share of sound) and seen."""
+    has, counts = (lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), (lambda c: F.coalesce(c, F.lit(0.0)) > 0.05)
+    return F.struct(has(ocr).alias("ocr"), (has(asr) | counts(audio_share)).alias("asr"), counts(vision_share).alias("vision"), F.lit(False).alias("overlay"))
 
 
 def effective_threshold(envelope: Column, age: Column) -> Column:
-    number = F.get_json_object(envelope, "$.threshold").try_cast("double")
-    return F.when(number > 0, number).otherwise(threshold(age))
+    """The threshold that a stored envelope says was applied, else the age's; a missing age is ten."""
+    number = F.get_json_object(envelope, "$.payload.persona_threshold").try_cast("double")
+    return F.when(number > 0, number).otherwise(threshold(F.coalesce(F.nullif(age, F.lit(0)), F.lit(10))))
+
+
+STORED = {"id": "string", "ts": "string", "child_age": "int", "decision": "string", "score": "double", "category": "string", "ocr_snippet": "string", "transcript_snippet": "string", "modalities_json": "string", "app_exe": "string", "child_safe_summary": "string", "recommended_action": "string", "envelope_json": "string"}
+_OPEN = "image double, audio double"
 
 
 def dashboard_row(df: DataFrame) -> DataFrame:
-    """Columns of the dashboard; a hate row without a category counts as hate against a group."""
-    cat = F.when((F.col("decision") == "hate") & (F.coalesce("category", F.lit("none")) == "none"), "hate_identity").otherwise(F.coalesce("category", F.lit("none")))
-    return df.select("id", "ts", F.coalesce("decision", F.lit("unknown")).alias("decision"), cat.alias("category"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(mapped(THREAT_TYPE, cat), F.lit("hate_speech")).alias("threat_type"))
+    """The dashboard's columns of stored runs, whatever columns they have; a hate row without a category counts as hate
+    against a group."""
+    df = conform(df, STORED)
+    text = lambda c, default="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    hate_without = (F.col("decision") == "hate") & (text("category", "none") == "none")
+    share = decoded(F.col("modalities_json"), _OPEN, F.struct(F.lit(0.0).alias("image"), F.lit(0.0).alias("audio")))
+    age = F.coalesce(F.nullif("child_age", F.lit(0)), F.lit(10))
+    return df.select(
+        text("id").alias("id"), text("ts").alias("timestamp"), clock(text("ts")).alias("time_str"), age.alias("child_age"), text("decision", "not-hate").alias("decision"), F.coalesce("score", F.lit(0.0)).alias("risk_score"),
+        F.when(hate_without, "hate_identity").otherwise(text("category", "none")).alias("category"), text("ocr_snippet").alias("ocr_text"), text("transcript_snippet").alias("transcript"), F.lit("").alias("overlay_text"),
+        source_flags(F.col("ocr_snippet"), F.col("transcript_snippet"), share["image"], share["audio"]).alias("source"), text("app_exe", "unknown").alias("session_hint"), text("app_exe", "unknown").alias("app_exe"),
+        text("child_safe_summary").alias("child_safe_summary"), text("recommended_action").alias("recommended_action"), effective_threshold(F.col("envelope_json"), F.col("child_age")).alias("persona_threshold"),
+    )
 
 
 def verdicts(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -114,9 +132,17 @@ def verdicts(requests: DataFrame, runs: DataFrame) -> DataFrame:
     return both.select("request", r["id"].alias("found"), hate.alias("verdict"), F.when(hate, r["score"]).otherwise(0.0).alias("harm"), F.when(hate, r["category"]).otherwise("none").alias("category"))
 
 
-def trigger(adult: Column, violence: Column, weapons: Column, hate: Column, verdict: Column) -> Column:
-    """Which threat a trigger is, in order of precedence; a verdict is not held against a threshold again."""
-    return F.when(adult > 0.8, "adult_content").when(violence > 0.8, "violence").when(verdict | (hate > 0.8), "hate_speech").when(weapons > 0.75, "weapons")
+def trigger(*, nsfw: Column, adult: Column, violence: Column, weapons: Column, hate: Column, verdict: Column, verdict_category: Column, verdict_score: Column) -> Column:
+    """Struct of threat type and risk of a trigger, in order of precedence. A verdict isn't held against a threshold again: its
+    category names the type and its score is the risk; without one only a hate score over 0.8 counts. No threat is ``none``."""
+    adult, verdict = F.greatest(nsfw, adult), F.coalesce(verdict, F.lit(False))
+    hate = F.when(verdict, verdict_score).otherwise(F.coalesce(hate, F.lit(0.0)))
+    named = F.when(verdict, F.coalesce(mapped(THREAT_TYPE, verdict_category), F.lit("hate_speech"))).otherwise("hate_speech")
+    cases = [(adult > 0.8, F.lit("adult_content"), adult), (violence > 0.8, F.lit("violence"), violence), (verdict | (hate > 0.8), named, hate), (weapons > 0.75, F.lit("weapons"), weapons)]
+    kind, risk = F.lit("none"), F.lit(0.0)
+    for when, name, score in reversed(cases):
+        kind, risk = F.when(when, name).otherwise(kind), F.when(when, score).otherwise(risk)
+    return F.struct(kind.alias("threat"), risk.alias("risk"))
 
 
 def preferred(live: DataFrame, legacy: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import r4 as R
@@ -9,7 +11,7 @@ from ..operators import decide as D
 from ..operators import evidence as E
 from ..operators import lexicon as L
 from ..operators import vision as V
-from ..operators.rules import LEGACY, SUMMARY
+from ..operators.rules import SUMMARY
 from .fixtures import CHUNKS, FEATURES, REGIONS, RUNS, SEGMENTS, r4
 from .registry import query
 from .text_queries import _q, screened_sql
@@ -18,20 +20,20 @@ T2 = "case when child_age <= 10 then 0.55 when child_age <= 13 then 0.65 else 0.
 _agree = "case when text_score >= 0.35 and text_score < 0.85 and vision_score >= 0.35 and vision_score < 0.85 then 0.15 else 0.0 end"
 _v = "(vision_calibrated and vision_score > 0)"
 FUSED = r4(f"case when text_score > 0 and {_v} then least(1.0, greatest(0.6*text_score + 0.4*vision_score + {_agree}, text_score, vision_score)) when text_score > 0 then text_score when {_v} then vision_score else 0.0 end")
-MODE = f"case when text_score > 0 and {_v} then 'late_fusion' when text_score > 0 then 'text_only' when {_v} then 'vision_only' else 'idle' end"
+MODE = f"case when text_score > 0 and {_v} then case when {_agree} > 0 then 'multimodal_agreement' else 'multimodal' end when text_score > 0 then 'text_only' when {_v} then 'vision_only' else 'idle' end"
 ESC = "(text_score >= 0.35 or (vision_calibrated and vision_score >= 0.35))"
 DECIDED = f"""f as (select *, {FUSED} as fused, {MODE} as mode, {T2} as threshold, {ESC} as escalated from {RUNS.sql} r),
  d as (select *, escalated and fused >= threshold and category <> 'none' as hit from f),
- decided as (select *, case when hit then 'hate' else 'not_hate' end as decision,
+ decided as (select *, case when hit then 'hate' else 'not-hate' end as decision,
   case when hit or not escalated then null when fused < threshold then 'below_persona_threshold' else 'category_none' end as reason,
-  case when not hit then 'none' when category = 'profanity' then 'notify' when category = 'threat' or fused >= 0.9 then 'block' when fused >= 0.7 then 'blur' else 'notify' end as action,
+  case when not hit then 'none' when category = 'profanity' then 'notify_only' when category = 'threat' or fused >= 0.9 then 'block' when fused >= 0.7 then 'blur_region' else 'notify_only' end as action,
   case when hit then 'hate.detected' when escalated then 'hate.cleared' end as topic, case when hit then fused else {r4('text_score')} end as risk from d)"""
 
 
 @query(f"""with {screened_sql('(select doc_id, text, cast(8 + doc_id % 8 as int) as child_age from documents)')},
  t as (select *, {T2} as threshold from scored)
- select doc_id, child_age, lexicon_score as score, category, case when lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none' then 'hate' else 'not_hate' end as decision,
- case when not (lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none') then 'none' when category = 'profanity' then 'notify' when category = 'threat' or lexicon_score >= 0.9 then 'block' when lexicon_score >= 0.7 then 'blur' else 'notify' end as action from t""")
+ select doc_id, child_age, lexicon_score as score, category, case when lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none' then 'hate' else 'not-hate' end as decision,
+ case when not (lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none') then 'none' when category = 'profanity' then 'notify_only' when category = 'threat' or lexicon_score >= 0.9 then 'block' when lexicon_score >= 0.7 then 'blur_region' else 'notify_only' end as action from t""")
 def persona_decide(spark, d):
     """Flagship: text to rule hits, score, category, and the decision for the child's age."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (8 + F.col("doc_id") % 8).cast("int").alias("child_age"))
@@ -44,13 +46,21 @@ def fuse_modalities(spark, d):
     return D.decided(RUNS.df(spark, d)).select("id", "fused", "mode")
 
 
-@query(f"""select id, {r4('greatest(case when text_score > 0 then text_score else 0 end, case when vision_calibrated then vision_score else 0 end, case when text_score > 0 and vision_calibrated and vision_score > 0 then least(1.0, 0.6*text_score + 0.4*vision_score + ' + _agree + ') else 0 end)')} as fused,
- array_to_string(list_filter([case when text_score > 0 then 'text' end, case when vision_calibrated and vision_score > 0 then 'vision' end], lambda x: x is not null), '+') as contributing,
- case when not vision_calibrated and vision_score > 0 then 'vision' else '' end as ignored from {RUNS.sql} r""")
+_AUDIO = "case when id % 4 = 0 then cast((id*31) % 100 as double)/100 else 0.0 end"
+_three = f"select id, text_score as t, case when vision_calibrated then vision_score else 0.0 end as v, {_AUDIO} as a, not vision_calibrated and vision_score > 0 as off from {RUNS.sql} r"
+
+
+@query(f"""with s as ({_three}), n as (select *, (t > 0)::int + (v > 0)::int + (a > 0)::int as k, greatest(t, v, a) as f,
+  (t = 0 or t >= 0.35 and t < 0.85) and (v = 0 or v >= 0.35 and v < 0.85) and (a = 0 or a >= 0.35 and a < 0.85) as mid from s),
+ w as (select *, case when k > 1 then 0.6*t + 0.4*v else f end as weighted, k > 1 and mid as agree from n)
+ select id, {r4('least(1.0, greatest(weighted + case when agree then 0.15 else 0.0 end, f))')} as fused, case when k = 0 then 'idle' when k = 1 then case when t > 0 then 'text_only' when v > 0 then 'vision_only' else 'audio_only' end when agree then 'multimodal_agreement' else 'multimodal' end as mode,
+ {r4('f')} as floor, {r4('least(1.0, weighted)')} as weighted, agree as agreement,
+ array_to_string(list_filter([case when t > 0 then 'text' end, case when v > 0 then 'vision' end, case when a > 0 then 'audio' end], lambda x: x is not null), '+') as contributing, case when off then 'vision' else '' end as ignored from w""")
 def fuse_signal_arrays(spark, d):
     one = lambda n, s, c: F.struct(F.lit(n).alias("name"), F.col(s).alias("score"), c.alias("calibrated"))
-    r = RUNS.df(spark, d).select("id", D.fuse_signals(F.array(one("text", "text_score", F.lit(True)), one("vision", "vision_score", F.col("vision_calibrated")))).alias("f"))
-    return r.select("id", "f.fused", F.array_join("f.contributing", "+").alias("contributing"), F.array_join("f.ignored", "+").alias("ignored"))
+    all_ = F.array(one("text", "text_score", F.lit(True)), one("vision", "vision_score", F.col("vision_calibrated")), one("audio", "audio_score", F.lit(True)))
+    r = RUNS.df(spark, d).selectExpr("*", f"{_AUDIO} as audio_score").select("id", D.fuse_signals(all_).alias("f"))
+    return r.select("id", "f.fused", "f.mode", "f.floor", "f.weighted", "f.agreement", F.array_join("f.contributing", "+").alias("contributing"), F.array_join("f.ignored", "+").alias("ignored"))
 
 
 _t, _a = "case when has_ocr and has_asr then 0.55*text_score when has_asr then 0.0 else text_score end", "case when has_ocr and has_asr then 0.45*text_score when has_asr then text_score else 0.0 end"
@@ -67,11 +77,11 @@ def decision_rows(spark, d):
     return D.decided(RUNS.df(spark, d)).select("id", "threshold", "decision", "reason", "action", "risk")
 
 
-_old = {0: "hate", 1: "violence", 2: "Threat ", 3: "odd name", 4: None}
-_oldsql = "case event_id % 5 when 0 then 'hate' when 1 then 'violence' when 2 then 'Threat ' when 3 then 'odd name' end"
+_oldsql = "case event_id % 7 when 0 then 'hate_speech' when 1 then 'cyberbullying' when 2 then 'Threat ' when 3 then 'odd name' when 4 then 'identity_attack' when 5 then 'threat' end"
+_newsql = "case event_id % 7 when 0 then 'hate_identity' when 4 then 'hate_identity' when 5 then 'threat' when 6 then 'none' else 'bullying' end"
 
 
-@query("select event_id, case event_id % 5 when 0 then 'hate_identity' when 1 then 'threat' when 2 then 'threat' when 3 then 'bullying' else 'none' end as category, case event_id % 5 when 0 then " + _q(SUMMARY["hate_identity"]) + " when 1 then " + _q(SUMMARY["threat"]) + " when 2 then " + _q(SUMMARY["threat"]) + " when 3 then " + _q(SUMMARY["bullying"]) + " else " + _q(SUMMARY["none"]) + " end as summary from events")
+@query(f"with c as (select event_id, {_newsql} as category from events) select *, case category " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in SUMMARY.items()) + " end as summary from c")
 def category_names(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{_oldsql} as old")
     c = D.canonical(F.col("old"))
@@ -84,15 +94,41 @@ def protection_state(spark, d):
     return D.decided(RUNS.df(spark, d)).select("id", D.protection(F.col("decision"), F.col("escalated"), notes).alias("state"))
 
 
-@query(f"with {DECIDED}, m as (select *, case mode when 'late_fusion' then 'text and picture together' when 'vision_only' then 'the picture' when 'text_only' then 'the text' else 'nothing' end as src from decided) select id, case when decision = 'hate' then 'Flagged as ' || replace(category, '_', ' ') || ' by ' || src || ': ' || printf('%.2f', fused) || ' reaches ' || printf('%.2f', threshold) || '.' else 'Not flagged: ' || printf('%.2f', fused) || ' by ' || src || ' against ' || printf('%.2f', threshold) || '.' end as sentence from m where cast(round(fused*10000) as bigint) % 100 <> 50")
+_hits = "case when id % 6 = 0 then ['a/b', 'c/d', 'e/f', 'g/h', 'i/j'] when id % 3 = 0 then ['a/b'] else [] end"
+_two = lambda x: f"printf('%.2f', {r4(x, 2)})"
+
+
+def _hit_column():
+    i = F.col("id")
+    some = lambda *x: F.array(*[F.lit(v) for v in x])
+    return F.when(i % 6 == 0, some("a/b", "c/d", "e/f", "g/h", "i/j")).when(i % 3 == 0, some("a/b")).otherwise(F.array().cast("array<string>"))
+
+
+@query(f"""with {DECIDED}, h as (select *, {_hits} as hits, case when id % 4 = 1 then text_score end as model from decided)
+ select id, concat_ws(' ', case when decision = 'hate' then 'Flagged after multimodal scoring.' when escalated then 'Escalated to Stage 2 but stayed below this child''s age threshold.' else 'Stage-1 screen — nothing escalated.' end,
+ case when has_ocr and has_asr then 'Read from on-screen text and speech.' when has_ocr then 'Read from on-screen text.' when has_asr then 'Read from speech.' end, case when len(hits) > 0 then 'Matched rule(s): ' || array_to_string(hits[1:4], ', ') || '.' end,
+ case when model > 0 then 'Language model scored ' || {_two('model')} || '.' end, case when id % 8 = 0 then 'Score reduced — the text looks like it is reporting or quoting harm, not committing it.' end,
+ case when vision_score > 0 and not vision_calibrated then 'Image branch read ' || {_two('vision_score')} || ' but is uncalibrated, so it did not affect the score.' end, 'Final risk ' || {_two('fused')} || '.') as sentence from h""")
 def explanation(spark, d):
-    r = D.decided(RUNS.df(spark, d)).where(F.round(F.col("fused") * 10000).cast("long") % 100 != 50)
-    return r.select("id", D.explanation(F.col("decision"), F.col("category"), F.col("fused"), F.col("threshold"), F.col("mode")).alias("sentence"))
+    r, i = D.decided(RUNS.df(spark, d)), F.col("id")
+    named = {c: F.col(c) for c in ("decision", "escalated", "has_ocr", "has_asr", "vision_calibrated", "fused")}
+    return r.select("id", D.explanation(hits=_hit_column(), model=F.when(i % 4 == 1, F.col("text_score")), framing=F.when(i % 8 == 0, "quoted_or_reported:meta"), vision=F.col("vision_score"), **named).alias("sentence"))
+
 
+_shares = ", ".join(f"case when t + a + v < 1e-6 then 0.0 else {r4(f'{x} / (t + a + v)', 3)} end as {n}" for n, x in (("text_share", "t"), ("audio_share", "a"), ("vision_share", "v")))
+_part = "case when has_ocr and has_asr then {0}*text_score when has_asr then {1} else {2} end"
 
-@query(f"""with {DECIDED} select topic, cast(id as varchar) as key, '{{"category":"' || category || '","action":"' || action || '"' || case when reason is null then '' else ',"reason":"' || reason || '"' end || '}}' as value from decided where topic is not null""")
+
+@query(f"""with {DECIDED}, p as (select *, {_part.format('0.55', '0.0', 'text_score')} as t, {_part.format('0.45', 'text_score', '0.0')} as a, vision_score as v, {_hits} as hits from decided), s as (select *, {_shares} from p)
+ select topic, cast(id as varchar) as key, case when topic = 'hate.detected' then to_json({{'score': fused, 'category': category, 'stage': 2, 'modalities': {{'text': text_share, 'image': vision_share, 'audio': audio_share}}, 'app': {{'exe': app_exe, 'category': 'other'}}, 'window_title_hash': '',
+ 'evidence': {{'ocr_snippet': case when has_ocr then left(repeat('read ', 100), 200) else '' end, 'transcript_snippet': case when has_asr then 'heard' else '' end, 'lexicon_hits': hits, 'top_tokens': cast([] as varchar[])}},
+ 'child_safe_summary': case category {' '.join(f'when {_q(k)} then {_q(v)}' for k, v in SUMMARY.items())} end, 'recommended_action': action, 'persona_threshold': cast(threshold as double)}})::varchar
+ else to_json({{'stage1_score': {r4('greatest(text_score, vision_score)')}, 'stage2_score': fused, 'reason': reason}})::varchar end as value from s where topic is not null""")
 def envelopes(spark, d):
-    return D.envelopes(D.decided(RUNS.df(spark, d)))
+    r = D.decided(RUNS.df(spark, d))
+    shares = D.shares(F.col("text_score"), F.col("vision_score"), F.col("has_ocr"), F.col("has_asr"))
+    r = r.select("*", *[c.alias(n) for n, c in shares.items()], F.lit(None).cast("string").alias("app_category"), F.when(F.col("has_ocr"), F.repeat(F.lit("read "), F.lit(100))).alias("ocr_text"), F.when(F.col("has_asr"), "heard").alias("transcript"), _hit_column().alias("hits"))
+    return D.envelopes(r)
 
 
 @query(f"with {DECIDED} select id, to_json({{'text': printf('%.4f', text_score), 'mode': mode}})::varchar as evidence_text, decision, risk, category, case when decision = 'hate' then 'Words' else '' end as mark from decided")
@@ -162,7 +198,8 @@ def region_tiles(spark, d):
 
 
 IOU = """with r as (select * from REG x), p as (select a.frame_id, a.ord as ord_a, b.ord as ord_b, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i,
- (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) as s from r a join r b on a.frame_id = b.frame_id and a.text = b.text and a.ord < b.ord), q as (select frame_id, ord_a, ord_b, case when s - i > 0 then i/(s - i) else 0.0 end as iou from p)""".replace("REG", REGIONS.sql)
+ (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) as s from r a join r b on a.frame_id = b.frame_id and KEY(a.text) = KEY(b.text) and a.ord < b.ord), q as (select frame_id, ord_a, ord_b, case when s - i > 0 then i/(s - i) else 0.0 end as iou from p)""".replace("REG", REGIONS.sql)
+IOU = re.sub(r"KEY\((\w\.text)\)", r"trim(regexp_replace(lower(\1), '\\\\s+', ' ', 'g'))", IOU)
 
 
 @query(f"{IOU} select frame_id, ord_a, ord_b, {r4('iou')} as iou from q where iou >= 0.1")
@@ -217,14 +254,16 @@ def scene_change(spark, d):
     return E.scene_change(f, "label", "vec_id", "px").select("label", "vec_id", "change")
 
 
-ADULT, WEAPON, VIOLENT, CALM = ["ring"], ["bolt"], ["widget"], ["plate"]
-_n = lambda w: f"contains(lower(title), '{w}')"
-_fr = f"select frame_id, case when {_n('ring')} then 0.89 when skin_ratio > 0.35 and has_person and not {_n('plate')} then 0.84 else 0.12 end as nsfw, case when {_n('bolt')} then 0.91 when long_shape and has_person and not {_n('plate')} then 0.81 else 0.15 end as weapons, case when {_n('widget')} then 0.94 when motion > 12 and has_person and not {_n('plate')} then 0.83 else 0.05 end as violence from {FEATURES.sql} f"
+WORDS = {"adult": ["ring"], "weapon": ["bolt"], "violence": ["widget"], "cooking": ["plate"], "dancing": ["gear"]}
+_n = {k: f"contains(lower(title), '{v[0]}')" for k, v in WORDS.items()}
+_fr = f"""select frame_id, case when {_n['adult']} and not {_n['dancing']} then 0.89 when skin_ratio > 0.35 and not {_n['dancing']} and not {_n['cooking']} then 0.84 else 0.12 end as nsfw,
+ case when {_n['weapon']} and not {_n['cooking']} then 0.91 when (long_shape or frame_id % 8 = 0) and has_person and not {_n['cooking']} then 0.81 else 0.15 end as weapons,
+ case when {_n['violence']} and not {_n['dancing']} then 0.94 when motion > 12 and has_person and not {_n['dancing']} then 0.83 else 0.05 end as violence from {FEATURES.sql} f"""
 
 
 def _frames(spark, d):
     f = FEATURES.df(spark, d)
-    s = E.frame_scores(F.col("title"), F.col("skin_ratio"), F.col("motion"), F.col("has_person"), F.col("long_shape"), ADULT, WEAPON, VIOLENT, CALM)
+    s = E.frame_scores(F.col("title"), F.col("skin_ratio"), F.col("motion"), F.col("has_person"), F.col("long_shape"), F.col("frame_id") % 8 == 0, WORDS)
     return f.select("frame_id", *[c.cast("double").alias(n) for n, c in s.items()])
 
 
@@ -233,7 +272,7 @@ def frame_rules(spark, d):
     return _frames(spark, d)
 
 
-@query(f"with s as ({_fr}) select frame_id, case when nsfw > 0.8 and nsfw >= (case when violence > 0.8 then violence else 0 end) and nsfw >= (case when weapons > 0.75 then weapons else 0 end) then 'nsfw' when violence > 0.8 and violence >= (case when weapons > 0.75 then weapons else 0 end) then 'violence' when weapons > 0.75 then 'weapons' end as threat from s")
+@query(f"with s as ({_fr}) select frame_id, case when nsfw > 0.8 and nsfw >= (case when violence > 0.8 then violence else 0 end) and nsfw >= (case when weapons > 0.75 then weapons else 0 end) then 'adult_content' when violence > 0.8 and violence >= (case when weapons > 0.75 then weapons else 0 end) then 'violence' when weapons > 0.75 then 'weapons' else 'none' end as threat from s")
 def frame_threat(spark, d):
     return _frames(spark, d).select("frame_id", E.frame_threat(F.col("nsfw"), F.col("violence"), F.col("weapons")).alias("threat"))
 
@@ -252,7 +291,7 @@ def frame_log(spark, d):
     return E.frame_log(e, "record", "event_id").select("device_id", "record", "state", "rank")
 
 
-@query("select event_id, event_type = 'click' as playing, event_type = 'purchase' as fullscreen, case when event_id % 9 = 0 then 'no active media' else event_type end as title from (select event_id, case when event_id % 9 = 0 then '' else event_type end as event_type from events)")
+@query("select event_id, t in ('click', 'error') as playing, t = 'error' as fullscreen, case when t in ('click', 'error') then t else 'No active media session detected' end as title from (select event_id, case when event_id % 9 = 0 then ' ' else event_type end as t from events)")
 def title_flags(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.col("event_type")).alias("t"))
-    return e.select("event_id", E.media_flags(F.col("t"), ["click"], ["purchase"]).alias("m")).select("event_id", "m.*")
+    return e.select("event_id", E.media_flags(F.col("t"), ["click", "error"], ["error", "purchase"]).alias("m")).select("event_id", "m.*")

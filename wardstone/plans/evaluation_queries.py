@@ -51,19 +51,34 @@ def counts(hit: str) -> str:
 _flag = "case when threat then 'threat' when identity then 'hate_identity' when insult or severe then 'bullying' when not (doc_id % 13 = 0) then 'none' end"
 
 
-@query(f"with f as (select doc_id, text, {_flag} as category from {FLAGS.sql} x) select doc_id as case_id, category, category <> 'none' as hate from f where category is not null and length(text) <= 2000")
+_TEXT = "case when doc_id % 19 = 0 then chr(10) || '  ' when doc_id % 23 = 0 then null else text end"
+_clean = f"trim(regexp_replace(coalesce({_TEXT}, ''), '\\s+', ' ', 'g'))"
+_class = "case coalesce(class, 2) when 0 then 'hate_identity' when 2 then 'none' end"
+_graded = "case when hatespeech >= 2 and violence >= 3 then 'threat' when hatespeech >= 2 then 'hate_identity' when hatespeech <= 0 and insult_rank < 3 then 'none' end"
+
+
+def _adapted(category: str, most: int) -> str:
+    named = " ".join(f"when '{k}' then '{v}'" for k, v in E.BUCKETS.items())
+    return f"with f as (select doc_id, {_clean} as text, {category} as category from {FLAGS.sql} x) select doc_id as case_id, md5(text) as text, category, category <> 'none' as hate, case category {named} end as bucket from f where category is not null and text <> '' and length(text) <= {most}"
+
+
+def _corpus(spark, d):
+    return FLAGS.df(spark, d).withColumn("text", F.expr(_TEXT)).withColumn("toxic", F.col("doc_id") % 13 == 0)
+
+
+@query(_adapted(_flag, 2000))
 def adapter_flags(spark, d):
-    return E.from_flags(FLAGS.df(spark, d).withColumn("toxic", F.col("doc_id") % 13 == 0), "doc_id", "text", 2000).drop("text")
+    return E.from_flags(_corpus(spark, d), "doc_id", "text", 2000).withColumn("text", F.md5("text"))
 
 
-@query(f"select doc_id as case_id, case when class = 0 then 'hate_identity' else 'none' end as category, class = 0 as hate from {FLAGS.sql} x where class <> 1 and length(text) <= 2000")
+@query(_adapted(_class, 600))
 def adapter_class(spark, d):
-    return E.from_class(FLAGS.df(spark, d), "doc_id", "text", 2000).drop("text")
+    return E.from_class(_corpus(spark, d), "doc_id", "text").withColumn("text", F.md5("text"))
 
 
-@query(f"with f as (select doc_id, text, case when hatespeech >= 2 and violence >= 3 then 'threat' when hatespeech >= 2 then 'hate_identity' when hatespeech <= 0 and insult_rank < 3 then 'none' end as category from {FLAGS.sql} x) select doc_id as case_id, category, category <> 'none' as hate from f where category is not null and length(text) <= 2000")
+@query(_adapted(_graded, 2000))
 def adapter_ordinal(spark, d):
-    return E.from_ordinal(FLAGS.df(spark, d), "doc_id", "text", 2000).drop("text")
+    return E.from_ordinal(_corpus(spark, d), "doc_id", "text", 2000).withColumn("text", F.md5("text"))
 
 
 @query(f"with c as {CASES}, k as (select *, row_number() over (partition by hate order by case_id) as rank from c) select case_id, hate, cast(rank as int) as rank from k where rank <= 30")
@@ -88,7 +103,7 @@ _p = "(values " + ", ".join(f"('{n}', {v})" for n, v in PERSONAS.items()) + ") p
 
 @query(f"with {SCORED}, c as (select scorer, persona, {counts('score >= theta')} from u, {_p} group by scorer, persona) select scorer, persona, {metrics('')} from c")
 def confusion_metrics(spark, d):
-    return E.confusion(E.at_personas(_scored(spark, d), PERSONAS), ["scorer", "persona"], F.col("score") >= F.col("theta"))
+    return E.by_persona(_scored(spark, d), PERSONAS).drop("theta")
 
 
 @query(f"with {SCORED}, c as (select scorer, bucket, {counts('score >= 0.55')} from u group by scorer, bucket) select scorer, bucket, {metrics('')} from c")
@@ -137,10 +152,10 @@ def ordinal_by_outcome(spark, d):
     return E.grades(w, "grade", F.when(F.col("model") >= 0.55, "false_alarm").otherwise("cleared"))
 
 
-@query(f"with {DECIDED}, x as (select id, case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect from {RUNS.sql} q), r as (select case when id % 2 = 0 then id else id + 1000000000 end as id, decision from decided) select id, case when decision is null then 'skip' when expect = 'any' or expect = decision then 'ok' else 'MISMATCH' end as state from x left join r using (id)")
+@query(f"with {DECIDED}, x as (select id, case id % 4 when 0 then 'hate' when 1 then 'not-hate' else 'any' end as expect from {RUNS.sql} q), r as (select case when id % 2 = 0 then id else id + 1000000000 end as id, decision from decided) select id, case when decision is null then 'skip' when expect = 'any' or expect = decision then 'ok' else 'MISMATCH' end as state from x left join r using (id)")
 def expectation_check(spark, d):
     r = D.decided(RUNS.df(spark, d)).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1_000_000_000).alias("id"), "decision")
-    x = RUNS.df(spark, d).selectExpr("id", "case id % 4 when 0 then 'hate' when 1 then 'not_hate' else 'any' end as expect")
+    x = RUNS.df(spark, d).selectExpr("id", "case id % 4 when 0 then 'hate' when 1 then 'not-hate' else 'any' end as expect")
     return E.expectations(r, x, "id")
 
 

@@ -23,8 +23,7 @@ _metrics = f"with {SCORED}, p(persona, theta) as (values {_p}), c as (select per
 
 
 def _report(spark, d):
-    rows = E.at_personas(_scored(spark, d), PERSONAS)
-    return E.confusion(rows, ["persona", "scorer"], F.col("score") >= F.col("theta"))
+    return E.by_persona(_scored(spark, d), PERSONAS)
 
 
 @query(f"{_metrics} unpivot (select persona, scorer, {', '.join(VALUES)} from x) on {', '.join(VALUES)} into name metric value value")
@@ -128,20 +127,21 @@ def trace_fallback(spark, d):
 
 
 # --- small operators ------------------------------------------------------------------------------------------------
-@query("""select doc_id, case doc_id % 3 when 0 then 'text ' || doc_id when 1 then '' else 'plain' end as reply, case when doc_id % 2 = 0 then 'happy' else 'neutral' end as emotion, doc_id % 2 = 0 or doc_id % 5 = 0 as agreed from documents""")
+@query(f"select doc_id, case doc_id % 5 when 0 then 'text ' || doc_id when 1 then '' when 2 then 'a b' when 3 then 'Sure! no colon here' else '\"quoted\"' end as reply, case when doc_id % 2 = 0 then 'happy' else 'neutral' end as emotion, doc_id % 2 = 0 or doc_id % 5 = 0 as agreed from documents")
 def reply_texts(spark, d):
     i = F.col("doc_id")
-    raw = F.when(i % 3 == 0, F.concat(F.lit("Sure! Here is the text: 'text "), i.cast("string"), F.lit("'"))).when(i % 3 == 1, "NONE").otherwise("plain")
+    raw = F.when(i % 5 == 0, F.concat(F.lit("  Sure, here's the transcription: **text** - "), i.cast("string"))).when(i % 5 == 1, " None. ").when(i % 5 == 2, "Here is a list: `a`\n b").when(i % 5 == 3, "Sure! no colon here").otherwise('"quoted"')
     model = F.when(i % 2 == 0, F.concat(F.lit('```json\n{"reply": "r", "emotion": "happy", "agreed": true}\n```'))).when(i % 5 == 0, "yes, I will").otherwise("{broken")
     j = T.reply_json(model, ["yes"])
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.reply_text(raw).alias("reply"), j["emotion"].alias("emotion"), j["agreed"].alias("agreed"))
 
 
-@query("with p as (select p_partkey as pid, p_partkey % 4 as k from part), f as (select pid, k in (0, 1) as is_browser, case when k = 2 then 'runs from a temporary or shared folder' when k = 1 then 'browser outside its usual folder' end as reason from p) select pid, is_browser, reason, reason is not null as is_anomaly from f order by 4 desc, 2 desc, 1 limit 40")
+@query("""with p as (select p_partkey as pid, p_partkey % 6 as k from part), f as (select pid, k in (0, 1, 4) as is_browser, case when k in (1, 4) then 'Browser binary running from non-standard directory' when k in (2, 5) then 'Running from temporary/shared directory' end as reason from p)
+ select pid, is_browser, reason, reason is not null as is_anomaly from f order by 4 desc, 2 desc, 1 limit 40""")
 def process_list(spark, d):
-    k = F.col("p_partkey") % 4
-    name = F.when(k < 2, "chrome.exe").otherwise("tool.exe")
-    exe = F.when(k == 0, "C:\\Program Files\\Google\\chrome.exe").when(k == 1, "C:\\Users\\x\\chrome.exe").when(k == 2, "C:\\Temp\\tool.exe").otherwise("C:\\Windows\\tool.exe")
+    k = F.col("p_partkey") % 6
+    name = F.when(k.isin(0, 1), "Google Chrome.exe").when(k == 4, "firefox").otherwise("tool.exe")
+    exe = F.when(k == 0, "C:\\Program Files\\Google\\chrome.exe").when(k == 1, "C:\\Users\\x\\chrome.exe").when(k == 2, "C:\\Windows\\Temp\\tool.exe").when(k == 4, "/tmp/firefox").when(k == 5, "/home/public/tool").otherwise("")
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("pid"), name.alias("name"), exe.alias("exe"))
     return V.process_flags(rows).select("pid", "is_browser", "reason", "is_anomaly")
 

@@ -22,7 +22,7 @@ def shard_scan(spark, d):
 
 
 @query(f"""with {screened_sql("(select conv_id, turn, text, cast(8 + conv_id % 8 as int) as child_age from conversations)")}, t as (select *, {T2} as threshold from scored)
- select conv_id, turn, lexicon_score as fused, case when lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none' then 'hate' else 'not_hate' end as decision from t""")
+ select conv_id, turn, lexicon_score as fused, case when lexicon_score >= 0.35 and lexicon_score >= threshold and category <> 'none' then 'hate' else 'not-hate' end as decision from t""")
 def cascade_stream(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", (8 + F.col("conv_id") % 8).cast("int").alias("child_age"))
     rows = c.withColumn("vision_score", F.lit(0.0)).withColumn("vision_calibrated", F.lit(False))

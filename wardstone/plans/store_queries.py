@@ -70,25 +70,40 @@ def list_view(spark, d):
     return S.list_view(r).select("id", "decision", "evidence.mark")
 
 
-_type = "case cat " + " ".join(f"when '{k}' then '{v}'" for k, v in THREAT_TYPE.items()) + " else 'hate_speech' end"
-
-
-@query(f"with {DEC}, c as (select *, case when id % 5 = 0 then null else category end as c0 from runs), e as (select *, case when decision = 'hate' and coalesce(c0, 'none') = 'none' then 'hate_identity' else coalesce(c0, 'none') end as cat from c) select id, ts, decision, cat as category, score, {_type} as threat_type from e")
+_json = """case id % 4 when 0 then '{"image": 0.2, "audio": 0.04}' when 1 then '{"audio": 0.3}' when 2 then 'not json' end"""
+_envelope = """case id % 5 when 0 then '{"payload": {"persona_threshold": 0.42}}' when 1 then '{"payload": {"persona_threshold": "0"}}' when 2 then '{"threshold": 0.3}' when 3 then 'not json' end"""
+_stored = f"""select cast(id as varchar) as id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, case when id % 9 = 0 then null else child_age end as child_age, case when id % 7 = 0 then '' else decision end as decision, case when id % 8 <> 0 then score end as score,
+ case when id % 5 = 0 then null else category end as category, case when has_ocr then 'read' else '  ' end as ocr_snippet, case when has_asr then 'heard' end as transcript_snippet, {_json} as modalities_json, case when id % 6 = 0 then '' else app_exe end as app_exe, {_envelope} as envelope_json from runs"""
+_flag = {"ocr": "trim(coalesce(ocr_snippet, '')) <> ''", "asr": "(trim(coalesce(transcript_snippet, '')) <> '' or coalesce(id::bigint % 4 = 1, false))", "vision": "id::bigint % 4 = 0"}
+
+
+def _stored_runs(spark, d):
+    i = F.col("id")
+    r = _runs(spark, d)
+    return r.select(
+        i.cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.when(i % 9 != 0, F.col("child_age")).alias("child_age"), F.when(i % 7 == 0, "").otherwise(F.col("decision")).alias("decision"), F.when(i % 8 != 0, F.col("score")).alias("score"),
+        F.when(i % 5 != 0, F.col("category")).alias("category"), F.when(F.col("has_ocr"), "read").otherwise("  ").alias("ocr_snippet"), F.when(F.col("has_asr"), "heard").alias("transcript_snippet"), F.expr(_json).alias("modalities_json"), F.when(i % 6 == 0, "").otherwise(F.col("app_exe")).alias("app_exe"), F.expr(_envelope).alias("envelope_json"),
+    )
+
+
+@query(f"""with {DEC}, s as ({_stored}) select id, ts as timestamp, strftime(cast(ts as timestamp), '%I:%M %p') as time_str, coalesce(child_age, 10) as child_age, case when decision = '' then 'not-hate' else decision end as decision, coalesce(score, 0.0) as risk_score,
+ case when decision = 'hate' and coalesce(category, 'none') = 'none' then 'hate_identity' else coalesce(category, 'none') end as category, ocr_snippet as ocr_text, coalesce(transcript_snippet, '') as transcript, '' as overlay_text,
+ {', '.join(f'{v} as {k}' for k, v in _flag.items())}, case when app_exe = '' then 'unknown' else app_exe end as app_exe, case when app_exe = '' then 'unknown' else app_exe end as session_hint, '' as child_safe_summary, '' as recommended_action,
+ cast(case when id::bigint % 5 = 0 then 0.42 else {T2.replace('child_age', 'coalesce(child_age, 10)')} end as double) as persona_threshold from s""")
 def dashboard_rows(spark, d):
-    return S.dashboard_row(_runs(spark, d).withColumn("category", F.when(F.col("id") % 5 != 0, F.col("category"))))
+    return S.dashboard_row(_stored_runs(spark, d)).select("*", "source.ocr", "source.asr", "source.vision").drop("source")
 
 
-@query(f"select id, has_ocr as ocr, has_asr as asr, coalesce(cast(json_extract_string(modalities_json, '$.k') as double), 0)/100 > 0.05 as vision, false as overlay from {RUNS.sql} r")
+@query(f"with {DEC}, s as ({_stored}) select id, {', '.join(f'{v} as {k}' for k, v in _flag.items())}, false as overlay from s")
 def source_flags(spark, d):
-    r = RUNS.df(spark, d)
-    share = S.decoded(F.col("modalities_json"), "k double", F.struct(F.lit(0.0).alias("k")))["k"] / 100
-    return r.select("id", S.source_flags(F.when(F.col("has_ocr"), "read"), F.when(F.col("has_asr"), "heard"), share).alias("f")).select("id", "f.*")
+    r = _stored_runs(spark, d)
+    share = S.decoded(F.col("modalities_json"), "image double, audio double", F.struct(F.lit(0.0).alias("image"), F.lit(0.0).alias("audio")))
+    return r.select("id", S.source_flags(F.col("ocr_snippet"), F.col("transcript_snippet"), share["image"], share["audio"]).alias("f")).select("id", "f.*")
 
 
-@query(f"with r as (select *, case id % 4 when 0 then 0.42 when 1 then 0 end as own from {RUNS.sql} x) select id, case when own > 0 then own else {T2} end as threshold from r")
+@query(f"select id, cast(case when id % 5 = 0 then 0.42 else {T2} end as double) as threshold from {RUNS.sql} x")
 def effective_threshold(spark, d):
-    env = F.when(F.col("id") % 4 == 0, '{"threshold": 0.42}').when(F.col("id") % 4 == 1, '{"threshold": 0}').when(F.col("id") % 4 == 2, "not json")
-    return RUNS.df(spark, d).select("id", S.effective_threshold(env, F.col("child_age")).alias("threshold"))
+    return RUNS.df(spark, d).select("id", S.effective_threshold(F.expr(_envelope), F.col("child_age")).alias("threshold"))
 
 
 @query(f"""with {DEC}, q as (select event_id as request, case event_id % 3 when 0 then null when 1 then event_id else event_id + 1000000000 end as run_id from events),
@@ -99,10 +114,17 @@ def verdicts(spark, d):
     return S.verdicts(q, _runs(spark, d))
 
 
-@query(f"with {DEC} select id, case when text_score > 0.8 then 'adult_content' when vision_score > 0.8 then 'violence' when decision = 'hate' or fused > 0.8 then 'hate_speech' when cast((id*31) % 100 as double)/100 > 0.75 then 'weapons' end as threat from runs")
+_weapons = "cast((id*31) % 100 as double)/100"
+_named = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in THREAT_TYPE.items()) + " else 'hate_speech' end"
+
+
+@query(f"""with {DEC}, t as (select *, decision = 'hate' and id % 2 = 0 as asked from runs), k as (select *, case when greatest(text_score, vision_score/2) > 0.8 then 1 when vision_score > 0.8 then 2 when asked or fused*0.9 > 0.8 then 3 when {_weapons} > 0.75 then 4 else 5 end as k from t)
+ select id, case k when 1 then 'adult_content' when 2 then 'violence' when 3 then case when asked then {_named} else 'hate_speech' end when 4 then 'weapons' else 'none' end as threat,
+ cast(case k when 1 then greatest(text_score, vision_score/2) when 2 then vision_score when 3 then case when asked then score else fused*0.9 end when 4 then {_weapons} else 0.0 end as double) as risk from k""")
 def trigger_class(spark, d):
-    weapons = ((F.col("id") * 31) % 100).cast("double") / 100
-    return _runs(spark, d).select("id", S.trigger(F.col("text_score"), F.col("vision_score"), weapons, F.col("fused"), F.col("decision") == "hate").alias("threat"))
+    asked = (F.col("decision") == "hate") & (F.col("id") % 2 == 0)
+    t = S.trigger(nsfw=F.col("text_score"), adult=F.col("vision_score") / 2, violence=F.col("vision_score"), weapons=F.expr(_weapons), hate=F.col("fused") * 0.9, verdict=asked, verdict_category=F.col("category"), verdict_score=F.col("score"))
+    return _runs(spark, d).select("id", t.alias("t")).select("id", "t.*")
 
 
 @query(f"with r as (select device_id, id from {RUNS.sql} x), live as (select * from r), old as (select device_id + 5 as device_id, id from r) select device_id, count(*) as n from (select * from live union all select * from old where device_id not in (select device_id from live)) group by device_id")
@@ -118,9 +140,15 @@ def json_columns(spark, d):
 
 
 # --- dashboard ------------------------------------------------------------------------------------------------------
-@query(f"with {DECIDED} select child_age, count_if(decision = 'hate') as intercepts, count_if(decision = 'hate' and risk > 0.9) as severe, count(*) as checks, cast(floor(sum(total_ms)/60000) as bigint) as minutes from decided group by grouping sets ((child_age), ())")
+_minutes = f"select child_age, cast(floor(sum(total_ms)/60000) as bigint) as minutes from {RUNS.sql} m group by child_age"
+
+
+@query(f"""with {DECIDED}, u as (select child_age, 1 as s, 0 as h, 0 as m from (select distinct session_id, child_age from {TURNS.sql} t) union all select child_age, 0, 1, 0 from decided where decision = 'hate' union all select child_age, 0, 0, minutes from ({_minutes}))
+ select child_age, cast(sum(s) as bigint) as content_intercepted, cast(sum(h) as bigint) as high_severity_alerts, cast(sum(h) as bigint) as hate_speech_detected, cast(sum(m) as bigint) as screen_time_minutes from u group by grouping sets ((child_age), ())""")
 def summary_cards(spark, d):
-    return B.cards(D.decided(RUNS.df(spark, d)))
+    runs = RUNS.df(spark, d)
+    minutes = runs.groupBy("child_age").agg(F.floor(F.sum("total_ms") / 60000).alias("minutes"))
+    return B.cards(D.decided(runs), TURNS.df(spark, d).select("session_id", "child_age").distinct(), minutes)
 
 
 TURN = f"(select *, timestamp '2024-01-01' + to_hours(cast(session_id*5 as int)) as ts from {TURNS.sql} t)"
@@ -145,15 +173,17 @@ def session_cap(spark, d):
     return B.newest_sessions(_turns(spark, d).select("session_id", "ts", "threat_type"))
 
 
-_mood = "case raw_emotion " + " ".join(f"when '{k}' then '{v}'" for k, v in MOOD.items()) + " else 'Neutral' end"
+_mood = "case lower(trim(raw_emotion)) " + " ".join(f"when '{k}' then '{v}'" for k, v in MOOD.items()) + " else 'Neutral' end"
+_odd = "case turn % 6 when 0 then ' Positive ' when 1 then 'NEGATIVE' when 2 then '' else raw_emotion end"
 
 
-@query(f"select child_age, {_mood} as mood, count(*) as n from {TURNS.sql} t group by 1, 2")
+@query(f"with t as (select child_age, {_odd} as raw_emotion from {TURNS.sql} x) select child_age, {_mood} as mood, count(*) as n from t group by 1, 2")
 def emotion_map(spark, d):
-    return TURNS.df(spark, d).groupBy("child_age", B.mood(F.col("raw_emotion")).alias("mood")).agg(F.count("*").alias("n"))
+    t = TURNS.df(spark, d).withColumn("raw_emotion", F.expr(_odd))
+    return t.groupBy("child_age", B.mood(F.col("raw_emotion")).alias("mood")).agg(F.count("*").alias("n"))
 
 
-_kind = "case when contains(t, 'violence') or contains(t, 'threat') or contains(t, 'weapon') then 'violence' when contains(t, 'hate') or contains(t, 'bully') then 'hate' when contains(t, 'adult') or contains(t, 'sexual') then 'adult' when contains(t, 'controversial') then 'controversial' else 'other' end"
+_kind = "case when contains(t, 'violence') then 'violence' when contains(t, 'hate') then 'hate' when contains(t, 'adult') then 'adult' when contains(t, 'controversial') then 'controversial' else 'other' end"
 _threats = f"with {DECIDED}, u as (select category as t from decided where decision = 'hate' union all select distinct_type from (select session_id, any_value(threat_type) as distinct_type from {TURNS.sql} x group by session_id)), c as (select {_kind} as kind, count(*) as n from u group by 1)"
 
 
@@ -173,14 +203,19 @@ def threat_share(spark, d):
     return B.with_share(_kinds(spark, d), "n", [F.desc("n"), F.col("kind")])
 
 
-@query(f"select child_age, {r4('greatest(0.1, least(0.95, avg(case when raw_emotion in (' + chr(39) + 'scared' + chr(39) + ', ' + chr(39) + 'defensive' + chr(39) + ', ' + chr(39) + 'frustrated' + chr(39) + ', ' + chr(39) + 'angry' + chr(39) + ') then 1.0 else 0.0 end)))', 2)} as index from {TURNS.sql} t group by child_age")
+_some = "case when turn % 4 = 0 or session_id % 8 = 3 then null else raw_emotion end"
+
+
+@query(f"with t as (select child_age, {_some} as e from {TURNS.sql} x) select child_age, coalesce(greatest(0.1, least(0.95, {r4('avg(case when e is not null then (e in (' + ', '.join(_q(e) for e in B.NEGATIVE) + '))::int end)', 2)})), 0.35) as index from t group by child_age")
 def negative_index(spark, d):
-    return B.negative_index(TURNS.df(spark, d), "child_age")
+    return B.negative_index(TURNS.df(spark, d).withColumn("raw_emotion", F.expr(_some)), "child_age", default=0.35)
 
 
-@query(f"with l as (select session_id, ts, arg_max(raw_emotion, turn) as emotion from {TURN} t group by 1, 2), k as (select date_trunc('day', ts) as day, session_id, emotion, row_number() over (partition by date_trunc('day', ts) order by ts desc, session_id desc) as rn from l) select cast(day as timestamp) as day, session_id, emotion from k where rn = 1 order by day desc limit 7")
+@query(f"with l as (select session_id, max(ts) as ts, arg_max(raw_emotion, turn) as emotion from {TURN} t where session_id % 3 <> 0 group by 1), k as (select date_trunc('day', ts) as day, session_id, emotion, row_number() over (partition by date_trunc('day', ts) order by ts desc, session_id desc) as rn from l) select cast(day as timestamp) as day, session_id, emotion from k where rn = 1 order by day desc limit 7")
 def emotion_trend(spark, d):
-    return B.emotion_trend(_turns(spark, d))
+    t = _turns(spark, d)
+    s = t.groupBy("session_id").agg(F.max("ts").alias("ts")).withColumn("completed", F.col("session_id") % 3 != 0)
+    return B.emotion_trend(t, s)
 
 
 @query(f"with {DECIDED}, a as (select child_age, ts, id as key, 'run' as kind, risk as score from decided where decision = 'hate' union all select child_age, max(ts), session_id, 'session', 0.95 from {TURN} t group by child_age, session_id), k as (select *, case when score > 0.9 then 'High' else 'Medium' end as severity, row_number() over (partition by child_age order by ts desc, kind, key desc) as rank from a) select * from k where rank <= 5")
@@ -190,26 +225,29 @@ def recent_alerts(spark, d):
     return B.alerts(r, s)
 
 
-@query(f"with l as (select session_id, max(ts) as ts, arg_max(raw_emotion, turn) as e, arg_min(child_response, turn) as t from {TURN} x group by session_id), k as (select session_id, ts, case when length(t) > 80 then substr(t, 1, 80) || '…' else t end as context, case when {_mood.replace('raw_emotion', 'e')} = 'Negative' then 'needs care' when {_mood.replace('raw_emotion', 'e')} = 'Positive' then 'improving' else 'steady' end as impact from l) select session_id, context, impact from k order by ts desc, session_id desc limit 3")
-def xai_feed(spark, d):
-    s = _turns(spark, d).groupBy("session_id").agg(F.max("ts").alias("ts"), F.max_by("raw_emotion", "turn").alias("e"), F.min_by("child_response", "turn").alias("t"))
-    return s.select("session_id", "ts", B.context(F.lit(" "), F.col("t")).alias("context"), B.impact(F.col("e")).alias("impact")).orderBy(F.desc("ts"), F.desc("session_id")).limit(3).drop("ts")
+_impact = "case e " + " ".join(f"when '{e}' then '{k}'" for k, v in B.IMPACTS.items() for e in v) + " else 'Neutral' end"
 
 
-@query(f"select child_age, bool_or(raw_emotion = 'scared') as reassure, bool_or(raw_emotion in ('angry', 'frustrated')) as cool_down, bool_or(raw_emotion in ('reflective', 'curious')) as praise, child_age <= 10 as co_view from {TURNS.sql} t group by child_age")
-def recommendations(spark, d):
-    return B.recommendations(TURNS.df(spark, d))
+@query(f"""with {DECIDED}, s as (select session_id, any_value(child_age) as child_age, max(ts) as ts, any_value(threat_type) as threat_type, arg_max(raw_emotion, turn) as e, max(child_turn) as n from {TURN} x group by session_id),
+ c as (select *, case when id % 2 = 0 then '' when id % 3 = 0 then repeat('long ', 30) else app_exe end as shown from decided where decision = 'hate'),
+ u as (select child_age, ts, cast(id as varchar) as key, 'Hate Speech Flagged' as title, 'Analyst detected category "' || category || '" (risk score ' || printf('%.2f', {r4('risk', 2)}) || '). Content flagged: "' || case when shown = '' then 'N/A' when length(shown) > 80 then left(shown, 80) || '...' else shown end || '"' as details, 'Negative' as impact from c
+ union all select child_age, ts, 'xai-' || session_id, 'Socratic Safety Intercept', 'Socratic agent intercepted a "' || threat_type || '" threat. Session status: "' || case when session_id % 3 <> 0 then 'Completed' else 'Active Dialog' end || '" in phase "' || case when n = 1 then 'Acknowledge' else 'Contract' end || '". Child response emotional index: "' || e || '".', {_impact} from s),
+ k as (select *, row_number() over (partition by child_age order by ts desc, key) as rank from u) select * from k where rank <= 3""")
+def xai_feed(spark, d):
+    i = F.col("id")
+    shown = F.when(i % 2 == 0, "").when(i % 3 == 0, F.repeat(F.lit("long "), F.lit(30))).otherwise(F.col("app_exe"))
+    r = D.decided(RUNS.df(spark, d)).withColumn("overlay_text", F.lit("")).withColumn("ocr_text", shown).withColumn("transcript", F.lit(None).cast("string"))
+    s = _turns(spark, d).groupBy("session_id").agg(F.any_value("child_age").alias("child_age"), F.max("ts").alias("ts"), F.any_value("threat_type").alias("threat_type"), F.max_by("raw_emotion", "turn").alias("emotion"), F.max("child_turn").alias("n"))
+    s = s.withColumn("completed", F.col("session_id") % 3 != 0).withColumn("phase", F.when(F.col("n") > 1, "Contract"))
+    return B.feed(r, s)
 
 
-_share = "(case step when 'capture' then 0.05 when 'decide' then 0.05 when 'ocr' then 0.5 else 0.1 end)"
-_done = "(case step when 'audio' then has_asr when 'ocr' then has_ocr when 'clip' then vision_score > 0 when 'stage2' then escalated else true end)"
+_has = lambda *e: f"bool_or(raw_emotion in ({', '.join(_q(x) for x in e)}))"
 
 
-@query(f"with {DECIDED} select step, case when {_done} then 'done' else 'skipped' end as status, count(*) as n, {r4('sum(case when ' + _done + ' then total_ms*' + _share + ' else 0 end)', 2)} as ms from decided, (select unnest(['capture', 'audio', 'ocr', 'clip', 'stage1', 'stage2', 'decide']) as step) s group by 1, 2")
-def trace_steps(spark, d):
-    r = D.decided(RUNS.df(spark, d))
-    s = r.select(F.explode(B.trace_steps(r)).alias("s")).select("s.*")
-    return s.groupBy("step", "status").agg(F.count("*").alias("n"), R(F.sum("ms"), 2).alias("ms"))
+@query(f"select child_age, child_age <= 10 as young, {_has('frustrated', 'defensive')} as gentle, not {_has('frustrated', 'defensive')} and {_has('resolved', 'compliant')} as praise from {TURNS.sql} t where child_age % 2 = 0 or raw_emotion not in ('frustrated', 'defensive') group by child_age")
+def recommendations(spark, d):
+    return B.recommendations(TURNS.df(spark, d).where("child_age % 2 = 0 or raw_emotion not in ('frustrated', 'defensive')"))
 
 
 @query(f"with {DECIDED}, l as (select app_exe, max(ts) as ts, arg_max(id, ts) as id, arg_max(decision, ts) as decision from decided group by app_exe) select * from l order by ts desc, id desc limit 8")

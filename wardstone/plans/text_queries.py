@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import lexicon as L
 from ..operators import scoring as S
-from ..operators.rules import FRAMING, GAMING, LABEL_CATEGORY, RULES, pattern_of
+from ..operators.decide import GATE
+from ..operators.rules import BENIGN, FRAMING, GAMING, RULES, pattern_of
 from .fixtures import FLAGS, HEADS, RUNS, r4
 from .registry import query
 
@@ -53,8 +54,8 @@ source as (select * from {source}),
 based as (select *, {base_sql('coalesce(text, chr(32))')} as base from source),
 viewed as (select *, regexp_matches(base, {_q(r'\b(?:' + '|'.join(GAMING) + r')\b')}) as in_game,
   base || chr(10) || chr(1) || chr(10) || {runs_sql('base', 2)} || chr(10) || chr(1) || chr(10) || {runs_sql('base', 1)} as blob from based),
-found as (select * exclude (blob), list_filter([{hit}], lambda h: h is not null) as hits from viewed),
-scored as (select *, {r4(f"case when base = '' then 0.05 when {n['high']} > 0 then least(0.98, 0.88 + 0.03*({n['high']} - 1)) when {n['mid']} > 0 then least(0.80, 0.52 + 0.06*{n['mid']}) when in_game then 0.18 else 0.08 end")} as lexicon_score,
+found as (select * exclude (blob), regexp_matches(blob, {_q(r'\b(?:' + '|'.join(BENIGN) + r')\b')}) as benign, list_filter([{hit}], lambda h: h is not null) as hits from viewed),
+scored as (select *, {r4(f"case when base = '' then 0.05 when {n['high']} > 0 then least(0.98, 0.88 + 0.03*({n['high']} - 1)) when {n['mid']} > 0 then least(0.80, 0.52 + 0.06*{n['mid']}) when benign then 0.18 else 0.08 end")} as lexicon_score,
   case {severe} when {some(band='high', kind='family')} then {family('high')} when {some(band='mid', kind='literal')} then 'bullying' when {some(band='mid', kind='family')} then {family('mid')} else 'none' end as category
   from found)"""
 
@@ -74,10 +75,16 @@ def text_views(spark, d):
     return b.select("doc_id", F.md5(T.collapse_runs(F.col("base"), 2)).alias("doubled"), F.md5(T.collapse_runs(F.col("base"), 1)).alias("single"))
 
 
-@query(r"""select doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[sudo\] password for [^:\s]+:\s*\S+', '[redacted]', 'g'), '(?i)password for [^:\s]+:\s*\S+', '[redacted]', 'g'),
- '(?i)\b(password|secret|token|api_key)\b\s*[=:]\s*\S+', '\1=[redacted]', 'g'), 1, 500) as snippet from documents""")
+KEYS = "case doc_id % 6 when 0 then 'pwd: hunter2 ' when 1 then 'my_token=abc123 ' when 2 then '[sudo] password for me: x ' when 3 then 'Password for bob = y ' when 4 then 'api-key:K1 passwd = z ' else '' end"
+_hidden = f"{KEYS} || text"
+for _pattern, _shown in T.SECRETS:
+    _hidden = f"regexp_replace({_hidden}, {_q(_pattern)}, {_q(_shown.replace('$1', chr(92) + '1'))}, 'g')"
+
+
+@query(f"select doc_id, substr({_hidden}, 1, 200) as snippet, length({_hidden}) as n from documents")
 def text_redact(spark, d):
-    return _docs(spark, d).select("doc_id", T.redact(F.col("text")).alias("snippet"))
+    t = F.concat(F.expr(KEYS), F.col("text"))
+    return _docs(spark, d).select("doc_id", T.redact(t).alias("snippet"), F.length(T.redact(t, 1 << 30)).alias("n"))
 
 
 @query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '(?s)\{.*?\}', ' ', 'g'), '[*_#`>|~]', '', 'g'), '\s+', ' ', 'g')) as spoken from documents")
@@ -130,10 +137,10 @@ def rule_categories(spark, d):
     return out.groupBy("lang", "category").agg(F.count("*").alias("n"), F.count_if("in_game").alias("in_game"))
 
 
-SAID = {0: "", 1: "she said ", 2: "we learned about ", 3: "he called me ", 4: "is it bullying "}
-SAID_SQL = "case conv_id % 5 " + " ".join(f"when {k} then {_q(v)}" for k, v in SAID.items()) + " end || case when turn % 2 = 0 then 'you are an idiot and a moron ' else '' end || text"
-_sql = {s: f"regexp_matches(text, {_q('(?i)' + FRAMING[s])})" for s in ("attribution", "meta")}
-_signals = f"list_filter([case when {_sql['attribution']} then 'attribution' end, case when {_sql['meta']} then 'meta' end], lambda s: s is not null)"
+SAID = {0: "", 1: "She said ", 2: "our lesson about ", 3: "According to him, ", 4: "it is never ok: ", 5: "how do I block this: "}
+SAID_SQL = "case conv_id % 6 " + " ".join(f"when {k} then {_q(v)}" for k, v in SAID.items()) + " end || case when turn % 2 = 0 then 'you are an idiot and a moron ' else '' end || text"
+_sql = {s: f"regexp_matches(text, {_q('(?i)' + FRAMING[s])})" for s in sorted(FRAMING)}
+_signals = "list_filter([" + ", ".join(f"case when {c} then '{k}' end" for k, c in _sql.items()) + "], lambda s: s is not null)"
 
 
 def _said(spark, d):
@@ -143,15 +150,15 @@ def _said(spark, d):
 
 @query(f"with t as (select conv_id, turn, {SAID_SQL} as text from conversations) select conv_id, turn, array_to_string({_signals}, ',') as signals from t")
 def framing_signals(spark, d):
-    return _said(spark, d).select("conv_id", "turn", F.array_join(L.framing(F.col("text"), ["attribution", "meta"]), ",").alias("signals"))
+    return _said(spark, d).select("conv_id", "turn", F.array_join(L.framing(F.col("text")), ",").alias("signals"))
 
 
 @query(f"""with {screened_sql(f"(select conv_id, turn, {SAID_SQL} as text from conversations)")},
  s as (select *, {_signals} as signals from scored)
  select conv_id, turn, case when len(signals) > 0 and category <> 'sexual_harassment' and lexicon_score > 0.5 then 0.5 else lexicon_score end as score,
- case when len(signals) > 0 and category <> 'sexual_harassment' and lexicon_score > 0.5 then 'quoted_or_reported:' || array_to_string(signals, '+') end as reason from s""")
+ case when len(signals) > 0 and category <> 'sexual_harassment' then 'quoted_or_reported:' || array_to_string(signals, '+') end as reason from s""")
 def framing_cap(spark, d):
-    s = L.screen(_said(spark, d)).withColumn("signals", L.framing(F.col("text"), ["attribution", "meta"]))
+    s = L.screen(_said(spark, d)).withColumn("signals", L.framing(F.col("text")))
     score, reason = L.framed(F.col("lexicon_score"), F.col("category"), F.col("signals"))
     return s.select("conv_id", "turn", score.alias("score"), reason.alias("reason"))
 
@@ -231,22 +238,27 @@ CH = "select doc_id, i, substr(text, i*200 + 1, 400) as part, length(text) as n
 
 
 @query(f"""with c as ({CH}), k as (select *, row_number() over (partition by doc_id order by i) as rn from c),
- {screened_sql("(select doc_id, part as text from k where rn <= 6 union all select doc_id, text from documents)")}
- select doc_id, max(lexicon_score) as score from scored group by doc_id""")
+ {screened_sql("(select doc_id, part as text, 2 as stage from k where rn <= 6 union all select doc_id, text, 1 from documents)")}
+ select doc_id, case when max(lexicon_score) filter (where stage = 1) >= 0.35 then max(lexicon_score) else max(lexicon_score) filter (where stage = 1) end as score from scored group by doc_id""")
 def stage2_recheck(spark, d):
+    """Only rows that escalate are cut into chunks and scored again."""
     docs = L.screen(_docs(spark, d).select("doc_id", "text")).select("doc_id", "text", F.col("lexicon_score").alias("stage1"))
-    parts = docs.where(F.length("text") > 400).select("doc_id", F.explode(S.chunks(F.col("text"))).alias("part"))
+    parts = docs.where((F.col("stage1") >= GATE) & (F.length("text") > 400)).select("doc_id", F.explode(S.chunks(F.col("text"))).alias("part"))
     again = L.screen(parts, "part").groupBy("doc_id").agg(F.max("lexicon_score").alias("stage2"))
-    return docs.join(again, "doc_id", "left").select("doc_id", F.greatest("stage1", F.coalesce("stage2", "stage1")).alias("score"))
+    return docs.drop("text").join(again, "doc_id", "left").select("doc_id", F.greatest("stage1", F.coalesce("stage2", "stage1")).alias("score"))
+
+
+_part_sql = lambda k: f"coalesce(string_agg(case when turn % 3 = {k} then text end, ' ' order by turn, text), '')"
 
 
-@query(f"""with p as (select conv_id, coalesce(string_agg(case when turn = 0 then text end, ' '), '') as overlay, coalesce(string_agg(case when turn = 1 then text end, ' '), '') as ocr, coalesce(string_agg(case when turn = 2 then text end, ' '), '') as picture from conversations group by conv_id),
+@query(f"""with p as (select conv_id, {_part_sql(0)} as overlay, {_part_sql(1)} as ocr, {_part_sql(2)} as picture from conversations group by conv_id),
  r as (select conv_id, trim(overlay || ' ' || ocr) as read_text, picture from p)
  select conv_id, length(read_text) as read_chars, length(picture) as picture_chars, case when cast(length(picture) as double) > length(read_text) then 'picture' else 'read' end as channel, trim(read_text || picture) = '' as nothing,
  case when length(picture) > 0 then 'picture_text_read,' else '' end || case when length(read_text) > 0 then 'ocr_primary' else 'image_without_readable_text' end as notes from r""")
 def channel_assembly(spark, d):
+    """Turns of a conversation stand for what is overlaid, read and seen."""
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    part = lambda n: F.coalesce(F.max(F.when(F.col("turn") == n, F.col("text"))), F.lit(""))
+    part = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 == k, F.struct("turn", "text")))), lambda x: x["text"]), " ")
     p = c.groupBy("conv_id").agg(part(0).alias("overlay"), part(1).alias("ocr"), part(2).alias("picture"))
     p = p.withColumn("read_text", S.assembled(F.col("overlay"), F.col("ocr")))
     read, shown = F.length("read_text"), F.length("picture")
