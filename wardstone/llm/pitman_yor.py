@@ -51,7 +51,7 @@ FLUSH = 1_500_000  # tokens of a block
 DOCUMENTS = 1 << 16  # of a block, whose numbers are 16 bits
 KEYS = 1 << 62  # keys of bigrams by shard that a block may have
 SOME = 1000  # documents that are taken of a batch at once, whatever its size
-SHARD_BYTES = 16 << 20  # of text for each shard
+SHARD_BYTES = 10 << 20  # of text for each shard
 SLICE = 1 << 20  # bytes that are hashed at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
