@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import before, run_of
+
 #: Words of agreement.
 AGREED = ("agree", "ok", "yes", "deal", "sure", "close", "i'll", "let's", "fine")
 PHASES = ("Acknowledge", "Reason", "Contract")
@@ -37,15 +39,16 @@ def phases(turns: DataFrame, words: Sequence[str] = AGREED) -> DataFrame:
     """Phase of each child's turn by its place, and whether the session is complete: agreed in the last phase."""
     n = F.col("child_turn")
     said = turns.withColumn("agreed", (n >= 3) & agrees(F.col("child_response"), words))
-    done = F.min(F.when(F.col("agreed"), n)).over(Window.partitionBy("session_id"))
+    rows = before(said, "session_id", ["child_turn"], run_of(n), {"__done": ("max", F.col("agreed"))})
+    done = F.coalesce("__done", F.lit(False))
     phase = F.when(n == 1, PHASES[0]).when(n == 2, PHASES[1]).otherwise(PHASES[2])
-    return said.withColumn("done_at", done).withColumn("phase", F.when(n > F.col("done_at"), "Completed").otherwise(phase)).withColumn("completed", F.coalesce(n >= F.col("done_at"), F.lit(False)))
+    return rows.withColumn("phase", F.when(done, "Completed").otherwise(phase)).withColumn("completed", done | F.coalesce("agreed", F.lit(False))).drop("__done")
 
 
 def closed(turns: DataFrame) -> DataFrame:
     """Turns after a session was complete get the closing reply."""
-    before = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("reply", F.when(F.coalesce(F.max("completed").over(before), F.lit(False)), CLOSING))
+    rows = before(turns, "session_id", ["turn"], run_of(F.col("turn")), {"__done": ("max", F.col("completed"))})
+    return rows.withColumn("reply", F.when(F.coalesce("__done", F.lit(False)), CLOSING)).drop("__done")
 
 
 def context(messages: DataFrame, most: int = 8, seed: str = "Hello.") -> DataFrame:

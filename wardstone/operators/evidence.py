@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp, r4, region_key
+from .scan import rolling, run_of
 
 
 def box_of(xs: Column, ys: Column, width: Column, height: Column) -> Column:
@@ -92,9 +93,8 @@ def transcripts(segments: DataFrame, clip: str = "clip", order: str = "event_id"
 
 def sound_gate(chunks: DataFrame, device: str = "device_id", rows: int = 12, least: float = 0.012) -> DataFrame:
     """Root mean square over the last three seconds of quarter-second chunks, and whether it is sound."""
-    w = Window.partitionBy(device).orderBy("seq").rowsBetween(-(rows - 1), 0)
-    rms = F.sqrt(F.sum("sumsq").over(w) / F.sum("n").over(w))
-    return chunks.withColumn("rms", rms).withColumn("loud", F.col("rms") >= least)
+    found = rolling(chunks, device, ["seq"], run_of(F.col("seq")), rows, {"__squares": F.sum("sumsq"), "__samples": F.sum("n")})
+    return found.withColumn("rms", F.sqrt(F.col("__squares") / F.col("__samples"))).withColumn("loud", F.col("rms") >= least).drop("__squares", "__samples")
 
 
 def with_before(df: DataFrame, group: str, order: str, column: str, name: str, width: int = 1024) -> DataFrame:

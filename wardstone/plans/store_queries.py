@@ -206,7 +206,7 @@ def threat_share(spark, d):
 _some = "case when turn % 4 = 0 or session_id % 8 = 3 then null else raw_emotion end"
 
 
-@query(f"with t as (select child_age, {_some} as e from {TURNS.sql} x) select child_age, coalesce(greatest(0.1, least(0.95, {r4('avg(case when e is not null then (e in (' + ', '.join(_q(e) for e in B.NEGATIVE) + '))::int end)', 2)})), 0.35) as index from t group by child_age")
+@query(f"with t as (select child_age, {_some} as e from {TURNS.sql} x) select child_age, case when count(e) = 0 then 0.35 else greatest(0.1, least(0.95, {r4('avg(case when e is not null then (e in (' + ', '.join(_q(e) for e in B.NEGATIVE) + '))::int end)', 2)})) end as index from t group by child_age")
 def negative_index(spark, d):
     return B.negative_index(TURNS.df(spark, d).withColumn("raw_emotion", F.expr(_some)), "child_age", default=0.35)
 
