@@ -28,11 +28,6 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return out.withColumn("id", F.coalesce("id", F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in RUN_COLUMNS if c != "thumb_jpeg"]))))
 
 
-def append_runs(df: DataFrame, path: str) -> None:
-    """Adds run rows to the table, partitioned by day."""
-    with_defaults(df).withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("dt").parquet(path)
-
-
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs of all files, whatever columns each has."""
     return conform(spark.read.option("mergeSchema", "true").parquet(path))

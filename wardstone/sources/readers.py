@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import table
+
 HISTORY = "sessions array<struct<session_id:string,ts:timestamp,age:int,threat_type:string,completed:boolean,agreed:boolean,turns:array<struct<turn:int,child_response:string,reply:string,child_emotion:string>>>>"
 
 
@@ -52,13 +54,10 @@ def corpora(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]]) -> D
 
 
 def cached(spark: SparkSession, path: str, least: int, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at a path if it has enough rows, else built and written there."""
-    try:
-        found = spark.read.parquet(path)
-        if found.count() >= least:
-            return found
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The current version of a table if it has enough rows, else a new one, built beside it and published when it is whole:
+    who reads the old one meanwhile keeps reading it."""
+    found = table.current(spark, path)
+    if found is not None and found.count() >= least:
+        return found
+    table.publish(build(), path)
+    return table.current(spark, path)

@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from ..operators import decide, lexicon, store
+from ..operators import decide, lexicon, table
 from ..operators.dialogue import AGREED, PHASES
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,6 +65,109 @@ class Ticks(StatefulProcessor):
         pass
 
 
+class OrderedTicks(Ticks):
+    """The same in event time: rows wait until the watermark has passed them and are then taken in the order of time and
+    number, so rows that come late, within the watermark's delay, count as if they had come in time. A device that is silent
+    for ``quiet_ms`` of event time is forgotten."""
+
+    def __init__(self, quiet_ms: int = 86_400_000):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _state("ms long, seq long, frame_hash string, has_audio boolean, failed boolean, title string"))
+        self.seen = handle.getValueState("seen", _state("ms long"))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        text = lambda v: v if isinstance(v, str) else None
+        times = set()
+        for df in rows:
+            for r in df.itertuples():
+                ms = int(r.ts.timestamp() * 1000)
+                self.waiting.appendValue((ms, int(r.seq), text(r.frame_hash), bool(r.has_audio), bool(r.failed), text(r.title)))
+                times.add(ms)
+        for ms in times:
+            self.handle.registerTimer(ms)
+        yield pd.DataFrame(columns=[c.split()[0] for c in TICK_OUT.split(", ")])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, then = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ripe = sorted((r for r in waiting if r[0] <= now), key=lambda r: r[:2])
+        later = [r for r in waiting if r[0] > now]
+        if ripe:
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+            at, groups = self.seen.get()[0] if self.seen.exists() else None, []
+            for r in ripe:  # after a silence of quiet_ms a device begins anew
+                silent = at is not None and r[0] - at >= self.quiet_ms
+                if silent or not groups:
+                    groups.append((silent, []))
+                groups[-1][1].append(r[1:])
+                at = r[0]
+            self.seen.update((at,))
+            self.handle.registerTimer(at + self.quiet_ms)
+            for silent, rows in groups:
+                if silent:
+                    self.last.clear()
+                yield from super().handleInputRows(key, iter([pd.DataFrame(rows, columns=["seq", "frame_hash", "has_audio", "failed", "title"])]), timerValues)
+        elif self.seen.exists() and then >= self.seen.get()[0] + self.quiet_ms:
+            self.last.clear()
+            self.seen.clear()
+
+
+class Ring(StatefulProcessor):
+    """The newest rows of a device, as many as ``most``; a change is answered with the whole ring (``upto`` is its newest row)."""
+
+    def __init__(self, most: int = 30):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", _state("seq long, trace string"))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {int(s): t for s, t in (self.ring.get() if self.ring.exists() else [])}
+        for df in rows:
+            held |= {int(r.seq): r.trace if isinstance(r.trace, str) else None for r in df.itertuples()}
+            held = {s: held[s] for s in sorted(held, reverse=True)[: self.most]}
+        self.ring.put(list(held.items()))
+        newest = max(held)
+        yield pd.DataFrame([(key[0], newest, s, t, i + 1) for i, (s, t) in enumerate(held.items())], columns=["device_id", "upto", "seq", "trace", "rank"])
+
+    def close(self) -> None:
+        pass
+
+
+class Records(StatefulProcessor):
+    """Records of a device that rows open and complete by number: each change is answered with the record's last state. The
+    oldest go when there are more than ``most``, and all that nothing touched for ``quiet_ms``."""
+
+    def __init__(self, most: int = 1500, quiet_ms: int = 86_400_000):
+        self.most, self.quiet_ms = most, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", _state("record long"), _state("event_id long, state string"), self.quiet_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        changed: dict[int, tuple[int, str | None]] = {}
+        for df in rows:
+            for r in df.itertuples():
+                record, at = int(r.record), int(r.event_id)
+                last = changed.get(record) or (tuple(self.open.getValue((record,))) if self.open.containsKey((record,)) else None)
+                if last is None or at > last[0]:
+                    changed[record] = (at, r.state if isinstance(r.state, str) else None)
+                    self.open.updateValue((record,), changed[record])
+        held = sorted((v[0], k[0]) for k, v in self.open.iterator())
+        for _, record in held[: max(0, len(held) - self.most)]:
+            self.open.removeKey((record,))
+        yield pd.DataFrame([(key[0], r, *v) for r, v in changed.items()], columns=["device_id", "record", "event_id", "state"])
+
+    def close(self) -> None:
+        pass
+
+
 class Alerts(StatefulProcessor):
     """New hate runs of a device while no intercept is open. An alert opens one; rows with ``closed`` close it."""
 
@@ -124,6 +227,26 @@ def live_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("device_id").transformWithStateInPandas(Ticks(), TICK_OUT, "Append", "None")
 
 
+def on_time(ticks: DataFrame, delay: str = "10 minutes", ts: str = "ts", keys: tuple[str, ...] = ("device_id", "seq")) -> DataFrame:
+    """Rows by event time: those later than the delay are dropped, and so are repeats of a key within it."""
+    return ticks.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def live_ticks_in_time(ticks: DataFrame, delay: str = "10 minutes", quiet_ms: int = 86_400_000) -> DataFrame:
+    """Repeats, streaks and segments of rows (with ``ts``) in the order of event time, once the watermark has passed them."""
+    return on_time(ticks, delay).groupBy("device_id").transformWithStateInPandas(OrderedTicks(quiet_ms), TICK_OUT, "Append", "EventTime")
+
+
+def live_ring(ticks: DataFrame, most: int = 30) -> DataFrame:
+    """The newest traces of each device that got a row: (device_id, upto, seq, trace, rank)."""
+    return ticks.groupBy("device_id").transformWithStateInPandas(Ring(most), "device_id long, upto long, seq long, trace string, rank int", "Update", "None")
+
+
+def live_records(events: DataFrame, most: int = 1500, quiet_ms: int = 86_400_000) -> DataFrame:
+    """Last states of records as they change: (device_id, record, event_id, state)."""
+    return events.groupBy("device_id").transformWithStateInPandas(Records(most, quiet_ms), "device_id long, record long, event_id long, state string", "Update", "ProcessingTime")
+
+
 def live_alerts(runs: DataFrame) -> DataFrame:
     """Alerts of rows (device_id, id, ts, decision, closed)."""
     return runs.groupBy("device_id").transformWithStateInPandas(Alerts(), "device_id long, id long", "Append", "None")
@@ -139,18 +262,25 @@ def cascade(ticks: DataFrame) -> DataFrame:
     return decide.decided(screened)
 
 
-def persist_batches(path: str, prune_every: int = 25, prune: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends each batch of decided rows to the table, and prunes after every so many rows. Calls
-    ``prune`` with the number of rows that were written since the query began."""
-    written = 0
+def persist_batches(path: str, prune_every: int = 25, prune: Callable[[int], None] | None = None, stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes each batch of decided rows to the table once, however often it is tried, and prunes after every
+    so many rows. A batch that the ledger knows is left alone; one that was written but not entered is written over. The number
+    of rows since the stream began is the ledger's, so it outlives restarts; ``prune`` is called with it."""
+    done: dict[int, int] | None = None
 
     def write(batch: DataFrame, number: int) -> None:
-        nonlocal written
-        rows = Observation()
-        counted = batch.observe(rows, F.count("*").alias("n"))
-        store.append_runs(counted.select("id", "ts", "device_id", "decision", "category", F.col("risk").alias("score"), "child_age", "app_exe"), path)
-        before, written = written, written + rows.get["n"]
-        if prune and written // prune_every > before // prune_every:
-            prune(written)
+        nonlocal done
+        spark = batch.sparkSession
+        if done is None:
+            done = table.committed(spark, path, stream)
+        if number in done:
+            return
+        before = sum(done.values())
+        decided = batch.select("id", "ts", "device_id", "decision", "category", F.col("risk").alias("score"), "child_age", "app_exe")
+        rows = table.write_batch(decided, path, f"{stream}-{number}")
+        table.commit(spark, path, stream, number, rows)
+        done[number] = rows
+        if prune and (before + rows) // prune_every > before // prune_every:
+            prune(before + rows)
 
     return write
