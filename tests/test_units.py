@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstone.functions import text as T
-from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, vision
+from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, table, vision
 from wardstone.operators.rules import RULES
 from wardstone.sources import readers
 
@@ -280,14 +280,73 @@ def test_degraded_backends(spark):
     assert one(spark, dashboard.degraded(F.create_map(F.lit("ocr"), F.lit("ok"), F.lit("asr"), F.lit("failed"), F.lit("clip"), F.lit(None).cast("string")))) == ["asr", "clip"]
 
 
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
 def test_store_round_trip(spark, tmp_path):
     path = str(tmp_path / "runs")
-    store.append_runs(spark.createDataFrame([("a", "hate", 0.9)], "id string, decision string, score double").withColumn("ts", F.to_timestamp(F.lit("2024-01-01"))), path)
-    store.append_runs(spark.createDataFrame([(None, 7)], "decision string, child_age int").withColumn("ts", F.to_timestamp(F.lit("2024-01-02"))), path)
+    table.append(spark.createDataFrame([("a", "hate", 0.9)], "id string, decision string, score double").withColumn("ts", F.to_timestamp(F.lit("2024-01-01"))), path)
+    table.append(spark.createDataFrame([(None, 7)], "decision string, child_age int").withColumn("ts", F.to_timestamp(F.lit("2024-01-02"))), path)
     rows = store.read_runs(spark, path).orderBy("ts").collect()
     assert [r["decision"] for r in rows] == ["hate", "unknown"] and len(rows[1]["id"]) == 40 and rows[1]["child_age"] == 7
-    assert store.purge(spark.read.parquet(path), str(tmp_path / "empty")) == 2
-    assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
+    assert table.purge(spark, path) == 2 and table.read(spark, path).count() == 0
+
+
+def test_retention_keeps_the_files_of_other_days(spark, tmp_path):
+    path = tmp_path / "runs"
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), F.expr("timestamp '2024-01-31 00:00:00' - make_interval(0, 0, 0, 0, cast(id * 6 as int), 0, 0)").alias("ts"), F.lit("x").cast("binary").alias("thumb_jpeg"))
+    table.write_batch(rows.where("id % 2 = 0"), str(path), "a")
+    table.write_batch(rows.where("id % 2 = 1"), str(path), "b")
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    done = table.prune(spark, str(path), now, days=10, rows=1000)  # rows 0 to 40 stay, thumbs of 0 to 4
+    assert done["rows"] == 59 and done["dropped"] > 0
+    left = table.read(spark, str(path)).collect()
+    assert sorted(int(r["id"]) for r in left) == list(range(41)) and {int(r["id"]) for r in left if r["thumb_jpeg"]} == set(range(5))
+    before = files_of(path)
+    done = table.prune(spark, str(path), now, days=9, rows=1000)  # only the day that the limit crosses changes
+    after = files_of(path)
+    assert done == {"dropped": 0, "rewritten": done["rewritten"], "untouched": done["untouched"], "rows": 4} or done["dropped"] > 0
+    assert {k: v for k, v in after.items() if "2024-01-2" in k and not k.startswith(("dt=2024-01-21", "dt=2024-01-22"))} == {k: v for k, v in before.items() if "2024-01-2" in k and not k.startswith(("dt=2024-01-21", "dt=2024-01-22"))}
+    assert table.prune(spark, str(path), now, days=9, rows=1000)["untouched"] == done["rewritten"] + done["untouched"]
+    assert table.prune(spark, str(path), now, days=9, rows=7)["rows"] == 30 and sorted(int(r["id"]) for r in table.read(spark, str(path)).collect()) == list(range(7))
+
+
+def test_replacement_rewrites_the_buckets_of_its_keys(spark, tmp_path):
+    path = tmp_path / "sessions"
+    table.upsert(spark.range(200).select("id", F.lit(1).alias("at"), F.lit("old").alias("v")), str(path), "id", "at", 16)
+    before = files_of(path)
+    update = spark.createDataFrame([(7, 1, "same time"), (8, 0, "stale"), (500, 1, "new")], "id long, at int, v string")
+    n = table.upsert(update, str(path), "id", "at", 16)
+    got = {r["id"]: r["v"] for r in spark.read.parquet(str(path)).collect()}
+    assert len(got) == 201 and (got[7], got[8], got[500], got[9]) == ("same time", "old", "new", "old")
+    changed = {k.split("/")[0] for k, _ in set(files_of(path).items()) ^ set(before.items())}
+    assert len(changed) == n <= 3
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    rows = spark.range(60_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("id"), F.to_timestamp(F.lit("2024-01-01")).alias("ts"), F.repeat(F.lit("x"), F.lit(50)).alias("app_exe"))
+    table.write_batch(rows, path, "a", **{"parquet.block.size": "200000", "parquet.page.size": "20000", "parquet.page.row.count.limit": "1000"})
+    wanted = rows.where("true").first()["id"]
+    found = table.by_id(spark, path, wanted)
+    assert found.count() == 1
+    df = table.by_id(spark, path, wanted)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves() if not plan.getClass().getSimpleName().startswith("Adaptive") else plan.executedPlan().collectLeaves()
+    read = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert 0 < read < 20_000, read
+
+
+def test_readers_of_a_version_keep_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert table.current(spark, path) is None and table.publish(spark.range(5), path) == 1
+    old = table.current(spark, path)
+    assert table.publish(spark.range(9), path) == 2
+    assert old.count() == 5 and table.current(spark, path).count() == 9
+    spark.range(3).write.parquet(f"{path}/v3-broken-off")  # a build that never was published
+    assert table.current(spark, path).count() == 9 and table.forget(spark, path, 1) == 1 and table.current(spark, path).count() == 9
 
 
 def test_readers(spark, tmp_path):

@@ -85,6 +85,13 @@ def scored_by(cases: DataFrame, name: str, scorer: Callable[[DataFrame], DataFra
     return scorer(cases).select("case_id", "hate", "bucket", F.lit(name).alias("scorer"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def provenance(cases: DataFrame, registry: DataFrame, by: str) -> DataFrame:
+    """Cases and harmful ones of each corpus beside its entry in the registry, a small table by ``key``; without one the entry
+    is null."""
+    counted = cases.groupBy(by).agg(F.count("*").alias("cases"), F.count_if("hate").alias("harmful"))
+    return counted.join(F.broadcast(registry), F.col(by) == F.col("key"), "left").drop("key")
+
+
 def with_rates(cells: DataFrame) -> DataFrame:
     """Adds the rates of tp, fp, tn and fn; a rate without rows is 0."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))

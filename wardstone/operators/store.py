@@ -73,13 +73,6 @@ def retention_report(df: DataFrame, now: Column, hours: int = 24, days: int = 30
     return df.agg(F.count_if(stale).alias("thumbs"), F.count_if(old).alias("expired"), F.greatest(F.lit(0), kept - rows).cast("long").alias("over_cap"))
 
 
-def purge(df: DataFrame, path: str) -> int:
-    """Empties a table; how many rows went."""
-    n = df.count()
-    df.limit(0).write.mode("overwrite").parquet(path)
-    return n
-
-
 def list_view(df: DataFrame) -> DataFrame:
     """Rows without what only the detail view shows."""
     return df.drop("thumb_jpeg", "trace_json").withColumn("evidence", F.col("evidence").dropFields("detections"))

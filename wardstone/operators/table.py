@@ -59,7 +59,10 @@ def commit(spark: SparkSession, path: str, stream: str, batch: int, rows: int) -
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of all batches with their day and batch, whatever columns each file has."""
+    """Runs of all batches with their day and batch, whatever columns each file has; of an empty table no rows."""
+    p, fs = _path(spark, path)
+    if not any(not e.getPath().getName().startswith("_") for e in fs.listStatus(p)):
+        return conform(spark.range(0).select(), RUN_COLUMNS | {"dt": "date", "batch": "string"})
     df = spark.read.option("mergeSchema", "true").option("partitionColumnTypeInference.enabled", "false").parquet(path)
     return conform(df, RUN_COLUMNS | {"dt": "date", "batch": "string"})
 
@@ -98,6 +101,16 @@ def prune(spark: SparkSession, path: str, now: Column, hours: int = 24, days: in
     return {"dropped": len(gone), "rewritten": len(changed), "untouched": len(found) - len(gone) - len(changed), "rows": sum(r["n"] - r["kept"] for r in found)}
 
 
+def purge(spark: SparkSession, path: str) -> int:
+    """Removes all rows of the table, whose ledger stays; how many there were."""
+    n = read(spark, path).count()
+    p, fs = _path(spark, path)
+    for entry in fs.listStatus(p):
+        if not entry.getPath().getName().startswith("_"):
+            fs.delete(entry.getPath(), True)
+    return n
+
+
 def upsert(updates: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> int:
     """Replaces the rows of the updates' keys in a table parted by bucket of the key, and adds those it lacks; of rows of a
     key the last by ``order`` stays, an update before an older row of equal order. Only the buckets that hold one of the keys are read

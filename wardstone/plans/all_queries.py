@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import decision_queries, evaluation_queries, report_queries, source_queries, store_queries, text_queries  # noqa: F401
+from . import decision_queries, evaluation_queries, report_queries, source_queries, store_queries, table_queries, text_queries  # noqa: F401
