@@ -379,6 +379,29 @@ def test_isolated_head(spark):
     assert rows[1]["score"] is None and rows[1]["error"] == "failed: ZeroDivisionError"
 
 
+def test_typed_user_functions(spark):
+    def embedder():
+        return lambda b: [len(b) / 2, 1.0] if b else 1 / 0
+
+    rows = spark.createDataFrame([(1, bytearray(b"abcd")), (2, bytearray(b"")), (3, None)], "id long, content binary")
+    got = {r["id"]: r for r in heads.embedded(rows, "content", embedder).collect()}
+    assert got[1]["vector"] == [2.0, 1.0] and got[1]["vector_note"] is None
+    assert got[2]["vector"] is None and got[2]["vector_note"] == got[3]["vector_note"] == "failed: ZeroDivisionError"
+    wrong = rows.select(heads.typed(lambda: lambda b: "text", "array<float>")(F.col("content")).alias("r")).first()["r"]
+    assert wrong["value"] is None and wrong["error"].startswith("failed: Arrow")
+
+    def broken():
+        raise OSError("no model")
+
+    assert {r["e"] for r in rows.select(heads.typed(broken, "double")(F.col("content"))["error"].alias("e")).collect()} == {"failed: OSError"}
+
+    def hear():
+        return lambda b: [{"text": t, "no_speech_prob": 0.9 if t == "x" else 0.0, "avg_logprob": 0.0} for t in b.decode().split(",")]
+
+    clips = heads.transcribed(spark.createDataFrame([(1, bytearray(b"so,x,it goes")), (2, None)], "clip long, sound binary"), "sound", "clip", hear)
+    assert [tuple(r) for r in evidence.transcripts(clips, order="place").collect()] == [(1, "so it goes")]
+
+
 def test_head_is_asked_only_below_the_cut(spark):
     df = spark.createDataFrame([(1, 0.9), (2, 0.1)], "id long, lex double")
     out = heads.head_on_rest(df, "lex", lambda x: x.withColumn("score", F.lit(0.5)))

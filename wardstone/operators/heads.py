@@ -1,12 +1,15 @@
-"""Heads that score texts: a trained one, and users' own as pandas functions that never fail the job."""
+"""Heads that score texts: a trained one, and users' own functions over texts, pictures and sound that never fail the job."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.text import normalize, r4
 
@@ -31,27 +34,69 @@ def train_text_head(cases: DataFrame, text: str = "text", target: str = "hate",
     return head
 
 
-def isolated(make: Callable[[], Callable[[object], float]]) -> Callable[[Column], Column]:
-    """A user's scorer as a column function: struct of score and error. ``make`` runs once for each worker; a failure on a
-    row gives a null score and the reason."""
-
-    def run(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        try:
-            scorer, broken = make(), None
-        except Exception as e:  # noqa: BLE001
-            scorer, broken = None, f"failed: {type(e).__name__}"
-        for series in values:
-            scores, errors = [], []
-            for v in series:
+_made: dict[str, object] = {}
+
+
+def typed(make: Callable[[], Callable[[object], object]], kind: str) -> Callable[[Column], Column]:
+    """A user's function over values of a column, binary ones too, whose results have the type ``kind`` (a vector, segments of
+    speech, a score): struct of value and error. ``make`` runs once in each worker process, which keeps what it returns; where
+    it fails every row has the reason, where a value fails or has a wrong type that row has it, and the value is null. Values
+    that are null are given to the function like any other."""
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(f"value {kind}, error string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if key not in _made:
+            try:
+                _made[key] = (make(), None)
+            except Exception as e:  # noqa: BLE001
+                _made[key] = (None, f"failed: {type(e).__name__}")
+        function, broken = _made[key]
+        for values in batches:
+            found, errors = [], []
+            for v in values.to_pylist():
                 try:
-                    scores.append(float(scorer(v)) if scorer else None)
+                    found.append(pa.scalar(function(v), arrow).as_py() if function else None)
                     errors.append(broken)
                 except Exception as e:  # noqa: BLE001
-                    scores.append(None)
+                    found.append(None)
                     errors.append(f"failed: {type(e).__name__}")
-            yield pd.DataFrame({"score": pd.Series(scores, dtype="float64"), "error": pd.Series(errors, dtype="object")})
+            yield pa.StructArray.from_arrays([pa.array(found, arrow), pa.array(errors, pa.string())], ["value", "error"])
+
+    return run
+
+
+def isolated(make: Callable[[], Callable[[object], float]]) -> Callable[[Column], Column]:
+    """A user's scorer as a column function: struct of score and error."""
+
+    def scorer() -> Callable[[object], float]:
+        score = make()
+        return lambda v: float(score(v))
+
+    run = typed(scorer, "double")
+
+    def scored(column: Column) -> Column:
+        r = run(column)
+        return F.struct(r["value"].alias("score"), r["error"].alias("error"))
+
+    return scored
+
+
+#: Segments of speech as a transcriber gives them.
+SPEECH = "array<struct<text:string,no_speech_prob:double,avg_logprob:double>>"
+
+
+def embedded(df: DataFrame, content: str, make: Callable[[], Callable[[bytes], list[float]]], name: str = "vector") -> DataFrame:
+    """Adds the vector of a binary column, null where the content can't be read, and the reason as ``<name>_note``."""
+    return df.withColumn(name, typed(make, "array<float>")(F.col(content))).withColumn(f"{name}_note", F.col(name)["error"]).withColumn(name, F.col(name)["value"])
+
 
-    return F.pandas_udf(run, "score double, error string")
+def transcribed(df: DataFrame, content: str, key: str, make: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
+    """(clip, place, text, no_speech_prob, avg_logprob): the segments of each clip's sound in order, for ``evidence.transcripts``;
+    clips that can't be read have none."""
+    found = df.select(F.col(key).alias("clip"), typed(make, SPEECH)(F.col(content)).alias("r"))
+    return found.select("clip", F.posexplode("r.value").alias("place", "s")).select("clip", "place", "s.*")
 
 
 def head_on_rest(df: DataFrame, lexicon: str, head: Callable[[DataFrame], DataFrame], skip: float = 0.88) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import dashboard as B
 from ..operators import decide as D
 from ..operators import evaluation as E
 from ..operators import evidence as V
+from ..operators import heads as H
 from ..operators import report as P
 from ..operators import vision as I
 from .decision_queries import DECIDED
@@ -186,3 +187,44 @@ def probe_choice(spark, d):
     e = e.select("vec_id", "y", F.slice("embedding", F.lit(1), half.cast("int")).alias("image"), F.slice("embedding", half.cast("int") + 1, half.cast("int")).alias("text"))
     dev = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 3 == 1
     return I.choose_probe(e.where(~dev), e.where(dev), "image", "text", "y").select("kind", "dim", "auc", "accuracy", "train_rows", "meets_bar", "auc_image_only", "auc_text_only", "auc_multimodal")
+
+
+def _letters():
+    """A stand-in for an embedder: how often a page holds each of four letters."""
+
+    def embed(content: bytes) -> list[float]:
+        if len(content) % 7 == 0:
+            raise ValueError("unreadable")
+        return [float(content.count(c)) for c in (b"a", b"e", b"i", b"o")]
+
+    return embed
+
+
+_count = lambda c: f"(octet_length(encode(html)) - octet_length(encode(replace(html, '{c}', ''))))"
+
+
+@query(f"select page_id, 8 as dim, cast({' + '.join(_count(c) for c in 'aeio')} as double) as total from pages where octet_length(encode(html)) % 7 <> 0")
+def embedded_pictures(spark, d):
+    """Pages as pictures: vectors of binary content, unreadable ones left out, zero captions beside them."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").cast("binary").alias("content"))
+    found = H.embedded(pages, "content", _letters, "image")
+    captions = found.where("false").select("page_id", F.col("image").alias("caption"))
+    both = I.paired(found.select("page_id", "image"), captions, "page_id", 4)
+    return both.select("page_id", F.size("both").alias("dim"), F.aggregate("both", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+def _speaker():
+    """A stand-in for a transcriber: lines are segments, short ones hardly speech."""
+
+    def hear(content: bytes) -> list[dict]:
+        return [{"text": t, "no_speech_prob": 0.9 if len(t) < 40 else 0.1, "avg_logprob": -0.5} for t in content.decode().split("\n")]
+
+    return hear
+
+
+@query("with s as (select conv_id, turn, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from conversations) select conv_id * 1000 + turn as clip, md5(string_agg(trim(t), ' ' order by i)) as transcript from s where length(t) >= 40 group by 1")
+def transcribed_clips(spark, d):
+    """Turns as sound: segments heard in binary content, joined to transcripts."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip"), F.col("text").cast("binary").alias("content"))
+    found = V.transcripts(H.transcribed(c, "content", "clip", _speaker), order="place")
+    return found.select("clip", F.md5("transcript").alias("transcript"))
