@@ -67,3 +67,78 @@ def test_pipeline_keeps_clashing_columns(spark):
         got = stage(spark, docs, "/root/testdata/sf0.001")
         assert got.columns == docs.columns, name
         assert got.where("lang_pred != 'mine' or score != 7.0 or candidates != 'c'").count() == 0, name
+
+
+def test_names_places_and_papers(spark, model):
+    texts = {
+        "John Smith lives at 12 Main Street, passport X1234567, IBAN DE89 3704 0044 0532 0130 00.": "<name> lives at <address>, <document>, IBAN <iban>.",
+        "Dear Mrs Green-Wood, hello": "Dear <name>, hello",
+        "Uenanth Thinor said nothing. New York is large.": "Uenanth Thinor said nothing. New York is large.",
+        "DE00370400440532013000 is no account": "DE00370400440532013000 is no account",
+        "12 green bottles, 5 Things To Do": "12 green bottles, 5 Things To Do",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert {r["i"]: r["text"] for r in pii.masked(df, model).collect()} == dict(enumerate(texts.values()))
+    assert {r["i"]: r["text"] for r in pii.masked(df, pii.train(pii.candidates(df.limit(0)))).collect()}[0] == list(texts.values())[0]
+    own = pii.gazetteer(spark.createDataFrame([("first", "Uenanth")], "sort string, word string"))
+    assert own["ending"] == pii.ENDINGS and own["first"] == ["Uenanth"]
+    hits = pii.candidates(df, words=own).select("i", F.explode("candidates").alias("c")).where("c.holds and c.kind = 6").select("i", "c.value").collect()
+    assert [tuple(r) for r in hits] == [(2, "Uenanth Thinor")]
+    with pytest.raises(ValueError, match="words"):
+        pii.gazetteer(spark.range(pii.MOST_WORDS + 1).select(F.lit("first").alias("sort"), F.col("id").cast("string").alias("word")))
+
+
+def test_span_classifier_by_hand(spark):
+    """Expectation maximisation and the classifier's weights, computed again from the candidates one by one."""
+    import collections
+    import math
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = pii.candidates(d.select("text"))
+    rows = found.select(F.explode("candidates").alias("x")).select("x.kind", pii._votes(F.col("x")).alias("votes"), pii._features(F.col("x")).alias("features")).collect()
+    kinds = sorted({r["kind"] for r in rows})
+    prior = dict.fromkeys(kinds, 0.7)
+    start = {"+": (0.7, 0.3), "-": (0.1, 0.5)}
+    worth = {(i, v): start[v] for i in range(4) for v in start}
+    for _ in range(50):
+        p = []
+        for r in rows:
+            yes, no = prior[r["kind"]], 1 - prior[r["kind"]]
+            for i, v in enumerate(r["votes"]):
+                if v != "0":
+                    yes, no = yes * worth[i, v][0], no * worth[i, v][1]
+            p.append(yes / (yes + no))
+        for k in kinds:
+            own = [q for q, r in zip(p, rows, strict=True) if r["kind"] == k]
+            prior[k] = (sum(own) + 3.5) / (len(own) + 5)
+        for i in range(4):
+            voted = [(q, r["votes"][i]) for q, r in zip(p, rows, strict=True) if r["votes"][i] != "0"]
+            for v in start:
+                worth[i, v] = tuple((sum(y(q) for q, w in voted if w == v) + 10 * s) / (sum(y(q) for q, _ in voted) + 10) for y, s in zip((lambda q: q, lambda q: 1 - q), start[v], strict=True))
+    m = pii.train(found)
+    assert all(abs(m.prior[k] - prior[k]) < 1e-9 for k in kinds)
+    yes, no, all_yes, all_no = (collections.Counter() for _ in range(4))
+    for q, r in zip(p, rows, strict=True):
+        all_yes[r["kind"]] += q
+        all_no[r["kind"]] += 1 - q
+        for f in r["features"]:
+            yes[f] += q
+            no[f] += 1 - q
+    for f in yes:
+        k = int(f.split("|")[0])
+        if f.endswith("|kind|"):
+            want = math.log((all_yes[k] + 1) / (all_no[k] + 1))
+        else:
+            mean = 10 * (yes[f] + no[f]) / (all_yes[k] + all_no[k])
+            want = math.log((yes[f] + mean) / (all_yes[k] + 10)) - math.log((no[f] + mean) / (all_no[k] + 10))
+        assert abs(m.weights[f] - want) < 1e-6, f
+    # what is added: loose candidates that hold, score above zero and meet no strict one
+    texts = d.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["spans"] for r in pii.query(d).collect()}
+    cands = {r["doc_id"]: r["candidates"] for r in pii.candidates(d.select("doc_id", "text")).collect()}
+    scored = {(r["doc_id"], r["kind"], r["start"], r["stop"]): sum(m.weights.get(f, 0.0) for f in r["features"]) for r in pii.candidates(d.select("doc_id", "text")).select("doc_id", F.explode("candidates").alias("x")).select("doc_id", "x.kind", "x.start", "x.stop", pii._features(F.col("x")).alias("features")).collect()}
+    for t in texts:
+        base = [c for c in cands[t["doc_id"]] if c["base"]]
+        loose = [c for c in cands[t["doc_id"]] if not c["base"] and c["holds"] and scored[t["doc_id"], c["kind"], c["start"], c["stop"]] > 0 and not any(b["start"] < c["stop"] and c["start"] < b["stop"] for b in base)]
+        want = sorted((c["kind"], c["start"], c["stop"]) for c in [*base, *loose])
+        assert got[t["doc_id"]] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)

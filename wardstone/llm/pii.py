@@ -1,9 +1,11 @@
 """Personal data by weak supervision, in built-in functions only.
 
 Candidate spans come from patterns: strict forms of four kinds (email, ip, card, phone), and looser forms (spelled-out
-emails, phones without a country code, social security numbers, secrets such as keys and passwords). Four labelers vote
-on every candidate, each for (1), against (-1) or not at all (0): the strict check of its pattern, a gazetteer of endings
-and credential names, the words before it, and its surroundings. Expectation maximisation over the counts of vote patterns
+emails, phones without a country code, social security numbers, secrets such as keys and passwords, names of persons,
+street addresses, bank accounts, passports and other papers). Four labelers vote on every candidate, each for (1), against
+(-1) or not at all (0): the check of its pattern, a gazetteer (endings of domains, credentials, first names and titles, kinds of
+streets, countries of bank accounts), the words before it, and its surroundings. The gazetteer is a table of words, a small one
+by default. A kind that the corpus gives no candidate of keeps its prior odds. Expectation maximisation over the counts of vote patterns
 estimates what each labeler's votes are worth and the share of real spans of each kind; the resulting posteriors train a
 naive Bayes span classifier over kind, length, shape and context features. Strict forms always stay; a looser candidate
 is added if the classifier takes it and it overlaps no strict span.
@@ -18,6 +20,7 @@ are ignored. Patterns take time in proportion to the text, also for long runs of
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import free_names, stored
 
 #: Kinds in the order of output. The first four have strict forms.
-KINDS = ["email", "ip", "card", "phone", "secret", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "name", "address", "iban", "document"]
 
 #: name: (kind, strict, pattern, what a text must contain for the pattern to be tried)
 PATTERNS: dict[str, tuple[str, bool, str, str]] = {
@@ -39,14 +42,35 @@ PATTERNS: dict[str, tuple[str, bool, str, str]] = {
     "phone_local": ("phone", False, r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3} )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])", ""),
     "secret": ("secret", False, r"(?i)(?<![A-Za-z0-9_])(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_./+-]{6,}+[\"']?|(?<![A-Za-z0-9])(?-i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])", ""),
     "ssn": ("ssn", False, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
+    "name": ("name", False, r"(?<![\p{L}'-])(?=\p{Lu})(?:<first>)\.?(?:[ -]\p{Lu}\p{Ll}++){1,3}(?![\p{L}])", " "),
+    "address": ("address", False, r"(?<![0-9\p{L}.-])[0-9]{1,5}[a-z]?,? (?:\p{Lu}\p{Ll}++ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square|Court|Way|Place)(?![\p{L}])", " "),
+    "iban": ("iban", False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", ""),
+    "document": ("document", False, r"(?i)(?<![A-Za-z])(?:passport|licen[cs]e|identity card|id card)(?: (?:no\.?|nr\.?|number))?[ :#]{1,3}(?-i:[A-Z]{1,2}[0-9]{6,9})(?![A-Za-z0-9])", ""),
 }
-#: Gazetteer: endings of domains and names of credentials.
+#: The gazetteer's default rows: endings of domains, credentials, first names and titles, kinds of streets, countries.
 ENDINGS = "com org net edu gov mil int info biz name pro io co ai app dev me tv cloud online site xyz eu uk de fr es it nl be at ch pl pt se no dk fi ie cz sk hu ro bg gr hr si lt lv ee lu mt cy is li ru ua tr us ca mx br ar cl pe au nz jp kr cn tw hk sg in id th vn ph my za ng ke eg il sa ae".split()
 CREDENTIALS = "token password passwd pwd passphrase secret client_secret api_key apikey api-key access_key private_key auth bearer credential AKIA".split()
+FIRST = "Mr Mrs Ms Dr Prof Adam Alexander Alice Andrew Anna Anthony Barbara Benjamin Brian Carlos Catherine Charles Christopher Claire Daniel David Deborah Dorothy Edward Elizabeth Emily Emma Eric Frank George Hannah Heather Helen Henry Jack Jacob James Jane Jason Jennifer Jessica John Jonathan Joseph Joshua Julia Karen Kevin Laura Lauren Linda Lisa Maria Mark Martin Mary Matthew Melissa Michael Michelle Nancy Nathan Nicholas Olivia Pamela Patricia Paul Peter Rachel Rebecca Richard Robert Ryan Samuel Sandra Sarah Sophie Stephen Steven Susan Thomas Timothy Victoria William".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Square Court Way Place".split()
+BANKS = "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK TR".split()
+GAZETTEER = {"ending": ENDINGS, "credential": CREDENTIALS, "first": FIRST, "street": STREETS, "bank": BANKS}
+MOST_WORDS = 20_000
+
+
+def gazetteer(words: DataFrame) -> dict[str, list[str]]:
+    """A gazetteer of a table (sort, word) of at most MOST_WORDS rows; sorts as in GAZETTEER, those it lacks as there."""
+    rows = words.select("sort", "word").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    return GAZETTEER | {sort: sorted(r["word"] for r in rows if r["sort"] == sort) for sort in {r["sort"] for r in rows}}
+
+
 #: Words that announce a span, and words that announce a number of another sort.
-FOR = r"(?i)(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|ip|address|host|card|visa|account|iban|ssn|login|user|token|key|password)\W{0,3}$"
+FOR = r"(?i)(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|ip|address|host|card|visa|account|iban|ssn|login|user|token|key|password|name is|i am|dear|regards|signed|patient|born|lives (?:at|in)|resident|contact person)\W{0,3}$"
 AGAINST = r"(?i)(?:version|v|section|release|isbn|figure|table|page|no|chapter)\W{0,2}$"
+GATED = {"iban"}  # patterns so wide that only matches that hold are candidates
 LABELERS = ["strict", "gazetteer", "words", "edges"]
+PRIOR = 0.7  # share of real spans of a kind before anything is seen
 SMOOTHING = 10.0  # spans of a feature's mean rate that are added to both sorts
 CONTEXT = 24  # characters before a span that labelers and features see
 
@@ -71,7 +95,16 @@ def _octets(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), small)
 
 
-def _holds(name: str, value: Column) -> Column:
+def _account(value: Column) -> Column:
+    """Whether a bank account's number has the remainder 1 by 97, its first four characters last and letters as 10 to 35."""
+    plain = F.regexp_replace(value, " ", "")
+    moved = F.concat(plain.substr(F.lit(5), F.length(plain)), F.left(plain, F.lit(4)))
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda rest, c: F.when(c == "", rest).otherwise((rest * F.when(digit(c) > 9, 100).otherwise(10) + digit(c)) % 97)
+    return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
+
+
+def _holds(name: str, value: Column, words: dict[str, list[str]] = GAZETTEER) -> Column:
     """The strict check of a pattern's match."""
     if name == "ip":
         return _octets(value)
@@ -83,6 +116,8 @@ def _holds(name: str, value: Column) -> Column:
         return ~value.rlike("^(?:000|666|9..)-|-00-|-0000$")
     if name == "secret":
         return value.rlike("[0-9]") & value.rlike("[A-Za-z]{2}")
+    if name == "iban":
+        return _account(value)
     return F.lit(True)
 
 
@@ -109,9 +144,10 @@ def running(values: Column, zero: int, join: Callable[[Column, Column], Column])
     return _let(inner, outer)
 
 
-def _found(name: str, text: Column) -> Column:
+def _found(name: str, text: Column, words: dict[str, list[str]]) -> Column:
     """Candidates of one pattern as structs, in order of place; empty where the text can't match."""
     kind, strict, pattern, need = PATTERNS[name]
+    pattern = pattern.replace("<first>", "|".join(map(re.escape, words["first"])))
     hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def placed(h: Column, p: Column) -> Column:
@@ -120,12 +156,14 @@ def _found(name: str, text: Column) -> Column:
         def one(value: Column, i: Column, at: Column) -> Column:
             start = F.get(at, i) + F.length(F.get(p, i))
             left = F.right(F.concat(F.when(i > 0, F.right(F.get(h, i - 1), F.lit(CONTEXT))).otherwise(""), F.get(p, i)), F.lit(CONTEXT))
-            right, holds = F.left(F.get(p, i + 1), F.lit(1)), _holds(name, value)
+            right, holds = F.left(F.get(p, i + 1), F.lit(1)), _holds(name, value, words)
             return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.lit(strict) & holds).alias("base"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), left.alias("left"), right.alias("right"), holds.alias("holds"))
 
         return _let(ahead, lambda at: F.transform(h, lambda value, i: one(value, i, at)))
 
     full = _let(hits, lambda h: _let(parts, lambda p: placed(h, p)))
+    if name in GATED:
+        full = F.filter(full, lambda x: x["holds"])
     can = {"": F.lit(True)}.get(need, F.contains(text, F.lit(need))) & text.rlike(pattern)
     return F.when(can, full).otherwise(F.array().cast(CANDIDATE))
 
@@ -133,22 +171,25 @@ def _found(name: str, text: Column) -> Column:
 CANDIDATE = "array<struct<kind:int,base:boolean,start:int,stop:int,value:string,left:string,right:string,holds:boolean>>"
 
 
-def candidates(docs: DataFrame, text_col: str = "text", name: str = "candidates") -> DataFrame:
+def candidates(docs: DataFrame, text_col: str = "text", name: str = "candidates", words: dict[str, list[str]] = GAZETTEER) -> DataFrame:
     """``docs`` with the array of candidate spans of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike("[0-9]|[(\\[]at[)\\]]") | F.contains(text, F.lit("@")) | text.rlike("(?i)token|passw|secret|api_?key")
-    return docs.withColumn(name, F.when(some, F.concat(*[_found(n, text) for n in PATTERNS])).otherwise(F.array().cast(CANDIDATE)))
+    some = text.rlike("[0-9]|[(\\[]at[)\\]]") | F.contains(text, F.lit("@")) | text.rlike("(?i)token|passw|secret|api_?key") | text.rlike(r"\p{Lu}\p{Ll}+[ -]\p{Lu}")
+    return docs.withColumn(name, F.when(some, F.concat(*[_found(n, text, words) for n in PATTERNS])).otherwise(F.array().cast(CANDIDATE)))
 
 
-def _votes(x: Column) -> Column:
+def _votes(x: Column, words: dict[str, list[str]] = GAZETTEER) -> Column:
     """Votes of the labelers, joined: one character each of +, - and 0."""
     vote = lambda yes, no: F.when(yes, "+").when(no, "-").otherwise("0")
     value, left, right = x["value"], x["left"], F.coalesce(x["right"], F.lit(""))
-    ending = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1)).isin(*ENDINGS)
-    named = value.rlike("^(?i:" + "|".join(CREDENTIALS) + ")")
-    kind = x["kind"]
-    listed = ((kind == 0) & ending) | ((kind == KINDS.index("secret")) & named)
-    unlisted = (kind == 0) & ~ending
+    ending = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1)).isin(*words["ending"])
+    secret = value.rlike("^(?i:" + "|".join(words["credential"]) + ")")
+    is_ = lambda k: x["kind"] == KINDS.index(k)
+    first = F.regexp_extract(value, r"^(\p{L}+)", 1).isin(*words["first"])
+    bank = F.left(value, F.lit(2)).isin(*words["bank"])
+    street = F.regexp_extract(value, r"(\p{L}+)$", 1).isin(*words["street"])
+    listed = (is_("email") & ending) | (is_("secret") & secret) | (is_("name") & first) | (is_("iban") & bank) | (is_("address") & street)
+    unlisted = (is_("email") & ~ending) | (is_("name") & ~first) | (is_("iban") & ~bank)
     inside = left.rlike("[A-Za-z0-9_]$") | right.rlike("^[A-Za-z0-9_]")
     return F.concat(vote(x["holds"], ~x["holds"]), vote(listed, unlisted), vote(left.rlike(FOR), left.rlike(AGAINST)), vote(~inside, inside))
 
@@ -179,7 +220,7 @@ class Model:
 
 def _estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> tuple[Model, dict[tuple[int, str], float]]:
     """EM over the counts of vote patterns; starts from each labeler being right in most cases."""
-    m = Model({k: 0.7 for k, _ in counts}, {(name, v): {"+": (0.7, 0.3), "-": (0.1, 0.5), "0": (0.2, 0.2)}[v] for name in LABELERS for v in "+-0"})
+    m = Model({k: PRIOR for k, _ in counts}, {(name, v): {"+": (0.7, 0.3), "-": (0.1, 0.5), "0": (0.2, 0.2)}[v] for name in LABELERS for v in "+-0"})
     real: dict[tuple[int, str], float] = {}
     for _ in range(rounds):
         for kind, votes in counts:
@@ -199,17 +240,15 @@ def _estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> tuple[Mod
     return m, real
 
 
-def train(found: DataFrame, name: str = "candidates") -> Model:
+def train(found: DataFrame, name: str = "candidates", words: dict[str, list[str]] = GAZETTEER) -> Model:
     """Fits the labelers' worth and the span classifier on all candidates. Collects bounded counts only."""
-    spans = found.select(F.explode(name).alias("x")).select(F.col("x.kind").alias("kind"), _votes(F.col("x")).alias("votes"), F.explode(_features(F.col("x"))).alias("feature"))
+    spans = found.select(F.explode(name).alias("x")).select(F.col("x.kind").alias("kind"), _votes(F.col("x"), words).alias("votes"), F.explode(_features(F.col("x"))).alias("feature"))
     rows = spans.groupBy("kind", "votes", "feature").agg(F.count("*").alias("n")).collect()
     counts: dict[tuple[int, str], int] = {}
     for r in rows:
         if r["feature"].endswith("|kind|"):
             counts[r["kind"], r["votes"]] = r["n"]
-    if not counts:
-        return Model()
-    m, real = _estimate(counts)
+    m, real = _estimate(counts) if counts else (Model(), {})
     yes: dict[str, float] = {}
     no: dict[str, float] = {}
     for r in rows:
@@ -222,6 +261,8 @@ def train(found: DataFrame, name: str = "candidates") -> Model:
             mean = SMOOTHING * (yes[f] + no[f]) / max(all_yes + all_no, 1e-9)
             m.weights[f] = math.log((yes[f] + mean) / (all_yes + SMOOTHING)) - math.log((no[f] + mean) / (all_no + SMOOTHING))
         m.weights[f"{k}|kind|"] = math.log((all_yes + 1) / (all_no + 1))
+    for k in set(range(len(KINDS))).difference(m.prior):
+        m.weights[f"{k}|kind|"] = math.log(PRIOR / (1 - PRIOR))
     return m
 
 
