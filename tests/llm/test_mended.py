@@ -142,3 +142,44 @@ def test_span_classifier_by_hand(spark):
         loose = [c for c in cands[t["doc_id"]] if not c["base"] and c["holds"] and scored[t["doc_id"], c["kind"], c["start"], c["stop"]] > 0 and not any(b["start"] < c["stop"] and c["start"] < b["stop"] for b in base)]
         want = sorted((c["kind"], c["start"], c["stop"]) for c in [*base, *loose])
         assert got[t["doc_id"]] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash with optimal densification, bin by bin."""
+    import xxhash
+
+    from wardstone.llm import minhash
+
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    if not words:
+        return "0" * 512
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+
+    def chain(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+        return h
+
+    shingles = [chain(one[i : i + 5]) for i in range(len(one) - 4)] or [chain(one)]
+    bins = [None] * 256
+    for h in shingles:
+        b, low = ((h >> 56) + 128) % 256, h & ((1 << 56) - 1)  # bins in the order of signed numbers
+        bins[b] = low if bins[b] is None else min(bins[b], low)
+    mult, _, offset = minhash._permutations()
+    out = []
+    for i, x in enumerate(bins):
+        t = 0
+        while x is None:
+            x, t = bins[(mult[i] * t + offset[i]) % 256], t + 1
+        out.append(f"{x & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    from wardstone.llm import minhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    docs = docs.union(spark.createDataFrame([(None,), ("",), (" \t ",), ("one",), ("one two three four",), ("One TWO three four five",), ("ünï 日本 🎉 a b c",), ("w " * 3000,)], "text string"))
+    rows = minhash.with_fingerprint(docs, "text", "f").collect()
+    assert all(r["f"] == plain_fingerprint(r["text"]) for r in rows) and len({r["f"] for r in rows}) > 100
