@@ -175,6 +175,28 @@ def test_frames_by_title_and_features(spark):
     assert (threat(0.89, 0.94, 0.9), threat(0.89, 0.89, 0.1), threat(0.1, 0.1, 0.76), threat(0.1, 0.8, 0.75)) == ("violence", "adult_content", "weapons", "none")
 
 
+def test_probe_abstains_or_refuses(spark):
+    of = lambda dim, multi, text: tuple(one(spark, vision.probe(F.array(*[F.lit(1.0)] * dim), F.array(F.lit(0.5), F.lit(-0.5)), F.lit(0.0), F.lit(multi), F.lit(text))))
+    assert of(2, False, False) == of(2, True, True) == (0.5, True) and of(2, True, False) == of(1, True, False) == (0.0, True) and of(3, False, True) == (0.0, False)
+
+
+def test_speech(spark):
+    cases = {'{"a": 1} Hi **you** `x`': "Hi you x", "```code {x} ```done": "done", "a_b [link] > c | d": "a b link c | d", None: ""}
+    for given, want in cases.items():
+        assert one(spark, T.speech(F.lit(given).cast("string"))) == want
+
+
+def test_percentiles_from_counts(spark):
+    import random
+
+    draw = random.Random(8)
+    rows = [(k, draw.choice([0.0, -3.5, 7.25, draw.random() * 10_000])) for k, n in (("a", 500), ("b", 7), ("c", 1)) for _ in range(n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "stage string, ms double")
+    got = {r["stage"]: tuple(r)[1:] for r in dashboard.latency_profile(df).collect()}
+    want = df.groupBy("stage").agg(F.percentile("ms", F.lit(0.5)).alias("a"), F.percentile("ms", F.lit(0.9)).alias("b"), F.max("ms"), F.count("ms")).where("a is not null").collect()
+    assert {r["stage"]: tuple(None if v is None else round(v, 2) for v in got[r["stage"]]) for r in want} == {r["stage"]: tuple(round(v, 2) for v in tuple(r)[1:]) for r in want} and len(got) == 3
+
+
 def test_moods_and_kinds(spark):
     for given, want in {" positive": "Positive", "NEGATIVE ": "Negative", "Curious": "Positive", "": "Neutral", "bored": "Neutral"}.items():
         assert one(spark, dashboard.mood(F.lit(given))) == want

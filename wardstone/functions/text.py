@@ -70,9 +70,9 @@ def reply_text(text: Column) -> Column:
 
 
 def speech(text: Column) -> Column:
-    """What is left to be read aloud: no braces, code fences or markup."""
-    out = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"(?s)\{.*?\}", " ")
-    return squeeze(F.regexp_replace(out, r"[*_#`>|~]", ""))
+    """What is left to be read aloud: no braces, code fences or markup; a null text is empty."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)\{.*?\}", ""), r"(?s)```.*?```", "")
+    return squeeze(F.regexp_replace(out, r"[*_#`~>\[\]]", " "))
 
 
 def title_hash(text: Column) -> Column:

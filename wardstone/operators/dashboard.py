@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import clamp, r4, snippet
 from .decide import mapped, two_places
 from .rules import MOOD
+from .scan import before, run_of
 
 #: Emotions that count as negative, and those of the impacts of the feed.
 NEGATIVE = ("scared", "defensive", "frustrated", "angry")
@@ -127,9 +130,23 @@ def degraded(status: Column) -> Column:
 
 
 def latency_profile(times: DataFrame) -> DataFrame:
-    """(stage, p50, p90, worst, n) of (stage, ms)."""
-    p = lambda q: r4(F.percentile("ms", F.lit(q)), 3)
-    return times.groupBy("stage").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), r4(F.max("ms"), 3).alias("worst"), F.count("*").alias("n"))
+    """(stage, p50, p90, worst, n) of (stage, ms), percentiles between neighbours; null times don't count. Times are counted by
+    value, and the counts are summed up along the values by runs, so no stage's times meet in one task."""
+    counts = times.where(F.col("ms").isNotNull()).groupBy("stage", "ms").agg(F.count("*").alias("m"))
+    ranked = before(counts, "stage", ["ms"], run_of(F.col("ms"), 1000), {"below": ("sum", F.col("m"))}).withColumn("below", F.coalesce("below", F.lit(0)))
+    totals = counts.groupBy(F.col("stage").alias("__stage")).agg(F.sum("m").alias("n"), F.max("ms").alias("worst"))
+    rows = ranked.join(totals, F.col("stage").eqNullSafe(F.col("__stage")))
+
+    def at(q: float, round_: Callable[[Column], Column]) -> Column:
+        """The time of a rank: the one whose counts reach over it."""
+        rank = round_(q * (F.col("n") - 1))
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("m")), F.col("ms")))
+
+    def p(q: float) -> Column:
+        part = F.first(q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1)))
+        return r4(at(q, F.floor) + (at(q, F.ceil) - at(q, F.floor)) * part, 3)
+
+    return rows.groupBy("stage").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), r4(F.first("worst"), 3).alias("worst"), F.first("n").alias("n"))
 
 
 def status(last_decision: Column, failures: Column) -> Column:

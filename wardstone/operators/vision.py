@@ -20,13 +20,13 @@ def zero_shot(vector: Column, harm_bank: Column, safe_bank: Column) -> Column:
 
 
 def probe(vector: Column, coef: Column, intercept: Column, multimodal: Column | None = None, has_text: Column | None = None) -> Column:
-    """Struct of score and calibrated. Another dimension, or a probe that needs text without any, gives 0, uncalibrated."""
+    """Struct of score and calibrated. Another dimension gives 0, uncalibrated; a probe that needs text abstains without any: 0,
+    as calibrated as before."""
     z = dot(vector, coef) + intercept
     p = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
     fits = F.size(vector) == F.size(coef)
-    if multimodal is not None and has_text is not None:
-        fits = fits & (~multimodal | has_text)
-    return F.struct(F.when(fits, r4(p)).otherwise(0.0).alias("score"), fits.alias("calibrated"))
+    abstains = F.lit(False) if multimodal is None or has_text is None else multimodal & ~has_text
+    return F.struct(F.when(fits & ~abstains, r4(p)).otherwise(0.0).alias("score"), (fits | abstains).alias("calibrated"))
 
 
 def admitted(models: DataFrame, enabled: bool = True) -> DataFrame:

@@ -87,9 +87,12 @@ def text_redact(spark, d):
     return _docs(spark, d).select("doc_id", T.redact(t).alias("snippet"), F.length(T.redact(t, 1 << 30)).alias("n"))
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '(?s)\{.*?\}', ' ', 'g'), '[*_#`>|~]', '', 'g'), '\s+', ' ', 'g')) as spoken from documents")
+MARKED = "case doc_id % 4 when 0 then '{\"a\": 1}' when 1 then '```x {y} z``` # head [link] > ' when 2 then '**bold** _it_ ~x~ | ' else '' end || text"
+
+
+@query(rf"with m as (select doc_id, {MARKED} as t from documents) select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)\{{.*?\}}', '', 'g'), '(?s)```.*?```', '', 'g'), '[*_#`~>\[\]]', ' ', 'g'), '\s+', ' ', 'g')) as spoken from m")
 def speech_clean(spark, d):
-    return _docs(spark, d).select("doc_id", T.speech(F.col("text")).alias("spoken"))
+    return _docs(spark, d).select("doc_id", T.speech(F.expr(MARKED)).alias("spoken"))
 
 
 @query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as cleaned, case when length(text) > 80 then substr(text, 1, 80) || '…' else text end as short, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as region_key from documents")
