@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_structure_repair": _op12,
     "op13_token_counts": _op13,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_structure_repair": structure.ORACLE}

@@ -410,3 +410,51 @@ def query(turns: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     nothing = hashlib.sha256(b"").hexdigest()
     return both.select(F.col("conv").alias("conv_id"), *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The query in SQL: a recursion over each conversation's rows from its end, the best (cost, audit, turns) of every state."""
+    crc = "xor(4294967295::bigint, list_reduce([4294967295::bigint] || list_transform(string_split(key, ''), lambda c: ascii(c)::bigint), lambda a, b: list_reduce([xor(a, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"
+    white = "||".join(f"chr({ord(c)})" for c in WHITE)
+
+    def best(state: int) -> str:
+        found, inserted = [], []
+        for k in range(3):
+            before = f"[{', '.join(inserted)}]::varchar[]"
+            step = lambda to, cost, label, line, when, k=k, before=before: f"case when {when} then {{'c': d[{to + 1}].c + {INSERT * k} + {cost}, 'a': '{'I' * k}{label}' || d[{to + 1}].a, 't': {before} || {line} || d[{to + 1}].t}} end"
+            stays, extra = "fault in (0, 3)", f"case when fault = 3 then {TRUNCATED} else 0 end"
+            found.append(step(state, DELETE, "D", "[]::varchar[]", "true"))
+            found += [step(kind, extra, "K", "[role || ':' || text]", f"{stays} and kind = {kind}") for kind in (SYSTEM, USER, ASSISTANT) if allowed(state, kind)]
+            new = int(NEXT[state])
+            found.append(step(new, f"{REROLE} + {extra}", "R", f"['{ROLES[new]}:' || text]", stays))
+            inserted.append(f"'{ROLES[new]}:'")
+            state = new
+        return f"list_sort(list_filter([{', '.join(found)}], lambda x: x is not null))[1]"
+
+    ends, at = [], []
+    for state, n in enumerate(ENDS):
+        at = [f"'{r}:'" for r in (ROLES[USER], ROLES[ASSISTANT])[2 - n :]]
+        ends.append(f"{{'c': {INSERT * n}::bigint, 'a': '{'I' * n}', 't': [{', '.join(at)}]::varchar[]}}")
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+h AS (SELECT *, {crc} % 20 AS hit FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE hit <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, count(*) OVER (PARTITION BY conv_id) AS rows, right(trim(text, {white}), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM m),
+f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS kind, left(lag(role) OVER (PARTITION BY conv_id ORDER BY rn), 1) || left(role, 1) AS pair FROM o),
+dp AS (
+    SELECT conv_id, 0::bigint AS n, [{', '.join(ends)}] AS d FROM (SELECT DISTINCT conv_id FROM f)
+    UNION ALL
+    SELECT f.conv_id, n + 1, [{', '.join(best(s) for s in range(4))}] FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.rows - f.rn = dp.n
+),
+s AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+    count_if(rn > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(rows) AS rows FROM f GROUP BY conv_id
+),
+x AS (SELECT s.*, dp.d[1] AS best FROM s JOIN dp ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.n = s.rows)
+SELECT c.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal,
+coalesce(best.c, 0)::bigint AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLE = _oracle()
