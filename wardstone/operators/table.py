@@ -2,7 +2,8 @@
 replacement that touch only the partitions they change.
 
 The table is parted by day and batch; within a file rows are sorted by id and ids have a Bloom filter. Rewrites go by dynamic
-partition overwrite: what isn't rewritten keeps its files. A ledger beside the data (``_ledger``, hidden from readers) says
+partition overwrite: what isn't rewritten keeps its files. Rows are gathered by partition before they are written, large days
+in several tasks (Spark's rebalancing). A ledger beside the data (``_ledger``, hidden from readers) says
 which batches of a stream are complete and how many rows each had.
 """
 
@@ -37,7 +38,7 @@ def write_batch(df: DataFrame, path: str, batch: str, **options: str) -> int:
     rows = with_defaults(df).withColumn("dt", F.to_date("ts")).withColumn("batch", F.lit(batch))
     seen = Observation()
     counted = rows.observe(seen, F.count("*").alias("n"))
-    counted.repartition("dt").sortWithinPartitions("dt", "id").write.mode("overwrite").options(**DYNAMIC, **LOOKUP, **options).partitionBy("dt", "batch").parquet(path)
+    counted.hint("rebalance", "dt").sortWithinPartitions("dt", "id").write.mode("overwrite").options(**DYNAMIC, **LOOKUP, **options).partitionBy("dt", "batch").parquet(path)
     return seen.get["n"]
 
 
@@ -95,7 +96,7 @@ def prune(spark: SparkSession, path: str, now: Column, hours: int = 24, days: in
     if changed:
         one = F.array(*[F.struct(F.lit(r["dt"]).alias("dt"), F.lit(r["batch"]).alias("batch")) for r in changed])
         new = kept.where(F.array_contains(one, F.struct("dt", "batch")))
-        new.repartition("dt").sortWithinPartitions("dt", "batch", "id").write.mode("overwrite").options(**DYNAMIC, **LOOKUP).partitionBy(*by).parquet(path)
+        new.hint("rebalance", "dt").sortWithinPartitions("dt", "batch", "id").write.mode("overwrite").options(**DYNAMIC, **LOOKUP).partitionBy(*by).parquet(path)
     for r in gone:
         _drop(spark, path, dt=r["dt"], batch=r["batch"])
     return {"dropped": len(gone), "rewritten": len(changed), "untouched": len(found) - len(gone) - len(changed), "rows": sum(r["n"] - r["kept"] for r in found)}
@@ -124,7 +125,7 @@ def upsert(updates: DataFrame, path: str, key: str, order: str, buckets: int = 6
         old = spark.read.schema(bucketed.schema).parquet(path).where(F.col("bucket").isin(touched)).withColumn("__new", F.lit(0))
         rows = rows.unionByName(old)
     last = rows.groupBy(key).agg(F.max_by(F.struct(*bucketed.columns), F.struct(order, "__new")).alias("r")).select("r.*")
-    last.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").options(**DYNAMIC).partitionBy("bucket").parquet(path)
+    last.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").options(**DYNAMIC).partitionBy("bucket").parquet(path)
     return len(touched)
 
 
