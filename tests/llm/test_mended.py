@@ -1,5 +1,7 @@
 """Cases that went wrong before: batches of any size, ids beyond doubles, long secrets, clashing columns."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,19 @@ def test_fingerprints_equal_brute_force(spark):
     docs = docs.union(spark.createDataFrame([(None,), ("",), (" \t ",), ("one",), ("one two three four",), ("One TWO three four five",), ("ünï 日本 🎉 a b c",), ("w " * 3000,)], "text string"))
     rows = minhash.with_fingerprint(docs, "text", "f").collect()
     assert all(r["f"] == plain_fingerprint(r["text"]) for r in rows) and len({r["f"] for r in rows}) > 100
+
+
+def test_languages_in_parts_are_judged_as_at_once(spark):
+    draw = random.Random(4)
+    words = {f"l{i:03}": "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for i in range(200)}
+    train = spark.createDataFrame([(f"{w} the", k) for k, w in words.items()] + [("the the", "l150")] + [(None, "only nulls"), ("x", None)], "text string, lang string")
+    docs = spark.createDataFrame([(i, f"{w} and the") for i, w in enumerate(words.values())] + [(998, "qqq"), (999, None), (1000, "12")], "doc_id long, text string")
+    whole, parts = langid.learn(train), langid.learn(train, most=64)
+    assert len(whole.languages) == 201 and whole.rest is None and parts.rest is not None
+    held = [len(p.languages) for p in langid._parts(parts)]
+    assert sum(held) == 201 and len(held) > 2
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, f).collect()} for f in (whole, parts))
+    assert a == b and a[998] == ("l150", 0.0) and a[999] == a[1000] == ("und", 0.0)
+    alone = langid.judge([f"{w} and the" for w in words.values()], whole)
+    assert [a[i] for i in range(200)] == list(zip(*alone, strict=True))
+    assert sum(a[i][0] == k for i, k in enumerate(words)) > 190
