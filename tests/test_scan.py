@@ -64,3 +64,9 @@ def test_sound_over_three_seconds(spark):
     chunks = spark.createDataFrame([(1, i, 4000, 4000.0 * (1.0 if i >= 5000 else 0.0)) for i in range(4990, 5020)], "device_id int, seq long, n int, sumsq double")
     got = {r["seq"]: r["rms"] for r in evidence.sound_gate(chunks).collect()}
     assert got[4999] == 0.0 and abs(got[5000] - (1 / 11) ** 0.5) < 1e-12 and got[5011] == 1.0
+
+
+def test_due_takes_checks_of_one_time_by_number(spark):
+    rows = [(1, 9 - i, "2024-01-01 00:00:40") for i in range(8)] + [(1, 1, "2024-01-01 00:00:10")]
+    t = spark.createDataFrame(rows, "device_id int, seq long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+    assert [r["gap"] for r in ticks.due(t).orderBy("seq").collect()] == [None, 30, *[0] * 7]

@@ -28,9 +28,10 @@ def streaks(ticks: DataFrame, device: str = "device_id", seq: str = "seq") -> Da
     return rows.withColumn("failures", since.cast("long")).withColumn("wait", F.least(F.lit(15), 2 * F.col("failures"))).withColumn("degraded", F.col("failures") >= 3).drop("__failed", "__then")
 
 
-def due(ticks: DataFrame, every: int = 30, least: int = 10, device: str = "device_id", ts: str = "ts") -> DataFrame:
-    """Adds the next time a check is due, and how long after the one before this one came."""
-    rows = before(ticks, device, [ts], run_of_time(ticks, ts), {"__ts": ("last", F.unix_timestamp(ts))})
+def due(ticks: DataFrame, every: int = 30, least: int = 10, device: str = "device_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Adds the next time a check is due, and how long after the one before this one came. Checks of one time are taken by
+    their numbers."""
+    rows = before(ticks, device, [ts, seq], run_of_time(ticks, ts), {"__ts": ("last", F.unix_timestamp(ts))})
     step = max(every, least)
     return rows.withColumn("gap", F.unix_timestamp(ts) - F.col("__ts")).withColumn("due", F.col(ts) + F.expr(f"interval {step} seconds")).drop("__ts")
 
