@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardstone.functions import text as T
 from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, table, vision
 from wardstone.operators.rules import RULES
+from wardstone.plans import text_queries
 from wardstone.sources import readers
 
 
@@ -47,6 +48,19 @@ def test_gaming_rules_rest_in_games(spark):
     assert got == [(["threat/vowed"], False, 0.58), ([], True, 0.08), (["bullying/trash"], False, 0.58), ([], False, 0.05)]
 
 
+def test_rule_hits_tries_every_rule(spark, tmp_path):
+    """The phrases that the corpus doesn't mark are tried too, and found by the words that they need."""
+    said = {
+        "I hope you die": "threat/hope-you-die", "end your life": "threat/end-your-life", "you are dead meat": "threat/you-are-dead-meat", "they are not even human": "hate_identity/not-even-human", "wipe them all out": "hate_identity/wipe-them-all-out",
+        "a naked picture": "sexual_harassment/naked-picture", "take your clothes off": "sexual_harassment/take-your-clothes-off", "everybody hates you": "bullying/everybody-hates-you", "the world is better without you": "bullying/the-world-is-better-without-you", "disgusting worthless": "bullying/disgusting-worthless",
+        "I'll really hurt you": "threat/announced-harm", "wait outside for you": "threat/warning", "you look so dumb": "bullying/put-down", "go away for ever": "bullying/shut-out", "send me a picture of you": "sexual/asks-for-pictures", "refugees are a plague": "identity/called-animals", "these people ruin everything": "identity/shut-out",
+    }
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["rule"]: r["documents"] for r in text_queries.rule_hits(spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(said.values(), 1), "bullying/disgusting": 1, "bullying/worthless": 1}
+    assert set(said.values()) == {r.rule_id for r in rules.PHRASES} and len({r.rule_id for r in rules.ALL_RULES}) == len(rules.ALL_RULES)
+
+
 def test_signals_of_reported_speech(spark):
     cases = {"this is never okay": ["condemnation"], "Stop bullying": ["condemnation"], "our essay about hate": ["meta"], "She said it": ["attribution"], "how do I report him, according to mum": ["attribution", "meta"], "don't tell a teacher": [], "you are trash": []}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", lexicon.framing(F.col("t")).alias("s")).collect()
