@@ -3,9 +3,11 @@
 import itertools
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wardstone.functions import batches
 from wardstone.functions import text as T
 from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, table, vision
 from wardstone.operators.rules import RULES
@@ -503,3 +505,13 @@ def test_latencies(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (-3, 0, 0.5, 0.6, 7, 7, 100)] + [("b", 2.0), ("b", None)], "k string, ms double")
     got = {r["k"]: (r["median"], r["p95"], r["n"]) for r in evaluation.latencies(df, "k", "ms").collect()}
     assert got == {"a": (0.6, 100.0, 7), "b": (2.0, 2.0, 1)}
+
+
+def test_screens_take_few_texts_at_once(spark):
+    """A batch is at most a thousand rows, and a few megabytes of it become Python objects at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rule_index.matcher(RULES)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    values = pa.array([None, *["x" * 1000] * 20, "y" * 9000])
+    parts = list(batches.slices(values, 4000))
+    assert max(map(len, parts)) <= 4 and pa.concat_arrays(parts).equals(values) and len(list(batches.slices(values[:0]))) == 1
