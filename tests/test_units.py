@@ -515,3 +515,10 @@ def test_screens_take_few_texts_at_once(spark):
     values = pa.array([None, *["x" * 1000] * 20, "y" * 9000])
     parts = list(batches.slices(values, 4000))
     assert max(map(len, parts)) <= 4 and pa.concat_arrays(parts).equals(values) and len(list(batches.slices(values[:0]))) == 1
+
+
+def test_user_functions_take_few_values_at_once(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = spark.range(3000).coalesce(1).select("id", heads.typed(lambda: lambda v: 1 / v, "double")(F.col("id")).alias("r")).select("id", "r.*").orderBy("id").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert [r["value"] for r in got] == [None, *[1 / i for i in range(1, 3000)]] and got[0]["error"] == "failed: ZeroDivisionError"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from ..functions.batches import slices, tuned
 from ..functions.text import normalize, r4
 
 
@@ -42,6 +43,7 @@ def typed(make: Callable[[], Callable[[object], object]], kind: str) -> Callable
     speech, a score): struct of value and error. ``make`` runs once in each worker process, which keeps what it returns; where
     it fails every row has the reason, where a value fails or has a wrong type that row has it, and the value is null. Values
     that are null are given to the function like any other."""
+    tuned()
     arrow = to_arrow_type(DataType.fromDDL(kind))
     key = uuid.uuid4().hex
 
@@ -54,15 +56,18 @@ def typed(make: Callable[[], Callable[[object], object]], kind: str) -> Callable
                 _made[key] = (None, f"failed: {type(e).__name__}")
         function, broken = _made[key]
         for values in batches:
-            found, errors = [], []
-            for v in values.to_pylist():
-                try:
-                    found.append(pa.scalar(function(v), arrow).as_py() if function else None)
-                    errors.append(broken)
-                except Exception as e:  # noqa: BLE001
-                    found.append(None)
-                    errors.append(f"failed: {type(e).__name__}")
-            yield pa.StructArray.from_arrays([pa.array(found, arrow), pa.array(errors, pa.string())], ["value", "error"])
+            parts = []
+            for some in slices(values):
+                found, errors = [], []
+                for v in some.to_pylist():
+                    try:
+                        found.append(pa.scalar(function(v), arrow).as_py() if function else None)
+                        errors.append(broken)
+                    except Exception as e:  # noqa: BLE001
+                        found.append(None)
+                        errors.append(f"failed: {type(e).__name__}")
+                parts.append(pa.StructArray.from_arrays([pa.array(found, arrow), pa.array(errors, pa.string())], ["value", "error"]))
+            yield pa.concat_arrays(parts)
 
     return run
 
