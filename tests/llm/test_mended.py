@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from wardstone.llm import decontamination, langid, pii, pitman_yor
+from wardstone.llm import decontamination, langid, pii, pitman_yor, simhash
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -201,3 +201,40 @@ def test_languages_in_parts_are_judged_as_at_once(spark):
     alone = langid.judge([f"{w} and the" for w in words.values()], whole)
     assert [a[i] for i in range(200)] == list(zip(*alone, strict=True))
     assert sum(a[i][0] == k for i, k in enumerate(words)) > 190
+
+
+def test_every_pair_at_the_threshold_is_linked(spark):
+    """Pairs of similarity 0.8 to 0.83 among texts that share many words: components equal those of all pairs."""
+    draw = random.Random(9)
+    texts = []
+    for _ in range(60):
+        words = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([14, 60, 240]))]
+        texts.append(words)
+        for _ in range(3):
+            other = list(words)
+            n = len(words) - 4
+            for at in draw.sample(range(0, len(words), 5), max(1, round(n * 0.2 / 1.8 / 5 * draw.choice([0.8, 0.9, 1.0, 1.1])))):
+                other[at] = f"x{draw.randrange(10**6)}"
+            texts.append(other)
+    texts += [["a"], ["a", "b"], [], []]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] * bool(w)) for w in texts]
+    least = list(range(len(texts)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    close = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            union = len(sets[i] | sets[j])
+            if 5 * shared >= 4 * union:
+                close += 5 * shared < 4.2 * union
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    assert close > 50
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component"] for r in simhash.similar(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}

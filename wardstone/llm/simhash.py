@@ -26,8 +26,9 @@ from .common import scratch, stored
 
 SEED = 42
 BITS = 64
-#: Of ``similar``: words of a run, least similarity of a link, bits and number of the fingerprints of a text.
-RUN, LIKE = 5, 0.8
+#: Of ``similar``: words of a run, least similarity of a link (four fifths), bits and number of the fingerprints of a text.
+RUN, LIKE = 5, (4, 5)
+COUNTS = 1 << 17  # runs are counted by so many values of their hashes, which orders them from rare to frequent
 FILTER, BITS_AT = 20, (22, 28, 34)  # the filter of candidates: bits of the number of its words, and where a node's bits are taken from
 SHORT, PRINTS = 40, 6
 ODD = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,20 +221,79 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataF
                     continue
                 seen.add(node)
                 nodes.append(node)
-                sets.append(np.unique(runs.astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "runs"])
+                sets.append(runs.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "runs"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, runs array<int>").dropDuplicates(["node"])
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= LIKE * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(LIKE[1] * shared >= LIKE[0] * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def rare_first(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How often runs of each value of the last bits of their hashes occur. Any order of runs finds all pairs; this one keeps
+    frequent runs out of the prefixes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            runs = np.concatenate([np.zeros(0, np.uint64), *[shingles(_split(text)) for text in batch.column(0).to_pylist()]])
+            n += np.bincount((runs & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["value", "n"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTS, np.int64)
+    counts[found["value"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def remaining(docs: DataFrame, label: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b) with a > b: all pairs of nodes in different components of ``label`` (a, label) that may have a similarity of LIKE.
+
+    Two sets of that similarity share one of their first runs, in one order of all runs, of which a set of n has n less four
+    fifths of n, rounded up, and one. Runs that only one component holds there are left out, so a group of similar texts
+    makes no pairs of its own; sizes and places of a shared run bound the similarity.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(rare_first(docs, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        counts, seen = shared.value, set()
+        for batch in batches:
+            nodes, sizes, firsts = [], [], []
+            for text in batch.column(0).to_pylist():
+                runs = shingles(_split(text))
+                node = int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes(), seed=SEED)).astype(np.int64)) if len(runs) else 0
+                if not len(runs) or node in seen:
+                    continue
+                seen.add(node)
+                n = len(runs)
+                order = np.lexsort((runs, counts[(runs & np.uint64(COUNTS - 1)).astype(np.int64)]))
+                nodes.append(node)
+                sizes.append(n)
+                firsts.append(runs[order[: n - (LIKE[0] * n + LIKE[1] - 1) // LIKE[1] + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "n", "runs"])
+
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, n int, runs array<long>").dropDuplicates(["node"])
+    sets = sets.join(label.withColumnRenamed("a", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = sets.select("node", "n", "label", F.posexplode("runs").alias("place", "run"))
+    w = Window.partitionBy("run")
+    each = each.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).where("least < most").drop("least", "most")
+    each = stored(each)
+    x, y = (each.select("run", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "place")]) for k in "xy")
+    both = x.join(y, "run").where("label_x < label_y")
+    both = both.where(LIKE[1] * F.least("n_x", "n_y") >= LIKE[0] * F.greatest("n_x", "n_y"))
+    both = both.where(sum(LIKE) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= LIKE[0] * (F.col("n_x") + F.col("n_y")))
+    return both.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, component): components of texts whose sets of five-word runs have a similarity of LIKE or more.
 
-    Candidates come from ball hashing of several short fingerprints of the distinct words; every link between distinct
-    texts is verified. A node is a distinct set of runs.
+    Candidates come from ball hashing of several short fingerprints of the distinct words, which join most texts cheaply; all
+    other pairs come from the sets' first runs. Every link between distinct texts is verified. A node is a distinct set of runs.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -244,8 +304,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("of"))
     rows = rows.select("id", F.col("of")[0].alias("node"), F.slice("of", 2, PRINTS).alias("fps"), F.slice("of", PRINTS + 2, PRINTS).cast("array<int>").alias("least"))
     rows = stored(rows)
-    edges = verified(docs, stored(candidates(rows)), text_col)
-    return _grouped(rows.select("id", F.col("node").alias("fp")), components(edges)).withColumnRenamed("fp", "node")
+    label = components(verified(docs, stored(candidates(rows)), text_col))
+    more = verified(docs, stored(remaining(docs, label, text_col)), text_col)
+    label = components(label.select("a", F.col("label").alias("b")).union(more))  # a component is kept by its links to its least
+    return _grouped(rows.select("id", F.col("node").alias("fp")), label).withColumnRenamed("fp", "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
