@@ -522,3 +522,11 @@ def test_user_functions_take_few_values_at_once(spark):
     got = spark.range(3000).coalesce(1).select("id", heads.typed(lambda: lambda v: 1 / v, "double")(F.col("id")).alias("r")).select("id", "r.*").orderBy("id").collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
     assert [r["value"] for r in got] == [None, *[1 / i for i in range(1, 3000)]] and got[0]["error"] == "failed: ZeroDivisionError"
+
+
+def test_second_stage_tries_every_rule_and_reads_the_texts_once(spark, tmp_path):
+    rows = [(1, "you are dead meat"), (2, "fine day " * 60), (3, "fine day " * 60 + "idiot"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = text_queries.stage2_recheck(spark, str(tmp_path))
+    assert {r["doc_id"]: r["score"] for r in found.collect()} == {1: 0.88, 2: 0.08, 3: 0.58, 4: 0.05}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
