@@ -530,3 +530,13 @@ def test_second_stage_tries_every_rule_and_reads_the_texts_once(spark, tmp_path)
     found = text_queries.stage2_recheck(spark, str(tmp_path))
     assert {r["doc_id"]: r["score"] for r in found.collect()} == {1: 0.88, 2: 0.08, 3: 0.58, 4: 0.05}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_attribution_screens_each_text_once(spark):
+    """A filter on the score would be put under the screening, which then runs twice."""
+    rows = [(1, "you are trash", False, 0.1), (2, "hello there", False, 0.9), (3, "hello there", False, 0.1), (4, "kill yourself", True, 0.9)]
+    cases = lexicon.screen(spark.createDataFrame(rows, "case_id long, text string, hate boolean, model double")).withColumn("lexicon", F.col("lexicon_score"))
+    found = evaluation.attribution(cases, 0.55)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("find(") == 1
+    reached = cases.where("not hate and greatest(lexicon, model) >= 0.55").collect()
+    assert sum(r["n"] for r in found.collect()) == len(reached) >= 1 and {r["cause"] for r in found.collect()} <= {"both", "rule", "model"}
