@@ -540,3 +540,12 @@ def test_attribution_screens_each_text_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("find(") == 1
     reached = cases.where("not hate and greatest(lexicon, model) >= 0.55").collect()
     assert sum(r["n"] for r in found.collect()) == len(reached) >= 1 and {r["cause"] for r in found.collect()} <= {"both", "rule", "model"}
+
+
+def test_a_head_learns_from_counts_made_once(spark):
+    """Counts of words that are stored give the scores that texts give, without the texts."""
+    rows = [(i, "you are trash" if i % 3 == 0 else f"a fine day {i % 5}", i % 3 == 0) for i in range(30)]
+    cases = spark.createDataFrame(rows, "case_id long, text string, hate boolean")
+    counted = heads.word_counts(cases).drop("text")
+    score = lambda df, head: {r["case_id"]: r["score"] for r in head(df).select("case_id", "score").collect()}
+    assert score(counted, heads.train_text_head(counted)) == score(cases, heads.train_text_head(cases))

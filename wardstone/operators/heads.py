@@ -15,19 +15,32 @@ from ..functions.batches import slices, tuned
 from ..functions.text import normalize, r4
 
 
+WORDS = "__words_tf"
+
+
+def word_counts(df: DataFrame, text: str = "text", features: int = 1 << 16) -> DataFrame:
+    """``df`` with the counts of its texts' hashed words (WORDS), all that a head reads of a text. Stored, they spare
+    training and scoring the same texts a pass over these each."""
+    from pyspark.ml.feature import HashingTF, Tokenizer
+
+    out = Tokenizer(inputCol="__base", outputCol="__words").transform(df.withColumn("__base", normalize(F.coalesce(text, F.lit("")))))
+    return HashingTF(inputCol="__words", outputCol=WORDS, numFeatures=features).transform(out).select(*df.columns, WORDS)
+
+
 def train_text_head(cases: DataFrame, text: str = "text", target: str = "hate", features: int = 1 << 16) -> Callable[[DataFrame], DataFrame]:
-    """Trains on (text, hate); the head adds ``score`` and ``labels`` (toxic, nothate) to any frame with texts."""
+    """Trains on (text, hate); the head adds ``score`` and ``labels`` (toxic, nothate) to any frame with texts. Frames that have
+    WORDS need no text."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+    from pyspark.ml.feature import IDF
     from pyspark.ml.functions import vector_to_array
 
-    stages = [Tokenizer(inputCol="__base", outputCol="__words"), HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features), IDF(inputCol="__tf", outputCol="features"), LogisticRegression(labelCol="__y", regParam=0.01, maxIter=50)]
-    rows = cases.select(normalize(F.coalesce(text, F.lit(""))).alias("__base"), F.col(target).cast("double").alias("__y"))
-    model = Pipeline(stages=stages).fit(rows)
+    counted = lambda df: df if WORDS in df.columns else word_counts(df, text, features)
+    rows = counted(cases).select(WORDS, F.col(target).cast("double").alias("__y"))
+    model = Pipeline(stages=[IDF(inputCol=WORDS, outputCol="features"), LogisticRegression(labelCol="__y", regParam=0.01, maxIter=50)]).fit(rows)
 
     def head(df: DataFrame) -> DataFrame:
-        out = model.transform(df.withColumn("__base", normalize(F.coalesce(text, F.lit("")))))
+        out = model.transform(counted(df))
         p = r4(F.get(vector_to_array("probability"), 1))
         labels = F.array(F.struct(F.lit("toxic").alias("label"), p.alias("score")), F.struct(F.lit("nothate").alias("label"), (1 - p).alias("score")))
         return out.withColumn("score", p).withColumn("labels", labels).select(*df.columns, "score", "labels")
