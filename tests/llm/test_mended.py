@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wardstone.llm import decontamination, langid, pii, pitman_yor, simhash
@@ -238,3 +240,18 @@ def test_every_pair_at_the_threshold_is_linked(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r["id"]: r["component"] for r in simhash.similar(docs).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_common_passages_make_no_pairs(spark, monkeypatch):
+    """Texts that share half of their words meet nowhere, whatever the order of their runs; the one pair over four fifths does."""
+    monkeypatch.setattr(simhash, "rare_first", lambda *_: np.zeros(simhash.COUNTS, np.int64))  # as where all counts are alike
+    passage = [f"line{i}" for i in range(100)]
+    own = lambda i: [f"w{i}x{j}" for j in range(100)]
+    texts = [" ".join(passage + own(i)) for i in range(60)]
+    texts.append(" ".join(passage + own(0)[:95] + own(99)[:5]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = spark.createDataFrame([], "a long, label long")
+    pairs = simhash.remaining(docs, label).collect()
+    sets = {x: simhash.shingles(simhash._split(x)) for x in (texts[0], texts[60])}
+    node = {int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=simhash.SEED)).astype(np.int64)) for s in sets.values()}
+    assert {frozenset((p["a"], p["b"])) for p in pairs} == {frozenset(node)}

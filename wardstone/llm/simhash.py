@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +29,7 @@ BITS = 64
 #: Of ``similar``: words of a run, least similarity of a link (four fifths), bits and number of the fingerprints of a text.
 RUN, LIKE = 5, (4, 5)
 COUNTS = 1 << 17  # runs are counted by so many values of their hashes, which orders them from rare to frequent
+SPARE = 10  # runs of a set for which one more of its first runs is looked at, and has to be shared
 FILTER, BITS_AT = 20, (22, 28, 34)  # the filter of candidates: bits of the number of its words, and where a node's bits are taken from
 SHORT, PRINTS = 40, 6
 ODD = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,10 +196,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     return near.mapInArrow(_neighbours, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The ``pairs`` of nodes whose sets of runs have a similarity of LIKE or more, counted in full."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # A blocked Bloom filter of the candidates, 2 to the FILTER words at the most, spares shuffling most other texts' runs; the joins
+def sets_of(docs: DataFrame, involved: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, runs): the whole sets of the nodes ``involved``, and of a few others."""
+    # A blocked Bloom filter of the nodes, 2 to the FILTER words at the most, spares shuffling most other texts' runs; the joins
     # decide, so it drops nothing.
     words = 1 << min(FILTER, max(4, (involved.count() // 4).bit_length()))
     bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(node, {at}) & 63 as int))" for at in BITS_AT))
@@ -224,7 +224,12 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataF
                 sets.append(runs.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "runs"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"])
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ``pairs`` of nodes whose sets of runs have a similarity of LIKE or more, counted in full."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text_col)
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(LIKE[1] * shared >= LIKE[0] * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -248,12 +253,31 @@ def rare_first(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
+def _least(n):
+    """Runs that a set of ``n`` shares with a set of similarity LIKE, at least: four fifths of n, rounded up."""
+    return F.ceil(n * LIKE[0] / F.lit(LIKE[1])) if isinstance(n, Column) else -(-n * LIKE[0] // LIKE[1])
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, n, label, run, held): runs that sets of several labels hold, and how many sets hold each."""
+    each, w = sets.select("node", "n", "label", F.explode("runs").alias("run")), Window.partitionBy("run")
+    each = each.select("*", F.min("label").over(w).alias("least"), F.max("label").over(w).alias("most"), F.count("*").over(w).alias("held"))
+    return each.where("least < most").drop("least", "most")
+
+
+def _few(n):
+    """How many of their first runs similar sets share at least: one, and one more for each SPARE of the smaller set."""
+    return 1 + (F.floor(n / SPARE) if isinstance(n, Column) else n // SPARE)
+
+
 def remaining(docs: DataFrame, label: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b) with a > b: all pairs of nodes in different components of ``label`` (a, label) that may have a similarity of LIKE.
 
-    Two sets of that similarity share one of their first runs, in one order of all runs, of which a set of n has n less four
-    fifths of n, rounded up, and one. Runs that only one component holds there are left out, so a group of similar texts
-    makes no pairs of its own; sizes and places of a shared run bound the similarity.
+    Two sets of that similarity share ``_few`` of the smaller one's size of their first runs, in one order of all runs, of which
+    a set of n has n less four fifths of n, rounded up, and ``_few(n)``. A set with fewer of them in other components has no partner.
+    Of the other sets all runs meet, and those that only one component holds are left out, so a group of similar texts makes no
+    pairs of its own. How many sets hold a run is then known: partners meet on their rarest runs, and only if the runs from there
+    on are enough for both. Texts that have a passage in common, but less than four fifths, make no pairs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rare_first(docs, text_col))
 
@@ -273,19 +297,21 @@ def remaining(docs: DataFrame, label: DataFrame, text_col: str = "text") -> Data
                 order = np.lexsort((runs, counts[(runs & np.uint64(COUNTS - 1)).astype(np.int64)]))
                 nodes.append(node)
                 sizes.append(n)
-                firsts.append(runs[order[: n - (LIKE[0] * n + LIKE[1] - 1) // LIKE[1] + 1]].view(np.int64))
+                firsts.append(runs[order[: n - _least(n) + _few(n)]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "n", "runs"])
 
     sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, n int, runs array<long>").dropDuplicates(["node"])
     sets = sets.join(label.withColumnRenamed("a", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = sets.select("node", "n", "label", F.posexplode("runs").alias("place", "run"))
-    w = Window.partitionBy("run")
-    each = each.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).where("least < most").drop("least", "most")
-    each = stored(each)
-    x, y = (each.select("run", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "place")]) for k in "xy")
+    each = _shared(sets)
+    some = each.groupBy("node", "n", "label").agg(F.count("*").alias("c")).where(F.col("c") >= _few(_least(F.col("n")))).drop("c")
+    some = stored(some)
+    each = stored(_shared(sets_of(docs, some.select("node"), text_col).join(some, "node")))
+    w = Window.partitionBy("node")
+    left = F.count("*").over(w) - F.row_number().over(w.orderBy("held", "run")) + 1  # shared runs of the set from this one on
+    each = each.select("node", "n", "label", "run", left.alias("left")).where(F.col("left") >= _least(F.col("n")))
+    x, y = (each.select("run", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "left")]) for k in "xy")
     both = x.join(y, "run").where("label_x < label_y")
-    both = both.where(LIKE[1] * F.least("n_x", "n_y") >= LIKE[0] * F.greatest("n_x", "n_y"))
-    both = both.where(sum(LIKE) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= LIKE[0] * (F.col("n_x") + F.col("n_y")))
+    both = both.where(sum(LIKE) * F.least("left_x", "left_y") >= LIKE[0] * (F.col("n_x") + F.col("n_y")))
     return both.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
 
