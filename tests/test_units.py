@@ -3,6 +3,7 @@
 import itertools
 import json
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from wardstone.functions import batches
 from wardstone.functions import text as T
 from wardstone.operators import dashboard, decide, evaluation, evidence, heads, lexicon, rule_index, rules, scoring, store, table, vision
 from wardstone.operators.rules import RULES
-from wardstone.plans import text_queries
+from wardstone.plans import registry, text_queries
 from wardstone.sources import readers
 
 
@@ -532,6 +533,21 @@ def test_second_stage_tries_every_rule_and_reads_the_texts_once(spark, tmp_path)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
 
 
+def test_second_stage_reads_texts_to_their_end(spark, tmp_path):
+    """In a text about a game a threat counts only in a chunk that doesn't speak of it, wherever that chunk lies."""
+    start, calm, end = "this game idiot " + "x" * 420, " fine day \u00e9\U0001f600" * 130, " i will kill you"
+    rows = [(1, start + end), (2, start + calm + end), (3, start + calm * 30 + end), (4, start + calm), (5, "fine day" + calm + " game" + end), (6, None), (7, " " * 900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["score"] for r in text_queries.stage2_recheck(spark, str(tmp_path)).collect()}
+    assert found == {1: 0.88, 2: 0.88, 3: 0.88, 4: 0.58, 5: 0.08, 6: 0.05, 7: 0.05}
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(db.execute(registry.ORACLE_SQL["stage2_recheck"]).fetchall()) == found
+    text = rows[1][1] + " " * 700 + "z"
+    cut = spark.createDataFrame([(text,)], "text string").select(scoring.chunks(F.col("text")).alias("c")).first()["c"]
+    assert cut == [c for i in range(0, len(text), 200) if (c := text[i : i + 400]).strip(" ")]
+
+
 def test_attribution_screens_each_text_once(spark):
     """A filter on the score would be put under the screening, which then runs twice."""
     rows = [(1, "you are trash", False, 0.1), (2, "hello there", False, 0.9), (3, "hello there", False, 0.1), (4, "kill yourself", True, 0.9)]
